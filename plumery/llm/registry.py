@@ -1,9 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from plumery.llm import line_dedup, sharding
+from plumery.llm import decontam, line_dedup, sharding, simhash, token_store
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op3_token_store": token_store.op3_token_store,
     "op4_sharding": sharding.op4_sharding,
+    "op5_simhash": simhash.op5_simhash,
+    "op10_decontamination": decontam.op10_decontamination,
 }
-ORACLES = {**line_dedup.SQL, **sharding.SQL}
+ORACLES = {**line_dedup.SQL, **sharding.SQL, **decontam.SQL}

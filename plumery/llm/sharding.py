@@ -55,12 +55,12 @@ SQL = {
     "op4_sharding": r"""
 WITH crc_table AS (
   SELECT list(c ORDER BY n) AS t FROM (
-    SELECT n, list_reduce(list_prepend(n, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), (a, b) -> CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
+    SELECT n, list_reduce(list_prepend(n, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
     FROM (SELECT range AS n FROM range(256)))),
 sized AS (
   SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
-         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), h -> ('0x' || h)::BIGINT)),
-             (a, b) -> xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+             lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
   FROM documents, crc_table),
 placed AS (
   SELECT *, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - size AS start, row_number() OVER (ORDER BY doc_id) AS n, sum(size) OVER () AS total FROM sized),
