@@ -1,15 +1,17 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from plumery.llm import decontam, langid, line_dedup, pii, quality, sharding, simhash, token_store
+from plumery.llm import decontam, langid, line_dedup, neighbours, pii, quality, sentencepieces, sharding, simhash, token_store
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_neighbours": neighbours.op2_neighbours,
     "op3_token_store": token_store.op3_token_store,
     "op4_sharding": sharding.op4_sharding,
     "op5_simhash": simhash.op5_simhash,
+    "op6_sentencepiece": sentencepieces.op6_sentencepiece,
     "op7_pii": pii.op7_pii,
     "op8_langid": langid.op8_langid,
     "op9_quality": quality.op9_quality,
     "op10_decontamination": decontam.op10_decontamination,
 }
-ORACLES = {**line_dedup.SQL, **sharding.SQL, **decontam.SQL}
+ORACLES = {**line_dedup.SQL, **neighbours.SQL, **sharding.SQL, **decontam.SQL}
