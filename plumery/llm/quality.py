@@ -168,6 +168,17 @@ def fit(rows: DataFrame, prior: float, rounds: int = 12, ridge: float = 1e-3) ->
     return QualityModel(best[1] if best else theta, mean, scale, prior)
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, folds: int) -> tuple[DataFrame, QualityModel]:
+    """The written features (doc_id, x) of docs and the model learned from them."""
+    learned = labels.where((crc_of_id(F.col("doc_id")) % folds != 0) & F.col("quality").isNotNull())
+    learned = learned.groupBy("doc_id").agg((F.min("quality") == 1).alias("_q_good")).select(F.col("doc_id").alias("_q_id"), "_q_good")
+    prior = learned.agg(F.avg(F.col("_q_good").cast("int"))).first()[0]
+    prior = min(0.99, max(0.01, 0.5 if prior is None else prior))
+    x = materialise(featured(docs, "doc_id"))
+    rows = x.join(learned, x["doc_id"] == F.col("_q_id"), "left").select("x", F.coalesce("_q_good", F.lit(False)).alias("positive"))
+    return x, fit(materialise(rows), prior)
+
+
 def learn_and_score(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """docs' doc_id, held_out and score. Labels are learned from where crc32(doc_id) mod folds is not 0.
 
@@ -175,13 +186,7 @@ def learn_and_score(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataF
     made from the text alone; empty and null texts get one too. Repeated rows repeat; a doc_id labelled good and bad counts
     as bad, as trust is wanted; rows with a null doc_id have no label.
     """
-    learned = labels.where((crc_of_id(F.col("doc_id")) % folds != 0) & F.col("quality").isNotNull())
-    learned = learned.groupBy("doc_id").agg((F.min("quality") == 1).alias("_q_good")).select(F.col("doc_id").alias("_q_id"), "_q_good")
-    prior = learned.agg(F.avg(F.col("_q_good").cast("int"))).first()[0]
-    prior = min(0.99, max(0.01, 0.5 if prior is None else prior))
-    x = materialise(featured(docs, "doc_id"))
-    rows = x.join(learned, x["doc_id"] == F.col("_q_id"), "left").select("x", F.coalesce("_q_good", F.lit(False)).alias("positive"))
-    model = fit(materialise(rows), prior)
+    x, model = _fitted(docs, labels, folds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,10 +197,20 @@ def learn_and_score(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataF
     return scored.select("doc_id", F.coalesce(crc_of_id(F.col("doc_id")) % folds == 0, F.lit(False)).alias("held_out"), "score")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs with a score of at least threshold, and those without a doc_id."""
-    bad = learn_and_score(docs.where(F.col("doc_id").isNotNull()), labels).where(F.col("score") < threshold).select(F.col("doc_id").alias("_q_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_q_id"), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5) -> DataFrame:
+    """The rows of docs with a score of at least threshold, all columns as they are; learned as in learn_and_score().
+
+    The texts' features are made a second time rather than joined to the texts, which would shuffle all of them.
+    """
+    _, model = _fitted(docs, labels, folds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            if len(texts):
+                yield batch.filter(pa.array(model.score(np.array([features(t.as_py()) for t in texts])) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
