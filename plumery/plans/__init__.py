@@ -1,4 +1,7 @@
 """Registered queries: each builds its views from the given tables and applies one operator or a chain of them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from plumery.plans import plume_queries, review_queries
+
+MODULES = (plume_queries, review_queries)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
