@@ -32,7 +32,7 @@ SQL = {
     "triage_labels": """
   SELECT s_suppkey AS image_id, CASE s_suppkey % 4 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN CAST(0.5 AS DOUBLE) WHEN 2 THEN CAST(1 AS DOUBLE) ELSE CAST(2 AS DOUBLE) END AS score FROM supplier""",
     "grid_pixels": """
-  SELECT (l_orderkey % 1000) AS image_id, (l_partkey % 64)::INTEGER AS row, (l_suppkey % 64)::INTEGER AS col, max(l_extendedprice / CAST(25 AS DOUBLE) - CAST(200 AS DOUBLE)) AS cmf
+  SELECT (l_orderkey // 1000) AS image_id, (l_partkey % 64)::INTEGER AS row, (l_suppkey % 64)::INTEGER AS col, max(l_extendedprice / CAST(25 AS DOUBLE) - CAST(200 AS DOUBLE)) AS cmf
   FROM lineitem GROUP BY ALL""",
     "qc_cid": """
   SELECT user_id % 9 AS uid, 'L' || (user_id % 40) AS lid, CAST(event_id % 25 AS VARCHAR) AS cid, event_id AS row_id,
@@ -111,7 +111,7 @@ def triage_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def grid_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Sparse images of 64 x 64, one pixel per place; places without a pixel hold no data."""
-    at = _t(spark, d, "lineitem").selectExpr("l_orderkey % 1000 AS image_id", "cast(l_partkey % 64 as int) AS row", "cast(l_suppkey % 64 as int) AS col", "l_extendedprice / 25D - 200D AS v")
+    at = _t(spark, d, "lineitem").selectExpr("l_orderkey div 1000 AS image_id", "cast(l_partkey % 64 as int) AS row", "cast(l_suppkey % 64 as int) AS col", "l_extendedprice / 25D - 200D AS v")
     return at.groupBy("image_id", "row", "col").agg(F.max("v").alias("cmf"))
 
 
