@@ -306,7 +306,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
             for text, spans in zip(batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("spans")), strict=True):
                 text, spans = text.as_py(), spans.as_py()
                 if spans:
-                    at = [m.span() for m in WORD.finditer(text)]
+                    at = [m.span() for m in WORD.finditer(text.translate(_LOWER))]  # as long as the text itself
                     kept, end = [], 0
                     for a, b in spans:
                         kept.append(text[end : at[a][0]])
