@@ -297,6 +297,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs whose texts have lost every stretch from the first to the last word of a merged span; clean texts don't change."""
+    own = {c: f"_dc_own_{c}" for c in ("n_words", "spans", "item_ids", "n_hit") if c in docs.columns}
+    docs = docs.withColumnsRenamed(own)
     found = find_contamination(docs, benchmark, window)
     schema = docs.schema
 
@@ -316,7 +318,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
             arrays = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(batch.schema.get_field_index(f.name)) for f in schema.fields]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return found.mapInArrow(cut, schema)
+    return found.mapInArrow(cut, schema).withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def digest(ids: list[str]) -> str:

@@ -90,7 +90,9 @@ _NAME = "|".join(DIGIT_WORDS)
 _SPELLED = re.compile(rf"\b(?:{_NAME})(?:[\x20-](?:{_NAME}))*\b", re.I)
 _OPEN, _CLOSE = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
 _DOT = re.compile(rf"{_OPEN}dot{_CLOSE}|(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])", re.I)
-_AT = re.compile(rf"{_OPEN}at{_CLOSE}|(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\ue000)", re.I)
+#: Endings that a bare "dot" must come before for a bare "at" to be an address.
+ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|eu|uk|us|ca|au|de|fr|es|it|nl|ch|at|be|pl|se|no|jp|cn|in|br|ru|mx|example|test"
+_AT = re.compile(rf"{_OPEN}at{_CLOSE}|(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]+(?:[.\ue000][A-Za-z0-9-]+)*\ue000(?:{ENDINGS})\b)", re.I)
 _PLUS = re.compile(r"\bplus\x20(?=[0-9])", re.I)
 #: A text without any of these is not rewritten.
 _TRIGGER = re.compile(rf"{_FOREIGN.pattern}|\b(?:{_NAME})[\x20-](?:{_NAME})\b|\bdot\b|[\[({{<]\s?(?:dot|at)\s?[\])}}>]|\bplus\x20[0-9]", re.I)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -129,7 +130,7 @@ class Shard:
 # --- encoding ---------------------------------------------------------------------------------------------------------
 
 #: White space beside space and newline, as a pre-tokenizer may see it; texts that hold any are encoded in one piece.
-ODD_BLANKS = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　") + tuple(map(chr, range(0x2000, 0x200B)))
+ODD_BLANKS = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") + tuple(map(chr, range(0x2000, 0x200B)))
 PAIRS = ("  ", " \n", "\n ", "\n\n")
 
 
@@ -152,7 +153,7 @@ class Encoder:
         rest = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: chr(256 + n) for n, b in enumerate(rest)}
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.simple = re.compile("[\x20-ɏ]*").fullmatch
+        self.simple = re.compile("[\x20-\u024f]*").fullmatch
         encoder, limit = self, remember
 
         class Memo(dict):
@@ -307,9 +308,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     near = asked.join(F.broadcast(ranges), F.col("doc_id").between(F.col("low"), F.col("high"))).select("doc_id", "part")
     near = near.join(store.select("part", "seq", "min_key", "max_key"), "part").where(F.col("doc_id").between(F.col("min_key"), F.col("max_key")))
 
-    def run(key, wanted, shards):
-        import pandas as pd
-
+    def run(wanted: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
         found = []
         for blob in shards["blob"]:
             shard = Shard(blob)
@@ -320,7 +319,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
                     row += 1
         return pd.DataFrame(found, columns=["doc_id", "ids"])
 
-    shards = store.select("part", "seq", "blob").join(near.select("part", "seq").distinct(), ["part", "seq"], "left_semi")
+    shards = spark.read.parquet(path).select("part", "seq", "blob").join(near.select("part", "seq").distinct(), ["part", "seq"], "left_semi")
     return near.groupBy("part", "seq").cogroup(shards.groupBy("part", "seq")).applyInPandas(run, "doc_id long, ids array<long>")
 
 
