@@ -15,6 +15,11 @@ def _rad(c: Column) -> Column:
     return c * F.lit(RAD)
 
 
+def _let(values: dict[str, Column], use) -> Column:
+    """use(struct of values) with each value worked out once: nested formulas would otherwise repeat their parts many times over."""
+    return F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in values.items()))), use), F.lit(0))
+
+
 def great_circle_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Haversine distance in metres on a sphere of 6371 km."""
     a = F.pow(F.sin(_rad(lat2 - lat1) / 2), 2) + F.cos(_rad(lat1)) * F.cos(_rad(lat2)) * F.pow(F.sin(_rad(lon2 - lon1) / 2), 2)
@@ -59,32 +64,48 @@ def epsg_zone(epsg: Column) -> Column:
 
 def utm(lat: Column, lon: Column, zone: Column | None = None) -> Column:
     """Struct of zone, north, x and y in metres."""
-    zone = utm_zone(lon) if zone is None else zone
-    d = _rad(lon - (zone * 6 - 183))
-    s = F.sin(_rad(lat))
     k = 2 * math.sqrt(_N) / (1 + _N)
-    t = F.sinh(F.atanh(s) - k * F.atanh(k * s))
-    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, a in enumerate(_ALPHA, 1):
-        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    north = lat >= 0
-    return F.struct(zone.alias("zone"), north.alias("north"), (F.lit(500000.0) + _SCALE * x).alias("x"), (F.when(north, 0.0).otherwise(1e7) + _SCALE * y).alias("y"))
+
+    def place(v: Column) -> Column:
+        s = v["s"]
+        return _let({"zone": v["zone"], "north": v["north"], "d": v["d"], "t": F.sinh(F.atanh(s) - k * F.atanh(k * s))}, turned)
+
+    def turned(v: Column) -> Column:
+        t, d = v["t"], v["d"]
+        return _let({"zone": v["zone"], "north": v["north"], "xi": F.atan2(t, F.cos(d)), "eta": F.atanh(F.sin(d) / F.sqrt(1 + t * t))}, series)
+
+    def series(v: Column) -> Column:
+        xi, eta, north = v["xi"], v["eta"], v["north"]
+        x, y = eta, xi
+        for j, a in enumerate(_ALPHA, 1):
+            x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return F.struct(v["zone"].alias("zone"), north.alias("north"), (F.lit(500000.0) + _SCALE * x).alias("x"), (F.when(north, 0.0).otherwise(1e7) + _SCALE * y).alias("y"))
+
+    at = {"lat": lat.cast("double"), "lon": lon.cast("double"), "zone": utm_zone(lon) if zone is None else zone}
+    return _let(at, lambda v: _let({"zone": v["zone"], "north": v["lat"] >= 0, "s": F.sin(_rad(v["lat"])), "d": _rad(v["lon"] - (v["zone"] * 6 - 183))}, place))
 
 
 def utm_inverse(x: Column, y: Column, zone: Column, north: Column) -> Column:
     """Struct of lat and lon in degrees."""
-    xi, eta = (y - F.when(north, 0.0).otherwise(1e7)) / _SCALE, (x - 500000.0) / _SCALE
-    a, b = xi, eta
-    for j, c in enumerate(_BETA, 1):
-        a = a - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        b = b - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(a) / F.cosh(b))
-    lat = chi
-    for j, c in enumerate(_DELTA, 1):
-        lat = lat + c * F.sin(2 * j * chi)
-    return F.struct((lat / RAD).alias("lat"), (F.atan2(F.sinh(b), F.cos(a)) / RAD + (zone * 6 - 183)).alias("lon"))
+
+    def series(v: Column) -> Column:
+        a, b = v["xi"], v["eta"]
+        for j, c in enumerate(_BETA, 1):
+            a = a - c * F.sin(2 * j * v["xi"]) * F.cosh(2 * j * v["eta"])
+            b = b - c * F.cos(2 * j * v["xi"]) * F.sinh(2 * j * v["eta"])
+        return _let({"zone": v["zone"], "a": a, "b": b}, conformal)
+
+    def conformal(v: Column) -> Column:
+        return _let({"chi": F.asin(F.sin(v["a"]) / F.cosh(v["b"])), "lon": F.atan2(F.sinh(v["b"]), F.cos(v["a"])) / RAD + (v["zone"] * 6 - 183)}, geographic)
+
+    def geographic(v: Column) -> Column:
+        lat = v["chi"]
+        for j, c in enumerate(_DELTA, 1):
+            lat = lat + c * F.sin(2 * j * v["chi"])
+        return F.struct((lat / RAD).alias("lat"), v["lon"].alias("lon"))
+
+    return _let({"xi": (y - F.when(north, 0.0).otherwise(1e7)) / _SCALE, "eta": (x - 500000.0) / _SCALE, "zone": zone}, series)
 
 
 # --- other projections ------------------------------------------------------------------------------------------------
@@ -141,18 +162,23 @@ def map_to_pixel(x: Column, y: Column, m: Column) -> Column:
 
 def latlon_to_pixel(lat: Column, lon: Column, m: Column) -> Column:
     """By the image's UTM zone (m.zone, m.hemi)."""
-    u = utm(lat, lon, m["zone"])
+    return _let({"u": utm(lat, lon, m["zone"]), "lat": lat, "m": m}, lambda v: _utm_to_pixel(v["u"], v["lat"], v["m"]))
+
+
+def _utm_to_pixel(u: Column, lat: Column, m: Column) -> Column:
     return map_to_pixel(u["x"], u["y"] + F.when((m["hemi"] == "South") & (lat >= 0), 1e7).when((m["hemi"] == "North") & (lat < 0), -1e7).otherwise(0.0), m)
 
 
 def pixel_to_latlon(sample: Column, line: Column, m: Column) -> Column:
-    p = pixel_to_map(sample, line, m)
-    return utm_inverse(p["x"], p["y"], m["zone"], m["hemi"] == "North")
+    return _let({"p": pixel_to_map(sample, line, m), "m": m}, lambda v: utm_inverse(v["p"]["x"], v["p"]["y"], v["m"]["zone"], v["m"]["hemi"] == "North"))
 
 
 def geo_box(lat: Column, lon: Column, diameter_m: Column, m: Column) -> Column:
     """Array of 4 corners (UTM x and y, lat, lon, sample, line) of a square around a point, turned like the image."""
-    u = utm(lat, lon, m["zone"])
+    return _let({"u": utm(lat, lon, m["zone"]), "d": diameter_m, "m": m}, lambda v: _corners(v["u"], v["d"], v["m"]))
+
+
+def _corners(u: Column, diameter_m: Column, m: Column) -> Column:
     corners = []
     for sx, sy in ((-0.5, 0.5), (0.5, 0.5), (0.5, -0.5), (-0.5, -0.5)):
         x, y = _turn(u["x"] + sx * diameter_m, u["y"] + sy * diameter_m, u["x"], u["y"], m["rotation"])

@@ -56,16 +56,16 @@ def nearest_points(places: DataFrame, points: DataFrame, k: int = 10, cell: floa
             F.least((cx + reach + 1) * cell - F.col("p_lon"), F.col("p_lon") - (cx - reach) * cell) * F.cos(F.radians(F.least(high, F.lit(89.9)))) * 0.99,
         ) * KM_PER_DEGREE
         sure = found.groupBy("place_id").agg(F.count(F.lit(1)).alias("m"), F.max("distance_km").alias("far"), F.first(edge).alias("edge")).where((F.col("m") == k) & (F.col("far") < F.col("edge")))
-        settled = found.join(sure.select("place_id"), "place_id", "left_semi")
+        settled = found.join(sure.select("place_id"), "place_id", "left_semi").select("place_id", "grid_id", "distance_km", "n")
         done = settled if done is None else done.unionByName(settled)
         todo = todo.join(sure.select("place_id"), "place_id", "left_anti")
         reach *= 2
         if todo.isEmpty():
-            return done.select("place_id", "grid_id", "distance_km", "n")
+            return done
     if (n := grid.limit(SMALL_GRID + 1).count()) > SMALL_GRID:
         raise ValueError(f"places far from any point and a grid of more than {n - 1} points: raise cell")
     rest = ranked(todo.join(F.broadcast(grid), F.lit(True), "inner"))
-    return done.unionByName(rest).select("place_id", "grid_id", "distance_km", "n")
+    return done.unionByName(rest.select("place_id", "grid_id", "distance_km", "n"))
 
 
 def extreme_point(places: DataFrame, points: DataFrame, farthest: bool = False) -> DataFrame:

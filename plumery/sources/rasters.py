@@ -83,13 +83,14 @@ def band_columns(images: DataFrame, names: dict[str, int]) -> DataFrame:
 
 
 def granule_health(spark: SparkSession, path: str) -> DataFrame:
-    """(path, messages, status) of GRIB2 files: ok, empty, or failed where a message's length or end mark doesn't hold."""
+    """(path, messages, status) of GRIB2 files: ok, or failed where a message's length or end mark doesn't hold.
+
+    Spark's readers list no empty files, so an empty granule has no row: missing_granules() reports it with those never received.
+    """
 
     @F.udf("struct<messages: int, status: string>")
     def look(raw: bytes):
         raw, at, n = bytes(raw), 0, 0
-        if not raw:
-            return 0, "empty"
         while at < len(raw):
             if raw[at : at + 4] != b"GRIB" or len(raw) < at + 16:
                 return n, "failed"
