@@ -34,6 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/plumery-{uuid.uuid4().hex}"
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, whose texts can be long, with its session handing rows to Python in batches of at most ``rows``."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, rows)
+    return df
+
+
 def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     path = shared_dir(df.sparkSession)

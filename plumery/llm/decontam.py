@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumery.llm.common import LOWER, UPPER, table
+from plumery.llm.common import LOWER, UPPER, small_batches, table
 
 WINDOW = 10
 #: Words are runs of ASCII letters and digits and of all characters beyond ASCII.
@@ -252,7 +252,7 @@ def _search(docs: DataFrame, items: list[tuple[str, str | None]], window: int, c
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(c.dataType) for c in columns]
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str | None]]]:

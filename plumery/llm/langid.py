@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumery.llm.common import crc_of_id, materialise, table
+from plumery.llm.common import crc_of_id, materialise, small_batches, table
 
 N = 3
 CHUNK_CHARS = 1_000_000
@@ -77,7 +77,7 @@ def gram_counts(training: DataFrame) -> DataFrame:
                     g, c = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "gram", "docs"])
 
-    return training.select("lang", "text").mapInArrow(run, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
+    return small_batches(training).select("lang", "text").mapInArrow(run, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
 
 
 @dataclass
@@ -160,7 +160,7 @@ def predict_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
                 scores += b
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

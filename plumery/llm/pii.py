@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from plumery.llm.common import table
+from plumery.llm.common import small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -194,7 +194,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string, n_disguised long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string, n_disguised long")
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
             n = batch.schema.get_field_index("text")
             yield batch.set_column(n, "text", pa.array([masked(t.as_py()) for t in batch.column(n)], pa.string()))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

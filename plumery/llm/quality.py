@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumery.llm.common import crc_of_id, materialise, table
+from plumery.llm.common import crc_of_id, materialise, small_batches, table
 
 KINDS = ("lower", "upper", "digit", "blank", "stop", "bang", "bar", "mark", "other")
 
@@ -92,7 +92,7 @@ def featured(docs: DataFrame, *more: str) -> DataFrame:
 
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-    return docs.select(*more, "text").mapInArrow(run, StructType([*fields, StructField("x", ArrayType(DoubleType(), False))]))
+    return small_batches(docs).select(*more, "text").mapInArrow(run, StructType([*fields, StructField("x", ArrayType(DoubleType(), False))]))
 
 
 def _sums(rows: DataFrame, theta: np.ndarray, mean: np.ndarray, scale: np.ndarray, prior: float) -> dict[int, float]:
@@ -210,7 +210,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
             if len(texts):
                 yield batch.filter(pa.array(model.score(np.array([features(t.as_py()) for t in texts])) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,19 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumery.llm.common import table
+from plumery.llm.common import small_batches, table
 
 BLANK = "▁"
 VARIANTS = 4
 MARK, SIGN = "\ud800", "\ud801"
 #: Longer words go through a heap instead of the side-by-side agendas.
 LONG_WORD = 256
+NO_MERGE = 1 << 30
 
 
 class Pieces:
     """A BPE model's pieces, as tables."""
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 200_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -55,9 +56,8 @@ class Pieces:
         order = sorted(usable.values(), key=lambda i: (-model.get_score(i), i))
         rank = {i: r for r, i in enumerate(order)}
         merges = sorted(((usable[p[:k]] << 16 | usable[p[k:]], rank[i], i) for p, i in usable.items() for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable))
-        self.merges = {k: (r, i) for k, r, i in merges}
         size = 1 << (4 * len(merges)).bit_length()
-        self.size, self.slots, self.ranks, self.ids = size, np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.size, self.slots, self.ranks, self.ids = size, np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int32)
         keys, ranks, ids = (np.array(x, np.int64) for x in zip(*merges, strict=True))
         at = self._home(keys)
         while len(keys):  # open addressing
@@ -68,6 +68,9 @@ class Pieces:
             left = np.setdiff1d(np.arange(len(keys)), first)
             keys, ranks, ids, at = keys[left], ranks[left], ids[left], (at[left] + 1) % size
         self.chars = {p: i for p, i in usable.items() if len(p) == 1}
+        self.char_ids = np.full(0x110000, -1, np.int32)
+        for p, i in self.chars.items():
+            self.char_ids[ord(p)] = i
         self.out = [b""] * n
         for p, i in usable.items():
             self.out[i] = p.replace(BLANK, " ").encode()
@@ -81,10 +84,10 @@ class Pieces:
             return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % self.size
 
     def merge_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (no merge: a large one) and id of the piece that two neighbours form."""
-        rank, ids = np.full(left.shape, 1 << 40, np.int64), np.zeros(left.shape, np.int64)
+        """Rank (NO_MERGE: none) and id of the piece that two neighbours form."""
+        rank, ids = np.full(left.shape, NO_MERGE, np.int32), np.zeros(left.shape, np.int32)
         todo = np.flatnonzero((left >= 0) & (right >= 0))
-        keys = left[todo] << 16 | right[todo]
+        keys = left[todo].astype(np.int64) << 16 | right[todo]
         at = self._home(keys)
         while len(todo):
             here = self.slots[at]
@@ -94,6 +97,15 @@ class Pieces:
             todo, keys, at = todo[on], keys[on], (at[on] + 1) % self.size
         return rank, ids
 
+    def _merge(self, key: int) -> tuple[int, int] | None:
+        at = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40
+        at %= self.size
+        while (here := self.slots[at]) >= 0:
+            if here == key:
+                return int(self.ranks[at]), int(self.ids[at])
+            at = (at + 1) % self.size
+        return None
+
     # --- agenda -------------------------------------------------------------------------------------------------------
 
     def segment(self, words: list[str], seed: int, rate: float, variant: int) -> list[bytes]:
@@ -104,7 +116,7 @@ class Pieces:
         at = 0
         while at < len(order):
             width = max(1, int(lengths[order[at]]))
-            end = min(int(np.searchsorted(lengths[order], width + width // 4, "right")), at + max(1, 400_000 // width))
+            end = min(int(np.searchsorted(lengths[order], width + width // 4, "right")), at + max(1, 100_000 // width))
             part = order[at:end]
             if width > LONG_WORD:
                 out[order[at]] = self._segment_long(words[order[at]], seed, rate, variant)
@@ -116,43 +128,50 @@ class Pieces:
         return out
 
     def _segment(self, words: list[str], seed: int, rate: float, variant: int) -> list[bytes]:
-        n, width = len(words), max(map(len, words))
-        ids = np.full((n, width + 1), -2, np.int64)  # -2: nothing, -1: a character without a piece
-        for r, w in enumerate(words):
-            ids[r, : len(w)] = [self.chars.get(c, -1) for c in w]
-        hashes = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFF) for w in words), np.uint64, n)
-        start = np.tile(np.arange(width + 1), (n, 1))
-        end = start + 1
-        live = np.array([len(w) for w in words])
-        rank, made = (x.reshape(n, width) for x in self.merge_of(ids[:, :-1].ravel(), ids[:, 1:].ravel()))
-        self._drop(rank, hashes[:, None], start[:, :-1], end[:, :-1], end[:, 1:], seed, rate, variant)
+        """Symbols of a word are linked; a symbol's column is where it starts, and holds the rank of its merge with the next."""
+        n, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        width = int(lengths.max())
+        inside = np.arange(width) < lengths[:, None]
+        ids = np.full((n, width), -2, np.int32)  # -2: nothing, -1: a character without a piece
+        ids[inside] = self.char_ids[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        hashes = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFF) for w in words), np.uint64, n) if rate > 0 else np.zeros(n, np.uint64)
+        after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))  # where the next symbol starts, so where this one ends
+        before = after - 2
+        rank, made = np.full((n, width), NO_MERGE, np.int32), np.zeros((n, width), np.int32)
+
+        def offer(r: np.ndarray, i: np.ndarray) -> None:
+            """Rank the merges of the symbols at rows r and columns i with the next ones."""
+            j = after[r, i]
+            ok = j < lengths[r]
+            rank[r[~ok], i[~ok]] = NO_MERGE
+            r, i, j = r[ok], i[ok], j[ok]
+            new, piece = self.merge_of(ids[r, i], ids[r, j])
+            self._drop(new, hashes[r], i, j, after[r, j], seed, rate, variant)
+            rank[r, i], made[r, i] = new, piece
+
+        offer(*np.nonzero(inside))
         rows = np.arange(n)
         while len(rows):
             best = rank[rows].argmin(1)
-            go = rank[rows, best] < 1 << 40
-            rows, best = rows[go], best[go]
-            if not len(rows):
-                break
-            ids[rows, best] = made[rows, best]
-            end[rows, best] = end[rows, best + 1]
-            # what stands right of the merged pair moves up by one
-            move = np.arange(width + 1)[None, :] + (np.arange(width + 1)[None, :] > best[:, None])
-            move[:, -1] = width
-            for x in (ids, start, end):
-                x[rows] = np.take_along_axis(x[rows], np.minimum(move, width), 1)
-            gap = np.arange(width)[None, :] + (np.arange(width)[None, :] > best[:, None])
-            for x in (rank, made):
-                x[rows] = np.take_along_axis(x[rows], np.minimum(gap, width - 1), 1)
-            live[rows] -= 1
-            ids[rows, live[rows]] = -2
-            rank[rows, np.maximum(live[rows] - 1, 0)] = 1 << 40
-            for side in (best - 1, best):
-                ok = (side >= 0) & (side < live[rows] - 1)
-                r, s = rows[ok], side[ok]
-                new_rank, new_id = self.merge_of(ids[r, s], ids[r, s + 1])
-                self._drop(new_rank, hashes[r], start[r, s], end[r, s], end[r, s + 1], seed, rate, variant)
-                rank[r, s], made[r, s] = new_rank, new_id
-        return [self._written(w, ids[r, : live[r]].tolist(), start[r].tolist()) for r, w in enumerate(words)]
+            go = rank[rows, best] < NO_MERGE
+            rows, i = rows[go], best[go]
+            j = after[rows, i]
+            ids[rows, i] = made[rows, i]
+            after[rows, i] = after[rows, j]
+            ids[rows, j], rank[rows, j] = -2, NO_MERGE
+            more = after[rows, i] < lengths[rows]
+            before[rows[more], after[rows, i][more]] = i[more]
+            offer(rows, i)
+            left = before[rows, i] >= 0
+            offer(rows[left], before[rows, i][left])
+        alive = ids > -2
+        flat = ids[alive].astype(np.uint16).tobytes()
+        cuts = (np.concatenate(([0], np.cumsum(alive.sum(1)))) * 2).tolist()
+        out = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for r in np.flatnonzero((ids == -1).any(1)).tolist():
+            starts = np.flatnonzero(alive[r])
+            out[r] = self._written(words[r], ids[r, starts].tolist(), starts.tolist())
+        return out
 
     def _written(self, word: str, ids: list[int], starts: list[int]) -> bytes:
         """Characters without a piece become their bytes' pieces."""
@@ -174,7 +193,7 @@ class Pieces:
         heap: list[tuple[int, int, int, int, int]] = []
 
         def offer(a: int, b: int) -> None:
-            if ids[a] < 0 or ids[b] < 0 or (found := self.merges.get(ids[a] << 16 | ids[b])) is None:
+            if ids[a] < 0 or ids[b] < 0 or (found := self._merge(ids[a] << 16 | ids[b])) is None:
                 return
             if rate > 0:  # as in _drop()
                 z = key ^ (a << 42 | end[a] << 21 | end[b])
@@ -209,7 +228,7 @@ class Pieces:
             z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
             z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
             z ^= z >> np.uint64(31)
-        rank[(z >> np.uint64(11)).astype(np.float64) / (1 << 53) < rate] = 1 << 40
+        rank[(z >> np.uint64(11)).astype(np.float64) / (1 << 53) < rate] = NO_MERGE
 
     # --- texts --------------------------------------------------------------------------------------------------------
 
@@ -278,7 +297,7 @@ def encode_pieces(docs: DataFrame, model: str, seed: int = 1, rate: float = 0.1)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), lists, pa.array(sizes), pa.array(fine)], names=[*(f.name for f in kept), "ids", "n_pieces", "lossless"])
 
-    return docs.select(*(f.name for f in kept)).mapInArrow(run, T.StructType(kept + added))
+    return small_batches(docs).select(*(f.name for f in kept)).mapInArrow(run, T.StructType(kept + added))
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumery.llm.common import LOWER, UPPER, join_skewed, materialise, table
+from plumery.llm.common import LOWER, UPPER, join_skewed, materialise, small_batches, table
 from plumery.llm.components import connected_components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 # --- Golay code -------------------------------------------------------------------------------------------------------

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumery.llm.common import shared_dir, table
+from plumery.llm.common import shared_dir, small_batches, table
 
 MAGIC = b"PLTK"
 HEAD = struct.Struct("<4sHHQQQH")  # magic, version, bytes per id, documents, keys, ids, levels
@@ -257,7 +257,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, shard_bytes: i
         if keys:
             yield close()
 
-    (docs.select("doc_id", "text").repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    (small_batches(docs).select("doc_id", "text").repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id", "text")
      .mapInArrow(run, "part int, seq int, min_key long, max_key long, n_docs long, n_ids long, blob binary")
      .write.option("compression", "zstd").parquet(path))
 
