@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from plumery.llm.common import materialise, table
 
 QUERY_BLOCK, BLOCK = 1024, 4096
+#: A task passes its heaps on and begins anew when it holds so many; merging them loses nothing.
+HELD_HEAPS = 100_000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -149,9 +151,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, n_groups: int |
             for dim, q_ids, q_vecs, c_ids, c_vecs in zip(*(batch.column(n) for n in range(5)), strict=True):
                 own = load("q", q_ids.as_py(), q_vecs.as_py(), dim.as_py())
                 search_tile(*own, *load("c", c_ids.as_py(), c_vecs.as_py(), dim.as_py()), k, heaps)
+                if len(heaps) >= HELD_HEAPS:
+                    yield emptied(heaps)
+        yield emptied(heaps)
+
+    def emptied(heaps: dict[int, list]) -> pa.RecordBatch:
         rows = [(i, -v, -d) for i, heap in heaps.items() for d, v in heap]
+        heaps.clear()
         columns = list(zip(*rows, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
     found = tiles.select("dim", "q_ids", "q_vecs", "c_ids", "c_vecs").mapInArrow(run, "query_id long, vec_id long, score double")
 
@@ -164,7 +172,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, n_groups: int |
         top = heapq.nsmallest(k, ((d, v) for v, d in best.items()))
         return pd.DataFrame({"query_id": key[0], "rank": range(1, len(top) + 1), "vec_id": [v for _, v in top], "score": [d for d, _ in top]})
 
-    # At most k rows per query and task come together here.
+    # A few rows per query and task come together here: k for each time that the task passed its heaps on.
     return found.groupBy("query_id").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
 
 
