@@ -36,7 +36,7 @@ NO_MERGE = 1 << 30
 class Pieces:
     """A BPE model's pieces, as tables."""
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 400_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
