@@ -94,21 +94,31 @@ def distances(query: np.ndarray, vecs: np.ndarray) -> np.ndarray:
 def search_tile(q_ids, q_vecs, q, c_ids, c_vecs, c, k: int, heaps: dict[int, list]) -> None:
     """Update each query's heap of (-distance, -vec_id) with the candidates of a tile."""
     low, high = bounds(q, c)
+    ids, repeated = c_ids, False
+    if len(np.unique(c_ids)) < len(c_ids):  # one least upper bound per vec_id
+        order, repeated = np.argsort(c_ids, kind="stable"), True
+        ids, starts = np.unique(c_ids[order], return_index=True)
+        high = np.minimum.reduceat(high[:, order], starts, axis=1)
     for n, own in enumerate(q_ids.tolist()):
         heap = heaps.setdefault(own, [])
         other = c_ids != own
         limit = np.inf
         if len(heap) == k:
             limit = heap[0][0] ** 2 * (1 + 1e-9)
-        if other.sum() > k:
-            limit = min(limit, np.partition(high[n][other], k - 1)[k - 1])
+        least = high[n][ids != own]
+        if len(least) > k:
+            limit = min(limit, np.partition(least, k - 1)[k - 1])
         near = np.flatnonzero(other & (low[n] <= limit))
         if not len(near):
             continue
         d = distances(q_vecs[n], c_vecs[near])
-        best = near[np.lexsort((c_ids[near], d))[: k + 1]] if len(near) > k else near
-        d = distances(q_vecs[n], c_vecs[best])
-        for dist, i in zip(d.tolist(), c_ids[best].tolist(), strict=True):
+        if len(near) > k:
+            by_distance = np.lexsort((c_ids[near], d))
+            if repeated:  # the nearest row of each vec_id
+                by_distance = by_distance[np.sort(np.unique(c_ids[near][by_distance], return_index=True)[1])]
+            near = near[by_distance[: k + 1]]
+            d = d[by_distance[: k + 1]]
+        for dist, i in zip(d.tolist(), c_ids[near].tolist(), strict=True):
             entry = (-dist, -i)
             if any(e[1] == -i for e in heap):
                 old = next(e for e in heap if e[1] == -i)

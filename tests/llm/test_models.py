@@ -26,6 +26,19 @@ def test_neighbours_are_exact(spark):
     assert neighbours.nearest(df.limit(0), df).count() == 0
 
 
+def test_a_repeated_candidate_counts_once(spark):
+    r = np.random.default_rng(4)
+    query = r.normal(size=12)
+    others = query + 0.5 * r.normal(size=(60, 12))
+    rows = [(0, query.tolist())] + [(1, (query + 0.01 * r.normal(size=12)).tolist()) for _ in range(3000)] + [(n, v.tolist()) for n, v in enumerate(others, 2)]
+    df = spark.createDataFrame([rows[n] for n in r.permutation(len(rows))], "vec_id long, embedding array<double>").coalesce(1)
+    found = neighbours.nearest(df, df.where("vec_id = 0"), k=10, n_groups=1).orderBy("rank").collect()
+    least = {}
+    for i, v in rows[1:]:
+        least[i] = min(least.get(i, np.inf), float(np.sqrt(sum((a - b) * (a - b) for a, b in zip(query, v, strict=True)))))
+    assert [(x.vec_id, x.score) for x in found] == [(i, d) for d, i in sorted((d, i) for i, d in least.items())[:10]]
+
+
 def test_bounds_hold():
     r = np.random.default_rng(2)
     a, b = r.normal(size=(40, 64)), r.normal(size=(90, 64)) * r.uniform(0.01, 100, (90, 1))
