@@ -3,7 +3,7 @@
 A chain of small transducers rewrites a text while carrying, for each character written, the source characters it stands
 for: look-alike letters, foreign digits and invisible characters; spelled digits; "at", "dot" and "plus" in words or
 brackets. The plain detectors then run over the rewritten text, and what they find is mapped back to source positions.
-Only texts that hold a trigger are rewritten.
+Only texts that hold a trigger, which is anything that a transducer rewrites, are rewritten.
 """
 
 from __future__ import annotations
@@ -94,8 +94,9 @@ _DOT = re.compile(rf"{_OPEN}dot{_CLOSE}|(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9
 ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|eu|uk|us|ca|au|de|fr|es|it|nl|ch|at|be|pl|se|no|jp|cn|in|br|ru|mx|example|test"
 _AT = re.compile(rf"{_OPEN}at{_CLOSE}|(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]+(?:[.\ue000][A-Za-z0-9-]+)*\ue000(?:{ENDINGS})\b)", re.I)
 _PLUS = re.compile(r"\bplus\x20(?=[0-9])", re.I)
-#: A text without any of these is not rewritten.
-_TRIGGER = re.compile(rf"{_FOREIGN.pattern}|\b(?:{_NAME})[\x20-](?:{_NAME})\b|\bdot\b|[\[({{<]\s?(?:dot|at)\s?[\])}}>]|\bplus\x20[0-9]", re.I)
+#: What any transducer rewrites: a text without any of these would stay as it is. A bare "at" needs a dot's mark (U+E000),
+#: and "plus" before a spelled digit has that digit.
+_TRIGGER = re.compile(rf"{_FOREIGN.pattern}|\b(?:{_NAME})\b|\bdot\b|{_OPEN}(?:dot|at){_CLOSE}|{_PLUS.pattern}|\ue000", re.I)
 
 
 class Tape:
@@ -137,7 +138,8 @@ def _plain(m: re.Match) -> str:
 
 
 def _spelled(m: re.Match) -> str:
-    return "".join(_DIGIT_OF[w.lower()] for w in re.split("[ -]", m[0]))
+    # re.I takes the long s and the i's with and without a dot for s and i.
+    return "".join(_DIGIT_OF[w.upper().replace("İ", "I").lower()] for w in re.split("[ -]", m[0]))
 
 
 def deobfuscated(text: str) -> Tape:

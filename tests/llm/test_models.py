@@ -108,6 +108,27 @@ def test_disguises(text, kind, found):
     assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.all_spans(text, pii.base_spans(text))] == [(kind, found)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("at 192.168.one.7 now", "ip", "192.168.one.7"), ("card 4111 1111 1111 one 111 ok", "card", "4111 1111 1111 one 111"), ("call plus one 202 555 0147", "phone", "plus one 202 555 0147"),
+        ("call +1 (two) 02-555-0147", "phone", "+1 (two) 02-555-0147"), ("at 192.168.ſix.7 now", "ip", "192.168.ſix.7"),
+    ],
+)
+def test_lone_spelled_digits(text, kind, found):
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.all_spans(text, pii.base_spans(text))] == [(kind, found)]
+
+
+def test_trigger_loses_nothing(monkeypatch):
+    r = np.random.default_rng(6)
+    parts = ["one", "Six", "fİve", "zero", "1", "4111 1111 1111", "192.168", ".", " ", "-", "+", "plus ", "(", ")", " at ", " dot ", "[at]", "{ dot }", "a@b", "com", "x", "\ue000", "１"]
+    texts = ["".join(r.choice(parts, 9)) for _ in range(4000)]
+    quick = [pii.all_spans(t, pii.base_spans(t)) for t in texts]
+    monkeypatch.setattr(pii, "_TRIGGER", re.compile(""))
+    assert quick == [pii.all_spans(t, pii.base_spans(t)) for t in texts]
+    assert sum(len(q) > len(pii.base_spans(t)) for q, t in zip(quick, texts, strict=True)) > 20
+
+
 def test_clean_text_has_no_spans(spark, small):
     assert pii.all_spans("look at the dot and one more at home", []) == []
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (2, "a@b.c " * 3000, 1), (None, "at one dot", 1)], "doc_id long, text string, spans int")
