@@ -1,8 +1,9 @@
 """Token ids of documents in binary shards with constant-time keyed access.
 
 A shard is one self-contained blob: raw little-endian ids of consecutive documents, their keys and offsets, and a minimal
-perfect hash index from key to (fingerprint, row). Documents are range-partitioned by key, each task streams its sorted
-range through the encoder and closes a shard whenever the payload is large enough, so a task holds one shard at a time.
+perfect hash index from key to (fingerprint, row). Documents are range-partitioned by key, text hash and running number, each task
+streams its sorted range through the encoder and closes a shard whenever the payload is large enough, be it inside a key. So a
+task holds one shard at a time, and neither a frequent key nor the rows without one make a task or a shard large.
 """
 
 from __future__ import annotations
@@ -227,8 +228,9 @@ STORE = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("min_key", pa.int
 def write_token_store(docs: DataFrame, path: str, tokenizer: str, shard_bytes: int = 4 << 20, n_parts: int | None = None) -> None:
     """Encode every whole text of docs (null: empty), end each document with id 0, and write shards in order of doc_id.
 
-    Rows with a null doc_id come first and can be read but not looked up; rows with the same doc_id all stay, and look-up
-    finds them together. Only doc_id and text are used. An empty table gives an empty store.
+    Rows with a null doc_id come first and can be read but not looked up; rows with the same doc_id all stay, in order of
+    their texts' hashes, in one or more shards, and look-up finds all. Only doc_id and text are used. An empty table gives an
+    empty store.
     """
     n_parts = n_parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -246,7 +248,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, shard_bytes: i
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if size >= shard_bytes and key != keys[-1]:
+                if size >= shard_bytes:
                     yield close()
                     keys, lengths, payload, size, seq = [], [], [], 0, seq + 1
                 ids = enc(text.as_py()) + enc.end
@@ -257,7 +259,9 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, shard_bytes: i
         if keys:
             yield close()
 
-    (small_batches(docs).select("doc_id", "text").repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "text_hash", "running"]  # the running number only parts rows that are equal
+    rows = small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("running"))
+    (rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
      .mapInArrow(run, "part int, seq int, min_key long, max_key long, n_docs long, n_ids long, blob binary")
      .write.option("compression", "zstd").parquet(path))
 

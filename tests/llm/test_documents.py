@@ -154,6 +154,22 @@ def test_token_store(spark, odd, tokenizer):
     assert token_store.read_token_store(spark, empty).count() == 0
 
 
+def test_token_store_parts_a_frequent_key(spark, tokenizer):
+    rows = [(5, f"word {n} of the text") for n in range(300)] + [(6, "the same text")] * 300 + [(None, f"no id {n}") for n in range(300)] + [(n, "x") for n in range(10, 20)]
+    docs, path = spark.createDataFrame(rows, "doc_id long, text string"), shared_dir(spark)
+    token_store.write_token_store(docs, path, tokenizer, shard_bytes=200, n_parts=6)
+    shards = spark.read.parquet(path).collect()
+    assert max(s.n_docs for s in shards) < 100 and max(sum(s.n_docs for s in shards if s.part == p) for p in range(6)) < 300
+    read = token_store.read_token_store(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in read] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    assert [r.start for r in read] == np.concatenate(([0], np.cumsum([r.n_tokens for r in read])[:-1])).tolist()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    found = token_store.lookup(spark, path, spark.createDataFrame([(5,), (6,), (12,)], "doc_id long")).collect()
+    assert sorted((r.doc_id, tuple(r.ids)) for r in found) == sorted((i, (*t.encode(x, add_special_tokens=False).ids, 0)) for i, x in rows if i in (5, 6, 12))
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).choice(1 << 40, 5000, replace=False).astype(np.int64) - (1 << 39)
     index = token_store.PerfectHash.build(keys)
