@@ -36,9 +36,9 @@ def _letters() -> np.ndarray:
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of words, with their borders, of several texts: (text's index, 63-bit code), texts in order."""
     lowered = [t.lower() for t in texts]
-    flat, sizes = "\n".join(lowered), np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
+    flat, sizes = "".join(t + "\n" for t in lowered), np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
     points = _letters()[np.frombuffer(flat.encode("utf-32-le"), np.uint32)].astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), sizes)[: len(points)]
+    owner = np.repeat(np.arange(len(texts)), sizes)
     keep = points > 0
     keep[1:] |= points[:-1] > 0  # one border after each word
     points, owner = np.concatenate(([0], points[keep])).astype(np.uint64), np.concatenate((owner[:1], owner[keep]))

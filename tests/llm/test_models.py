@@ -155,6 +155,18 @@ def test_language_of_odd_rows(spark):
     assert langid.predict_languages(docs, langid.learn(train.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_does_not_depend_on_the_batch():
+    texts = ["a", "the dog", "chat", "x", "12", "é"]
+    together = langid.grams(texts)
+    for n, t in enumerate(texts):
+        assert langid.grams([t])[1].tolist() == together[1][together[0] == n].tolist()
+    assert len(langid.grams(["a"])[1]) == 1
+    f = langid.LanguageFilters.build(["en", "fr"], [langid.grams(["the dog a"])[1], langid.grams(["le chat"])[1]])
+    alone = [f.predict([t]) for t in texts]
+    assert f.predict(texts) == ([a[0] for a, _ in alone], [b[0] for _, b in alone])
+    assert f.predict(["a"])[0] == ["en"] and langid.grams([])[0].tolist() == []
+
+
 def test_bitmask_filters_hold_all_they_were_given():
     r = np.random.default_rng(1)
     codes = [r.integers(1, 1 << 60, 500).astype(np.uint64) for _ in range(70)]
