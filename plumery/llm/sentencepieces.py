@@ -1,12 +1,14 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Merging starts from single characters; an agenda holds all pairs of neighbours that form a piece, best piece first, leftmost
-first among equals. A candidate merge is skipped if a hash keyed by seed, variant, word and the merge's place falls below the
-dropout rate, so one seed always gives the same segmentation, and other seeds and variants give others. A document's
-variant comes from its text. With rate 0 the ids are the model's own.
-
-No piece has a blank behind another character, so words with the blanks before them merge by themselves. All unknown words
-of a batch go through their agendas side by side, in arrays; known words are looked up.
+first among equals. A candidate merge is skipped if a hash keyed by seed, document, the word's place in it, word and the
+merge's place falls below the dropout rate. So one seed always gives the same segmentation, and each occurrence of a word is
+drawn by itself. A document is known by a hash of its text: equal texts have equal ids. With rate 0 the ids are the model's own.
+
+No piece has a blank behind another character, so words with the blanks before them merge by themselves. What a word's agenda
+does depends on nothing but which of the merges offered on the way are skipped; so runs are remembered with their offers and
+answers, as a tree: an occurrence whose own answers to a run's offers are the run's has the run's ids, and other answers lead to
+another run. Runs that aren't known yet go through their agendas side by side, in arrays.
 """
 
 from __future__ import annotations
@@ -26,11 +28,38 @@ from pyspark.sql import types as T
 from plumery.llm.common import small_batches, table
 
 BLANK = "▁"
-VARIANTS = 4
 MARK, SIGN = "\ud800", "\ud801"
 #: Longer words go through a heap instead of the side-by-side agendas.
 LONG_WORD = 256
 NO_MERGE = 1 << 30
+#: A run with more offers than answers have bits isn't remembered: each occurrence goes through its agenda.
+MAX_OFFERS = 64
+SLICE_WORDS = 100_000
+
+
+class Runs:
+    """Agenda runs of words: their ids, the merges offered in order and, as bits, which of them were skipped."""
+
+    def __init__(self):
+        self.roots: dict[str, int] = {}
+        self.children: dict[tuple[int, int], int] = {}
+        self.ids: list[bytes] = []
+        self.start, self.count, self.answer, self.hash = (np.zeros(1 << 12, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        self.offers, self.held = np.zeros(1 << 14, np.uint64), 0
+
+    def add(self, ids: list[bytes], offers: np.ndarray, count: np.ndarray, answer: np.ndarray, word_hash: np.ndarray) -> np.ndarray:
+        """Numbers of new runs, whose offers stand one after another; count -1 is of a run that isn't remembered."""
+        n, m = len(self.ids), len(self.ids) + len(ids)
+        while m > len(self.start):
+            self.start, self.count, self.answer, self.hash = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.answer, self.hash))
+        while self.held + len(offers) > len(self.offers):
+            self.offers = np.concatenate([self.offers, np.zeros_like(self.offers)])
+        self.offers[self.held : self.held + len(offers)] = offers
+        sizes = np.maximum(count, 0)
+        self.start[n:m], self.count[n:m], self.answer[n:m], self.hash[n:m] = self.held + np.cumsum(sizes) - sizes, count, answer, word_hash
+        self.held += len(offers)
+        self.ids += ids
+        return np.arange(n, m)
 
 
 class Pieces:
@@ -76,7 +105,7 @@ class Pieces:
             self.out[i] = p.replace(BLANK, " ").encode()
         for b, i in enumerate(self.bytes):
             self.out[i] = bytes([b])
-        self.memo: dict[tuple[int, float, int], dict[str, bytes]] = {}
+        self.memo: dict[tuple[int, float], Runs] = {}
         self.remember = remember
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
@@ -108,33 +137,53 @@ class Pieces:
 
     # --- agenda -------------------------------------------------------------------------------------------------------
 
-    def segment(self, words: list[str], seed: int, rate: float, variant: int) -> list[bytes]:
-        """16-bit ids of each word, words side by side; about equally long ones together."""
-        out: list[bytes] = [b""] * len(words)
+    def segment(self, runs: Runs, words: list[str], seed: int, rate: float, variants: np.ndarray) -> np.ndarray:
+        """Add the run of each word to runs, words side by side; about equally long ones together."""
+        out = np.zeros(len(words), np.int64)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
+        hashes = np.fromiter((self._hash(w, seed) for w in words), np.uint64, len(words))
+        keys = self._keys(hashes, seed, variants)
         order = np.argsort(lengths, kind="stable")
+        lengths = lengths[order]
         at = 0
         while at < len(order):
-            width = max(1, int(lengths[order[at]]))
-            end = min(int(np.searchsorted(lengths[order], width + width // 4, "right")), at + max(1, 100_000 // width))
-            part = order[at:end]
+            width = max(1, int(lengths[at]))
             if width > LONG_WORD:
-                out[order[at]] = self._segment_long(words[order[at]], seed, rate, variant)
+                n = order[at : at + 1]
+                ids = self._segment_long(words[n[0]], seed, rate, int(variants[n[0]]))
+                out[n] = runs.add([ids], np.zeros(0, np.uint64), np.array([-1]), np.zeros(1, np.uint64), hashes[n])
                 at += 1
                 continue
-            for n, ids in zip(part.tolist(), self._segment([words[n] for n in part], seed, rate, variant), strict=True):
-                out[n] = ids
+            end = min(int(np.searchsorted(lengths, min(width + width // 4, LONG_WORD), "right")), at + max(1, 100_000 // width))
+            part, record = order[at:end], []
+            ids = self._agenda([words[n] for n in part.tolist()], keys[part], rate, record)
+            row, place, skipped = (np.concatenate(x) for x in zip(*record, strict=True))
+            by_row = np.argsort(row, kind="stable")
+            row, place, skipped = row[by_row], place[by_row], skipped[by_row]
+            count = np.bincount(row, minlength=len(part))
+            first = np.cumsum(count) - count
+            few = count[row] <= MAX_OFFERS
+            answer = np.zeros(len(part), np.uint64)
+            hit = np.flatnonzero(skipped & few)
+            np.bitwise_or.at(answer, row[hit], np.uint64(1) << (hit - first[row[hit]]).astype(np.uint64))
+            out[part] = runs.add(ids, place[few], np.where(count <= MAX_OFFERS, count, -1), answer, hashes[part])
             at = end
         return out
 
-    def _segment(self, words: list[str], seed: int, rate: float, variant: int) -> list[bytes]:
-        """Symbols of a word are linked; a symbol's column is where it starts, and holds the rank of its merge with the next."""
+    def _segment(self, words: list[str], seed: int, rate: float, variant: int | np.ndarray) -> list[bytes]:
+        """variant stands for document and place, one for all words or one for each."""
+        return self._agenda(words, self._keys(np.fromiter((self._hash(w, seed) for w in words), np.uint64, len(words)), seed, variant), rate, [])
+
+    def _agenda(self, words: list[str], keys: np.ndarray, rate: float, record: list) -> list[bytes]:
+        """Symbols of a word are linked; a symbol's column is where it starts, and holds the rank of its merge with the next.
+
+        record takes (row, place, skipped) of the merges offered.
+        """
         n, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
         width = int(lengths.max())
         inside = np.arange(width) < lengths[:, None]
         ids = np.full((n, width), -2, np.int32)  # -2: nothing, -1: a character without a piece
         ids[inside] = self.char_ids[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        hashes = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFF) for w in words), np.uint64, n) if rate > 0 else np.zeros(n, np.uint64)
         after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))  # where the next symbol starts, so where this one ends
         before = after - 2
         rank, made = np.full((n, width), NO_MERGE, np.int32), np.zeros((n, width), np.int32)
@@ -146,7 +195,11 @@ class Pieces:
             rank[r[~ok], i[~ok]] = NO_MERGE
             r, i, j = r[ok], i[ok], j[ok]
             new, piece = self.merge_of(ids[r, i], ids[r, j])
-            self._drop(new, hashes[r], i, j, after[r, j], seed, rate, variant)
+            some = np.flatnonzero(new < NO_MERGE)
+            place = i[some].astype(np.uint64) << np.uint64(42) | j[some].astype(np.uint64) << np.uint64(21) | after[r[some], j[some]].astype(np.uint64)
+            skipped = self._skipped(keys[r[some]], place, rate)
+            new[some[skipped]] = NO_MERGE
+            record.append((r[some], place, skipped))
             rank[r, i], made[r, i] = new, piece
 
         offer(*np.nonzero(inside))
@@ -188,14 +241,14 @@ class Pieces:
         ids, end = [self.chars.get(c, -1) for c in word], list(range(1, n + 1))
         before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
         full = (1 << 64) - 1
-        key = zlib.crc32(word.encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFF)
+        key = self._hash(word, seed)
         key = (key + (((seed << 8) + variant + 1) * 0x9E3779B97F4A7C15 & full)) * 0xBF58476D1CE4E5B9 & full
         heap: list[tuple[int, int, int, int, int]] = []
 
         def offer(a: int, b: int) -> None:
             if ids[a] < 0 or ids[b] < 0 or (found := self._merge(ids[a] << 16 | ids[b])) is None:
                 return
-            if rate > 0:  # as in _drop()
+            if rate > 0:  # as in _skipped()
                 z = key ^ (a << 42 | end[a] << 21 | end[b])
                 z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & full
                 z = (z ^ z >> 27) * 0x94D049BB133111EB & full
@@ -218,17 +271,28 @@ class Pieces:
         left = [k for k in range(n) if alive[k]]
         return self._written(word, [ids[k] for k in left], left)
 
-    def _drop(self, rank: np.ndarray, word, start, mid, end, seed: int, rate: float, variant: int) -> None:
-        """Skip candidate merges, in place, by keyed hash of word and place."""
+    @staticmethod
+    def _hash(word: str, seed: int) -> int:
+        return zlib.crc32(word.encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFF)
+
+    @staticmethod
+    def _keys(hashes: np.ndarray, seed: int, variant: int | np.ndarray) -> np.ndarray:
+        """One key for each occurrence, of its word's hash and its variant."""
+        with np.errstate(over="ignore"):
+            variant = np.asarray(variant).astype(np.uint64) + np.uint64(((seed << 8) + 1) & (1 << 64) - 1)
+            return (hashes + variant * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+
+    @staticmethod
+    def _skipped(keys: np.ndarray, place: np.ndarray, rate: float) -> np.ndarray:
+        """Whether each candidate merge is skipped, by keyed hash of its place."""
         if rate <= 0:
-            return
+            return np.zeros(len(place), bool)
         with np.errstate(over="ignore"):
-            z = (word + np.uint64(((seed << 8) + variant + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-            z = z ^ (start.astype(np.uint64) << np.uint64(42) | mid.astype(np.uint64) << np.uint64(21) | end.astype(np.uint64))
+            z = keys ^ place
             z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
             z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
             z ^= z >> np.uint64(31)
-        rank[(z >> np.uint64(11)).astype(np.float64) / (1 << 53) < rate] = NO_MERGE
+        return (z >> np.uint64(11)).astype(np.float64) / (1 << 53) < rate
 
     # --- texts --------------------------------------------------------------------------------------------------------
 
@@ -245,19 +309,71 @@ class Pieces:
 
     def encode(self, texts: list[str], seed: int, rate: float) -> list[np.ndarray]:
         """Ids of each text; empty texts have none."""
-        cut = [(zlib.crc32(t.encode(), seed & 0xFFFFFFFF) % VARIANTS if rate > 0 else 0, self.words(t) if t else []) for t in texts]
-        memos = []
-        for variant in range(VARIANTS):
-            memo = self.memo.setdefault((seed, rate, variant), {})
-            unknown = set().union(*(w for v, w in cut if v == variant)).difference(memo)
-            if len(memo) + len(unknown) > self.remember // VARIANTS:
-                memo.clear()
-                unknown = set().union(*(w for v, w in cut if v == variant))
-            ordered = sorted(unknown)
-            forms = [self._form(w) for w in ordered]
-            memo.update(zip(ordered, self.segment(forms, seed, rate, variant), strict=True))
-            memos.append(memo)
-        return [np.frombuffer(b"".join(map(memos[v].__getitem__, words)), np.uint16) for v, words in cut]
+        cut = [self.words(t) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        ends = np.cumsum(sizes)
+        flat = [w for words in cut for w in words]
+        variants = self._variants(texts, sizes, ends, seed)
+        places = dict(zip(reversed(flat), range(len(flat) - 1, -1, -1), strict=True))  # where each word occurs first
+        runs = self.memo.setdefault((seed, rate), Runs())
+        unknown = [w for w in places if w not in runs.roots]
+        if len(runs.ids) + len(unknown) > self.remember:
+            runs, unknown = Runs(), list(places)
+            self.memo[seed, rate] = runs
+        at = np.fromiter(map(places.__getitem__, unknown), np.int64, len(unknown))
+        runs.roots.update(zip(unknown, self.segment(runs, list(map(self._form, unknown)), seed, rate, variants[at]).tolist(), strict=True))
+        found = np.fromiter(map(runs.roots.__getitem__, flat), np.int64, len(flat))
+        own: dict[int, bytes] = {}
+        if rate > 0:
+            todo = np.ones(len(flat), bool)
+            todo[at] = False
+            todo = np.flatnonzero(todo)
+            for k in range(0, len(todo), SLICE_WORDS):
+                self._descend(runs, flat, found, variants, todo[k : k + SLICE_WORDS], own, seed, rate)
+        ids = list(map(runs.ids.__getitem__, found.tolist()))
+        for n, x in own.items():
+            ids[n] = x
+        return [np.frombuffer(b"".join(ids[b - n : b]), np.uint16) for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
+
+    @staticmethod
+    def _variants(texts: list[str], sizes: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+        """A number for each word, of its document and its place there."""
+        from xxhash import xxh64_intdigest
+
+        docs = np.fromiter((xxh64_intdigest(t.encode(), seed & (1 << 64) - 1) for t in texts), np.uint64, len(texts))
+        place = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)
+        with np.errstate(over="ignore"):
+            return np.repeat(docs, sizes) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+
+    def _descend(self, runs: Runs, flat: list[str], found: np.ndarray, variants: np.ndarray, todo: np.ndarray, own: dict[int, bytes], seed: int, rate: float) -> None:
+        """Lead each occurrence from the first run of its word to its own one; ids of runs that aren't remembered go to own."""
+        todo = todo[runs.count[found[todo]] != 0]
+        keys = self._keys(runs.hash[found[todo]], seed, variants[todo])
+        while len(todo):
+            many = runs.count[found[todo]] < 0
+            if many.any():
+                new = todo[many].tolist()
+                alone = Runs()
+                at = self.segment(alone, [self._form(flat[n]) for n in new], seed, rate, variants[new])
+                own.update(zip(new, map(alone.ids.__getitem__, at.tolist()), strict=True))
+                todo, keys = todo[~many], keys[~many]
+                if not len(todo):
+                    break
+            node = found[todo]
+            count = runs.count[node]
+            first = np.cumsum(count) - count
+            bit = np.arange(int(count.sum())) - np.repeat(first, count)
+            place = runs.offers[np.repeat(runs.start[node], count) + bit]
+            skipped = self._skipped(np.repeat(keys, count), place, rate)
+            answer = np.bitwise_or.reduceat(skipped.astype(np.uint64) << bit.astype(np.uint64), first)
+            other = answer != runs.answer[node]
+            todo, keys = todo[other], keys[other]
+            ways = list(zip(node[other].tolist(), answer[other].tolist(), strict=True))
+            new = {w: n for w, n in zip(ways, todo.tolist(), strict=True) if w not in runs.children}
+            if new:
+                at = list(new.values())
+                runs.children.update(zip(new, self.segment(runs, [self._form(flat[n]) for n in at], seed, rate, variants[at]).tolist(), strict=True))
+            found[todo] = np.fromiter(map(runs.children.__getitem__, ways), np.int64, len(ways))
 
     @staticmethod
     def _form(word: str) -> str:

@@ -76,6 +76,25 @@ def test_long_and_short_words_share_an_agenda():
     assert own._segment(words, 7, 0.2, 1) == [own._segment_long(w, 7, 0.2, 1) for w in words]
 
 
+def test_dropout_is_drawn_for_each_occurrence():
+    own = sentencepieces.Pieces(sentencepieces.model_path(), remember=300)
+    words = "thereof internationalisation the of".split()
+    texts = [" ".join(words * n) for n in (1, 60, 61)] + ["ab" * 300 + " " + "thereofingation" * 12, *STRANGE] * 2
+    for rate in (0.1, 0.3):
+        ids = [own.encode([t], 5, rate)[0].tolist() for t in texts]
+        assert ids == [i.tolist() for i in own.encode(texts, 5, rate)]
+        assert [own.decode(np.array(i)) for i in ids] == texts
+        for t, got in zip(texts, ids, strict=True):
+            cut = own.words(t) if t else []
+            variants = own._variants([t], np.array([len(cut)]), np.array([len(cut)]), 5)
+            plain = [own._segment_long(own._form(w), 5, rate, int(v)) for w, v in zip(cut, variants, strict=True)]
+            assert b"".join(plain) == np.array(got, np.uint16).tobytes()
+    same = own.encode([" ".join(["internationalisation"] * 400)], 5, 0.3)[0].tolist()
+    starts = [n for n, i in enumerate(same) if own.text[i].startswith("▁")]
+    forms = {tuple(same[a:b]) for a, b in zip(starts, [*starts[1:], len(same)], strict=True)}
+    assert len(forms) > 20
+
+
 def brute_pii(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
