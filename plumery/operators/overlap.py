@@ -43,17 +43,37 @@ def overlap_of(plumes: DataFrame, rule: str = "first") -> DataFrame:
     return plumes.join(overlap_pairs(plumes).groupBy("row_id").agg(pick.alias("overlap")), "row_id", "left").fillna(0.0, ["overlap"])
 
 
-def _shares(x: np.ndarray, y: np.ndarray, radius: float, rule: str) -> np.ndarray:
-    """Overlap of each of a group's discs, block by block."""
-    out = np.zeros(len(x))
-    for n in range(len(x)):
-        d = np.hypot(x - x[n], y - y[n])
-        near = np.flatnonzero((d <= 2 * radius) & (np.arange(len(x)) != n))
-        if len(near):
-            d = np.minimum(d[near], 2 * radius)
-            share = (2 * radius**2 * np.arccos(d / (2 * radius)) - d / 2 * np.sqrt(4 * radius**2 - d * d)) / (math.pi * radius**2)
-            out[n] = round(share[0] if rule == "first" else share.max(), 9)
-    return out
+class _Discs:
+    """A group's discs by cells as wide as two radii, so that each is compared with those around it only."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, radius: float, rule: str):
+        self.x, self.y, self.radius, self.rule, self.alive = x, y, radius, rule, np.ones(len(x), bool)
+        self.cx, self.cy = (np.floor(v / (2 * radius)).astype(np.int64) for v in (x, y))
+        order = np.lexsort((self.cy, self.cx))
+        cuts = np.flatnonzero((np.diff(self.cx[order]) != 0) | (np.diff(self.cy[order]) != 0)) + 1
+        self.cells = {(int(self.cx[c[0]]), int(self.cy[c[0]])): np.sort(c) for c in np.split(order, cuts) if len(c)}
+        self.share, self.partner = np.zeros(len(x)), np.full(len(x), -1)
+        self.update(np.arange(len(x)))
+
+    def update(self, rows: np.ndarray) -> None:
+        """Overlap of each of these rows with the first or the most overlapping one that is left, and which that is."""
+        for n in rows.tolist():
+            around = [self.cells.get((int(self.cx[n]) + i, int(self.cy[n]) + j)) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            at = np.sort(np.concatenate([c for c in around if c is not None]))
+            at = at[self.alive[at] & (at != n)]
+            d = np.hypot(self.x[at] - self.x[n], self.y[at] - self.y[n])
+            near = d <= 2 * self.radius
+            at, d = at[near], np.minimum(d[near], 2 * self.radius)
+            self.share[n], self.partner[n] = 0, -1
+            if len(at):
+                share = (2 * self.radius**2 * np.arccos(d / (2 * self.radius)) - d / 2 * np.sqrt(4 * self.radius**2 - d * d)) / (math.pi * self.radius**2)
+                pick = 0 if self.rule == "first" else int(share.argmax())
+                self.share[n], self.partner[n] = round(share[pick], 9), at[pick]
+
+    def drop(self, rows: np.ndarray) -> None:
+        """Only rows whose partner went have another overlap now."""
+        self.alive[rows] = False
+        self.update(np.flatnonzero(self.alive & np.isin(self.partner, rows)))
 
 
 def resolve(group: pd.DataFrame, flux: list[str], max_overlap: float = 0.3, radius: float = RADIUS_M, rule: str = "first") -> pd.DataFrame:
@@ -64,30 +84,28 @@ def resolve(group: pd.DataFrame, flux: list[str], max_overlap: float = 0.3, radi
     the row with the largest overlap goes, the first among equals.
     """
     group = group.sort_values("row_id").reset_index(drop=True)
-    while len(group) > 1:
-        v = _shares(group["x"].to_numpy(), group["y"].to_numpy(), radius, rule)
+    discs = _Discs(group["x"].to_numpy(), group["y"].to_numpy(), radius, rule)
+    least_flux, most_flux = group[flux].min(axis=1, skipna=False).to_numpy(float), group[flux].max(axis=1).to_numpy(float)
+    while len(rows := np.flatnonzero(discs.alive)) > 1:
+        v, least, most = discs.share[rows], least_flux[rows], most_flux[rows]
         over = np.flatnonzero(v > max_overlap)
         if not len(over):
             break
-        least, most = group[flux].min(axis=1, skipna=False).to_numpy(float), group[flux].max(axis=1).to_numpy(float)
-        drop: set[int] = set()
         if len(over) > 2:
-            drop = {int(np.argmax(v))}
+            drop = np.array([v.argmax()])
         else:
-            later = [n for n in range(len(v)) if (v[:n] == v[n]).any()]
-            if later:
-                for n in later:
-                    partner = int(np.flatnonzero((v == v[n]) & (np.arange(len(v)) != n))[0])
-                    if np.isnan(least).any():
-                        drop.add(int(np.flatnonzero(np.isnan(least))[0]))
-                    else:
-                        drop |= set(np.flatnonzero(least == min(least[n], least[partner])).tolist())
+            _, first, which = np.unique(v, return_index=True, return_inverse=True)
+            later = np.setdiff1d(np.arange(len(v)), first)
+            if len(later) and np.isnan(least).any():
+                drop = np.flatnonzero(np.isnan(least))[:1]
+            elif len(later):
+                drop = np.flatnonzero(np.isin(least, np.minimum(least[later], least[first[which[later]]])))
             else:
-                drop = set(np.flatnonzero(most == np.nanmin(most)).tolist()) if not np.isnan(most).all() else {int(over[0])}
-        if not drop:
+                drop = np.flatnonzero(most == np.nanmin(most)) if not np.isnan(most).all() else over[:1]
+        if not len(drop):
             break
-        group = group.drop(index=sorted(drop)).reset_index(drop=True)
-    return group
+        discs.drop(rows[drop])
+    return group[discs.alive].reset_index(drop=True)
 
 
 def filter_overlaps(plumes: DataFrame, flux: list[str], max_overlap: float = 0.3, apply_flux_min: bool = True, rule: str = "first") -> DataFrame:

@@ -99,6 +99,20 @@ def test_cluster_rules():
     assert clustering.assign(at((215, 0), (0, 0), (140, 0)), 150) == [0, 1, 0]
 
 
+@pytest.mark.parametrize("rule", ["first", "largest"])
+def test_overlap_of_a_large_group_compares_neighbours_only(rule, monkeypatch):
+    r = np.random.default_rng(1)
+    n, compared, hypot = 1500, [], np.hypot
+    group = pd.DataFrame({"row_id": np.arange(n), "x": r.uniform(0, 6000, n), "y": r.uniform(0, 6000, n), "a": r.uniform(1, 9, n)})
+    monkeypatch.setattr(overlap.np, "hypot", lambda x, y: compared.append(np.size(x)) or hypot(x, y))
+    kept = overlap.resolve(group, ["a"], rule=rule)
+    assert len(kept) < n and sum(compared) < n * n / 4
+    x, y = kept["x"].to_numpy(), kept["y"].to_numpy()
+    d = hypot(x[:, None] - x, y[:, None] - y) + np.where(np.eye(len(x)), 1e9, 0)
+    if rule == "largest":
+        assert d.min() > 100
+
+
 def test_overlap_rules():
     def kept(rows, **kw):
         return overlap.resolve(pd.DataFrame(rows, columns=["row_id", "x", "y", "a", "b"]), ["a", "b"], **kw)["row_id"].tolist()
