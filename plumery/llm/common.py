@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,17 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def runs_of(texts: list[str], chars: int) -> Iterator[tuple[int, list[str]]]:
+    """Runs of whole texts of about so many characters, each with the number of its first text."""
+    at = 0
+    while at < len(texts):
+        first, size = at, 0
+        while at < len(texts) and size < chars:
+            size += len(texts[at])
+            at += 1
+        yield first, texts[first:at]
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. ASCII strings take the quick way; others are mapped letter by letter."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumery.llm.common import crc_of_id, materialise, small_batches, table
+from plumery.llm.common import crc_of_id, materialise, runs_of, small_batches, table
 
 N = 3
 CHUNK_CHARS = 1_000_000
@@ -49,17 +49,6 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return owner[1:-1][inside], code[inside]
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of whole texts of about CHUNK_CHARS."""
-    at = 0
-    while at < len(texts):
-        first, size = at, 0
-        while at < len(texts) and (size < CHUNK_CHARS):
-            size += len(texts[at])
-            at += 1
-        yield first, texts[first:at]
-
-
 def gram_counts(training: DataFrame) -> DataFrame:
     """(lang, gram, docs): the number of training documents (lang, text) of each language that have an n-gram."""
 
@@ -67,7 +56,7 @@ def gram_counts(training: DataFrame) -> DataFrame:
         for batch in batches:
             langs = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for first, part in _chunks(texts):
+            for first, part in runs_of(texts, CHUNK_CHARS):
                 owner, code = grams(part)
                 cuts = np.searchsorted(owner, np.arange(len(part) + 1))
                 own: dict[str, list[np.ndarray]] = {}
@@ -154,7 +143,7 @@ def predict_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []
-            for _, part in _chunks([t or "" for t in batch.column(1).to_pylist()]):
+            for _, part in runs_of([t or "" for t in batch.column(1).to_pylist()], CHUNK_CHARS):
                 a, b = shared.value.predict(part)
                 langs += a
                 scores += b

@@ -1,23 +1,27 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Merging starts from single characters; an agenda holds all pairs of neighbours that form a piece, best piece first, leftmost
-first among equals. A candidate merge is skipped if a hash keyed by seed, document, the word's place in it, word and the
-merge's place falls below the dropout rate. So one seed always gives the same segmentation, and each occurrence of a word is
-drawn by itself. A document is known by a hash of its text: equal texts have equal ids. With rate 0 the ids are the model's own.
-
-No piece has a blank behind another character, so words with the blanks before them merge by themselves. What a word's agenda
-does depends on nothing but which of the merges offered on the way are skipped; so runs are remembered with their offers and
-answers, as a tree: an occurrence whose own answers to a run's offers are the run's has the run's ids, and other answers lead to
-another run. Runs that aren't known yet go through their agendas side by side, in arrays.
+first among equals. Candidate merges are numbered as the agenda meets them, and each is skipped with the dropout's rate: a
+hash keyed by seed, document, the word's place in it and the number of the draw gives how many candidates pass before the next
+one that is skipped, which is the same as one draw for each candidate. So one seed always gives the same segmentation, and each
+occurrence of a word is drawn by itself. A document is known by a hash of its text: equal texts have equal ids. With rate 0
+the ids are the model's own.
+
+No piece has a blank behind another character (nor, in most models, a newline), so words with the blanks before them merge by
+themselves. What a word's agenda does depends on nothing but the numbers of the skipped candidates; so runs of words that come
+often are remembered as a tree: a word's root is its run without skips, and a run has a child for each number that may be
+skipped next. An occurrence walks down by its own draws. Runs that aren't known yet, and all those of rare words, go through
+their agendas side by side, in arrays.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
-import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,47 +29,100 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumery.llm.common import small_batches, table
+from plumery.llm.common import runs_of, small_batches, table
 
 BLANK = "▁"
 MARK, SIGN = "\ud800", "\ud801"
 #: Longer words go through a heap instead of the side-by-side agendas.
 LONG_WORD = 256
 NO_MERGE = 1 << 30
-#: A run with more offers than answers have bits isn't remembered: each occurrence goes through its agenda.
-MAX_OFFERS = 64
-SLICE_WORDS = 100_000
+#: A word's runs are remembered from so many uses on, and if it hasn't more characters than that.
+OFTEN, REMEMBERED_LENGTH = 6, 24
+CHUNK_CHARS = 1_000_000
 
 
 class Runs:
-    """Agenda runs of words: their ids, the merges offered in order and, as bits, which of them were skipped."""
+    """Agenda runs: ids, number of candidate merges and, for each that may be skipped next, the run that it leads to."""
 
     def __init__(self):
-        self.roots: dict[str, int] = {}
-        self.children: dict[tuple[int, int], int] = {}
-        self.ids: list[bytes] = []
-        self.start, self.count, self.answer, self.hash = (np.zeros(1 << 12, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
-        self.offers, self.held = np.zeros(1 << 14, np.uint64), 0
-
-    def add(self, ids: list[bytes], offers: np.ndarray, count: np.ndarray, answer: np.ndarray, word_hash: np.ndarray) -> np.ndarray:
-        """Numbers of new runs, whose offers stand one after another; count -1 is of a run that isn't remembered."""
-        n, m = len(self.ids), len(self.ids) + len(ids)
-        while m > len(self.start):
-            self.start, self.count, self.answer, self.hash = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.answer, self.hash))
-        while self.held + len(offers) > len(self.offers):
-            self.offers = np.concatenate([self.offers, np.zeros_like(self.offers)])
-        self.offers[self.held : self.held + len(offers)] = offers
-        sizes = np.maximum(count, 0)
-        self.start[n:m], self.count[n:m], self.answer[n:m], self.hash[n:m] = self.held + np.cumsum(sizes) - sizes, count, answer, word_hash
-        self.held += len(offers)
-        self.ids += ids
+        self.words = Words()
+        self.word_of: list[str] = []
+        self.skips: list[tuple[int, ...]] = []
+        self.n, self.n_ids, self.n_ways = 0, 0, 0
+        self.at, self.size, self.count, self.ways_at = (np.zeros(1 << 12, np.int64) for _ in range(4))
+        self.ids, self.ways = np.zeros(1 << 14, np.uint16), np.zeros(1 << 14, np.int32)
+        #: Of each word's number: how often it came, and its run without skips (-1: not remembered).
+        self.uses, self.root = np.zeros(1 << 12, np.int64), np.full(1 << 12, -1)
+
+    def met(self, words: Iterator[str], n: int) -> np.ndarray:
+        """The numbers of n words, whose uses are counted."""
+        found = np.fromiter(map(self.words.__getitem__, words), np.int64, n)
+        m = len(self.uses)
+        self.uses, self.root = _grown(self.uses, len(self.words)), _grown(self.root, len(self.words))
+        self.root[m:] = -1
+        self.uses += np.bincount(found, minlength=len(self.uses))
+        return found
+
+    def add(self, words: list[str], skips: list[tuple[int, ...]], ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Numbers of the new runs, whose ids stand one after another."""
+        n, m, i, w = self.n, self.n + len(sizes), self.n_ids + len(ids), self.n_ways + int(counts.sum())
+        self.at, self.size, self.count, self.ways_at = (_grown(x, m) for x in (self.at, self.size, self.count, self.ways_at))
+        self.ids, self.ways = _grown(self.ids, i), _grown(self.ways, w)
+        self.at[n:m], self.size[n:m], self.count[n:m], self.ways_at[n:m] = self.n_ids + np.cumsum(sizes) - sizes, sizes, counts, self.n_ways + np.cumsum(counts) - counts
+        self.ids[self.n_ids : i], self.ways[self.n_ways : w] = ids, -1
+        self.word_of += words
+        self.skips += skips
+        self.n, self.n_ids, self.n_ways = m, i, w
         return np.arange(n, m)
 
 
+class Words(dict):
+    """Words by number: one asked for the first time gets the next."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def _grown(x: np.ndarray, size: int) -> np.ndarray:
+    return x if size <= len(x) else np.concatenate([x, np.zeros(max(size, 2 * len(x)) - len(x), x.dtype)])
+
+
+def _gathered(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of flat from ``at`` on, one after another."""
+    return flat[np.repeat(at - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """splitmix64's last steps."""
+    with np.errstate(over="ignore"):
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return z ^ z >> np.uint64(31)
+
+
+@cache
+def _steps(rate: float) -> np.ndarray:
+    """The chances, of 2^53, that at least 1, 2, ... candidates pass before one is skipped, ascending."""
+    if not 1e-5 <= rate <= 1:
+        raise ValueError("a dropout rate is 0, or from 0.00001 to 1")
+    n = 1 if rate == 1 else int(37 / -math.log1p(-rate)) + 1
+    return np.array(sorted(int((1 - rate) ** k * (1 << 53)) for k in range(1, n + 1)), np.uint64)
+
+
+def passed(keys: np.ndarray, draw: int | np.ndarray, rate: float) -> np.ndarray:
+    """How many candidates pass before the next skipped one, in the draw of that number of each occurrence."""
+    with np.errstate(over="ignore"):
+        u = _mixed(keys + (np.asarray(draw).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
+    steps = _steps(rate)
+    return len(steps) - np.searchsorted(steps, u, "right")
+
+
 class Pieces:
     """A BPE model's pieces, as tables."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 600_000):
+        """remember: how many words a worker counts, and how many runs it keeps, before it begins anew."""
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -85,6 +142,7 @@ class Pieces:
         order = sorted(usable.values(), key=lambda i: (-model.get_score(i), i))
         rank = {i: r for r, i in enumerate(order)}
         merges = sorted(((usable[p[:k]] << 16 | usable[p[k:]], rank[i], i) for p, i in usable.items() for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable))
+        self.pairs = {key: (r, i) for key, r, i in merges}
         size = 1 << (4 * len(merges)).bit_length()
         self.size, self.slots, self.ranks, self.ids = size, np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int32)
         keys, ranks, ids = (np.array(x, np.int64) for x in zip(*merges, strict=True))
@@ -97,15 +155,18 @@ class Pieces:
             left = np.setdiff1d(np.arange(len(keys)), first)
             keys, ranks, ids, at = keys[left], ranks[left], ids[left], (at[left] + 1) % size
         self.chars = {p: i for p, i in usable.items() if len(p) == 1}
+        self.by_lines = not any("\n" in p for p in usable)
         self.char_ids = np.full(0x110000, -1, np.int32)
         for p, i in self.chars.items():
             self.char_ids[ord(p)] = i
+        alone = np.flatnonzero(self.char_ids[:128] < 0)  # written as one byte's piece, which never merges
+        self.char_ids[alone] = self.bytes[alone]
         self.out = [b""] * n
         for p, i in usable.items():
             self.out[i] = p.replace(BLANK, " ").encode()
         for b, i in enumerate(self.bytes):
             self.out[i] = bytes([b])
-        self.memo: dict[tuple[int, float], Runs] = {}
+        self.memo = Runs()
         self.remember = remember
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
@@ -126,58 +187,36 @@ class Pieces:
             todo, keys, at = todo[on], keys[on], (at[on] + 1) % self.size
         return rank, ids
 
-    def _merge(self, key: int) -> tuple[int, int] | None:
-        at = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40
-        at %= self.size
-        while (here := self.slots[at]) >= 0:
-            if here == key:
-                return int(self.ranks[at]), int(self.ids[at])
-            at = (at + 1) % self.size
-        return None
-
     # --- agenda -------------------------------------------------------------------------------------------------------
 
-    def segment(self, runs: Runs, words: list[str], seed: int, rate: float, variants: np.ndarray) -> np.ndarray:
-        """Add the run of each word to runs, words side by side; about equally long ones together."""
-        out = np.zeros(len(words), np.int64)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        hashes = np.fromiter((self._hash(w, seed) for w in words), np.uint64, len(words))
-        keys = self._keys(hashes, seed, variants)
+    def segment(self, words: list[str], skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of words with the given candidates skipped: all their ids, and each one's number of ids and of candidates.
+
+        They go side by side, about equally long words together.
+        """
+        forms = list(map(self._form, words))
+        lengths = np.fromiter(map(len, forms), np.int64, len(forms))
         order = np.argsort(lengths, kind="stable")
-        lengths = lengths[order]
-        at = 0
+        lengths, at, found = lengths[order], 0, []
         while at < len(order):
-            width = max(1, int(lengths[at]))
+            width = int(lengths[at])
             if width > LONG_WORD:
-                n = order[at : at + 1]
-                ids = self._segment_long(words[n[0]], seed, rate, int(variants[n[0]]))
-                out[n] = runs.add([ids], np.zeros(0, np.uint64), np.array([-1]), np.zeros(1, np.uint64), hashes[n])
-                at += 1
-                continue
-            end = min(int(np.searchsorted(lengths, min(width + width // 4, LONG_WORD), "right")), at + max(1, 100_000 // width))
-            part, record = order[at:end], []
-            ids = self._agenda([words[n] for n in part.tolist()], keys[part], rate, record)
-            row, place, skipped = (np.concatenate(x) for x in zip(*record, strict=True))
-            by_row = np.argsort(row, kind="stable")
-            row, place, skipped = row[by_row], place[by_row], skipped[by_row]
-            count = np.bincount(row, minlength=len(part))
-            first = np.cumsum(count) - count
-            few = count[row] <= MAX_OFFERS
-            answer = np.zeros(len(part), np.uint64)
-            hit = np.flatnonzero(skipped & few)
-            np.bitwise_or.at(answer, row[hit], np.uint64(1) << (hit - first[row[hit]]).astype(np.uint64))
-            out[part] = runs.add(ids, place[few], np.where(count <= MAX_OFFERS, count, -1), answer, hashes[part])
+                end = at + 1
+                found.append(self._segment_long(forms[order[at]], skips[order[at]]))
+            else:
+                end = min(int(np.searchsorted(lengths, min(width + width // 4, LONG_WORD), "right")), at + max(1, 200_000 // width))
+                part = order[at:end].tolist()
+                found.append(self._agenda([forms[n] for n in part], [skips[n] for n in part]))
             at = end
-        return out
+        ids, sizes, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return _gathered(ids, (np.cumsum(sizes) - sizes)[place], sizes[place]), sizes[place], counts[place]
 
-    def _segment(self, words: list[str], seed: int, rate: float, variant: int | np.ndarray) -> list[bytes]:
-        """variant stands for document and place, one for all words or one for each."""
-        return self._agenda(words, self._keys(np.fromiter((self._hash(w, seed) for w in words), np.uint64, len(words)), seed, variant), rate, [])
+    def _agenda(self, words: list[str], skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and the number of ids and of candidates of each word.
 
-    def _agenda(self, words: list[str], keys: np.ndarray, rate: float, record: list) -> list[bytes]:
-        """Symbols of a word are linked; a symbol's column is where it starts, and holds the rank of its merge with the next.
-
-        record takes (row, place, skipped) of the merges offered.
+        Symbols of a word are linked; a symbol's column is where it starts, and holds the rank of its merge with the next.
         """
         n, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
         width = int(lengths.max())
@@ -187,22 +226,31 @@ class Pieces:
         after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))  # where the next symbol starts, so where this one ends
         before = after - 2
         rank, made = np.full((n, width), NO_MERGE, np.int32), np.zeros((n, width), np.int32)
+        seen = np.zeros(n, np.int64)
+        skipped = np.array([r * (3 * width) + k for r, own in enumerate(skips) for k in own], np.int64)
+        skipped = np.append(skipped, np.iinfo(np.int64).max)
 
-        def offer(r: np.ndarray, i: np.ndarray) -> None:
-            """Rank the merges of the symbols at rows r and columns i with the next ones."""
+        def offer(r: np.ndarray, i: np.ndarray, many: bool = False) -> None:
+            """Rank the merges of the symbols at rows r (ascending; once each, unless many) and columns i with the next ones."""
             j = after[r, i]
             ok = j < lengths[r]
             rank[r[~ok], i[~ok]] = NO_MERGE
             r, i, j = r[ok], i[ok], j[ok]
             new, piece = self.merge_of(ids[r, i], ids[r, j])
             some = np.flatnonzero(new < NO_MERGE)
-            place = i[some].astype(np.uint64) << np.uint64(42) | j[some].astype(np.uint64) << np.uint64(21) | after[r[some], j[some]].astype(np.uint64)
-            skipped = self._skipped(keys[r[some]], place, rate)
-            new[some[skipped]] = NO_MERGE
-            record.append((r[some], place, skipped))
+            own = r[some]
+            number = seen[own]
+            if many:
+                added = np.bincount(own, minlength=n)
+                number = np.arange(len(own)) - (np.cumsum(added) - added)[own]
+                seen[:] += added
+            else:
+                seen[own] += 1
+            code = own * (3 * width) + number
+            new[some[skipped[np.searchsorted(skipped, code)] == code]] = NO_MERGE
             rank[r, i], made[r, i] = new, piece
 
-        offer(*np.nonzero(inside))
+        offer(*np.nonzero(inside), many=True)
         rows = np.arange(n)
         while len(rows):
             best = rank[rows].argmin(1)
@@ -218,43 +266,39 @@ class Pieces:
             left = before[rows, i] >= 0
             offer(rows[left], before[rows, i][left])
         alive = ids > -2
-        flat = ids[alive].astype(np.uint16).tobytes()
-        cuts = (np.concatenate(([0], np.cumsum(alive.sum(1)))) * 2).tolist()
-        out = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        for r in np.flatnonzero((ids == -1).any(1)).tolist():
+        bare = np.flatnonzero((ids == -1).any(1)).tolist()
+        if not bare:
+            return ids[alive].astype(np.uint16), alive.sum(1), seen
+        own = [ids[r, alive[r]].astype(np.uint16) for r in range(n)]
+        for r in bare:
             starts = np.flatnonzero(alive[r])
-            out[r] = self._written(words[r], ids[r, starts].tolist(), starts.tolist())
-        return out
+            own[r] = self._written(words[r], ids[r, starts].tolist(), starts.tolist())
+        return np.concatenate(own), np.fromiter(map(len, own), np.int64, n), seen
 
-    def _written(self, word: str, ids: list[int], starts: list[int]) -> bytes:
+    def _written(self, word: str, ids: list[int], starts: list[int]) -> np.ndarray:
         """Characters without a piece become their bytes' pieces."""
         if -1 in ids:
             whole = []
             for i, a in zip(ids, starts, strict=False):
                 whole += [i] if i >= 0 else self.bytes[list(word[a].replace(SIGN, BLANK).encode())].tolist()
             ids = whole
-        return np.array(ids, np.uint16).tobytes()
+        return np.array(ids, np.uint16)
 
-    def _segment_long(self, word: str, seed: int, rate: float, variant: int) -> bytes:
+    def _segment_long(self, word: str, skips: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same agenda as a heap over linked symbols, for one long word."""
         n = len(word)
-        ids, end = [self.chars.get(c, -1) for c in word], list(range(1, n + 1))
+        ids, end = self.char_ids[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)].tolist(), list(range(1, n + 1))
         before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        full = (1 << 64) - 1
-        key = self._hash(word, seed)
-        key = (key + (((seed << 8) + variant + 1) * 0x9E3779B97F4A7C15 & full)) * 0xBF58476D1CE4E5B9 & full
+        seen, skipped = 0, set(skips)
         heap: list[tuple[int, int, int, int, int]] = []
 
         def offer(a: int, b: int) -> None:
-            if ids[a] < 0 or ids[b] < 0 or (found := self._merge(ids[a] << 16 | ids[b])) is None:
+            nonlocal seen
+            if ids[a] < 0 or ids[b] < 0 or (found := self.pairs.get(ids[a] << 16 | ids[b])) is None:
                 return
-            if rate > 0:  # as in _skipped()
-                z = key ^ (a << 42 | end[a] << 21 | end[b])
-                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & full
-                z = (z ^ z >> 27) * 0x94D049BB133111EB & full
-                if ((z ^ z >> 31) >> 11) / (1 << 53) < rate:
-                    return
-            heapq.heappush(heap, (found[0], a, end[a], end[b], found[1]))
+            if seen not in skipped:
+                heapq.heappush(heap, (found[0], a, end[a], end[b], found[1]))
+            seen += 1
 
         for a in range(n - 1):
             offer(a, a + 1)
@@ -269,116 +313,136 @@ class Pieces:
             if before[a] >= 0:
                 offer(before[a], a)
         left = [k for k in range(n) if alive[k]]
-        return self._written(word, [ids[k] for k in left], left)
-
-    @staticmethod
-    def _hash(word: str, seed: int) -> int:
-        return zlib.crc32(word.encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFF)
-
-    @staticmethod
-    def _keys(hashes: np.ndarray, seed: int, variant: int | np.ndarray) -> np.ndarray:
-        """One key for each occurrence, of its word's hash and its variant."""
-        with np.errstate(over="ignore"):
-            variant = np.asarray(variant).astype(np.uint64) + np.uint64(((seed << 8) + 1) & (1 << 64) - 1)
-            return (hashes + variant * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-
-    @staticmethod
-    def _skipped(keys: np.ndarray, place: np.ndarray, rate: float) -> np.ndarray:
-        """Whether each candidate merge is skipped, by keyed hash of its place."""
-        if rate <= 0:
-            return np.zeros(len(place), bool)
-        with np.errstate(over="ignore"):
-            z = keys ^ place
-            z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-            z ^= z >> np.uint64(31)
-        return (z >> np.uint64(11)).astype(np.float64) / (1 << 53) < rate
+        out = self._written(word, [ids[k] for k in left], left)
+        return out, np.array([len(out)]), np.array([seen])
 
     # --- texts --------------------------------------------------------------------------------------------------------
 
-    @staticmethod
-    def words(text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
         """Words that merge by themselves, each with the blanks before it: a blank stands before the text as well.
 
-        In texts with a blank sign, or with blanks in a row or at an end, blanks are marked by one lone surrogate and blank
-        signs by another; valid text has neither.
+        Where no piece holds a newline, a newline begins a word without a blank. In texts with a blank sign, or with blanks in
+        a row, before a newline or at an end, blanks are marked by one lone surrogate and blank signs by another; valid text
+        has neither.
         """
-        if BLANK in text or "  " in text or text.startswith(" ") or text.endswith(" "):
-            return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", MARK + text.replace(BLANK, SIGN).replace(" ", MARK))
-        return text.split(" ")
+        if BLANK in text or "  " in text or text.startswith(" ") or text.endswith(" ") or " \n" in text:
+            cut = f"{MARK}*[^{MARK}\n]+|{MARK}+|\n[^{MARK}\n]*" if self.by_lines else f"{MARK}*[^{MARK}]+|{MARK}+"
+            return re.findall(cut, MARK + text.replace(BLANK, SIGN).replace(" ", MARK))
+        return (text.replace("\n", " \n") if self.by_lines else text).split(" ")
 
     def encode(self, texts: list[str], seed: int, rate: float) -> list[np.ndarray]:
         """Ids of each text; empty texts have none."""
         cut = [self.words(t) if t else [] for t in texts]
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        ends = np.cumsum(sizes)
-        flat = [w for words in cut for w in words]
-        variants = self._variants(texts, sizes, ends, seed)
-        places = dict(zip(reversed(flat), range(len(flat) - 1, -1, -1), strict=True))  # where each word occurs first
-        runs = self.memo.setdefault((seed, rate), Runs())
-        unknown = [w for w in places if w not in runs.roots]
-        if len(runs.ids) + len(unknown) > self.remember:
-            runs, unknown = Runs(), list(places)
-            self.memo[seed, rate] = runs
-        at = np.fromiter(map(places.__getitem__, unknown), np.int64, len(unknown))
-        runs.roots.update(zip(unknown, self.segment(runs, list(map(self._form, unknown)), seed, rate, variants[at]).tolist(), strict=True))
-        found = np.fromiter(map(runs.roots.__getitem__, flat), np.int64, len(flat))
-        own: dict[int, bytes] = {}
+        runs = self.memo
+        if max(len(runs.words), runs.n) > self.remember:
+            runs = self.memo = Runs()
+        flat = list(chain.from_iterable(cut))
+        found = runs.met(flat, len(flat))
+        keys = self._keys(texts, sizes, seed) if rate > 0 else None
+        often, first = np.unique(np.where((runs.uses[found] >= OFTEN) & (runs.root[found] < 0), found, -1), return_index=True)
+        words = [(n, w) for n, w in zip(often.tolist(), map(flat.__getitem__, first.tolist()), strict=True) if n >= 0 and len(w) <= REMEMBERED_LENGTH]
+        if words:
+            names = [w for _, w in words]
+            runs.root[[n for n, _ in words]] = runs.add(names, [()] * len(names), *self.segment(names, [()] * len(names)))
+        run, own = runs.root[found], np.flatnonzero(runs.root[found] < 0)
         if rate > 0:
-            todo = np.ones(len(flat), bool)
-            todo[at] = False
-            todo = np.flatnonzero(todo)
-            for k in range(0, len(todo), SLICE_WORDS):
-                self._descend(runs, flat, found, variants, todo[k : k + SLICE_WORDS], own, seed, rate)
-        ids = list(map(runs.ids.__getitem__, found.tolist()))
-        for n, x in own.items():
-            ids[n] = x
-        return [np.frombuffer(b"".join(ids[b - n : b]), np.uint16) for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
+            own = np.concatenate([own, self._descend(runs, run, keys, rate)])
+        at, ids_of_each = runs.at[run], runs.size[run]
+        if len(own):  # an agenda for each of these occurrences
+            words = list(map(flat.__getitem__, own.tolist()))
+            skips = self._skips(keys[own], words, rate) if rate > 0 else [()] * len(words)
+            own_ids, own_sizes, counts = self.segment(words, skips)
+            own_at = np.cumsum(own_sizes) - own_sizes
+            at[own], ids_of_each[own] = runs.n_ids + own_at, own_sizes
+            ids = _gathered(np.concatenate([runs.ids[: runs.n_ids], own_ids]), at, ids_of_each)
+            self._keep(runs, run[own].tolist(), words, skips, own_ids, own_at, own_sizes, counts)
+        else:
+            ids = _gathered(runs.ids, at, ids_of_each)
+        ends = np.concatenate(([0], np.cumsum(ids_of_each)))[np.cumsum(sizes)].tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     @staticmethod
-    def _variants(texts: list[str], sizes: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-        """A number for each word, of its document and its place there."""
+    def _keys(texts: list[str], sizes: np.ndarray, seed: int) -> np.ndarray:
+        """A key for each word, of seed, document and its place there."""
         from xxhash import xxh64_intdigest
 
         docs = np.fromiter((xxh64_intdigest(t.encode(), seed & (1 << 64) - 1) for t in texts), np.uint64, len(texts))
-        place = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)
+        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         with np.errstate(over="ignore"):
-            return np.repeat(docs, sizes) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+            return _mixed(np.repeat(docs, sizes) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+    def _descend(self, runs: Runs, run: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
+        """Lead each occurrence in run from its word's run without skips to its own one, or, where that isn't known, as near as can be.
 
-    def _descend(self, runs: Runs, flat: list[str], found: np.ndarray, variants: np.ndarray, todo: np.ndarray, own: dict[int, bytes], seed: int, rate: float) -> None:
-        """Lead each occurrence from the first run of its word to its own one; ids of runs that aren't remembered go to own."""
-        todo = todo[runs.count[found[todo]] != 0]
-        keys = self._keys(runs.hash[found[todo]], seed, variants[todo])
+        A missing run that several occurrences come by is made; those that come to one alone are given back.
+        """
+        todo, draw, alone = np.flatnonzero(run >= 0), 0, [np.zeros(0, np.int64)]
+        at = np.full(len(todo), -1)
         while len(todo):
-            many = runs.count[found[todo]] < 0
-            if many.any():
-                new = todo[many].tolist()
-                alone = Runs()
-                at = self.segment(alone, [self._form(flat[n]) for n in new], seed, rate, variants[new])
-                own.update(zip(new, map(alone.ids.__getitem__, at.tolist()), strict=True))
-                todo, keys = todo[~many], keys[~many]
-                if not len(todo):
-                    break
-            node = found[todo]
-            count = runs.count[node]
-            first = np.cumsum(count) - count
-            bit = np.arange(int(count.sum())) - np.repeat(first, count)
-            place = runs.offers[np.repeat(runs.start[node], count) + bit]
-            skipped = self._skipped(np.repeat(keys, count), place, rate)
-            answer = np.bitwise_or.reduceat(skipped.astype(np.uint64) << bit.astype(np.uint64), first)
-            other = answer != runs.answer[node]
-            todo, keys = todo[other], keys[other]
-            ways = list(zip(node[other].tolist(), answer[other].tolist(), strict=True))
-            new = {w: n for w, n in zip(ways, todo.tolist(), strict=True) if w not in runs.children}
-            if new:
-                at = list(new.values())
-                runs.children.update(zip(new, self.segment(runs, [self._form(flat[n]) for n in at], seed, rate, variants[at]).tolist(), strict=True))
-            found[todo] = np.fromiter(map(runs.children.__getitem__, ways), np.int64, len(ways))
+            at = at + 1 + passed(keys[todo], draw, rate)
+            on = at < runs.count[run[todo]]
+            todo, at = todo[on], at[on]
+            way = runs.ways_at[run[todo]] + at
+            missing = np.flatnonzero(runs.ways[way] < 0)
+            new, first, times = np.unique(way[missing], return_index=True, return_counts=True)
+            new, first = new[times > 1], missing[first[times > 1]]
+            if len(new):
+                parents = run[todo[first]].tolist()
+                words, skips = [runs.word_of[n] for n in parents], [(*runs.skips[n], k) for n, k in zip(parents, at[first].tolist(), strict=True)]
+                numbers = runs.add(words, skips, *self.segment(words, skips))
+                runs.ways[new] = numbers
+            on = runs.ways[way] >= 0
+            alone.append(todo[~on])
+            todo, at, way = todo[on], at[on], way[on]
+            run[todo] = runs.ways[way]
+            draw += 1
+        return np.concatenate(alone)
 
     @staticmethod
-    def _form(word: str) -> str:
+    def _keep(runs: Runs, parents: list[int], words: list[str], skips: list[tuple[int, ...]], ids: np.ndarray, at: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> None:
+        """Remember, of runs that occurrences made for themselves, those that are one skip away from a remembered one."""
+        kept, own_skips, ways = [], [], set()
+        for n, (parent, skip, count) in enumerate(zip(parents, skips, counts.tolist(), strict=True)):
+            if parent >= 0:
+                k = len(runs.skips[parent])
+                if len(skip) == k + 1 or skip[k + 1] >= count:
+                    way = int(runs.ways_at[parent]) + skip[k]
+                    if way not in ways:
+                        ways.add(way)
+                        kept.append((n, way))
+                        own_skips.append(skip[: k + 1])
+        if kept:
+            n, way = np.array(kept).T
+            runs.ways[way] = runs.add([words[k] for k in n.tolist()], own_skips, _gathered(ids, at[n], sizes[n]), sizes[n], counts[n])
+
+    @staticmethod
+    def _skips(keys: np.ndarray, words: list[str], rate: float) -> list[tuple[int, ...]]:
+        """The numbers of each occurrence's skipped candidates; a word has fewer than three for each character."""
+        bound = 3 * np.fromiter(map(len, words), np.int64, len(words)) + 3
+        out: list[tuple[int, ...]] = [()] * len(words)
+        todo, at, draw, rows, skipped = np.arange(len(words)), np.full(len(words), -1), 0, [], []
+        while len(todo):
+            at = at + 1 + passed(keys[todo], draw, rate)
+            on = at < bound[todo]
+            todo, at = todo[on], at[on]
+            rows.append(todo)
+            skipped.append(at)
+            draw += 1
+        rows, skipped = np.concatenate(rows), np.concatenate(skipped)
+        order = np.argsort(rows, kind="stable")
+        cuts = np.searchsorted(rows[order], np.arange(len(words) + 1)).tolist()
+        skipped = skipped[order].tolist()
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if a < b:
+                out[n] = tuple(skipped[a:b])
+        return out
+
+    def _form(self, word: str) -> str:
         """The characters to merge: BLANK is a blank, SIGN a blank sign of the text."""
-        return word.replace(MARK, BLANK) if word.startswith(MARK) else BLANK + word
+        if word.startswith(MARK):
+            return word.replace(MARK, BLANK)
+        return word if self.by_lines and word.startswith("\n") else BLANK + word
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.out.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
@@ -406,7 +470,7 @@ def encode_pieces(docs: DataFrame, model: str, seed: int = 1, rate: float = 0.1)
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-                ids = own.encode(texts, seed, rate)
+                ids = [i for _, some in runs_of(texts, CHUNK_CHARS) for i in own.encode(some, seed, rate)]
                 fine = [own.decode(i) == t for i, t in zip(ids, texts, strict=True)]
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = pa.array(np.concatenate(ids).astype(np.int32)) if ids else pa.array([], pa.int32())

@@ -2,9 +2,11 @@
 
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from plumery.llm import langid, neighbours, pii, quality, sentencepieces
@@ -70,31 +72,106 @@ def test_dropout_is_seeded_varied_and_lossless(spark):
     assert sentencepieces.encode_pieces(docs.limit(0), sentencepieces.model_path()).count() == 0
 
 
-def test_long_and_short_words_share_an_agenda():
+FULL = (1 << 64) - 1
+
+
+def brute_mixed(z):
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & FULL
+    z = (z ^ z >> 27) * 0x94D049BB133111EB & FULL
+    return z ^ z >> 31
+
+
+def brute_draws(text, place, seed, rate):
+    """Numbers of the skipped candidates of the word at that place, one after another."""
+    key, at, draw = brute_mixed((xxhash.xxh64_intdigest(text.encode(), seed) + place * 0xD1B54A32D192ED03) & FULL), -1, 0
+    while True:
+        u = brute_mixed((key + (draw + 1) * 0x9E3779B97F4A7C15) & FULL) >> 11
+        k = 0
+        while u < int((1 - rate) ** (k + 1) * (1 << 53)):
+            k += 1
+        at, draw = at + 1 + k, draw + 1
+        yield at
+
+
+@cache
+def brute_usable(model):
+    return {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+
+
+def brute_pieces(model, text, seed, rate):
+    """An agenda over a plain list of symbols, word by word; a piece's rank is its score, then its id."""
+    usable = brute_usable(model)
+    out = []
+    for place, word in enumerate(re.findall(" *[^ \\n]+| +|\\n[^ \\n]*", " " + text) if text else []):
+        symbols = [(c, n) for n, c in enumerate(word.replace("▁", "\ud801").replace(" ", "▁"))]
+        draws, number, open_merges = brute_draws(text, place, seed, rate) if rate else iter([1 << 62]), 0, {}
+        skip = next(draws)
+
+        def meet(n, symbols=symbols, open_merges=open_merges, draws=draws):
+            nonlocal number, skip
+            if 0 <= n < len(symbols) - 1 and (i := usable.get(symbols[n][0] + symbols[n + 1][0])) is not None:
+                if number == skip:
+                    skip = next(draws)
+                else:
+                    open_merges[symbols[n][1], symbols[n + 1][1]] = ((-model.get_score(i), i), symbols[n][1])
+                number += 1
+
+        for n in range(len(symbols) - 1):
+            meet(n)
+        while True:
+            live = {(a[1], b[1]): (a[0], b[0]) for a, b in zip(symbols, symbols[1:], strict=False)}
+            best = min((rank, pair) for pair, rank in open_merges.items() if pair in live) if any(p in live for p in open_merges) else None
+            if best is None:
+                break
+            n = next(k for k, x in enumerate(symbols) if x[1] == best[1][0])
+            symbols[n : n + 2] = [(symbols[n][0] + symbols[n + 1][0], symbols[n][1])]
+            for pair in [p for p in open_merges if best[1][0] in p or best[1][1] in p]:
+                del open_merges[pair]
+            meet(n)
+            meet(n - 1)
+        for x, _ in symbols:
+            out += [usable[x]] if x in usable else [model.piece_to_id(f"<0x{b:02X}>") for b in x.replace("\ud801", "▁").encode()]
+    return out
+
+
+def test_dropout_against_a_plain_agenda(monkeypatch):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=sentencepieces.model_path())
+    own = sentencepieces.Pieces(sentencepieces.model_path(), remember=200)
+    words = "thereof internationalisation the of thereofingationé中".split()
+    texts = [" ".join(words * n) for n in (1, 9, 30)] + ["ab" * 140 + " " + "thereofingation" * 12, "one\ntwo \n\nthree\n", *(t for t in STRANGE if len(t) < 1000)] * 2
+    for rate in (0.0, 0.1, 0.3, 1.0):
+        want = [brute_pieces(model, t, 5, rate) for t in texts]
+        for n in range(2):  # rare at first, then remembered
+            assert [i.tolist() for i in own.encode(texts, 5, rate)] == want
+            assert [own.encode([t], 5, rate)[0].tolist() for t in texts] == want
+        assert [own.decode(np.array(i)) for i in want] == texts
+        monkeypatch.setattr(sentencepieces, "LONG_WORD", 8 if n else 256)
+
+
+def test_each_occurrence_is_drawn_by_itself():
     own = sentencepieces.pieces(sentencepieces.model_path())
-    words = ["▁" + "thereofingationé中\n" * n for n in (1, 5, 12)]
-    assert own._segment(words, 7, 0.2, 1) == [own._segment_long(w, 7, 0.2, 1) for w in words]
-
-
-def test_dropout_is_drawn_for_each_occurrence():
-    own = sentencepieces.Pieces(sentencepieces.model_path(), remember=300)
-    words = "thereof internationalisation the of".split()
-    texts = [" ".join(words * n) for n in (1, 60, 61)] + ["ab" * 300 + " " + "thereofingation" * 12, *STRANGE] * 2
-    for rate in (0.1, 0.3):
-        ids = [own.encode([t], 5, rate)[0].tolist() for t in texts]
-        assert ids == [i.tolist() for i in own.encode(texts, 5, rate)]
-        assert [own.decode(np.array(i)) for i in ids] == texts
-        for t, got in zip(texts, ids, strict=True):
-            cut = own.words(t) if t else []
-            variants = own._variants([t], np.array([len(cut)]), np.array([len(cut)]), 5)
-            plain = [own._segment_long(own._form(w), 5, rate, int(v)) for w, v in zip(cut, variants, strict=True)]
-            assert b"".join(plain) == np.array(got, np.uint16).tobytes()
     same = own.encode([" ".join(["internationalisation"] * 400)], 5, 0.3)[0].tolist()
     starts = [n for n, i in enumerate(same) if own.text[i].startswith("▁")]
     forms = {tuple(same[a:b]) for a, b in zip(starts, [*starts[1:], len(same)], strict=True)}
     assert len(forms) > 20
 
 
+def test_gaps_between_skips_have_the_rate():
+    keys = np.random.default_rng(3).integers(0, 1 << 63, 200_000).astype(np.uint64)
+    for rate in (0.1, 0.5):
+        gaps = sentencepieces.passed(keys, 0, rate)
+        for k in range(4):
+            assert abs((gaps == k).mean() - rate * (1 - rate) ** k) < 0.005
+
+
+def test_a_word_of_a_million_letters():
+    own = sentencepieces.pieces(sentencepieces.model_path())
+    text = "therein" * 50_000
+    assert own.decode(own.encode([text], 1, 0.1)[0]) == text
+
+
 def brute_pii(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
