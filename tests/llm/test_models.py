@@ -1,5 +1,6 @@
 """Neighbours, SentencePiece, personal data, languages and quality, with odd rows."""
 
+import math
 import re
 import zlib
 from functools import cache
@@ -19,7 +20,7 @@ def test_neighbours_are_exact(spark):
     rows = [(n, v.tolist()) for n, v in enumerate(vecs)]
     rows += [(1000, None), (1001, [0.0] * 12), (1002, [float("nan")] * 12), (1003, [1.0, None] * 6), (1004, [float("inf")] * 12), (None, [1.0] * 12), (1005, [1.0, 2.0]), (7, vecs[7].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("group", F.lit("x"))
-    found = neighbours.nearest(df, df.where("vec_id % 20 = 0 or vec_id > 900"), k=10, n_groups=3).collect()
+    found = neighbours.nearest(df, df.where("vec_id % 20 = 0 or vec_id > 900"), k=10, n_tasks=3).collect()
     for q in range(0, 300, 20):
         d = [(float(np.sqrt(sum((a - b) * (a - b) for a, b in zip(vecs[q], vecs[n], strict=True)))), n) for n in range(300) if n != q]
         want = [(k, n, s) for k, (s, n) in enumerate(sorted(d)[:10], 1)]
@@ -34,18 +35,64 @@ def test_a_repeated_candidate_counts_once(spark):
     others = query + 0.5 * r.normal(size=(60, 12))
     rows = [(0, query.tolist())] + [(1, (query + 0.01 * r.normal(size=12)).tolist()) for _ in range(3000)] + [(n, v.tolist()) for n, v in enumerate(others, 2)]
     df = spark.createDataFrame([rows[n] for n in r.permutation(len(rows))], "vec_id long, embedding array<double>").coalesce(1)
-    found = neighbours.nearest(df, df.where("vec_id = 0"), k=10, n_groups=1).orderBy("rank").collect()
+    found = neighbours.nearest(df, df.where("vec_id = 0"), k=10, n_tasks=1).orderBy("rank").collect()
     least = {}
     for i, v in rows[1:]:
         least[i] = min(least.get(i, np.inf), float(np.sqrt(sum((a - b) * (a - b) for a, b in zip(query, v, strict=True)))))
     assert [(x.vec_id, x.score) for x in found] == [(i, d) for d, i in sorted((d, i) for i, d in least.items())[:10]]
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeated_rows_near_the_query(spark, parts):
+    r = np.random.default_rng(8)
+    query = r.normal(size=8)
+    rows = [(0, query.tolist())] + [(5, (query + 0.001 * r.normal(size=8)).tolist()) for _ in range(30)] + [(n, (query + r.normal(size=8)).tolist()) for n in range(6, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+    found = neighbours.nearest(df, df.where("vec_id = 0"), k=10).collect()
+    least = {}
+    for i, v in rows[1:]:
+        least[i] = min(least.get(i, np.inf), float(np.sqrt(sum((a - b) * (a - b) for a, b in zip(query, v, strict=True)))))
+    assert [(x.vec_id, x.score) for x in sorted(found, key=lambda x: x["rank"])] == [(i, d) for d, i in sorted((d, i) for i, d in least.items())[:10]]
+
+
+@pytest.mark.parametrize("size", [[1e160], [1e-300], [1e-160], [1.0], [1e160, 1.0, 1e-300, 1e-5, 0.9e308]])
+def test_huge_and_tiny_vectors(spark, size):
+    r = np.random.default_rng(9)
+    vecs = r.uniform(-1, 1, size=(400, 6)) * np.resize(size, 400)[:, None]
+    df = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(df, df.where("vec_id % 40 < 5"), k=10).collect()
+    for q in (n for n in range(400) if n % 40 < 5):
+        d = [(math.dist([x / 4 for x in vecs[q]], [x / 4 for x in vecs[n]]), n) for n in range(400) if n != q]
+        got = sorted((x["rank"], x.vec_id, x.score / 4) for x in found if x.query_id == q)
+        assert len(got) == 10 and np.allclose([s for _, _, s in got], [s for s, _ in sorted(d)[:10]], rtol=1e-9, atol=0)
+        assert all(np.isclose(s, math.dist([x / 4 for x in vecs[q]], [x / 4 for x in vecs[n]]), rtol=1e-9, atol=0) for _, n, s in got)
+
+
+def test_more_neighbours_asked_than_there_are(spark):
+    df = spark.createDataFrame([(n, [float(n), 1.0]) for n in range(4)] + [(9, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(df, df, k=10)
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found.collect()) == [(q, k, n) for q in range(4) for k, n in enumerate(sorted((n for n in range(4) if n != q), key=lambda n: (abs(n - q), n)), 1)]
+
+
+def test_the_grid_of_many_cells(spark, monkeypatch):
+    for name, value in {"QUERY_BLOCK": 7, "BLOCK": 11, "QUERY_GROUP": 20, "CELL_BLOCKS": 3}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    r = np.random.default_rng(10)
+    vecs = r.normal(size=(300, 5)).round(2)
+    df = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(vecs)], "vec_id long, embedding array<double>").repartition(3)
+    found = neighbours.nearest(df, df.where("vec_id < 90"), k=4, n_tasks=2)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    for q in range(90):
+        d = [(float(np.sqrt(sum((a - b) * (a - b) for a, b in zip(vecs[q], vecs[n], strict=True)))), n) for n in range(300) if n != q]
+        assert sorted((x["rank"], x.vec_id, x.score) for x in rows if x.query_id == q) == [(k, n, s) for k, (s, n) in enumerate(sorted(d)[:4], 1)]
+
+
 def test_bounds_hold():
     r = np.random.default_rng(2)
     a, b = r.normal(size=(40, 64)), r.normal(size=(90, 64)) * r.uniform(0.01, 100, (90, 1))
-    low, high = neighbours.bounds(neighbours.Quantised(a), neighbours.Quantised(b))
-    true = ((a[:, None] - b[None]) ** 2).sum(2)
+    low, high, unit = neighbours.bounds(neighbours.Quantised(a), neighbours.Quantised(b))
+    true = ((a[:, None] - b[None]) ** 2).sum(2) / 4.0**unit
     assert (low <= true).all() and (true <= high).all()
 
 
