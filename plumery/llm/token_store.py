@@ -8,6 +8,7 @@ task holds one shard at a time, and neither a frequent key nor the rows without
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumery.llm.common import shared_dir, small_batches, table
+from plumery.llm.common import materialise, shared_dir, small_batches, table
 
 MAGIC = b"PLTK"
 HEAD = struct.Struct("<4sHHQQQH")  # magic, version, bytes per id, documents, keys, ids, levels
@@ -127,6 +128,15 @@ class Shard:
     def of(self, row: int) -> np.ndarray:
         return self.ids[self.offsets[row] : self.offsets[row + 1]].astype("<u4")
 
+    def rows_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into keys, row) of every document of each key, led by the hash to the first of them."""
+        first = self.find(keys)
+        found = np.flatnonzero(first >= 0)
+        found = found[self.keys[first[found]] == keys[found]]  # a fingerprint can be another key's, once in 2^32
+        ends = np.append(np.flatnonzero((self.keys[1:] != self.keys[:-1]) | (self.known[1:] != self.known[:-1])) + 1, len(self.keys))
+        n = ends[np.searchsorted(ends, first[found], "right")] - first[found]
+        return np.repeat(found, n), np.repeat(first[found] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
 
 # --- encoding ---------------------------------------------------------------------------------------------------------
 
@@ -135,11 +145,27 @@ ODD_BLANKS = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f
 PAIRS = ("  ", " \n", "\n ", "\n\n")
 
 
+def plain_byte_bpe(parts: dict) -> bool:
+    """Whether a tokenizer file's parts let words be encoded by themselves: no normaliser, the byte-level cut, a bare BPE model."""
+    cut, model = parts.get("pre_tokenizer") or {}, parts.get("model") or {}
+    return (
+        parts.get("normalizer") is None
+        and parts.get("truncation") is None
+        and parts.get("padding") is None
+        and cut.get("type") == "ByteLevel"
+        and cut.get("add_prefix_space") is False
+        and cut.get("use_regex", True) is True
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    )
+
+
 class Encoder:
     """Ids of a byte-level BPE tokenizer of the tokenizers library, as little-endian bytes.
 
     A single blank between two words always starts a new piece, so words can be encoded by themselves and remembered.
-    Texts where that doesn't hold (runs of blanks, other white space, special tokens) go through ``encode`` whole.
+    Texts where that doesn't hold (runs of blanks, other white space, special tokens) go through ``encode`` whole. So do all
+    texts where the file declares anything else than a plain byte-level BPE with the usual way to cut words.
     """
 
     def __init__(self, path: str, remember: int = 600_000):
@@ -147,6 +173,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = plain_byte_bpe(json.loads(self.tokenizer.to_str()))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code, self.bpe = "H" if self.width == 2 else "I", self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -202,7 +229,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(x in text for x in PAIRS) or any(x in text for x in ODD_BLANKS) or any(x in text for x in self.special):
+        if not self.by_words or any(x in text for x in PAIRS) or any(x in text for x in ODD_BLANKS) or any(x in text for x in self.special):
             return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         later, out = self.later.__getitem__, []
         for n, line in enumerate(text.split("\n")):
@@ -263,29 +290,40 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, shard_bytes: i
     rows = small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("running"))
     (rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
      .mapInArrow(run, "part int, seq int, min_key long, max_key long, n_docs long, n_ids long, blob binary")
-     .write.option("compression", "zstd").parquet(path))
+     .write.option("compression", "zstd").partitionBy("part").parquet(path))
+
+
+SCHEMA = "seq int, min_key long, max_key long, n_docs long, n_ids long, blob binary, part int"
+
+
+def _store(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).parquet(path)
 
 
 def read_token_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document of the store, found through the shards' own indexes."""
-    store = spark.read.parquet(path)
+    """doc_id, start, n_tokens and ids_crc32 of every document of the store.
+
+    A shard's keys are looked up in its perfect hash, and what is returned is read where the hash leads; only documents
+    without a key are read by place. A key that the hash doesn't find is an error.
+    """
+    store = _store(spark, path)
     out = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, seq, blob in zip(*(batch.column(n) for n in range(3)), strict=True):
                 shard = Shard(blob.as_py())
-                first = shard.find(shard.keys)
-                seen = np.arange(len(shard.keys))
-                same = np.concatenate(([False], (shard.keys[1:] == shard.keys[:-1]) & shard.known[1:] & shard.known[:-1]))[: len(seen)]
-                start_of = np.maximum.accumulate(np.where(same, 0, seen))
-                if not (np.where(shard.known, first, seen) == np.where(shard.known, start_of, seen)).all():
+                asked = np.unique(shard.keys[shard.known])
+                found, rows = shard.rows_of(asked)
+                if len(rows) != shard.known.sum():
                     raise ValueError("a shard's index doesn't lead to its documents")
-                crcs = [zlib.crc32(shard.of(n).tobytes()) for n in range(len(seen))]
+                bare = np.flatnonzero(~shard.known)
+                keys, rows = pa.concat_arrays([pa.nulls(len(bare), pa.int64()), pa.array(asked[found])]), np.concatenate([bare, rows])
+                crcs = [zlib.crc32(shard.of(n).tobytes()) for n in rows.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(seen), part.as_py(), np.int32)), pa.array(np.full(len(seen), seq.as_py(), np.int32)),
-                        pa.array(shard.keys, mask=~shard.known), pa.array(shard.offsets[:-1]), pa.array(np.diff(shard.offsets)), pa.array(crcs, pa.int64()),
+                        pa.array(np.full(len(rows), part.as_py(), np.int32)), pa.array(np.full(len(rows), seq.as_py(), np.int32)),
+                        keys, pa.array(shard.offsets[rows]), pa.array(shard.offsets[rows + 1] - shard.offsets[rows]), pa.array(crcs, pa.int64()),
                     ],
                     schema=out,
                 )
@@ -303,28 +341,40 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """(doc_id, ids array<long>) of each document of the store whose key is in keys.doc_id; unknown keys give no row.
 
-    The partition is chosen by its key range (one row per partition is broadcast), the shard by an equi-join on the
-    partition, the document by the shard's perfect hash.
+    Partitions are in order of key: a key's are found by binary search in their bounds, of which there is one pair for each
+    partition of the store. Each partition's list of shards is one row, joined on the partition; the document is where the
+    shard's perfect hash says. Only partitions that a key leads to are read.
     """
-    store = spark.read.parquet(path)
-    ranges = store.groupBy("part").agg(F.min("min_key").alias("low"), F.max("max_key").alias("high"))
-    asked = keys.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    near = asked.join(F.broadcast(ranges), F.col("doc_id").between(F.col("low"), F.col("high"))).select("doc_id", "part")
-    near = near.join(store.select("part", "seq", "min_key", "max_key"), "part").where(F.col("doc_id").between(F.col("min_key"), F.col("max_key")))
+    store = _store(spark, path)
+    bounds = sorted((r.low, r.high, r.part) for r in store.where(F.col("min_key").isNotNull()).groupBy("part").agg(F.min("min_key").alias("low"), F.max("max_key").alias("high")).collect())
+    low, high, part = (np.array(x, np.int64) for x in (zip(*bounds, strict=True) if bounds else ([], [], [])))
+    asked = keys.select(F.col("doc_id").cast("long")).where(F.col("doc_id").isNotNull()).distinct()
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            first, n = np.searchsorted(high, k, "left"), np.searchsorted(low, k, "right")
+            n = np.maximum(n - first, 0)
+            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k, n)), pa.array(part[at].astype(np.int32))], names=["doc_id", "part"])
+
+    near = materialise(asked.mapInArrow(route, "doc_id long, part int"))
+    wanted = sorted(r.part for r in near.select("part").distinct().collect())
+    store = store.where(F.col("part").isin(wanted))
+    shards = store.groupBy("part").agg(F.collect_list(F.struct("seq", "min_key", "max_key")).alias("shards"))
+    holding = F.filter("shards", lambda s: F.col("doc_id").between(s["min_key"], s["max_key"]))
+    near = near.join(shards, "part").select("doc_id", "part", F.explode(F.transform(holding, lambda s: s["seq"])).alias("seq"))
 
     def run(wanted: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for blob in shards["blob"]:
+        asked = wanted["doc_id"].to_numpy(np.int64)
+        for blob in shards["blob"] if len(asked) else []:
             shard = Shard(blob)
-            asked = wanted["doc_id"].to_numpy(np.int64)
-            for k, row in zip(asked, shard.find(asked), strict=True):
-                while row >= 0 and row < len(shard.keys) and shard.known[row] and shard.keys[row] == k:
-                    found.append((int(k), shard.of(row).astype(np.int64)))
-                    row += 1
+            found += [(int(asked[n]), shard.of(row).astype(np.int64)) for n, row in zip(*(x.tolist() for x in shard.rows_of(asked)), strict=True)]
         return pd.DataFrame(found, columns=["doc_id", "ids"])
 
-    shards = spark.read.parquet(path).select("part", "seq", "blob").join(near.select("part", "seq").distinct(), ["part", "seq"], "left_semi")
-    return near.groupBy("part", "seq").cogroup(shards.groupBy("part", "seq")).applyInPandas(run, "doc_id long, ids array<long>")
+    blobs = store.select("part", "seq", "blob")
+    return near.groupBy("part", "seq").cogroup(blobs.groupBy("part", "seq")).applyInPandas(run, "doc_id long, ids array<long>")
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Line dedup, SimHash, sharding, token store and decontamination against brute force, with odd rows."""
 
 import hashlib
+import json
 import re
 import zlib
 
@@ -170,6 +171,32 @@ def test_token_store_parts_a_frequent_key(spark, tokenizer):
     assert sorted((r.doc_id, tuple(r.ids)) for r in found) == sorted((i, (*t.encode(x, add_special_tokens=False).ids, 0)) for i, x in rows if i in (5, 6, 12))
 
 
+@pytest.mark.parametrize("change", [None, {"add_prefix_space": True}, {"use_regex": False}])
+def test_other_tokenizer_files_encode_whole(tmp_path, tokenizer, change):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    if change:
+        parts = json.loads(open(tokenizer).read())
+        parts["pre_tokenizer"] |= change
+        path = str(tmp_path / "own.json")
+        open(path, "w").write(json.dumps(parts))
+    t, own = Tokenizer.from_file(path), token_store.Encoder(path)
+    assert not own.by_words and token_store.Encoder(tokenizer).by_words
+    for text in ["Some Words, and more words.", " a  b", "x\ny z", "don't 12"]:
+        assert np.frombuffer(own(text), np.uint16 if own.width == 2 else np.uint32).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_lookup_reads_by_bounds(spark, tokenizer):
+    docs, path = spark.createDataFrame([(n * 3, f"text {n}") for n in range(500)], "doc_id long, text string"), shared_dir(spark)
+    token_store.write_token_store(docs, path, tokenizer, shard_bytes=100, n_parts=5)
+    found = token_store.lookup(spark, path, spark.range(0, 200).selectExpr("id as doc_id", "id as part", "id as seq"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert sorted(r.doc_id for r in found.collect()) == list(range(0, 200, 3))
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).choice(1 << 40, 5000, replace=False).astype(np.int64) - (1 << 39)
     index = token_store.PerfectHash.build(keys)
