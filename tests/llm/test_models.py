@@ -326,6 +326,77 @@ def test_quality_on_held_out(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in rows) >= 0.9 * len(rows)
 
 
+def test_the_kinds_of_bad_text_that_training_never_had(spark):
+    """Learned at sf0.1; no such text is in it. Nothing in the training says that these are bad: most are told by what they share with other bad text."""
+    sf = "/root/testdata/sf0.1"
+    _, model = quality._fitted(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), 5)
+    unseen = ["BUY NOW CHEAP WATCHES ONLINE CLICK HERE FOR MORE " * 20, "asdf jkl; qwer zxcv hjkl; asd " * 40, '<div class="x"><a href="/p?id=1">home</a></div> ' * 30, "Ã©tÃ© â€œÃ  la â€™ " * 40, "*** --- *** === " * 40]
+    assert sum(model.score(np.array([quality.features(t) for t in unseen], np.float64)) < 0.3) >= 4
+    assert 0.8 < model.prior < 0.93
+
+
+def risk_by_hand(x, positive, theta, prior, ridge):
+    loss = lambda z: np.log1p(np.exp(-z))
+    g = x @ theta
+    negative = loss(-g).mean() - prior * loss(-g[positive]).mean()
+    return prior * loss(g[positive]).mean() + max(0, negative) + ridge / 2 * (theta[1:] ** 2).sum(), negative
+
+
+def sampled(seed, n=400, d=5):
+    r = np.random.default_rng(seed)
+    good = r.random(n) < 0.7
+    x = np.column_stack([np.ones(n), r.normal(size=(n, d - 1)) + 1.5 * good[:, None]])
+    return x, good & (r.random(n) < 0.4), r.normal(size=d) * 0.3
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_risk_and_gradient_by_hand(seed):
+    x, positive, theta = sampled(seed)
+    at = lambda t: (quality.Sums(quality.sums_of(x, t), x.shape[1]), quality.Sums(quality.sums_of(x[positive], t), x.shape[1]))
+    own = quality.NonNegative(*at(theta), theta, 0.7, 0.01)
+    risk, negative = risk_by_hand(x, positive, theta, 0.7, 0.01)
+    assert np.isclose(own.risk, risk) and np.isclose(own.negative, negative)
+    for k in range(len(theta)):
+        e = np.eye(len(theta))[k] * 1e-6
+        (up, n_up), (down, n_down) = (risk_by_hand(x, positive, theta + s * e, 0.7, 0.0) for s in (1, -1))
+        assert np.isclose(own.up[k], (n_up - n_down) / 2e-6, atol=1e-6)
+        if negative > 0:
+            assert np.isclose(own.gradient[k], (up - down) / 2e-6, atol=1e-6)
+    found = quality.fit(at, x.shape[1], 0.7, 1e-3)
+    last = risk_by_hand(x, positive, found, 0.7, 1e-3)
+    assert last[1] > -0.01
+    r = np.random.default_rng(seed)
+    for _ in range(300):  # no point near by that keeps the floor is better
+        near = risk_by_hand(x, positive, found + r.normal(size=len(found)) * 0.05, 0.7, 1e-3)
+        assert near[1] < last[1] or near[0] > last[0] - 1e-3
+
+
+def test_sums_in_spark_are_those_by_hand(spark):
+    d, r = len(quality.FEATURES), np.random.default_rng(1)
+    x, positive, theta = r.normal(size=(60, d)).astype(np.float32), r.integers(0, 3, 60), r.normal(size=d) * 0.1
+    rows = spark.createDataFrame([(v.tolist(), int(p)) for v, p in zip(x, positive, strict=True)], "x array<float>, positive int").repartition(3)
+    u, p = quality.summed(rows, np.zeros(d), np.ones(d), (1,))(theta)
+    for got, part in ((u, x), (p, x[positive == 1])):
+        s = 1 / (1 + np.exp(-(part.astype(float) @ theta)))
+        assert np.allclose(got.sx, (s[:, None] * part).mean(0)) and np.allclose(got.curve, (part * (s * (1 - s))[:, None]).T.astype(float) @ part / len(part), atol=1e-6)
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.9])
+def test_prior_of_a_mixture(prior):
+    r = np.random.default_rng(5)
+    good, bad = (np.clip(r.normal(m, 120, 200_000), 0, 999).astype(int) for m in (700, 300))
+    n = int(prior * 100_000)
+    u = np.bincount(np.concatenate([good[:n], bad[: 100_000 - n]]), minlength=1000)
+    assert abs(quality.best_bin_prior(u, np.bincount(good[100_000:], minlength=1000)) - prior) < 0.03
+
+
+def test_features_of_long_texts_are_counted_by_pieces(monkeypatch):
+    texts = ["Ab1 c!\n\n" * 40, "a", "  ", None, "é中 " * 30]
+    whole = [quality.features(t) for t in texts]
+    monkeypatch.setattr(quality, "CHUNK", 7)
+    assert all(np.allclose(a, quality.features(t)) for a, t in zip(whole, texts, strict=True))
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(n, "Some plain text of words, as written.", 1) for n in range(40)] + [(50, None, 1), (51, "", 1), (52, "## $$ " * 5000, 1), (52, "## $$ " * 5000, 1), (None, "plain", 1)], "doc_id long, text string, x int")
     labels = spark.createDataFrame([(n, 1) for n in range(20)] + [(None, 1), (52, 0), (52, 1)], "doc_id long, quality int")
