@@ -1,8 +1,10 @@
 """Personal data: plain identifiers, and disguised ones found by offset-preserving deobfuscation.
 
 A chain of small transducers rewrites a text while carrying, for each character written, the source characters it stands
-for: look-alike letters, foreign digits and invisible characters; spelled digits; "at", "dot" and "plus" in words or
-brackets. The plain detectors then run over the rewritten text, and what they find is mapped back to source positions.
+for: look-alike letters, foreign digits and invisible characters; letters for digits and spelled digits; "at", "dot", "plus",
+"underscore" and "dash" in words, "@" and "." in brackets. The plain detectors then run over the rewritten text, and what they
+find is mapped back to source positions. A bare "at" counts before a domain with a disguised dot, or with plain dots where
+what stands before it looks like an address already; words of everyday language aren't taken for a domain's labels.
 Only texts that hold a trigger, which is anything that a transducer rewrites, are rewritten.
 """
 
@@ -89,14 +91,34 @@ _FOREIGN = re.compile(f"[{_HIDDEN}{re.escape(''.join(_ALIKE))}！-～٠-٩۰-۹
 _NAME = "|".join(DIGIT_WORDS)
 _SPELLED = re.compile(rf"\b(?:{_NAME})(?:[\x20-](?:{_NAME}))*\b", re.I)
 _OPEN, _CLOSE = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
-_DOT = re.compile(rf"{_OPEN}dot{_CLOSE}|(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])", re.I)
-#: Endings that a bare "dot" must come before for a bare "at" to be an address.
-ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|eu|uk|us|ca|au|de|fr|es|it|nl|ch|at|be|pl|se|no|jp|cn|in|br|ru|mx|example|test"
-_AT = re.compile(rf"{_OPEN}at{_CLOSE}|(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]+(?:[.\ue000][A-Za-z0-9-]+)*\ue000(?:{ENDINGS})\b)", re.I)
+_DOT = re.compile(rf"{_OPEN}(?:dot|\.){_CLOSE}|(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])", re.I)
+#: Words that stand beside "at" and "dot" in plain sentences, and so are no label of a disguised domain.
+EVERYDAY = frozenset(
+    "a an the this that these those my our your his her its their one two some any all each every no not and or but so as if in on of to by for from with into over under "
+    "is was are were be been it he she we you they there here then than when where which who what noon night home last first least most once".split()
+)
+_AT = re.compile(rf"{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9])\x20at\x20(?=((?:[A-Za-z0-9-]+[.\ue000])+)([A-Za-z]{{2,24}})(?![A-Za-z0-9-]))", re.I)
+_LAST_WORD = re.compile(r"[A-Za-z0-9._%+-]+$")
 _PLUS = re.compile(r"\bplus\x20(?=[0-9])", re.I)
-#: What any transducer rewrites: a text without any of these would stay as it is. A bare "at" needs a dot's mark (U+E000),
-#: and "plus" before a spelled digit has that digit.
-_TRIGGER = re.compile(rf"{_FOREIGN.pattern}|\b(?:{_NAME})\b|\bdot\b|{_OPEN}(?:dot|at){_CLOSE}|{_PLUS.pattern}|\ue000", re.I)
+_JOIN = re.compile(r"(?<=[A-Za-z0-9])\x20(underscore|dash|hyphen)\x20(?=[A-Za-z0-9])", re.I)
+#: Letters that stand for a digit beside digits.
+DIGIT_LETTERS = {"O": "0", "o": "0", "l": "1", "I": "1", "S": "5", "B": "8"}
+_MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[OolISB]*[0-9])[0-9]*[OolISB][0-9OolISB]*(?![A-Za-z0-9])")
+#: Words that a transducer may rewrite; they begin at a border as well, which is looked at afterwards.
+_HINT = re.compile(rf"(?:{_NAME}|dot|plus|underscore|dash|hyphen)\b")
+_MARKS = re.compile(r"[\[({<]\s?(?:[dD][oO][tT]|[aA][tT]|[.@])\s?[\])}>]|\ue000|\x20[aA][tT]\x20[A-Za-z0-9-]+\.[A-Za-z0-9-]")
+
+
+def triggered(text: str) -> bool:
+    """Whether any transducer might rewrite something: what it leaves out would stay as it is."""
+    # re.I takes the long s and the i's with and without a dot for s and i.
+    low = text.lower() if text.isascii() else text.lower().replace("ſ", "s").replace("ı", "i").replace("i\u0307", "i")
+    return bool(
+        (not text.isascii() and _FOREIGN.search(text))
+        or _MARKS.search(text)
+        or any(not (at := m.start()) or not (low[at - 1].isalnum() or low[at - 1] == "_") for m in _HINT.finditer(low))
+        or (_DIGIT.search(text) and _MIXED.search(text))
+    )
 
 
 class Tape:
@@ -142,20 +164,32 @@ def _spelled(m: re.Match) -> str:
     return "".join(_DIGIT_OF[w.upper().replace("İ", "I").lower()] for w in re.split("[ -]", m[0]))
 
 
+def _at(m: re.Match) -> str:
+    if m[1] is None:  # in brackets
+        return "@"
+    labels = re.split("[.\ue000]", m[1])[:-1]
+    if "\ue000" in m[1]:
+        return m[0] if m[2].lower() in EVERYDAY or any(x.lower() in EVERYDAY for x in labels) else "@"
+    before = _LAST_WORD.search(m.string, max(0, m.start() - 64), m.start())
+    return "@" if before and re.search("[0-9._]", before[0]) else m[0]
+
+
 def deobfuscated(text: str) -> Tape:
     tape = Tape(text)
     tape.rewrite(_FOREIGN, _plain)
+    tape.rewrite(_MIXED, lambda m: "".join(DIGIT_LETTERS.get(c, c) for c in m[0]))
     tape.rewrite(_SPELLED, _spelled)
     tape.rewrite(_PLUS, lambda m: "+")
+    tape.rewrite(_JOIN, lambda m: "_" if m[1].lower() == "underscore" else "-")
     tape.rewrite(_DOT, lambda m: "\ue000")  # marks a disguised dot: a bare "at" counts only before one
-    tape.rewrite(_AT, lambda m: "@")
+    tape.rewrite(_AT, _at)
     tape.rewrite(re.compile("\ue000"), lambda m: ".")
     return tape
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:
     """base and the spans of disguised identifiers; one that overlaps a base span of its kind is left out."""
-    if not _TRIGGER.search(text):
+    if not triggered(text):
         return base
     tape = deobfuscated(text)
     taken = {k: [(s, e) for s, kind, e in base if kind == k] for k in range(len(KINDS))}
@@ -222,6 +256,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain and disguised personal data of every document."""
     from pyspark.sql import functions as F
 
     found = find_pii(table(spark, sf_dir, "documents"))

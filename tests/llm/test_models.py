@@ -251,6 +251,56 @@ def test_disguises(text, kind, found):
     assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.all_spans(text, pii.base_spans(text))] == [(kind, found)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("john at example dot xyz now", "email", "john at example dot xyz"), ("john.smith at example.com now", "email", "john.smith at example.com"), ("ip 192[.]168[.]1[.]1 ok", "ip", "192[.]168[.]1[.]1"),
+        ("card 4lll 1111 1111 1111 ok", "card", "4lll 1111 1111 1111"), ("call +44 2O 7946 0958", "phone", "+44 2O 7946 0958"), ("mail a.b[@]c[.]museum!", "email", "a.b[@]c[.]museum"),
+        ("john underscore smith at my-site dot travel", "email", "john underscore smith at my-site dot travel"), ("x99 at a.b.co", "email", "x99 at a.b.co"),
+    ],
+)
+def test_disguises_of_any_ending(text, kind, found):
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.all_spans(text, pii.base_spans(text))] == [(kind, found)]
+
+
+def disguised(r):
+    """A text with one disguised identifier, its kind and where it stands."""
+    word = lambda: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), r.integers(3, 9)))
+    dot, at = (x[r.integers(len(x))] for x in ((" dot ", "[.]", " (dot) ", "{dot}", "[dot]"), (" at ", "[at]", " (at) ", "{@}", " <at> ")))
+    kind = r.integers(4)
+    if kind == 0:
+        found = word() + at + word() + dot + word()
+    elif kind == 1:
+        found = dot.join(str(r.integers(256)) for _ in range(4))
+    elif kind == 2:
+        digits = "".join(map(str, r.integers(0, 10, 15)))
+        digits += next(c for c in "0123456789" if pii.luhn(digits + c))
+        n = r.integers(1, 15)
+        names = dict(zip("0123456789", pii.DIGIT_WORDS, strict=True))
+        found = digits[:n] + " " + names[digits[n]] + " " + digits[n + 1 :] if r.random() < 0.5 else digits.translate(str.maketrans("01", "Ol"))
+    else:
+        found = "plus " + " ".join(pii.DIGIT_WORDS[d] for d in r.integers(0, 10, 11))
+    before = " ".join(word() for _ in range(5)) + ": "
+    return before + found + " " + word(), kind, (len(before), len(before) + len(found))
+
+
+CLEAN = (
+    "look at the dot on the map|meet at noon dot and go|version 2 dot 3 is out|we work at example.com today|see note (1) at page 4.5 of it|he stood at home|room 1O1 is free|(at) last|a dot and a dash at night|"
+    "the one at the end|plus one more|at one point two of them|IPs l.O.l.O aside|it is at least 3.5 km|they were at the dot. com was there|call me at ten|item 5S costs 12|one two three four five six|look at it. the end"
+).split("|")
+
+
+def test_recall_and_precision_of_disguises():
+    r = np.random.default_rng(11)
+    caught = 0
+    for _ in range(2000):
+        text, kind, (a, b) = disguised(r)
+        spans = [s for s in pii.all_spans(text, pii.base_spans(text)) if s[1] == kind]
+        caught += any(s[0] < b and s[2] > a for s in spans)
+    wrong = sum(bool(pii.all_spans(t, pii.base_spans(t))) for t in CLEAN)
+    assert caught >= 0.97 * 2000 and wrong == 0, (caught, wrong)
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "found"),
     [
@@ -264,10 +314,10 @@ def test_lone_spelled_digits(text, kind, found):
 
 def test_trigger_loses_nothing(monkeypatch):
     r = np.random.default_rng(6)
-    parts = ["one", "Six", "fİve", "zero", "1", "4111 1111 1111", "192.168", ".", " ", "-", "+", "plus ", "(", ")", " at ", " dot ", "[at]", "{ dot }", "a@b", "com", "x", "\ue000", "１"]
+    parts = ["one", "Six", "fİve", "zero", "1", "4111 1111 1111", "192.168", ".", " ", "-", "+", "plus ", "(", ")", " at ", " dot ", "[at]", "{ dot }", "a@b", "com", "x", "\ue000", "１", "[.]", "(@)", "O", "l", "a.b", " dash "]
     texts = ["".join(r.choice(parts, 9)) for _ in range(4000)]
     quick = [pii.all_spans(t, pii.base_spans(t)) for t in texts]
-    monkeypatch.setattr(pii, "_TRIGGER", re.compile(""))
+    monkeypatch.setattr(pii, "triggered", lambda t: True)
     assert quick == [pii.all_spans(t, pii.base_spans(t)) for t in texts]
     assert sum(len(q) > len(pii.base_spans(t)) for q, t in zip(quick, texts, strict=True)) > 20
 
