@@ -13,8 +13,12 @@ Four differing bits fall on the three segments in one of two ways (pigeonhole):
   and, of each of the two others, the half that is equal, for each choice of the third and of the halves.
 
 Fingerprints that share a key meet in one task, sorted by key, where the distance is verified. Only the edges of a spanning
-forest leave a run of equal keys, never all its pairs. Keys belong to distinct fingerprints, so a group of copies is one
-row, and a group of near copies at most as many as the Hamming ball around it has fingerprints.
+forest leave a run of equal keys, never all its pairs. Keys belong to distinct fingerprints, so a group of copies is one row.
+
+``keep_one`` asks for similar texts instead: sets of five-word shingles with a similarity of 0.8 or more. Such texts differ in
+10 of 64 bits on average, out of reach of keys with an equal segment. So it takes two fingerprints, and as keys a near codeword
+of each of two segments, for each pair of segments: errors of two segments may be several each. What meets is compared in all
+128 bits, and the closest pairs that tie each run together are verified by their very sets of shingles.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumery.llm.common import LOWER, UPPER, join_skewed, materialise, small_batches, table
@@ -180,6 +184,22 @@ def _edges_of_runs(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.nd
     return pairs[:, 0], pairs[:, 1]
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first one, cut anew where that changes; a run over many batches is put together once."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut or (held and held[-1][0][-1] != columns[0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in columns], strict=True)]
+            held = []
+        held.append([c[cut:] for c in columns])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def near_edges(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints of fps(fp) that tie all that are linked within 4 bits."""
 
@@ -192,19 +212,9 @@ def near_edges(fps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[rows].view(np.int64))], names=["key", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_k, rest_f = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-        def out(keys: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-            a, b = _edges_of_runs(keys, own)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        for batch in batches:
-            keys = np.concatenate([rest_k, batch.column(0).to_numpy()])
-            own = np.concatenate([rest_f, batch.column(1).to_numpy().view(np.uint64)])
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            rest_k, rest_f = keys[cut:], own[cut:]
-            yield out(keys[:cut], own[:cut])
-        yield out(rest_k, rest_f)
+        for keys, own in whole_runs(batches):
+            a, b = _edges_of_runs(keys, own.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     keys = fps.select("fp").mapInArrow(keyed, "key long, fp long")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -228,15 +238,186 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     return join_skewed(prints, facts, ["fp"], "copies", prints.count()).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 4) -> DataFrame:
-    """The rows of docs that lead their group of near duplicates: those whose doc_id is the component's smallest.
+# --- similar texts ----------------------------------------------------------------------------------------------------
+
+#: The bits of 128 in which two fingerprints may differ: texts of similarity 0.8 differ in 19 on average, others in 64. Pairs are
+#: tied together in this order, the closest ones first.
+LEVELS = (12, 20, 27, 34)
+
+
+def sketch(text: str | None, width: int) -> tuple[int, int, np.ndarray]:
+    """Two fingerprints, of the shingles' XXH64 and of the same mixed once more, and the sorted set of 32 bits of each."""
+    from xxhash import xxh64_intdigest
+
+    words = words_of(text)
+    if not words:
+        return 0, 0, np.zeros(0, np.uint32)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    n = max(1, len(words) - width + 1)
+    starts, ends = np.concatenate(([0], ends[:-1] + 1))[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist()
+    counts, kept = np.zeros(128, np.int64), []
+    for at in range(0, n, 4096):
+        h = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[at : at + 4096], ends[at : at + 4096], strict=True)], np.uint64)
+        with np.errstate(over="ignore"):
+            more = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+        counts += np.unpackbits(np.stack([h, more ^ more >> np.uint64(29)], 1).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        kept.append((h >> np.uint64(32)).astype(np.uint32))
+    one, two = np.packbits(counts * 2 > n, bitorder="little").view(np.uint64).tolist()
+    return one, two, np.unique(np.concatenate(kept))
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_hash, one, two, shingles) of every row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(t.as_py(), width) for t in batch.column(2)]
+            prints = np.array([f[:2] for f in found], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([f[2].tobytes() for f in found], pa.binary())], names=["doc_id", "text_hash", "one", "two", "shingles"]
+            )
+
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), _text_hash(F.col("text")).alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, one long, two long, shingles binary")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of uint64 fingerprints: a near codeword of each of two segments, for the three pairs of segments."""
+    near = [near_codewords((fps >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)) for at, n in SEGMENTS]
+    rows, keys = [], []
+    for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+        (a, good_a), (b, good_b) = near[i], near[j]
+        key = kind << 24 | a[:, :, None] << 12 | b[:, None, :]
+        good = good_a[:, :, None] & good_b[:, None, :]
+        rows.append(np.nonzero(good)[0])
+        keys.append(key[good])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def level_forest(prints: np.ndarray, levels: tuple[int, ...] = LEVELS) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that tie rows of prints (n, 2) together: at each level, every tree is tied to all trees within that many bits."""
+    n = len(prints)
+    tree, a, b = np.arange(n), [], []
+    for level in levels:
+        left = np.arange(n)
+        while len(left):
+            own = tree[left[0]]
+            todo, left = left[tree[left] == own].tolist(), left[tree[left] != own]
+            while todo and len(left):
+                node = todo.pop()
+                bits = np.bitwise_count(prints[left] ^ prints[node]).sum(1)
+                close = np.flatnonzero(bits <= level)
+                if not len(close):
+                    continue
+                close = close[np.argsort(bits[close], kind="stable")]
+                trees, first = np.unique(tree[left[close]], return_index=True)
+                a.append(np.full(len(trees), node))
+                b.append(left[close[first]])
+                reached = np.isin(tree[left], trees)
+                todo.extend(left[reached].tolist())
+                tree[left[reached]] = own
+                left = left[~reached]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a) if a else none), (np.concatenate(b) if b else none)
+
+
+def candidate_edges(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes(node, one, two) that tie together what shares a key and is close in all bits."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                for kind in (1, 2):
+                    rows, keys = pair_keys(part.column(kind).to_numpy().view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array((keys | kind << 26).astype(np.int32)), *(c.take(pa.array(rows)) for c in part.columns)], names=["key", "node", "one", "two"])
+
+    def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, node, one, two in whole_runs(batches):
+            prints = np.stack([one, two], 1).view(np.uint64)
+            cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+            sizes = np.diff(cuts)
+            short = np.repeat(sizes <= 16, sizes)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for step in range(1, min(16, len(keys))):
+                hit = np.flatnonzero((keys[step:] == keys[:-step]) & short[step:])
+                hit = hit[np.bitwise_count(prints[hit + step] ^ prints[hit]).sum(1) <= LEVELS[-1]]
+                a.append(hit)
+                b.append(hit + step)
+            for k in np.flatnonzero(sizes > 16).tolist():
+                x, y = level_forest(prints[cuts[k] : cuts[k + 1]])
+                a.append(x + cuts[k])
+                b.append(y + cuts[k])
+            a, b = node[np.concatenate(a)], node[np.concatenate(b)]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = nodes.select("node", "one", "two").mapInArrow(keyed, "key int, node long, one long, two long")
+    return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tied, "a long, b long").distinct()
+
+
+def similar_edges(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose sets(node, shingles) have a Jaccard similarity of at least that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"))
+    return edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
 
-    Of rows with that same doc_id, and of rows without any, all stay.
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text_hash, n_rows): the leading row of each group of docs' similar texts, and how many rows are like it in both.
+
+    Texts are linked if their sets of shingles of ``width`` words (all words, where there are fewer) have at least that
+    similarity; texts without words are linked with each other. A group's leader has the smallest doc_id, then text_hash. Rows
+    without a doc_id play no part.
+    """
+    prints = materialise(sketches(docs.where(F.col("doc_id").isNotNull()), width))
+    alike = prints.groupBy("one", "two", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n_rows"))
+    nodes = alike.groupBy("one", "two").agg(F.min(F.struct("doc_id", "text_hash", "n_rows")).alias("lead"))
+    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "one", "two", "lead"))
+    edges = materialise(candidate_edges(nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    wanted = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    wanted = nodes.join(wanted, "node").select("node", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_hash").alias("text_hash"))
+    sets = materialise(prints.select("doc_id", "text_hash", "shingles").join(wanted, ["doc_id", "text_hash"]).groupBy("node").agg(F.first("shingles").alias("shingles")))
+    roots = connected_components(similar_edges(edges, sets, similarity))
+    rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("lead").alias("lead"))
+    return rooted.select("lead.*")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of similar texts of docs, as similar_groups() has them: the one with the smallest doc_id.
+
+    Of rows alike in doc_id and text one stays; of rows with the same doc_id and texts that aren't similar, each group's leader
+    stays. Rows without a doc_id all stay. Columns stay as they are. An empty table gives none.
     """
-    lead = near_duplicates(docs.where(F.col("doc_id").isNotNull()), width).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_sh_id")).distinct()
-    return docs.join(lead, docs["doc_id"] == F.col("_sh_id"), "left").where(F.col("_sh_id").isNotNull() | docs["doc_id"].isNull()).drop("_sh_id")
+    lead = materialise(similar_groups(docs, width, similarity).withColumnsRenamed({"doc_id": "_sh_id", "text_hash": "_sh_hash", "n_rows": "_sh_rows"}))
+    whole = [F.col(c) for c in docs.columns]
+
+    def of(some: DataFrame) -> DataFrame:
+        return docs.join(some, (F.col("doc_id") == F.col("_sh_id")) & (_text_hash(F.col("text")) == F.col("_sh_hash")))
+
+    kept = of(lead.where("_sh_rows = 1")).select(*whole).unionByName(docs.where(F.col("doc_id").isNull()))
+    several = lead.where("_sh_rows > 1")
+    if several.isEmpty():
+        return kept
+    return kept.unionByName(of(several).groupBy("_sh_id", "_sh_hash").agg(F.first(F.struct(*whole)).alias("_sh_row")).select("_sh_row.*"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, by 4-word shingles and 4 bits."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
