@@ -69,7 +69,7 @@ def connected_regions(pixels: DataFrame, eight: bool = True, tile: int = TILE) -
     schema = f"image_id {kind}, row int, col int, lead_row int, lead_col int"
     local = t.select("image_id", F.col("row").cast("int"), F.col("col").cast("int"), "_tr", "_tc").distinct().groupBy("image_id", "_tr", "_tc").applyInPandas(run, schema).checkpoint()
     local = local.withColumn("node", F.struct("image_id", "lead_row", "lead_col"))
-    edge = local.where((F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1))
+    edge = local.where(F.pmod("row", F.lit(tile)).isin(0, tile - 1) | F.pmod("col", F.lit(tile)).isin(0, tile - 1))  # places may be negative
     near = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (AROUND_8 if eight else AROUND_4)))
     beside = edge.select("node", "image_id", "row", "col", F.explode(near).alias("s")).select(F.col("node").alias("a"), "image_id", (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"))
     edges = beside.join(edge.select("image_id", "row", "col", F.col("node").alias("b")), ["image_id", "row", "col"]).where("a <> b").select("a", "b").distinct().checkpoint()

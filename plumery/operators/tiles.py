@@ -130,17 +130,12 @@ def shift_and_stitch(pixels: DataFrame, shape: DataFrame, model: Callable[[np.nd
     tile = max(-(-tile // scale) * scale, halo)
 
     def run(a: np.ndarray, r0: int, c0: int) -> np.ndarray:
-        n, m = a.shape[0] + scale, a.shape[1] + scale
-        out = np.zeros((n, m))
-        for top in range(scale):
-            shifted = np.zeros((scale, n, m))
-            for left in range(scale):
-                shifted[left, top : top + a.shape[0], left : left + a.shape[1]] = a
-            for left, found in enumerate(model(shifted)):
-                out[scale - top - 1 :: scale, scale - left - 1 :: scale] = found
-        half = scale // 2
-        out = out[half : a.shape[0] + half, half : a.shape[1] + half]
-        return out[halo : halo + tile, halo : halo + tile]
+        # Moved down by t, a pixel's cell of the coarse result is a division's quotient, and t is what its remainder lacks to a whole cell.
+        cell, rest = np.divmod(np.arange(halo, halo + tile) + scale // 2, scale)
+        t = scale - 1 - rest
+        moved = np.stack([np.pad(a, ((down, scale - down), (right, scale - right))) for down in range(scale) for right in range(scale)])
+        coarse = np.asarray(model(moved)).reshape(scale, scale, moved.shape[1] // scale, moved.shape[2] // scale)
+        return coarse[t[:, None], t[None, :], cell[:, None], cell[None, :]]
 
     return map_tiles(pixels, shape, "cmf", halo, run, tile).withColumnRenamed("value", "score")
 

@@ -32,22 +32,22 @@ def points_in_lines(spark: SparkSession, d: str) -> DataFrame:
 def weak_labels(spark: SparkSession, d: str) -> DataFrame:
     """Pixels of the regions that candidates lie in."""
     found = regions.connected_regions(V.grid_pixels(spark, d).where("cmf > 2500"))
-    at = V.plumes(spark, d).selectExpr("row_id % 15 AS image_id", "cast(row_id % 61 as int) AS row", "cast(row_id % 59 as int) AS col", "facility AS label").distinct()
+    at = V.plumes(spark, d).selectExpr(V.candidate_image(spark, d), "cast(row_id % 61 as int) AS row", "cast(row_id % 59 as int) AS col", "facility AS label").distinct()
     return regions.weak_labels(found, at).select("image_id", "row", "col", "region_id", "label")
 
 
 def cut_tiles(spark: SparkSession, d: str) -> DataFrame:
-    corners = V.plumes(spark, d).where("lat is not null").selectExpr("row_id AS tile_id", "row_id % 15 AS image_id", "cast(row_id % 61 as int) - 2 AS row0", "cast(row_id % 59 as int) - 2 AS col0")
+    corners = V.plumes(spark, d).where("lat is not null").selectExpr("row_id AS tile_id", V.candidate_image(spark, d), "cast(row_id % 61 as int) - 2 AS row0", "cast(row_id % 59 as int) - 2 AS col0")
     return tiles.extract_tiles(V.grid_pixels(spark, d), corners, 4).groupBy("tile_id").agg(F.round(F.sum("value"), 6).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 def location_discs(spark: SparkSession, d: str) -> DataFrame:
-    at = V.plumes(spark, d).selectExpr("row_id % 15 AS image_id", "cast(row_id % 211 as int) AS row", "cast(row_id % 199 as int) AS col").distinct()
+    at = V.plumes(spark, d).selectExpr(V.candidate_image(spark, d), "cast(row_id % 211 as int) AS row", "cast(row_id % 199 as int) AS col").distinct()
     return regions.distance_discs(at, [1.0, 2.0])
 
 
 def candidate_mass(spark: SparkSession, d: str) -> DataFrame:
-    at = V.plumes(spark, d).selectExpr("row_id AS candidate_id", "row_id % 15 AS image_id", "cast(row_id % 61 as int) AS row", "cast(row_id % 59 as int) AS col")
+    at = V.plumes(spark, d).selectExpr("row_id AS candidate_id", V.candidate_image(spark, d), "cast(row_id % 61 as int) AS row", "cast(row_id % 59 as int) AS col")
     found = regions.candidate_ime(V.grid_pixels(spark, d), at, 500.0, 4000.0, 4, 1, 3)
     return found.select("candidate_id", "n", F.round("ime", 9).alias("ime"), F.round("ime_per_fetch", 9).alias("ime_per_fetch"))
 
@@ -107,11 +107,11 @@ SELECT row_id, label FROM a WHERE row_id % 2 = 1 AND EXISTS (SELECT 1 FROM a b W
     "points_in_lines": with_views("grid_pixels flightlines", """, p AS (SELECT image_id, row, col, -119.3::DOUBLE + (col + 0.5::DOUBLE) * 0.0317::DOUBLE AS x, 33.7::DOUBLE + (row + 0.5::DOUBLE) * 0.0313::DOUBLE AS y FROM grid_pixels)
 SELECT flight_run AS feature_id, image_id, count(*) AS n, min(row) AS row0, min(col) AS col0 FROM p, flightlines WHERE abs(x - cx) / a + abs(y - cy) / b < 1 GROUP BY ALL"""),
     "cut_tiles": with_views("plumes grid_pixels", """,
-t AS (SELECT row_id AS tile_id, row_id % 15 AS image_id, row_id % 61 - 2 + i.range AS row, row_id % 59 - 2 + j.range AS col FROM plumes, range(4) i, range(4) j WHERE lat IS NOT NULL)
+t AS (SELECT row_id AS tile_id, row_id % m.n AS image_id, row_id % 61 - 2 + i.range AS row, row_id % 59 - 2 + j.range AS col FROM plumes, range(4) i, range(4) j, (SELECT max(l_orderkey // 1000) + 1 AS n FROM lineitem) m WHERE lat IS NOT NULL)
 SELECT tile_id, round(sum(coalesce(cmf, 0)), 6) AS total, count(*) AS n FROM t LEFT JOIN grid_pixels g ON g.image_id = t.image_id AND g.row = t.row AND g.col = t.col GROUP BY ALL"""),
     "location_discs": with_views("plumes", """,
 o AS (SELECT a.range - 2 AS a, b.range - 2 AS b, d FROM range(5) a, range(5) b, (VALUES (1.0::DOUBLE), (2.0::DOUBLE)) t(d) WHERE pow(a.range - 2, 2) + pow(b.range - 2, 2) <= d * d)
-SELECT row_id % 15 AS image_id, (row_id % 211 + a)::INTEGER AS row, (row_id % 199 + b)::INTEGER AS col, max(d) AS distance FROM plumes, o GROUP BY ALL"""),
+SELECT row_id % m.n AS image_id, (row_id % 211 + a)::INTEGER AS row, (row_id % 199 + b)::INTEGER AS col, max(d) AS distance FROM plumes, o, (SELECT max(l_orderkey // 1000) + 1 AS n FROM lineitem) m GROUP BY ALL"""),
     "view_outliers": """
 SELECT user_id % 9 AS image_id, count(*) FILTER (WHERE event_id % 37 > 20) AS n_outside, min(value) FILTER (WHERE event_id % 37 > 20) AS min_outside, max(value) FILTER (WHERE event_id % 37 > 20) AS max_outside,
   min(value) FILTER (WHERE event_id % 37 <= 20) AS min_inside, max(value) FILTER (WHERE event_id % 37 <= 20) AS max_inside FROM events GROUP BY ALL""",

@@ -33,7 +33,7 @@ def four_band_mask(spark: SparkSession, d: str) -> DataFrame:
 
 def mask_lookup(spark: SparkSession, d: str) -> DataFrame:
     plumes = V.plumes(spark, d).where("lat is not null")
-    at = plumes.select("candidate_id", F.expr("row_id % 15 AS image_id"), F.expr("(row_id % 61) + 0.25D AS line"), F.expr("(row_id % 59) + 0.75D AS sample"), F.lit(64).alias("nline"), F.lit(64).alias("nsamp"))
+    at = plumes.select("candidate_id", F.expr(V.candidate_image(spark, d)), F.expr("(row_id % 61) + 0.25D AS line"), F.expr("(row_id % 59) + 0.75D AS sample"), F.lit(64).alias("nline"), F.lit(64).alias("nsamp"))
     masks = _four(spark, d).select("image_id", "row", "col", F.col("saturated").cast("int").alias("bright"), F.when(F.col("no_data"), -9999).otherwise(F.col("dark").cast("int")).alias("dark"))
     return P.mask_lookup(at, masks, ["bright", "dark"]).select("candidate_id", "bright", "dark")
 
@@ -137,7 +137,7 @@ ORACLES = {
 s AS (SELECT pixel_id, spectrum AS s, len(list_filter(spectrum[41:64], lambda x: x > 1.25)) > 0 AS saturated FROM spectra)
 SELECT pixel_id, saturated, saturated AND s[26] > 1.1 AS specular, s[53] < 1.05 AND s[53] > -9999 AS dark, s[16] > 1.1 AND s[31] < s[16] AND s[46] < s[31] AS cloud FROM s"""),
     "mask_lookup": with_views("plumes grid_pixels", """,
-c AS (SELECT candidate_id, row_id % 15 AS image_id, (row_id % 61)::INTEGER AS l, (row_id % 59)::INTEGER AS s FROM plumes WHERE lat IS NOT NULL),
+c AS (SELECT candidate_id, row_id % m.n AS image_id, (row_id % 61)::INTEGER AS l, (row_id % 59)::INTEGER AS s FROM plumes, (SELECT max(l_orderkey // 1000) + 1 AS n FROM lineitem) m WHERE lat IS NOT NULL),
 w AS (SELECT *, greatest(0, least(l - 1, 63)) AS l0, least(l + 3, 63) AS l1, greatest(0, least(s + 1 - 1, 63)) AS s0, least(s + 3, 63) AS s1 FROM c WHERE image_id IN (SELECT image_id FROM grid_pixels)),
 f AS (SELECT candidate_id, max(CASE WHEN cmf > 3000 THEN 1 ELSE 0 END) AS bright, max(CASE WHEN col <> 0 AND cmf < 0 THEN 1 ELSE 0 END) AS dark
   FROM w JOIN grid_pixels g ON g.image_id = w.image_id AND g.row >= l0 AND g.row < l1 AND g.col >= s0 AND g.col < s1 GROUP BY ALL)

@@ -142,6 +142,11 @@ SELECT candidate_id, round(m, 6) AS wind_mean, round(s, 6) AS wind_std, n AS n_v
        round(ime_fetch_avg * m * 3600, 6) AS emission,
        round(sqrt((CASE WHEN ime_fetch_avg < 1e-7 THEN 0.0 ELSE pow(ime_fetch_std / ime_fetch_avg, 2) END) + (CASE WHEN m < 1e-7 THEN 0.0 ELSE pow(s / m, 2) END)) * ime_fetch_avg * m * 3600, 6) AS emission_std
 FROM plumes LEFT JOIN stats USING (candidate_id) ORDER BY candidate_id"""),
+    "wind_pivot": with_views("plumes wind", _stats(10) + """,
+stats AS (SELECT candidate_id, avg(speed) AS m, stddev_pop(speed) AS s, avg(speed * 1.5::DOUBLE) AS m2, stddev_pop(speed * 1.5::DOUBLE) AS s2 FROM found GROUP BY candidate_id)
+SELECT candidate_id, round(m, 6) AS "Wind Mean (m/s) [HRRR 10 m, 10 nearest points for each of 3 closest times]", round(s, 6) AS "Wind Std (m/s) [HRRR 10 m, 10 nearest points for each of 3 closest times]",
+  round(m2, 6) AS "Wind Mean (m/s) [HRRR 80 m, 10 nearest points for each of 3 closest times]", round(s2, 6) AS "Wind Std (m/s) [HRRR 80 m, 10 nearest points for each of 3 closest times]"
+FROM plumes LEFT JOIN stats USING (candidate_id)"""),
     "wind_by_time": with_views("plumes wind", _stats(4) + """
 SELECT candidate_id, strftime(valid_time, '%Y-%m-%d %H:%M:%S') AS valid_time, round(avg(speed), 6) AS wind_mean, round(stddev_pop(speed), 6) AS wind_std, arg_min(grid_id, n) AS nearest_id
 FROM found GROUP BY GROUPING SETS ((candidate_id, valid_time), (candidate_id))"""),

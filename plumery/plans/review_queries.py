@@ -208,6 +208,10 @@ SELECT count(*) FILTER (WHERE NOT hit AND s = 0) AS strict_clean_right, count(*)
   count(*) FILTER (WHERE NOT hit AND s > 0) AS strict_any_wrong, count(*) FILTER (WHERE NOT hit AND s < 1) AS loose_clean_right, count(*) FILTER (WHERE hit AND s < 1) AS loose_clean_wrong,
   count(*) FILTER (WHERE hit AND s >= 1) AS loose_any_right, count(*) FILTER (WHERE NOT hit AND s >= 1) AS loose_any_wrong, count(*) FILTER (WHERE hit AND s = 1) AS strong_hits,
   count(*) FILTER (WHERE hit AND s = 2) AS weak_hits, count(*) FILTER (WHERE hit AND s = 0.5) AS maybe_hits FROM b"""),
+    "image_extrema": with_views("col_pixels", """,
+r AS (SELECT image_id, cmf, row_number() OVER (PARTITION BY image_id ORDER BY cmf) - 1 AS i, count(*) OVER (PARTITION BY image_id) AS n FROM col_pixels WHERE cmf IS NOT NULL),
+e AS (SELECT image_id, min(cmf) FILTER (WHERE i = floor((n - 1) * (1 - 0.95::DOUBLE) + 0.5::DOUBLE)) AS lo, min(cmf) FILTER (WHERE i = round_even((n - 1) * 0.95::DOUBLE, 0)) AS hi FROM r GROUP BY ALL)
+SELECT image_id, round(lo - (hi - lo) * 0.1::DOUBLE, 6) AS low, round(hi + (hi - lo) * 0.1::DOUBLE, 6) AS high FROM e"""),
     "image_spread": with_views("col_pixels", """, m AS (SELECT image_id, median(cmf) AS med FROM col_pixels GROUP BY ALL)
 SELECT image_id, round(any_value(med), 6) AS med, round(median(abs(cmf - med)) / 0.6745, 6) AS mad FROM col_pixels JOIN m USING (image_id) GROUP BY image_id"""),
     "qc_consensus": with_views("qc_cid", _CONSENSUS + """

@@ -115,6 +115,12 @@ def grid_pixels(spark: SparkSession, d: str) -> DataFrame:
     return at.groupBy("image_id", "row", "col").agg(F.max("v").alias("cmf"))
 
 
+def candidate_image(spark: SparkSession, d: str) -> str:
+    """An expression that deals candidates to the sparse images, however many there are."""
+    n = _t(spark, d, "lineitem").agg(F.max(F.expr("l_orderkey div 1000"))).first()[0]
+    return f"row_id % {(n or 0) + 1} AS image_id"
+
+
 def qc_cid(spark: SparkSession, d: str) -> DataFrame:
     label = """CASE event_id % 11 WHEN 0 THEN 'Super Plume' WHEN 1 THEN 'Artifact' WHEN 2 THEN 'Cloud' WHEN 3 THEN 'False Enhancement' WHEN 4 THEN 'Ambiguous'
                WHEN 5 THEN 'Duplicate' WHEN 6 THEN 'Background' WHEN 7 THEN 'Reject' ELSE 'Plume' END AS label"""
