@@ -38,7 +38,7 @@ LONG_WORD = 256
 NO_MERGE = 1 << 30
 #: A word's runs are remembered from so many uses on, and if it hasn't more characters than that.
 OFTEN, REMEMBERED_LENGTH = 6, 24
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 
 
 class Runs:
@@ -121,7 +121,7 @@ def passed(keys: np.ndarray, draw: int | np.ndarray, rate: float) -> np.ndarray:
 class Pieces:
     """A BPE model's pieces, as tables."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 150_000):
         """remember: how many words a worker counts, and how many runs it keeps, before it begins anew."""
         from sentencepiece import SentencePieceProcessor
 
