@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumery.functions import geo
+from plumery.operators.graph import cut, min_labels
 
 
 def assign(points: pd.DataFrame, radius: float, clusters: list[list[float]] | None = None) -> list[int]:
@@ -32,19 +33,6 @@ def assign(points: pd.DataFrame, radius: float, clusters: list[list[float]] | No
     return out
 
 
-def _min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reached; edges (a, b) are in both directions. Each round is checkpointed."""
-    labels = nodes.select("node", F.col("node").alias("label")).checkpoint()
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("least"))
-        new = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("label", "least").alias("label"))
-        jump = new.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = new.join(jump, "label").select("node", F.col("next").alias("label")).checkpoint()
-        if new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty():
-            return new
-        labels = new
-
-
 def components(points: DataFrame, radius: float) -> DataFrame:
     """points (x, y, zone) with ``component``: the sequential rule can be applied to each component by itself.
 
@@ -58,8 +46,8 @@ def components(points: DataFrame, radius: float) -> DataFrame:
     around = cells.select("zone", "cx", "cy", F.explode(step).alias("dx")).select("*", F.explode(step).alias("dy"))
     edges = around.select(F.struct("zone", "cx", "cy").alias("a"), F.struct("zone", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy")).alias("b"))
     edges = edges.join(cells.select(F.col("node").alias("b")), "b", "left_semi")
-    labels = _min_labels(cells, edges)
-    out = celled.join(labels.select("node.zone", "node.cx", "node.cy", F.col("label").alias("component")), ["zone", "cx", "cy"]).checkpoint()
+    labels = min_labels(cells, edges)
+    out = celled.join(labels.select("node.zone", "node.cx", "node.cy", F.col("label").alias("component")), ["zone", "cx", "cy"]).transform(cut)
     while True:
         boxes = out.groupBy("component", "zone").agg(*(f(c).alias(n) for f, c, n in ((F.min, "x", "x0"), (F.max, "x", "x1"), (F.min, "y", "y0"), (F.max, "y", "y1"))))
         # A box covers cells by a coarser grid of its own size class, so that few cells are listed for a large box.
@@ -77,11 +65,11 @@ def components(points: DataFrame, radius: float) -> DataFrame:
             .where((F.col("component") != F.col("other")) & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
             .select(F.col("component").alias("a"), F.col("other").alias("b")).distinct()
         )
-        meets = meets.unionByName(meets.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+        meets = meets.unionByName(meets.select(F.col("b").alias("a"), F.col("a").alias("b"))).transform(cut)
         if meets.isEmpty():
             return out.drop("cx", "cy")
-        merged = _min_labels(boxes.select(F.col("component").alias("node")).distinct(), meets)
-        out = out.join(merged.withColumnRenamed("node", "component"), "component").drop("component").withColumnRenamed("label", "component").checkpoint()
+        merged = min_labels(boxes.select(F.col("component").alias("node")).distinct(), meets)
+        out = out.join(merged.withColumnRenamed("node", "component"), "component").drop("component").withColumnRenamed("label", "component").transform(cut)
 
 
 def cluster_sources(plumes: DataFrame, radius: float = 150.0, by_zone: bool = True) -> DataFrame:
@@ -99,7 +87,7 @@ def cluster_sources(plumes: DataFrame, radius: float = 150.0, by_zone: bool = Tr
         out["first_row"] = out.groupby("cluster")["row_id"].transform("min")
         return out[["row_id", "first_row"]]
 
-    found = components(placed.checkpoint(), radius).groupBy("component").applyInPandas(run, "row_id long, first_row long").checkpoint()
+    found = components(placed.transform(cut), radius).groupBy("component").applyInPandas(run, "row_id long, first_row long").transform(cut)
     numbers = _dense_numbers(found.select("first_row").distinct(), "first_row")
     out = found.join(numbers, "first_row").select("row_id", F.col("number").alias("source_number"))
     named = F.format_string("A%08d", "source_number")
@@ -108,7 +96,7 @@ def cluster_sources(plumes: DataFrame, radius: float = 150.0, by_zone: bool = Tr
 
 def _dense_numbers(keys: DataFrame, key: str) -> DataFrame:
     """(key, number from 1) in key order, by range partitions and the totals before each."""
-    ranged = keys.repartitionByRange(key).withColumn("part", F.spark_partition_id()).checkpoint()
+    ranged = keys.repartitionByRange(key).withColumn("part", F.spark_partition_id()).transform(cut)
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
     return ranged.join(F.broadcast(before), "part").select(key, (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(key))).alias("number"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumery.operators.graph import cut
+
 
 def precision_recall(scored: DataFrame, bins: int | None = None) -> DataFrame:
     """(threshold, tp, fp, precision, recall, f1) for each distinct score, counting scores at or above it; label 1 is positive.
@@ -14,7 +16,7 @@ def precision_recall(scored: DataFrame, bins: int | None = None) -> DataFrame:
     """
     score = F.floor(F.col("score") * bins) / bins if bins else F.col("score")
     per = scored.where("score is not null").groupBy(score.alias("threshold")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
-    ranged = per.repartitionByRange(F.col("threshold").desc()).withColumn("part", F.spark_partition_id()).checkpoint()
+    ranged = per.repartitionByRange(F.col("threshold").desc()).withColumn("part", F.spark_partition_id()).transform(cut)
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = ranged.groupBy("part").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     base = base.select("part", F.coalesce(F.sum("p").over(ahead), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumery.functions import geo, names
+from plumery.operators.graph import cut
 
 RADIUS_M = 150.0
 
@@ -115,7 +116,7 @@ def filter_overlaps(plumes: DataFrame, flux: list[str], max_overlap: float = 0.3
     group; the others of a group matter as well, as rows with no overlap count as equals, so whole groups with a meeting are.
     """
     rows = any_flux_above(plumes, flux) if apply_flux_min else plumes
-    rows = names.first_rows(rows, flux).where("lat is not null and lon is not null").checkpoint()
+    rows = names.first_rows(rows, flux).where("lat is not null and lon is not null").transform(cut)
     xy = geo.albers(F.col("lat"), F.col("lon"))
     met = overlap_pairs(rows).select("group_id").distinct()
     small = rows.select("group_id", "row_id", xy["x"].alias("x"), xy["y"].alias("y"), *flux).join(met, "group_id", "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumery.functions import geo
 from plumery.operators import regions as R
+from plumery.operators.graph import cut
 
 NO_DATA = -9999
 
@@ -53,7 +54,7 @@ def flare_mask(masks: DataFrame, radius: float, least: int | None = None, visibl
     masks has saturated, specular and visible (radiance near 500 nm). Regions of fewer than ``least`` pixels don't count; seeds
     are pixels whose visible radiance is low. Regions are those of the whole image.
     """
-    sat = R.connected_regions(masks.where("saturated").select("image_id", "row", "col", "specular", "visible")).checkpoint()
+    sat = R.connected_regions(masks.where("saturated").select("image_id", "row", "col", "specular", "visible")).transform(cut)
     big = R.without_small(sat, least) if least else sat
     buffer = R.dilate(big.where(F.col("visible") < visible), R.disc(radius)).withColumn("_b", F.lit(2))
     # Where an image has a region that counts, all its saturated pixels that aren't specular are flares.

@@ -10,9 +10,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumery.functions import physics
-from plumery.operators.clustering import _min_labels
+from plumery.operators.graph import cut, min_labels
 
 TILE = 512
 AROUND_8 = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
@@ -50,38 +51,36 @@ def connected_regions(pixels: DataFrame, eight: bool = True, tile: int = TILE) -
 
     Any number of tiles gives the same labels as the whole image at once. Repeated pixels get the same label.
     """
-    t = pixels.withColumns({"_tr": F.floor(F.col("row") / tile), "_tc": F.floor(F.col("col") / tile)})
+    taken = [c for c in pixels.columns if c not in ("image_id", "row", "col")]
+    base = pixels.select("image_id", F.col("row").cast("int"), F.col("col").cast("int"), *taken)
+    t = base.withColumns({"_tr": F.floor(F.col("row") / tile), "_tc": F.floor(F.col("col") / tile)})
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = part["row"].min(), part["col"].min()
-        r, c = (part["row"] - r0).to_numpy(), (part["col"] - c0).to_numpy()
+        rows, cols = part["row"].to_numpy(), part["col"].to_numpy()
+        r, c = rows - rows.min(), cols - cols.min()
         mask = np.zeros((r.max() + 1, c.max() + 1), bool)
         mask[r, c] = True
         lab = label_mask(mask, eight)[r, c]
-        out = part[["image_id", "row", "col"]].copy()
-        order = np.lexsort((out["col"], out["row"]))
-        first = pd.Series(order).groupby(lab[order]).first()
-        at = first.reindex(lab).to_numpy()
-        out["lead_row"], out["lead_col"] = part["row"].to_numpy()[at], part["col"].to_numpy()[at]
+        order = np.lexsort((cols, rows))
+        found, first = np.unique(lab[order], return_index=True)
+        at = order[first][np.searchsorted(found, lab)]
+        out = part.drop(columns=["_tr", "_tc"])
+        out["lead_row"], out["lead_col"] = rows[at], cols[at]
         return out
 
-    kind = dict(pixels.dtypes)["image_id"]
-    schema = f"image_id {kind}, row int, col int, lead_row int, lead_col int"
-    local = t.select("image_id", F.col("row").cast("int"), F.col("col").cast("int"), "_tr", "_tc").distinct().groupBy("image_id", "_tr", "_tc").applyInPandas(run, schema).checkpoint()
-    local = local.withColumn("node", F.struct("image_id", "lead_row", "lead_col"))
+    schema = T.StructType([*base.schema.fields, T.StructField("lead_row", T.IntegerType()), T.StructField("lead_col", T.IntegerType())])
+    local = t.groupBy("image_id", "_tr", "_tc").applyInPandas(run, schema).transform(cut)
+    node = F.struct("image_id", "lead_row", "lead_col")
     edge = local.where(F.pmod("row", F.lit(tile)).isin(0, tile - 1) | F.pmod("col", F.lit(tile)).isin(0, tile - 1))  # places may be negative
+    edge = edge.select("image_id", "row", "col", node.alias("node")).distinct()
     near = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (AROUND_8 if eight else AROUND_4)))
     beside = edge.select("node", "image_id", "row", "col", F.explode(near).alias("s")).select(F.col("node").alias("a"), "image_id", (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"))
-    edges = beside.join(edge.select("image_id", "row", "col", F.col("node").alias("b")), ["image_id", "row", "col"]).where("a <> b").select("a", "b").distinct().checkpoint()
-    leads = local.select("node").distinct()
-    if not edges.isEmpty():
-        leads = _min_labels(leads, edges)
-    else:
-        leads = leads.withColumn("label", F.col("node"))
-    ids = leads.select("label").distinct().select("label", F.row_number().over(Window.partitionBy("label.image_id").orderBy("label.lead_row", "label.lead_col")).cast("long").alias("region_id"))
-    named = leads.join(ids, "label").select("node", "region_id")
-    out = local.join(named, "node").select("image_id", "row", "col", "region_id")
-    return pixels.join(out, ["image_id", "row", "col"])
+    edges = beside.join(edge.withColumnRenamed("node", "b"), ["image_id", "row", "col"]).where("a <> b").select("a", "b").distinct()
+    leads = min_labels(local.select(node.alias("node")).distinct(), edges)
+    order = Window.partitionBy("label.image_id").orderBy("label.lead_row", "label.lead_col")  # a row per region of an image
+    named = leads.select("node", F.dense_rank().over(order).cast("long").alias("region_id"))
+    named = named.select("node.*", "region_id")
+    return local.join(named, ["image_id", "lead_row", "lead_col"]).select("image_id", "row", "col", *taken, "region_id")
 
 
 def without_small(regions: DataFrame, least: int = 9) -> DataFrame:
@@ -94,12 +93,12 @@ def detections(pixels: DataFrame, low: float = 500.0, high: float = 1250.0, leas
     """Pixels of detected regions, with region_id: cmf at least ``low``, 4-connected regions of at least ``least`` pixels, and
     of the smaller ones those 8-connected groups with a pixel of at least ``high``; labelled anew with 8 neighbours."""
     over = pixels.where(F.col("cmf") >= low)
-    four = connected_regions(over, eight=False).checkpoint()
+    four = connected_regions(over, eight=False).transform(cut)
     large = without_small(four, least).drop("region_id")
     small = connected_regions(four.join(large.select("image_id", "row", "col"), ["image_id", "row", "col"], "left_anti").drop("region_id"))
     strong = small.groupBy("image_id", "region_id").agg(F.max("cmf").alias("_m")).where(F.col("_m") >= high)
     back = small.join(strong.select("image_id", "region_id"), ["image_id", "region_id"], "left_semi").drop("region_id")
-    return connected_regions(large.unionByName(back).checkpoint())
+    return connected_regions(large.unionByName(back).transform(cut))
 
 
 def region_statistics(regions: DataFrame, value: str = "cmf", pixel_size: float = 3.1) -> DataFrame:
@@ -120,7 +119,7 @@ def region_statistics(regions: DataFrame, value: str = "cmf", pixel_size: float
 
 def score_regions(pixels: DataFrame, threshold: float = 0.5, cmf_threshold: float = 250.0) -> DataFrame:
     """Detections of a score map (image_id, row, col, score, cmf): region statistics of the score, and of cmf above its threshold."""
-    found = connected_regions(pixels.where(F.col("score") > threshold)).checkpoint()
+    found = connected_regions(pixels.where(F.col("score") > threshold)).transform(cut)
     cmf = region_statistics(found.where(F.col("cmf") > cmf_threshold), "cmf").select("image_id", "region_id", *(F.col(c).alias(f"cmf_{c}") for c in ("vmax", "vmin", "med", "mad", "max_row", "max_col")))
     out = region_statistics(found, "score").join(cmf, ["image_id", "region_id"], "left")
     return out.withColumn("detection_id", F.concat_ws("-", "image_id", "region_id"))
@@ -185,7 +184,7 @@ def borders(regions: DataFrame, shape: DataFrame | None = None, inner: bool = Tr
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in AROUND_4))
     near = regions.select("image_id", "region_id", F.col("row").alias("r"), F.col("col").alias("c"), F.explode(steps).alias("s")).withColumns({"row": F.col("r") + F.col("s.a"), "col": F.col("c") + F.col("s.b")})
     if shape is not None:
-        near = near.join(F.broadcast(shape), "image_id").where("row between 0 and nrow - 1 and col between 0 and ncol - 1")
+        near = near.join(shape, "image_id").where("row between 0 and nrow - 1 and col between 0 and ncol - 1")
     seen = near.join(regions.select("image_id", "row", "col", F.col("region_id").alias("other")), ["image_id", "row", "col"], "left")
     if inner:
         return seen.where("other is null or other <> region_id").select("image_id", F.col("r").alias("row"), F.col("c").alias("col"), "region_id").distinct()
@@ -233,7 +232,7 @@ def candidate_ime(pixels: DataFrame, candidates: DataFrame, low: float, high: fl
     at = at.select("*", F.explode(F.transform(step, lambda i: F.floor(F.col("c") / size) + i)).alias("_x"))
     near = good.join(at, ["image_id", "_y", "_x"]).where(F.pow(F.col("row") - F.col("r"), 2) + F.pow(F.col("col") - F.col("c"), 2) <= fetch * fetch)
     own = near.select(F.col("candidate_id").cast("string").alias("image_id"), "row", "col", "cmf")
-    merged, _ = merge_regions(connected_regions(own).checkpoint(), merge)
+    merged, _ = merge_regions(connected_regions(own).transform(cut), merge)
     big = without_small(merged.drop("region_id").withColumnRenamed("merged_id", "region_id"), least)
     total = big.groupBy(F.col("image_id").alias("candidate_id")).agg(F.count(F.lit(1)).alias("n"), physics.ime_kg(F.sum("cmf"), F.lit(pixel_size)).alias("ime"))
     return total.withColumn("ime_per_fetch", F.col("ime") / (fetch * pixel_size))
@@ -242,5 +241,5 @@ def candidate_ime(pixels: DataFrame, candidates: DataFrame, low: float, high: fl
 def out_of_bounds(pixels: DataFrame, shape: DataFrame, no_data: Column) -> DataFrame:
     """Pixels without data that a path of such pixels ties to the image's edge."""
     empty = connected_regions(pixels.where(no_data).select("image_id", "row", "col"), eight=False)
-    edge = empty.join(F.broadcast(shape), "image_id").where("row = 0 or col = 0 or row = nrow - 1 or col = ncol - 1").select("image_id", "region_id").distinct()
+    edge = empty.join(shape, "image_id").where("row = 0 or col = 0 or row = nrow - 1 or col = ncol - 1").select("image_id", "region_id").distinct()
     return empty.join(edge, ["image_id", "region_id"], "left_semi").select("image_id", "row", "col")

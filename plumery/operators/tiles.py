@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumery.operators.graph import cut
+
 Kernel = Callable[[np.ndarray, int, int], np.ndarray]
 
 
@@ -27,7 +29,7 @@ def map_tiles(pixels: DataFrame, shape: DataFrame, value: str, halo: int, fn: Ke
     spread = base.withColumns({"r": F.floor(F.col("row") / tile).cast("int"), "c": F.floor(F.col("col") / tile).cast("int")})
     spread = spread.select("*", F.explode(F.transform(step, lambda d: F.col("r") + d)).alias("tr")).select("*", F.explode(F.transform(step, lambda d: F.col("c") + d)).alias("tc"))
     spread = spread.where(F.col("row").between(F.col("tr") * tile - halo, F.col("tr") * tile + tile + halo - 1) & F.col("col").between(F.col("tc") * tile - halo, F.col("tc") * tile + tile + halo - 1))
-    spread = spread.join(F.broadcast(shape.select("image_id", "nrow", "ncol")), "image_id")
+    spread = spread.join(shape.select("image_id", "nrow", "ncol"), "image_id")
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         image, tr, tc = key
@@ -71,9 +73,9 @@ def gaussian(pixels: DataFrame, shape: DataFrame, value: str, sigma: float, trun
 
 def density_weighted(pixels: DataFrame, shape: DataFrame, sigma: float, low: float = 500.0, high: float = 1500.0, tile: int = 256) -> DataFrame:
     """pixels with ``weighted``: cmf times its image's Gaussian density scaled to 0 .. 1, then clipped between two thresholds."""
-    dense = gaussian(pixels, shape, "cmf", sigma, tile=tile).checkpoint()
+    dense = gaussian(pixels, shape, "cmf", sigma, tile=tile).transform(cut)
     ends = dense.groupBy("image_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    both = pixels.join(dense, ["image_id", "row", "col"]).join(F.broadcast(ends), "image_id")
+    both = pixels.join(dense, ["image_id", "row", "col"]).join(ends, "image_id")
     w = F.col("cmf") * (F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     return both.withColumn("weighted", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (w - low) / (high - low)))).drop("value", "lo", "hi")
 
@@ -157,8 +159,8 @@ def local_maxima(pixels: DataFrame, shape: DataFrame, radius: int, value: str =
 
     low = pixels.groupBy("image_id").agg(F.min(value).alias("_low"))
     found = map_tiles(pixels, shape, value, d, run, max(tile, d), missing=-np.inf).where(~F.isnan("value"))
-    inside = found.join(F.broadcast(shape), "image_id").where(F.col("row").between(d, F.col("nrow") - d - 1) & F.col("col").between(d, F.col("ncol") - d - 1))
-    return inside.join(F.broadcast(low), "image_id").where("value > _low").select("image_id", "row", "col", "value")
+    inside = found.join(shape, "image_id").where(F.col("row").between(d, F.col("nrow") - d - 1) & F.col("col").between(d, F.col("ncol") - d - 1))
+    return inside.join(low, "image_id").where("value > _low").select("image_id", "row", "col", "value")
 
 
 def regrid(pixels: DataFrame, value: str, step: float = 0.025, fill: float = -9999.9) -> DataFrame:
@@ -191,7 +193,7 @@ def regrid(pixels: DataFrame, value: str, step: float = 0.025, fill: float = -99
 def absolute_norm(pixels: DataFrame, value: str = "cmf") -> DataFrame:
     """pixels with ``norm``: the range from minus to plus the image's largest absolute value, as 0 .. 1."""
     top = pixels.groupBy("image_id").agg(F.max(F.abs(value)).alias("_m"))
-    return pixels.join(F.broadcast(top), "image_id").withColumn("norm", (F.col(value) + F.col("_m")) / F.nullif(2 * F.col("_m"), F.lit(0.0))).drop("_m")
+    return pixels.join(top, "image_id").withColumn("norm", (F.col(value) + F.col("_m")) / F.nullif(2 * F.col("_m"), F.lit(0.0))).drop("_m")
 
 
 def shared_stretch(pixels: DataFrame, bands: list[str], p: float = 0.99) -> DataFrame:
@@ -201,7 +203,7 @@ def shared_stretch(pixels: DataFrame, bands: list[str], p: float = 0.99) -> Data
     long = pixels.unpivot(["image_id"], bands, "band", "v")
     ends = extrema(long, ["image_id", "band"], "v", p).groupBy("image_id").agg(F.max("low").alias("_lo"), F.min("high").alias("_hi"))
     scaled = {b: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(b) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)))) for b in bands}
-    return pixels.join(F.broadcast(ends), "image_id").withColumns(scaled).drop("_lo", "_hi")
+    return pixels.join(ends, "image_id").withColumns(scaled).drop("_lo", "_hi")
 
 
 def bilateral(pixels: DataFrame, shape: DataFrame, value: str, diameter: int, sigma_value: float, sigma_space: float, tile: int = 256) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumery.functions import geo, names, physics
+from plumery.operators.graph import cut
 
 #: The heights in metres that each product has.
 ALTITUDES = {"HRRR": (10, 80), "RTMA": (10,)}
 KM_PER_DEGREE = geo.EQUATOR_KM * geo.RAD
-#: A grid of at most this many points may be compared with the few places that no ring of cells settles.
+#: A set of at most this many points may be compared with each place.
 SMALL_GRID = 4_000_000
 
 
@@ -25,47 +26,42 @@ def _cells(lat, lon, size: float) -> list:
     return [F.floor(lat / size).cast("int"), F.floor(lon / size).cast("int")]
 
 
-def nearest_points(places: DataFrame, points: DataFrame, k: int = 10, cell: float = 0.3, rings: int = 3) -> DataFrame:
+def nearest_points(places: DataFrame, points: DataFrame, k: int = 10, cell: float = 0.3) -> DataFrame:
     """(place_id, grid_id, distance_km, n): the k points nearest to each place, n from 1; ties of 1e-6 km go by grid_id.
 
-    places has place_id, lat and lon; points has grid_id, lat and lon. Both are put in cells; a place meets the points of the
-    cells around it. Only places whose k-th distance could be beaten from outside those cells are tried again with twice as
-    many rings; what is left after that is compared with all points, if these are few enough to broadcast, else an error.
+    places has place_id, lat and lon; points has grid_id, lat and lon. Both are put in cells; a place meets the points of its
+    cell and the eight around it. Only places whose k-th distance could be beaten from outside of these are tried again with
+    cells four times as wide, until the cells hold the whole globe. What a round finds is written before the next one begins.
     Places without coordinates give no rows; fewer than k points give all of them.
     """
-    spark = places.sparkSession
     todo = places.where("lat is not null and lon is not null").select("place_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    grid = points.select("grid_id", "lat", "lon").distinct()
-    celled = grid.withColumns(dict(zip(("cy", "cx"), _cells(F.col("lat"), F.col("lon"), cell), strict=True)))
+    grid = points.select("grid_id", "lat", "lon").distinct().transform(cut)
     order = Window.partitionBy("place_id").orderBy(F.round("distance_km", 6), "grid_id")
-
-    def ranked(pairs: DataFrame) -> DataFrame:
-        d = geo.distance(F.col("p_lon"), F.col("p_lat"), F.col("lon"), F.col("lat"))
-        return pairs.withColumn("distance_km", d).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-
-    done, reach = None, 1
-    for _ in range(rings):
-        around = F.sequence(F.lit(-reach), F.lit(reach))
+    done, step = None, F.sequence(F.lit(-1), F.lit(1))
+    while True:
+        celled = grid.withColumns(dict(zip(("cy", "cx"), _cells(F.col("lat"), F.col("lon"), cell), strict=True)))
         cy, cx = _cells(F.col("p_lat"), F.col("p_lon"), cell)
-        spread = todo.select("*", F.explode(F.transform(around, lambda i: cy + i)).alias("cy")).select("*", F.explode(F.transform(around, lambda i: cx + i)).alias("cx"))
-        found = ranked(spread.join(celled, ["cy", "cx"]))
+        spread = todo.select("*", F.explode(F.transform(step, lambda i: cy + i)).alias("cy")).select("*", F.explode(F.transform(step, lambda i: cx + i)).alias("cx"))  # noqa: B023
+        d = geo.distance(F.col("p_lon"), F.col("p_lat"), F.col("lon"), F.col("lat"))
         # The nearest edge of the block of cells, in km; a little less, as meridians converge.
-        high = F.greatest(F.abs((cy + reach + 1) * cell), F.abs((cy - reach) * cell))
+        high = F.greatest(F.abs((cy + 2) * cell), F.abs((cy - 1) * cell))
         edge = F.least(
-            F.least((cy + reach + 1) * cell - F.col("p_lat"), F.col("p_lat") - (cy - reach) * cell),
-            F.least((cx + reach + 1) * cell - F.col("p_lon"), F.col("p_lon") - (cx - reach) * cell) * F.cos(F.radians(F.least(high, F.lit(89.9)))) * 0.99,
+            F.least((cy + 2) * cell - F.col("p_lat"), F.col("p_lat") - (cy - 1) * cell),
+            F.least((cx + 2) * cell - F.col("p_lon"), F.col("p_lon") - (cx - 1) * cell) * F.cos(F.radians(F.least(high, F.lit(89.9)))) * 0.99,
         ) * KM_PER_DEGREE
-        sure = found.groupBy("place_id").agg(F.count(F.lit(1)).alias("m"), F.max("distance_km").alias("far"), F.first(edge).alias("edge")).where((F.col("m") == k) & (F.col("far") < F.col("edge")))
-        settled = found.join(sure.select("place_id"), "place_id", "left_semi").select("place_id", "grid_id", "distance_km", "n")
+        found = spread.join(celled, ["cy", "cx"]).withColumn("distance_km", d).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+        whole = Window.partitionBy("place_id")
+        last = F.lit(cell >= 360)
+        sure = last | ((F.count(F.lit(1)).over(whole) == k) & (F.max("distance_km").over(whole) < edge))
+        found = found.select("place_id", "grid_id", "distance_km", "n", sure.alias("sure")).transform(cut)
+        settled = found.where("sure").drop("sure")
         done = settled if done is None else done.unionByName(settled)
-        todo = todo.join(sure.select("place_id"), "place_id", "left_anti")
-        reach *= 2
+        if cell >= 360:
+            return done
+        todo = todo.join(settled.select("place_id").distinct(), "place_id", "left_anti").transform(cut)
         if todo.isEmpty():
             return done
-    if (n := grid.limit(SMALL_GRID + 1).count()) > SMALL_GRID:
-        raise ValueError(f"places far from any point and a grid of more than {n - 1} points: raise cell")
-    rest = ranked(todo.join(F.broadcast(grid), F.lit(True), "inner"))
-    return done.unionByName(rest.select("place_id", "grid_id", "distance_km", "n"))
+        cell *= 4
 
 
 def extreme_point(places: DataFrame, points: DataFrame, farthest: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ def plume_emission(spark: SparkSession, d: str) -> DataFrame:
     stats = wind.wind_statistics(wind.wind_of_plumes(plumes, V.wind(spark, d)))
     out = wind.emissions(plumes, stats)
     rounded = {c: F.round(c, 6) for c in ("wind_mean", "wind_std", "emission", "emission_std")}
-    return out.withColumns(rounded).select("candidate_id", "wind_mean", "wind_std", "n_values", "aspect_flag", "emission", "emission_std").orderBy("candidate_id")
+    return out.withColumns(rounded).select("candidate_id", "wind_mean", "wind_std", "n_values", "aspect_flag", "emission", "emission_std")
 
 
 def wind_by_time(spark: SparkSession, d: str) -> DataFrame:

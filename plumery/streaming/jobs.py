@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plumery.functions import geo, names
 from plumery.operators import clustering, wind
+from plumery.operators.graph import cut
 
 
 def plume_stream(spark: SparkSession, path: str, schema: str, pattern: str = "*.csv") -> DataFrame:
@@ -44,7 +45,7 @@ def assign_sources(plumes: DataFrame, state: str, out: str, checkpoint: str, rad
         u = geo.utm(F.col("lat"), F.col("lon"))
         new = df.where("lat is not null and lon is not null").select("row_id", u["zone"].alias("zone"), u["x"].alias("x"), u["y"].alias("y"), F.lit(0).cast("long").alias("members"), F.lit(None).cast("string").alias("source_key"))
         old = spark.read.parquet(f"{state}/batch={n - 1}") if n else spark.createDataFrame([], "row_id long, zone int, x double, y double, members long, source_key string")
-        both = clustering.components(old.unionByName(new.select(*old.columns)).checkpoint(), radius)
+        both = clustering.components(old.unionByName(new.select(*old.columns)).transform(cut), radius)
 
         def run(part: pd.DataFrame) -> pd.DataFrame:
             known = part[part["members"] > 0].sort_values("row_id")
@@ -61,7 +62,7 @@ def assign_sources(plumes: DataFrame, state: str, out: str, checkpoint: str, rad
             b = pd.DataFrame({"kind": "state", "row_id": rows, "source_key": keys, "zone": part["zone"].iloc[0], "x": [c[0] for c in clusters], "y": [c[1] for c in clusters], "members": [int(c[2]) for c in clusters]})
             return pd.concat([a, b])
 
-        done = both.groupBy("component").applyInPandas(run, "kind string, row_id long, source_key string, zone int, x double, y double, members long").checkpoint()
+        done = both.groupBy("component").applyInPandas(run, "kind string, row_id long, source_key string, zone int, x double, y double, members long").transform(cut)
         done.where("kind = 'state'").select("row_id", "zone", "x", "y", "members", "source_key").write.mode("overwrite").parquet(f"{state}/batch={n}")
         done.where("kind = 'plume'").select("row_id", "source_key").write.mode("overwrite").parquet(f"{out}/batch={n}")
 
