@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumery.functions import geo
-from plumery.operators.graph import cut, min_labels
+from plumery.operators.graph import cut, dense_numbers, min_labels
 
 
 def assign(points: pd.DataFrame, radius: float, clusters: list[list[float]] | None = None) -> list[int]:
@@ -88,20 +88,12 @@ def cluster_sources(plumes: DataFrame, radius: float = 150.0, by_zone: bool = Tr
         return out[["row_id", "first_row"]]
 
     found = components(placed.transform(cut), radius).groupBy("component").applyInPandas(run, "row_id long, first_row long").transform(cut)
-    numbers = _dense_numbers(found.select("first_row").distinct(), "first_row")
+    numbers = dense_numbers(found.select("first_row").distinct(), "first_row")
     out = found.join(numbers, "first_row").select("row_id", F.col("number").alias("source_number"))
     named = F.format_string("A%08d", "source_number")
     return plumes.join(out, "row_id", "left").withColumn("source_name", F.when(F.col("source_number").isNotNull(), named))
 
 
-def _dense_numbers(keys: DataFrame, key: str) -> DataFrame:
-    """(key, number from 1) in key order, by range partitions and the totals before each."""
-    ranged = keys.repartitionByRange(key).withColumn("part", F.spark_partition_id()).transform(cut)
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    return ranged.join(F.broadcast(before), "part").select(key, (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(key))).alias("number"))
-
-
 def plumes_per_source(plumes: DataFrame, members: bool = False) -> DataFrame:
     """Each source's number of plumes and the columns of its first row (by row_id); on request the list of its plumes."""
     rest = [c for c in plumes.columns if c != "source_id"]

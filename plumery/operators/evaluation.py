@@ -60,9 +60,15 @@ def split_tiles(tiles: DataFrame, split: DataFrame) -> DataFrame:
 
 
 def sample_tiles(pixels: DataFrame, per_class: dict[int, int], size: int = 256, seed: int = 0) -> DataFrame:
-    """Tile corners around sampled label pixels: at most one per tile-sized cell and class, then per_class many of each."""
+    """Tile corners around sampled label pixels: at most one per tile-sized cell and class, then per_class many of each.
+
+    A class's cells go in order of a hash; the first of each of many parts are found side by side, then the first of all.
+    """
     cells = pixels.withColumns({"tr": F.floor(F.col("row") / size), "tc": F.floor(F.col("col") / size)})
     one = cells.groupBy("image_id", "label", "tr", "tc").agg(F.min_by(F.struct("row", "col"), F.xxhash64(F.lit(seed), "image_id", "row", "col")).alias("p"))
-    ranked = one.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "image_id", "tr", "tc"))))
-    most = F.create_map(*(F.lit(x) for kv in per_class.items() for x in kv))
-    return ranked.where(F.col("n") <= most[F.col("label")]).select("image_id", "label", (F.col("p.row") - size // 2).alias("row0"), (F.col("p.col") - size // 2).alias("col0"))
+    one = one.withColumn("_h", F.xxhash64(F.lit(seed), "image_id", "tr", "tc")).withColumn("_part", F.pmod("_h", F.lit(256)))
+    most = F.create_map(*(F.lit(x) for kv in per_class.items() for x in kv))[F.col("label")]
+    first = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "image_id", "tr", "tc"))
+    few = one.withColumn("_n", first(["label", "_part"])).where(F.col("_n") <= most)
+    ranked = few.withColumn("_n", first(["label"])).where(F.col("_n") <= most)
+    return ranked.select("image_id", "label", (F.col("p.row") - size // 2).alias("row0"), (F.col("p.col") - size // 2).alias("col0"))

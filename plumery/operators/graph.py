@@ -1,4 +1,4 @@
-"""Cutting lineage in the shared folder, and connected components of graphs given as tables of edges."""
+"""Cutting lineage in the shared folder, dense numbers, and connected components of graphs given as tables of edges."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Edges that one task may tie together: a few MB of them. More go through rounds of star contractions.
@@ -92,3 +92,11 @@ def min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edges = cut(edges.select("a", "b").where("a <> b"))
     labels = _tied(edges) if edges.count() <= LOCAL_EDGES else _contracted(edges)
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def dense_numbers(keys: DataFrame, key: str) -> DataFrame:
+    """(key, number from 1) in key order, by range partitions and the totals before each."""
+    ranged = keys.repartitionByRange(key).withColumn("part", F.spark_partition_id()).transform(cut)
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    return ranged.join(F.broadcast(before), "part").select(key, (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(key))).alias("number"))

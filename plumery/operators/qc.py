@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumery.functions import names
+from plumery.operators.graph import dense_numbers
 
 #: The labels of the review tool by what they say.
 POSITIVE = ("Plume", "Super Plume")
@@ -85,9 +86,17 @@ def funnel(rows: DataFrame, order: str = "row_id") -> dict[str, DataFrame]:
     return {"filt": filt, "nodup": nodup, "norej": norej, "noamb": norej.where(label.isNull() | ~label.isin(*UNCLEAR))}
 
 
-def write_funnel(rows: DataFrame, path: str) -> None:
-    for name, df in {"all": rows, **funnel(rows)}.items():
-        df.write.mode("overwrite").parquet(f"{path}/cid_{name}")
+def write_funnel(rows: DataFrame, path: str, lines: DataFrame | None = None, assigned: DataFrame | None = None) -> None:
+    """Write the nested outputs below path: ``cid_all`` and the stages of funnel(), ``cid_diff`` with the rows whose reviews
+    differ; with the reviews of flight lines (uid, lid, ...) ``lid_all``; with the assigned ones too ``done`` and ``todo``."""
+    out = {f"cid_{n}": df for n, df in {"all": rows, **funnel(rows), "diff": conflicts(rows)}.items()}
+    if lines is not None:
+        out["lid_all"] = lines
+        if assigned is not None:
+            open_ = to_do(assigned, rows, lines)
+            out |= {"todo": open_, "done": assigned.join(open_.select("uid", "lid").distinct(), ["uid", "lid"], "left_anti")}
+    for name, df in out.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def funnel_counts(rows: DataFrame) -> DataFrame:
@@ -136,9 +145,15 @@ def unpaired(cid_files: DataFrame, lid_files: DataFrame) -> DataFrame:
 
 def assign_users(lines: DataFrame, n_users: int, key: Column | None = None) -> DataFrame:
     """(lid, user): flight lines dealt in turn to users 0 .. n_users - 1 in order of a key, by default a hash of the line,
-    so that no user has more than ceil(n / users). Lines are few: their list is one partition's work."""
+    so that no user has more than ceil(n / users)."""
     order = F.xxhash64("lid") if key is None else key
-    return lines.select("lid").distinct().select("lid", F.pmod(F.row_number().over(Window.orderBy(order, "lid")) - 1, F.lit(n_users)).alias("user"))
+    placed = lines.select("lid").distinct().select(F.struct(order.alias("k"), F.col("lid").alias("lid")).alias("at"))
+    return dense_numbers(placed, "at").select("at.lid", F.pmod(F.col("number") - 1, F.lit(n_users)).cast("int").alias("user"))
+
+
+def images_of_lines(images: DataFrame, lines: DataFrame) -> DataFrame:
+    """images (name, ...) whose flight line, the first part of the name, is in lines (lid); rows and columns stay as they are."""
+    return images.join(lines.select(F.col("lid").alias("_lid")).distinct(), names.flight_id(F.col("name")) == F.col("_lid"), "left_semi")
 
 
 def user_added(submitted: DataFrame, listed: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumery.functions import physics
+from plumery.functions import geo, physics
 from plumery.operators.graph import cut, min_labels
 
 TILE = 512
@@ -117,11 +117,21 @@ def region_statistics(regions: DataFrame, value: str = "cmf", pixel_size: float
     return g.join(more, keys).withColumn("ime", physics.ime_kg(F.col("total"), F.lit(pixel_size)))
 
 
-def score_regions(pixels: DataFrame, threshold: float = 0.5, cmf_threshold: float = 250.0) -> DataFrame:
-    """Detections of a score map (image_id, row, col, score, cmf): region statistics of the score, and of cmf above its threshold."""
+def score_regions(pixels: DataFrame, threshold: float = 0.5, cmf_threshold: float = 250.0, images: DataFrame | None = None) -> DataFrame:
+    """Detections of a score map (image_id, row, col, score, cmf): region statistics of the score, and of cmf above its threshold.
+
+    images (image_id, map: a struct with ulx, uly, xps, yps, rotation, zone and hemi) adds lat and lon of the score's maximum,
+    and cmf_lat and cmf_lon of that of cmf; images without a map have null there.
+    """
     found = connected_regions(pixels.where(F.col("score") > threshold)).transform(cut)
     cmf = region_statistics(found.where(F.col("cmf") > cmf_threshold), "cmf").select("image_id", "region_id", *(F.col(c).alias(f"cmf_{c}") for c in ("vmax", "vmin", "med", "mad", "max_row", "max_col")))
     out = region_statistics(found, "score").join(cmf, ["image_id", "region_id"], "left")
+    if images is not None:
+        out = out.join(images.select("image_id", F.col("map").alias("_map")), "image_id", "left")
+        for tag in ("", "cmf_"):
+            at = geo.pixel_to_latlon(F.col(f"{tag}max_col"), F.col(f"{tag}max_row"), F.col("_map"))
+            out = out.withColumns({f"{tag}lat": at["lat"], f"{tag}lon": at["lon"]})
+        out = out.drop("_map")
     return out.withColumn("detection_id", F.concat_ws("-", "image_id", "region_id"))
 
 

@@ -88,6 +88,13 @@ def line_users(spark: SparkSession, d: str) -> DataFrame:
     return qc.assign_users(V.qc_lid(spark, d), 5).groupBy("user").agg(F.count(F.lit(1)).alias("n"))
 
 
+def images_in_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Images, one per plume, of the flight lines that a facility's plumes lie on."""
+    p = V.plumes(spark, d)
+    images = p.select("row_id", F.concat("lid", F.lit("_ch4mf_v2y1_img")).alias("name"))
+    return qc.images_of_lines(images, p.where("facility = 'F1' and row_id % 3 = 0").select("lid"))
+
+
 def equal_area(spark: SparkSession, d: str) -> DataFrame:
     """Grid points in equal-area metres and their box, with a border of a tenth."""
     at = V.wind(spark, d).select("grid_id", "lat", "lon").distinct().withColumn("p", geo.albers(F.col("lat"), F.col("lon")))
@@ -98,10 +105,11 @@ def equal_area(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (known_candidates, facility_hulls, points_in_lines, weak_labels, cut_tiles, location_discs, candidate_mass, regular_wind, tile_samples, view_outliers, score_detections, wind_pivot, line_users, equal_area)
+    for f in (known_candidates, facility_hulls, points_in_lines, weak_labels, cut_tiles, location_discs, candidate_mass, regular_wind, tile_samples, view_outliers, score_detections, wind_pivot, line_users, images_in_lines, equal_area)
 }
 
 ORACLES = {
+    "images_in_lines": with_views("plumes", " SELECT row_id, lid || '_ch4mf_v2y1_img' AS name FROM plumes WHERE lid IN (SELECT lid FROM plumes WHERE facility = 'F1' AND row_id % 3 = 0)"),
     "known_candidates": with_views("qc_cid", """, a AS (SELECT row_id, label, (row_id % 97) * 0.37::DOUBLE AS x, (row_id % 29) * 0.41::DOUBLE AS y FROM qc_cid)
 SELECT row_id, label FROM a WHERE row_id % 2 = 1 AND EXISTS (SELECT 1 FROM a b WHERE b.row_id % 2 = 0 AND b.label = a.label AND abs(b.x - a.x) < 0.5 AND abs(b.y - a.y) < 0.5)"""),
     "points_in_lines": with_views("grid_pixels flightlines", """, p AS (SELECT image_id, row, col, -119.3::DOUBLE + (col + 0.5::DOUBLE) * 0.0317::DOUBLE AS x, 33.7::DOUBLE + (row + 0.5::DOUBLE) * 0.0313::DOUBLE AS y FROM grid_pixels)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,17 +36,23 @@ def read_list(spark: SparkSession, paths: str | list[str], encoding: str = "utf-
 
 
 def read_any_encoding(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Files that are UTF-8 or, where that fails, ISO-8859-1, each decided by its whole bytes; a file is a list, so it fits a row."""
+    """Files that are UTF-8 or, where that fails, ISO-8859-1, each decided by its whole bytes; a file is a list, so it fits a row.
+
+    Without columns, these are the cells of the first file's first line, and files must agree on them.
+    """
 
-    @F.udf("array<string>")
     def lines(raw: bytes) -> list[str]:
         try:
-            text = bytes(raw).decode("utf-8-sig")
+            text = raw.decode("utf-8-sig")
         except UnicodeDecodeError:
-            text = bytes(raw).decode("iso-8859-1")
+            text = raw.decode("iso-8859-1")
         return [x for x in text.splitlines() if x.strip()]
 
-    files = spark.read.format("binaryFile").load(path).select("path", lines("content").alias("lines"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lines(x.as_py()) for x in batch.column(1)], pa.list_(pa.string()))], names=["path", "lines"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, lines array<string>")
     head = columns or [c.strip().lstrip("#").strip() for c in next(iter(_csv_cells(files.orderBy("path").first().lines[0])))]
     rows = files.select("path", F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("n", "line"))
     return rows.select("path", "n", F.from_csv("line", _ddl(head), {"ignoreLeadingWhiteSpace": "true"}).alias("r")).select("path", "n", "r.*")
@@ -165,7 +173,10 @@ EXPORT = {
 
 
 def export_detections(df: DataFrame, path: str) -> None:
-    df.select(*(F.col(c).alias(n) for c, n in EXPORT.items() if c in df.columns)).write.option("header", True).csv(path)
+    """Write detections, as score_regions() gives them with maps, under the list's headers; a missing column is an error."""
+    if missing := [c for c in EXPORT if c not in df.columns]:
+        raise ValueError(f"detections lack {', '.join(missing)}")
+    df.select(*(F.col(c).alias(n) for c, n in EXPORT.items())).write.option("header", True).csv(path)
 
 
 def rules(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,14 +84,13 @@ def band_columns(images: DataFrame, names: dict[str, int]) -> DataFrame:
 
 
 def granule_health(spark: SparkSession, path: str) -> DataFrame:
-    """(path, messages, status) of GRIB2 files: ok, or failed where a message's length or end mark doesn't hold.
+    """(path, messages, status) of GRIB2 files: ok, or failed where a message's length or end mark doesn't hold or the file is empty.
 
-    Spark's readers list no empty files, so an empty granule has no row: missing_granules() reports it with those never received.
+    Spark's readers leave empty files out, so these are taken from the listing of the folder.
     """
 
-    @F.udf("struct<messages: int, status: string>")
-    def look(raw: bytes):
-        raw, at, n = bytes(raw), 0, 0
+    def look(raw: memoryview) -> tuple[int, str]:
+        at, n = 0, 0
         while at < len(raw):
             if raw[at : at + 4] != b"GRIB" or len(raw) < at + 16:
                 return n, "failed"
@@ -100,7 +100,19 @@ def granule_health(spark: SparkSession, path: str) -> DataFrame:
             at, n = at + size, n + 1
         return n, "ok"
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", look("content").alias("s")).select("path", "s.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [look(memoryview(x.as_buffer())) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int32()), pa.array([s for _, s in found], pa.string())], names=["path", "messages", "status"])
+
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInArrow(run, "path string, messages int, status string")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, empty = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while files.hasNext():
+        file = files.next()
+        if file.getLen() == 0:
+            empty.append((file.getPath().toString(), 0, "failed"))
+    return whole.unionByName(spark.createDataFrame(empty, "path string, messages int, status string"))
 
 
 def write_profiles(profile: DataFrame, path: str) -> None:

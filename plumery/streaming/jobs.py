@@ -23,12 +23,22 @@ def run_available(df: DataFrame, checkpoint: str, per_batch) -> StreamingQuery:
 
 
 def upsert_enriched(plumes: DataFrame, wind_table: DataFrame, out: str, checkpoint: str, k: int = 10) -> StreamingQuery:
-    """Add wind and emission to arriving plumes and write them by batch and date; a batch that is run again replaces its own rows."""
+    """Add wind and emission to arriving plumes and put them into the list at ``out``, which is kept by date and in order of
+    candidate_id inside: a plume that is there already is replaced. Only the dates that a batch has are read and written, and
+    a batch that is run again leaves the same list. Of several rows of a candidate in one batch, one stays.
+    """
 
     def batch(df: DataFrame, n: int) -> None:
+        spark = df.sparkSession
         timed = df.withColumn("acq_time", names.candidate_time(F.col("candidate_id")))
         done = wind.emissions(timed, wind.wind_statistics(wind.wind_of_plumes(timed, wind_table, k)))
-        done.withColumn("date", F.to_date("acq_time")).write.mode("overwrite").partitionBy("date").parquet(f"{out}/batch={n}")
+        new = done.withColumn("date", F.coalesce(F.to_date("acq_time").cast("string"), F.lit("none"))).dropDuplicates(["candidate_id"]).transform(cut)
+        dates = [r.date for r in new.select("date").distinct().collect()]
+        path = spark._jvm.org.apache.hadoop.fs.Path(out)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            old = spark.read.schema(new.schema).parquet(out).where(F.col("date").isin(dates))
+            new = new.unionByName(old.join(new.select("candidate_id"), "candidate_id", "left_anti")).transform(cut)
+        new.repartition("date").sortWithinPartitions("date", "candidate_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(out)
 
     return run_available(plumes, checkpoint, batch)
 
@@ -70,12 +80,14 @@ def assign_sources(plumes: DataFrame, state: str, out: str, checkpoint: str, rad
 
 
 def completeness(arrived: DataFrame, expected: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """After each batch of arrived (path, status), the expected paths that are still missing or failed."""
+    """After each batch of arrived (path, status), the expected paths that are still missing or failed, below ``missing/batch=n``.
+
+    A batch starts from what the one before it left, so what has arrived earlier isn't read again.
+    """
 
     def batch(df: DataFrame, n: int) -> None:
-        spark = df.sparkSession
-        df.select("path", "status").write.mode("overwrite").parquet(f"{out}/seen/batch={n}")
-        fine = spark.read.parquet(f"{out}/seen").where("status = 'ok'").select("path").distinct()
-        expected.join(fine, "path", "left_anti").write.mode("overwrite").parquet(f"{out}/missing/batch={n}")
+        fine = df.where("status = 'ok'").select("path").distinct()
+        left = df.sparkSession.read.schema("path string").parquet(f"{out}/missing/batch={n - 1}") if n else expected.select("path")
+        left.join(fine, "path", "left_anti").write.mode("overwrite").parquet(f"{out}/missing/batch={n}")
 
     return run_available(arrived, checkpoint, batch)

@@ -85,7 +85,7 @@ def test_granules(spark, tmp_path):
     for name, data in (("ok", whole * 2), ("empty", b""), ("cut", whole[:-1])):
         (tmp_path / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[-1]: (r.messages, r.status) for r in rasters.granule_health(spark, str(tmp_path)).collect()}
-    assert got == {"ok": (2, "ok"), "cut": (0, "failed")}
+    assert got == {"ok": (2, "ok"), "cut": (0, "failed"), "empty": (0, "failed")}
 
 
 def test_streams(spark, tmp_path):
@@ -102,6 +102,11 @@ def test_streams(spark, tmp_path):
         jobs.assign_sources(jobs.plume_stream(spark, str(src), schema), state, f"{out}/sources", f"{cp}/sources").awaitTermination()
     done = spark.read.parquet(f"{out}/wind")
     assert done.count() == 12 and done.where("wind_mean = 5").count() == 12
+    (src / "2.csv").write_text("h\n" + ",".join(map(str, (*rows[3][:4], 7.0, *rows[3][5:]))) + "\n" + ",".join(map(str, (99, "ang20240102t120000-99", *rows[3][2:]))) + "\n")
+    jobs.upsert_enriched(jobs.plume_stream(spark, str(src), schema), grid, f"{out}/wind", f"{cp}/wind", k=3).awaitTermination()
+    spark.catalog.refreshByPath(f"{out}/wind")
+    done = spark.read.parquet(f"{out}/wind")  # the plume that came again is replaced, the one of another day added
+    assert done.count() == 13 and done.where("candidate_id = '%s' and ime_fetch_avg = 7" % rows[3][1]).count() == 1
     u = spark.createDataFrame(rows, schema).select("row_id", geo.utm(F.col("lat"), F.col("lon")).alias("u")).select("row_id", "u.x", "u.y").toPandas().sort_values("row_id")
     want = clustering.assign(u, 150.0)
     got = {r.row_id: r.source_key for r in spark.read.parquet(f"{out}/sources").collect()}
@@ -112,4 +117,7 @@ def test_streams(spark, tmp_path):
     (seen / "a.csv").write_text("h\np1,ok\np2,failed\n")
     arrived = spark.readStream.schema("path string, status string").option("header", True).csv(str(seen))
     jobs.completeness(arrived, spark.createDataFrame([("p1",), ("p2",), ("p3",)], "path string"), f"{out}/feed", f"{cp}/feed").awaitTermination()
-    assert {r.path for r in spark.read.parquet(f"{out}/feed/missing").collect()} == {"p2", "p3"}
+    assert {r.path for r in spark.read.parquet(f"{out}/feed/missing/batch=0").collect()} == {"p2", "p3"}
+    (seen / "b.csv").write_text("h\np2,ok\n")
+    jobs.completeness(arrived, spark.createDataFrame([("p1",), ("p2",), ("p3",)], "path string"), f"{out}/feed", f"{cp}/feed").awaitTermination()
+    assert {r.path for r in spark.read.parquet(f"{out}/feed/missing/batch=1").collect()} == {"p3"}
