@@ -360,6 +360,43 @@ def test_language_does_not_depend_on_the_batch():
     assert f.predict(["a"])[0] == ["en"] and langid.grams([])[0].tolist() == []
 
 
+def brute_language(filters, sets, text):
+    """Popcounts with Python's own sets and letters, corrected as the filters say."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    found = [f" {w} "[k : k + 3] for w in words for k in range(len(w))]
+    if not found:
+        return "und", 0.0
+    true = [max(0.0, (sum(g in own for g in found) - r * len(found)) / (1 - r)) for own, r in zip(sets, filters.false_rate, strict=True)]
+    if not sum(true):
+        return filters.langs[filters.common], 0.0
+    return filters.langs[true.index(max(true))], max(true) / sum(true)
+
+
+def test_languages_by_hand():
+    r = np.random.default_rng(12)
+    parts = ["the", "chat", "hund", "y", "é", "ß", "12", "-", "THE", "le", "qqq", "x", "\u4e2d"]
+    training = {"de": "der hund und the katze ß", "en": "the dog and the cat", "fr": "le chat et le chien é"}
+    sets = [{f" {w} "[k : k + 3] for w in t.split() for k in range(len(w))} for t in training.values()]
+    filters = langid.LanguageFilters.build(list(training), [np.unique(langid.grams([t])[1]) for t in training.values()], common=1)
+    texts = [" ".join(r.choice(parts, r.integers(0, 6))) for _ in range(500)] + ["qqq", "", "12"]
+    for n, (lang, score) in enumerate(zip(*filters.predict(texts), strict=True)):
+        want = brute_language(filters, sets, texts[n])
+        assert lang == want[0] and abs(score - want[1]) < 1e-9, texts[n]
+    assert filters.predict(["qqq"]) == (["en"], [0.0])
+
+
+def test_equal_popcounts_go_by_name():
+    filters = langid.LanguageFilters.build(["b", "c"], [langid.grams(["the"])[1], langid.grams(["cat"])[1]])
+    filters.false_rate[:] = 0
+    assert filters.predict(["cat the"])[0] == ["b"]
+
+
+def test_the_most_common_language_stands_in(spark):
+    train = spark.createDataFrame([("en", "aaa"), ("fr", "bbb"), ("fr", "ccc")], "lang string, text string")
+    docs = spark.createDataFrame([(1, "zzz"), (2, "a\u0300 \u4e2d\u6587"), (3, "aaa")], "doc_id long, text string")
+    assert [(r.lang_pred, r.score) for r in langid.predict_languages(docs, langid.learn(train)).orderBy("doc_id").collect()] == [("fr", 0.0), ("fr", 0.0), ("en", 1.0)]
+
+
 def test_bitmask_filters_hold_all_they_were_given():
     r = np.random.default_rng(1)
     codes = [r.integers(1, 1 << 60, 500).astype(np.uint64) for _ in range(70)]
