@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumery.operators.graph import ensure_checkpoints
+
 #: White space of the contracts: space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,18 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the setting is missing, as in local tests, a temporary folder takes its place.
     """
+    ensure_checkpoints(spark)
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
-        base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/plumery-{uuid.uuid4().hex}"
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, whose texts can be long, with its session handing rows to Python in batches of at most ``rows``."""
+    """df, whose texts can be long, with its session handing rows to Python in batches of at most ``rows``.
+
+    The size of a batch is read when a job starts, long after an operator has returned its lazy result; so the session keeps
+    the smaller size, for later queries too. It changes how many rows are handed over at once, never a result.
+    """
     key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     if not 0 < int(conf.get(key)) <= rows:
         conf.set(key, rows)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumery.operators.graph import cut
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest node among the node and its neighbours."""
@@ -21,19 +23,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges(a, b); the root is the smallest node that can be reached.
 
     Edges may be repeated, in either direction, or loops; loops alone give no row. Each round writes its edges with
-    checkpoint(). No list of a node's neighbours is ever built: only minima are grouped, and joins on a busy node are left
+    a checkpoint; rounds go on until none changes anything. No list of a node's neighbours is ever built: only minima are grouped, and joins on a busy node are left
     to Spark's skew join.
     """
-    edges = edges.select("a", "b").where("a <> b").distinct().checkpoint()
+    edges = edges.select("a", "b").where("a <> b").distinct().transform(cut)
     sums = None
-    for _ in range(max_rounds):
-        edges = _small_star(_large_star(edges)).checkpoint()
+    while True:
+        edges = _small_star(_large_star(edges)).transform(cut)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == sums:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         sums = now
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")

@@ -50,17 +50,20 @@ class LineRuns:
         self.spark, self.fan_in = spark, fan_in
         self.n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, str]]] = []
+        self.written: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> tuple[str, str]:
         name, path = f"line_run_{uuid.uuid4().hex}", shared_dir(self.spark)
+        self.written[name] = path
         (rows.repartition(self.n_buckets, *HASH).write.bucketBy(self.n_buckets, *HASH).sortBy(*HASH)
          .option("path", path).format("parquet").saveAsTable(name))
         return name, path
 
     def _drop(self, runs: list[tuple[str, str]]) -> None:
         for name, path in runs:
-            self.spark.sql(f"DROP TABLE {name}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             remove(self.spark, path)
+            self.written.pop(name, None)
 
     def runs(self) -> list[tuple[str, str]]:
         return [run for level in self.levels for run in level]
@@ -101,7 +104,7 @@ class LineRuns:
             self._push(up, level + 1)
 
     def close(self) -> None:
-        self._drop(self.runs())
+        self._drop(list(self.written.items()))
         self.levels = []
 
 
@@ -111,16 +114,17 @@ def shared_lines(lines: DataFrame, min_docs: int = 5, n_batches: int = 4, fan_in
     cuts = lines.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / n_batches) for i in range(1, n_batches))), F.lit(1000))).first()[0] or []
     runs = LineRuns(spark, fan_in)
     edges = [None, *sorted(set(cuts)), None]
-    for low, high in reversed(list(zip(edges, edges[1:], strict=False))):
-        batch = lines
-        if low is not None:
-            batch = batch.where(F.col("doc_id") > low)
-        if high is not None:
-            batch = batch.where(F.col("doc_id") <= high)
-        runs.add(batch)
-    found = materialise(runs.merged(runs.runs()).where(F.col("n_docs") >= min_docs))
-    runs.close()
-    return found
+    try:
+        for low, high in reversed(list(zip(edges, edges[1:], strict=False))):
+            batch = lines
+            if low is not None:
+                batch = batch.where(F.col("doc_id") > low)
+            if high is not None:
+                batch = batch.where(F.col("doc_id") <= high)
+            runs.add(batch)
+        return materialise(runs.merged(runs.runs()).where(F.col("n_docs") >= min_docs))
+    finally:  # after an error too, no run stays in the catalog or on disk
+        runs.close()
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batches: int = 4, fan_in: int = 2) -> DataFrame:
@@ -149,6 +153,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batch
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, how many of them other documents keep, and a digest of what stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

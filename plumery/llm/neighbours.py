@@ -218,6 +218,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, n_tasks: int |
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors for each vector whose id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 

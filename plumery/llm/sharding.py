@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumery.llm.common import table
+from plumery.operators.graph import cut
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 40, per_row: int = 16, n_parts: int | None = None) -> DataFrame:
@@ -25,8 +26,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, per_row: int = 16, n_par
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     slim = docs.select(
         "doc_id", (F.octet_length(text) + F.lit(per_row)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("seq")
-    ).checkpoint()
-    ranged = slim.repartitionByRange(n_parts, *order).withColumn("part", F.spark_partition_id()).checkpoint()
+    ).transform(cut)
+    ranged = slim.repartitionByRange(n_parts, *order).withColumn("part", F.spark_partition_id()).transform(cut)
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = (
         ranged.groupBy("part")
@@ -46,6 +47,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, per_row: int = 16, n_par
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 40 and slot by the law ``bytes``."""
     return shard_by_bytes(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

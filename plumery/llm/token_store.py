@@ -378,6 +378,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Start, number and checksum of every document's token ids, read back from the shards."""
     if tokenizer is None:
         import public_tokenizers
 

@@ -42,7 +42,7 @@ def brute_lines(rows, min_chars=40, min_docs=5):
     return sorted((repr(i), "\n".join(x for x in (t or "").split("\n") if i is None or shared.get(key(x), i) == i)) for i, t in rows)
 
 
-@pytest.mark.parametrize("batches", [1, 5])
+@pytest.mark.parametrize("batches", [1, 9])
 def test_line_dedup(spark, odd, batches):
     out = line_dedup.dedup_lines(odd, n_batches=batches, fan_in=2)
     assert set(out.columns) == set(odd.columns) | {"n_dropped"}
