@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,24 +141,58 @@ def exists_near(candidates: DataFrame, known: DataFrame, reach: float = 0.5) ->
     return c.join(k, near, "left_semi").drop("cx", "cy")
 
 
-def convex_hulls(points: DataFrame) -> DataFrame:
-    """(key, hull): the corners of each group's convex hull, counter-clockwise from the lowest x; points has key, x and y."""
-    # Rows on the edge of each small cell's box are enough, and keep a group's task small.
-    w = Window.partitionBy("key", "x")
-    ends = points.select("key", "x", "y").distinct().withColumns({"lo": F.min("y").over(w), "hi": F.max("y").over(w)}).where("y = lo or y = hi")
+def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Corners of the convex hull, counter-clockwise from the lowest x (then y); points on its sides are none."""
+    p = sorted(set(points))
+
+    def chain(seq: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        out: list[tuple[float, float]] = []
+        for q in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    return chain(p) + chain(p[::-1]) if len(p) > 1 else p
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        p = sorted(set(zip(part["x"], part["y"], strict=True)))
 
-        def chain(seq):
-            out: list[tuple[float, float]] = []
-            for q in seq:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(q)
-            return out[:-1]
+#: Points that a task holds before it passes on the corners it has.
+HELD_POINTS = 200_000
 
-        hull = chain(p) + chain(p[::-1]) if len(p) > 1 else p
-        return pd.DataFrame({"key": [part["key"].iloc[0]], "hull": [[{"x": float(x), "y": float(y)} for x, y in hull]]})
 
-    return ends.select("key", "x", "y").groupBy("key").applyInPandas(run, "key string, hull array<struct<x double, y double>>")
+def convex_hulls(points: DataFrame) -> DataFrame:
+    """(key, hull): the corners of each group's convex hull, counter-clockwise from the lowest x; points has key, x and y.
+
+    Each task reduces what it reads to the corners of its own hulls, so of a large group only corners meet. Null keys or
+    places play no part.
+    """
+    key = points.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, list[tuple[float, float]]] = {}
+
+        def corners() -> pa.RecordBatch:
+            rows = [(k, x, y) for k, own in held.items() for x, y in hull(own)]
+            held.clear()
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())], names=["key", "x", "y"])
+
+        n, kind = 0, pa.string()
+        for batch in batches:
+            kind = batch.column(0).type
+            for k, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(k, []).append((x, y))
+            n += len(batch)
+            if n >= HELD_POINTS:
+                yield corners()
+                n = 0
+        if held:
+            yield corners()
+
+    def whole(part: pd.DataFrame) -> pd.DataFrame:
+        found = hull(list(zip(part["x"].tolist(), part["y"].tolist(), strict=True)))
+        return pd.DataFrame({"key": [part["key"].iloc[0]], "hull": [[{"x": x, "y": y} for x, y in found]]})
+
+    places = points.select("key", F.col("x").cast("double"), F.col("y").cast("double")).where("key is not null and x is not null and y is not null")
+    ends = places.mapInArrow(run, f"key {key}, x double, y double")
+    return ends.groupBy("key").applyInPandas(whole, f"key {key}, hull array<struct<x double, y double>>")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumery.functions import geo, names, physics
-from plumery.operators import evaluation, graph, pixels, qc, regions, tiles, triage, wind
+from plumery.operators import evaluation, graph, overlap, pixels, qc, regions, tiles, triage, wind
 from plumery.sources import lists, rasters
 
 
@@ -133,6 +133,20 @@ def test_components_both_ways(spark, monkeypatch, local):
         assert {(x.node.n if struct else x.node): (x.label.n if struct else x.label) for x in got} == dict(enumerate(top))
 
 
+def test_hulls_against_all_lines(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HELD_POINTS", 20)
+    r = np.random.default_rng(8)
+    points = [(k, int(x), int(y)) for k in range(3) for x, y in r.integers(0, 12, (50, 2))] + [(7, 1, 1), (8, 0, 0), (8, 2, 2), (8, 1, 1), (None, 5, 5)]
+    got = {x.key: [(p.x, p.y) for p in x.hull] for x in overlap.convex_hulls(spark.createDataFrame(points, "key long, x int, y int").repartition(4)).collect()}
+    assert set(got) == {0, 1, 2, 7, 8} and got[7] == [(1, 1)] and got[8] == [(0, 0), (2, 2)]
+    for k in range(3):
+        own = {(x, y) for n, x, y in points if n == k}
+        side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        lines = {(a, b) for a in own for b in own if a != b and all(side(a, b, c) > 0 or (side(a, b, c) == 0 and min(a, b) <= c <= max(a, b)) for c in own)}
+        assert set(got[k]) == {a for a, _ in lines}
+        assert all((a, b) in lines for a, b in zip(got[k], got[k][1:] + got[k][:1], strict=True)) and got[k][0] == min(own)
+
+
 def test_sampled_tiles(spark):
     r = np.random.default_rng(7)
     px = spark.createDataFrame(pd.DataFrame({"image_id": r.integers(0, 9, 3000), "row": r.integers(0, 64, 3000).astype("int32"), "col": r.integers(0, 64, 3000).astype("int32"), "label": r.integers(-1, 2, 3000)}))
