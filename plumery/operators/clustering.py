@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,23 +14,31 @@ from plumery.operators.graph import cut, dense_numbers, min_labels
 
 def assign(points: pd.DataFrame, radius: float, clusters: list[list[float]] | None = None) -> list[int]:
     """The sequential rule: join the nearest centroid within the radius (first of equals), which moves to the mean; else a
-    new cluster. points has x and y in order; clusters, lists of x, y and count, are updated."""
+    new cluster. points has x and y in order; clusters, lists of x, y and count, are updated. Only centroids in the cells around
+    a point are compared with it."""
     clusters = [] if clusters is None else clusters
+    cell = lambda x, y: (math.floor(x / radius), math.floor(y / radius))
+    held: dict[tuple[int, int], set[int]] = {}
+    for n, (x, y, _) in enumerate(clusters):
+        held.setdefault(cell(x, y), set()).add(n)
     out = []
     for x, y in zip(points["x"].tolist(), points["y"].tolist(), strict=True):
-        best, at = radius * radius, -1
-        for n, (cx, cy, _) in enumerate(clusters):
-            d = (x - cx) ** 2 + (y - cy) ** 2
-            if d < best or (d == best and at < 0):
-                best, at = d, n
-        if at < 0:
+        i, j = cell(x, y)
+        near = [((x - clusters[n][0]) ** 2 + (y - clusters[n][1]) ** 2, n) for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) for n in held.get((a, b), ())]
+        d, at = min(near, default=(math.inf, -1))
+        if d > radius * radius:
             clusters.append([x, y, 1])
             at = len(clusters) - 1
+            held.setdefault((i, j), set()).add(at)
         else:
             c = clusters[at]
+            old = cell(c[0], c[1])
             c[0] += (x - c[0]) / (c[2] + 1)
             c[1] += (y - c[1]) / (c[2] + 1)
             c[2] += 1
+            if (new := cell(c[0], c[1])) != old:
+                held[old].discard(at)
+                held.setdefault(new, set()).add(at)
         out.append(at)
     return out
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumery.functions import geo, names, physics
-from plumery.operators import evaluation, graph, overlap, pixels, qc, regions, tiles, triage, wind
+from plumery.operators import clustering, evaluation, graph, overlap, pixels, qc, regions, tiles, triage, wind
 from plumery.sources import lists, rasters
 
 
@@ -147,6 +147,25 @@ def test_hulls_against_all_lines(spark, monkeypatch):
         assert all((a, b) in lines for a, b in zip(got[k], got[k][1:] + got[k][:1], strict=True)) and got[k][0] == min(own)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_assignment_compares_as_with_all_centroids(seed):
+    r = np.random.default_rng(seed)
+    points = pd.DataFrame(np.round(r.uniform(-900, 900, (400, 2)), -1), columns=["x", "y"])  # many equal distances
+    start = [[0.0, 0.0, 3], [100.0, -50.0, 1]]
+    clusters, want = [list(c) for c in start], []
+    for x, y in points.to_numpy():
+        d = [(x - a) ** 2 + (y - b) ** 2 for a, b, _ in clusters]
+        at = int(np.argmin(d)) if d and min(d) <= 150.0**2 else len(clusters)
+        if at == len(clusters):
+            clusters.append([x, y, 1])
+        else:
+            a, b, n = clusters[at]
+            clusters[at] = [a + (x - a) / (n + 1), b + (y - b) / (n + 1), n + 1]
+        want.append(at)
+    own = [list(c) for c in start]
+    assert clustering.assign(points, 150.0, own) == want and np.allclose(own, clusters)
+
+
 def test_sampled_tiles(spark):
     r = np.random.default_rng(7)
     px = spark.createDataFrame(pd.DataFrame({"image_id": r.integers(0, 9, 3000), "row": r.integers(0, 64, 3000).astype("int32"), "col": r.integers(0, 64, 3000).astype("int32"), "label": r.integers(-1, 2, 3000)}))
