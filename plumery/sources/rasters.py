@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,23 +52,25 @@ def read_images(spark: SparkSession, path: str, bands: list[int] | None = None,
     heads = files.where(F.col("path").endswith(".hdr")).select(F.regexp_replace("path", r"\.hdr$", "").alias("path"), F.col("content").cast("string").alias("head"))
     both = files.where(~F.col("path").endswith(".hdr")).select("path", "content").join(heads, "path")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for full, content, head in zip(batch["path"], batch["content"], batch["head"], strict=True):
-                h = parse_header(head)
+            for full, content, head in zip(*(batch.column(c) for c in ("path", "content", "head")), strict=True):
+                h, name = parse_header(head.as_py()), full.as_py().rsplit("/", 1)[-1]
                 n, m, k = int(h["lines"]), int(h["samples"]), int(h["bands"])
-                raw = np.frombuffer(content, np.dtype(KINDS[int(h["data type"])]).newbyteorder(">" if h.get("byte order") else "<"), offset=int(h.get("header offset", 0)))
+                raw = np.frombuffer(content.as_buffer(), np.dtype(KINDS[int(h["data type"])]).newbyteorder(">" if h.get("byte order") else "<"), offset=int(h.get("header offset", 0)))
                 shape, axes = {"bip": ((n, m, k), (0, 1, 2)), "bil": ((n, k, m), (0, 2, 1)), "bsq": ((k, n, m), (1, 2, 0))}[str(h["interleave"]).lower()]
                 image = raw.reshape(shape).transpose(axes)[:, :, bands if bands is not None else slice(None)]
                 ignore = h.get("data ignore value", -9999)
                 for at in range(0, n, lines):
                     part = image[at : at + lines].astype(float)
-                    empty = (part == ignore).any(2) if any_band else part[:, :, -1] == ignore
-                    rows, cols = np.indices(part.shape[:2])
-                    values = [None if e else v for e, v in zip(empty.ravel(), part.reshape(-1, part.shape[2]), strict=True)]
-                    yield pd.DataFrame({"image_id": full.rsplit("/", 1)[-1], "row": rows.ravel() + at, "col": cols.ravel(), "values": values})
-
-    return both.mapInPandas(run, "image_id string, row int, col int, values array<double>")
+                    empty = ((part == ignore).any(2) if any_band else part[:, :, -1] == ignore).ravel()
+                    rows, cols = np.indices(part.shape[:2], dtype=np.int32)
+                    ends = np.append(0, np.cumsum(np.where(empty, 0, part.shape[2]))).astype(np.int32)
+                    offsets = pa.array(ends, mask=np.append(empty, False))  # a null offset is a null list
+                    values = pa.ListArray.from_arrays(offsets, pa.array(part.reshape(-1, part.shape[2])[~empty].ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(empty)), pa.array(rows.ravel() + np.int32(at)), pa.array(cols.ravel()), values], names=["image_id", "row", "col", "values"])
+
+    return both.mapInArrow(run, "image_id string, row int, col int, values array<double>")
 
 
 def enhancement_pixels(images: DataFrame) -> DataFrame:
