@@ -18,7 +18,8 @@ forest leave a run of equal keys, never all its pairs. Keys belong to distinct f
 ``keep_one`` asks for similar texts instead: sets of five-word shingles with a similarity of 0.8 or more. Such texts differ in
 10 of 64 bits on average, out of reach of keys with an equal segment. So it takes two fingerprints, and as keys a near codeword
 of each of two segments, for each pair of segments: errors of two segments may be several each. What meets is compared in all
-128 bits, and the closest pairs that tie each run together are verified by their very sets of shingles.
+128 bits, and the closest pairs that tie each run together are verified by their very sets of shingles. A first round with only
+the nearest codewords ties most of a large group together, so that the second one, with all near ones, asks for few pairs more.
 """
 
 from __future__ import annotations
@@ -242,7 +243,7 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
 
 #: The bits of 128 in which two fingerprints may differ: texts of similarity 0.8 differ in 19 on average, others in 64. Pairs are
 #: tied together in this order, the closest ones first.
-LEVELS = (12, 20, 27, 34)
+LEVELS = (8, 12, 16, 20, 24, 27, 30, 34)
 
 
 def sketch(text: str | None, width: int) -> tuple[int, int, np.ndarray]:
@@ -286,12 +287,12 @@ def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of uint64 fingerprints: a near codeword of each of two segments, for the three pairs of segments."""
+def pair_keys(fps: np.ndarray, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of uint64 fingerprints: a near codeword (or only the nearest) of each of two segments, for the three pairs of segments."""
     near = [near_codewords((fps >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)) for at, n in SEGMENTS]
     rows, keys = [], []
     for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        (a, good_a), (b, good_b) = near[i], near[j]
+        a, good_a, b, good_b = (x[:, :1] if nearest else x for x in (*near[i], *near[j]))  # the first one is the nearest
         key = kind << 24 | a[:, :, None] << 12 | b[:, None, :]
         good = good_a[:, :, None] & good_b[:, None, :]
         rows.append(np.nonzero(good)[0])
@@ -299,10 +300,13 @@ def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def level_forest(prints: np.ndarray, levels: tuple[int, ...] = LEVELS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that tie rows of prints (n, 2) together: at each level, every tree is tied to all trees within that many bits."""
+def level_forest(prints: np.ndarray, trees: np.ndarray | None = None, levels: tuple[int, ...] = LEVELS) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that tie rows of prints (n, 2) together: at each level, every tree is tied to all trees within that many bits.
+
+    trees has what is tied already; by default each row is a tree.
+    """
     n = len(prints)
-    tree, a, b = np.arange(n), [], []
+    tree, a, b = np.arange(n) if trees is None else np.unique(trees, return_inverse=True)[1], [], []
     for level in levels:
         left = np.arange(n)
         while len(left):
@@ -326,31 +330,31 @@ def level_forest(prints: np.ndarray, levels: tuple[int, ...] = LEVELS) -> tuple[
     return (np.concatenate(a) if a else none), (np.concatenate(b) if b else none)
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes(node, one, two) that tie together what shares a key and is close in all bits."""
+def candidate_edges(nodes: DataFrame, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b) of nodes(node, tree, one, two) that tie together what shares a key, is close in all bits and isn't of one tree."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
                 for kind in (1, 2):
-                    rows, keys = pair_keys(part.column(kind).to_numpy().view(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array((keys | kind << 26).astype(np.int32)), *(c.take(pa.array(rows)) for c in part.columns)], names=["key", "node", "one", "two"])
+                    rows, keys = pair_keys(part.column(kind + 1).to_numpy().view(np.uint64), nearest)
+                    yield pa.RecordBatch.from_arrays([pa.array((keys | kind << 26).astype(np.int32)), *(c.take(pa.array(rows)) for c in part.columns)], names=["key", "node", "tree", "one", "two"])
 
     def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, node, one, two in whole_runs(batches):
+        for keys, node, tree, one, two in whole_runs(batches):
             prints = np.stack([one, two], 1).view(np.uint64)
             cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
             sizes = np.diff(cuts)
             short = np.repeat(sizes <= 16, sizes)
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for step in range(1, min(16, len(keys))):
-                hit = np.flatnonzero((keys[step:] == keys[:-step]) & short[step:])
+                hit = np.flatnonzero((keys[step:] == keys[:-step]) & short[step:] & (tree[step:] != tree[:-step]))
                 hit = hit[np.bitwise_count(prints[hit + step] ^ prints[hit]).sum(1) <= LEVELS[-1]]
                 a.append(hit)
                 b.append(hit + step)
             for k in np.flatnonzero(sizes > 16).tolist():
-                x, y = level_forest(prints[cuts[k] : cuts[k + 1]])
+                x, y = level_forest(prints[cuts[k] : cuts[k + 1]], tree[cuts[k] : cuts[k + 1]])
                 a.append(x + cuts[k])
                 b.append(y + cuts[k])
             a, b = node[np.concatenate(a)], node[np.concatenate(b)]
@@ -358,7 +362,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = nodes.select("node", "one", "two").mapInArrow(keyed, "key int, node long, one long, two long")
+    keys = nodes.select("node", "tree", "one", "two").mapInArrow(keyed, "key int, node long, tree long, one long, two long")
     return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tied, "a long, b long").distinct()
 
 
@@ -389,13 +393,18 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     alike = prints.groupBy("one", "two", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n_rows"))
     nodes = alike.groupBy("one", "two").agg(F.min(F.struct("doc_id", "text_hash", "n_rows")).alias("lead"))
     nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "one", "two", "lead"))
-    edges = materialise(candidate_edges(nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    wanted = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    wanted = nodes.join(wanted, "node").select("node", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_hash").alias("text_hash"))
-    sets = materialise(prints.select("doc_id", "text_hash", "shingles").join(wanted, ["doc_id", "text_hash"]).groupBy("node").agg(F.first("shingles").alias("shingles")))
-    roots = connected_components(similar_edges(edges, sets, similarity))
-    rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("lead").alias("lead"))
-    return rooted.select("lead.*")
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    where = nodes.select("node", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_hash").alias("text_hash"))
+    trees, good = nodes.withColumn("tree", F.col("node")), None
+    for nearest in (True, False):
+        edges = materialise(candidate_edges(trees.repartition(n_parts, "node"), nearest))
+        wanted = where.join(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "node")
+        sets = prints.select("doc_id", "text_hash", "shingles").join(wanted, ["doc_id", "text_hash"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
+        found = similar_edges(edges, materialise(sets), similarity)
+        good = materialise(found if good is None else good.unionByName(found))
+        roots = connected_components(good)
+        trees = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("tree"), "one", "two", "lead")
+    return trees.groupBy("tree").agg(F.min("lead").alias("lead")).select("lead.*")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
