@@ -476,6 +476,7 @@ def encode_pieces(docs: DataFrame, model: str, seed: int = 1, rate: float = 0.1)
                 flat = pa.array(np.concatenate(ids).astype(np.int32)) if ids else pa.array([], pa.int32())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), lists, pa.array(sizes), pa.array(fine)], names=[*(f.name for f in kept), "ids", "n_pieces", "lossless"])
+        own.memo = Runs()  # a worker lives on after its task, and so would all that it remembers
 
     return small_batches(docs).select(*(f.name for f in kept)).mapInArrow(run, T.StructType(kept + added))
 
