@@ -82,13 +82,10 @@ def column_artifacts(profile: DataFrame, value: str = "avg", k: float = 1.0, mea
 
     The spread is the mean absolute deviation from the mean, or the median one from the median.
     """
-    run = running_median(profile, value)
-    if mean_spread:
-        centre = run.groupBy("image_id").agg(F.avg(value).alias("_c"))
-        dev = run.join(centre, "image_id").groupBy("image_id").agg(F.avg(F.abs(F.col(value) - F.col("_c"))).alias("spread"))
-    else:
-        dev = spread(run, ["image_id"], value).select("image_id", F.col("mad").alias("spread"))
-    return run.join(dev, "image_id").groupBy("image_id").agg(F.count_if(F.col(value) - F.col("running") > k * F.col("spread")).alias("artifacts"))
+    image = Window.partitionBy("image_id")  # an image's columns are few, and the running median has them together already
+    middle = lambda c: (F.avg(c) if mean_spread else F.percentile(c, 0.5)).over(image)
+    run = running_median(profile, value).withColumn("_c", middle(F.col(value))).withColumn("spread", middle(F.abs(F.col(value) - F.col("_c"))))
+    return run.groupBy("image_id").agg(F.count_if(F.col(value) - F.col("running") > k * F.col("spread")).alias("artifacts"))
 
 
 def confusion(predicted: DataFrame, labels: DataFrame) -> DataFrame:
