@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from plumery.llm import decontam, langid, line_dedup, neighbours, pii, quality, sentencepieces, sharding, simhash, token_store
+from plumery.llm import decontam, exact_dedup, langid, lexical, line_dedup, merkle, neighbours, pii, quality, sentencepieces, sharding, simhash, token_store
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_quality": quality.op9_quality,
     "op10_decontamination": decontam.op10_decontamination,
+    "op11_lexical": lexical.op11_lexical,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
-ORACLES = {**line_dedup.SQL, **neighbours.SQL, **sharding.SQL, **decontam.SQL}
+ORACLES = {**line_dedup.SQL, **neighbours.SQL, **sharding.SQL, **decontam.SQL, **lexical.SQL, **merkle.SQL, **exact_dedup.SQL}
