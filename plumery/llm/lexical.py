@@ -2,9 +2,10 @@
 
 A document is the vector of its terms' scores, an item the vector of its terms' counts; the score is their inner product. Only
 terms of the items matter, so a document's vector is cut down to these when its text is read, once, where it lies. Each task
-puts runs of documents into ball trees. A node is a ball around its documents' mean; no document of it can score more than the
-item's product with the mean plus the item's length times the radius. Nodes are taken best bound first, and once the best bound
-left is below the k-th score found, the tree is done. Bounds are in floating point and rounded up; scores at the leaves are
+puts runs of documents into ball trees. A node is a ball around its documents' mean, in a metric that measures each term by the
+node's largest distance along it, so terms that the node's documents don't have, or all have alike, don't widen it. No document
+of a node can score more than the item's product with the mean plus the item's length, in the dual metric, times the radius.
+Nodes are taken best bound first, and once the best bound left is below the k-th score found, the tree is done. Bounds are in floating point and rounded up; scores at the leaves are
 sums of 64-bit integers, so results are exact and ties are kept.
 """
 
@@ -29,7 +30,7 @@ from plumery.llm.common import LOWER, UPPER, materialise, small_batches, table
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans(UPPER, LOWER)
 #: Bytes of item texts that are searched for in one pass, documents and vector entries of a tree, documents of a leaf.
-BLOCK_BYTES, TREE_DOCS, TREE_TERMS, LEAF_DOCS = 16 << 20, 16_384, 2 << 20, 64
+BLOCK_BYTES, TREE_DOCS, TREE_TERMS, LEAF_DOCS = 16 << 20, 16_384, 2 << 20, 32
 NO_ID = (1 << 63) - 1
 
 
@@ -105,7 +106,7 @@ class Rows:
 
 
 class BallTree:
-    """Nodes over rows put in such an order that each node is a range of them; halves along the line of two far rows."""
+    """Nodes over rows put in such an order that each node is a range of them; parted along the line of two means, from two far rows."""
 
     def __init__(self, rows: Rows, n_terms: int, leaf_docs: int = LEAF_DOCS) -> None:
         self.ranges: list[tuple[int, int]] = []
@@ -122,26 +123,38 @@ class BallTree:
                 self.kids[parent] = (*(self.kids[parent] or ()), node)
             part = rows.take(own)
             centre = np.bincount(part.terms, part.values, n_terms) / len(own)
-            length = float(centre @ centre)
-            # A difference of squares loses digits; what it may lose is added, so a radius is never too small.
-            apart = squares[own] - 2 * part.dot(centre) + length + 1e-9 * (squares[own] + length)
-            radii.append(math.sqrt(max(float(apart.max()), 0)))
+            # Distances are in a metric of the node's own: along a term, by the largest one of its rows.
+            off = part.values - centre[part.terms]
+            spread = np.where(np.bincount(part.terms, minlength=n_terms) < len(own), centre, 0.0)  # rows without a term are so far off
+            np.maximum.at(spread, part.terms, np.abs(off))
+            scale = np.divide(1.0, spread, out=np.zeros(n_terms), where=spread > 0)
+            base = float(centre**2 @ scale)
+            squared = base + np.add.reduceat((off * off - centre[part.terms] ** 2) * scale[part.terms], part.starts[:-1])
+            # Differences of squares lose digits; what they may lose is added, so a radius is never too small.
+            radii.append(math.sqrt(max(float(squared.max()), 0) + 1e-9 * (base + float(np.abs(squared).max()))))
             some = np.flatnonzero(centre)
-            centres.append((some, np.full(len(some), node), centre[some]))
+            centres.append((some, np.full(len(some), node), centre[some], spread[some]))
             if len(own) <= leaf_docs:
                 order.append((at, own))
                 continue
-            one = self._dense(part, int(apart.argmax()), n_terms)
+            one = self._dense(part, int((squares[own] - 2 * part.dot(centre)).argmax()), n_terms)
             two = self._dense(part, int((squares[own] - 2 * part.dot(one)).argmax()), n_terms)
-            halves = np.argsort(part.dot(one - two), kind="stable")
-            half = len(own) // 2
+            along = part.dot(one - two) - (one @ one - two @ two) / 2
+            for _ in range(2):  # towards two means
+                first = along > 0
+                if first.all() or not first.any():
+                    break
+                one, two = (np.bincount(x.terms, x.values, n_terms) / len(x.ids) for x in (part.take(np.flatnonzero(first)), part.take(np.flatnonzero(~first))))
+                along = part.dot(one - two) - (one @ one - two @ two) / 2
+            halves = np.argsort(along, kind="stable")
+            half = int(np.clip((along <= 0).sum(), len(own) // 8, len(own) - len(own) // 8))  # so it isn't deep
             todo.append((own[halves[:half]], at, node))
             todo.append((own[halves[half:]], at + half, node))
         self.rows = rows.take(np.concatenate([own for _, own in sorted(order, key=lambda x: x[0])]))
         self.radii = np.array(radii)
-        terms, self.nodes, self.centres = (np.concatenate(x) for x in zip(*centres, strict=True))
+        terms, self.nodes, self.centres, self.spreads = (np.concatenate(x) for x in zip(*centres, strict=True))
         by_term = np.argsort(terms, kind="stable")
-        self.nodes, self.centres = self.nodes[by_term], self.centres[by_term]
+        self.nodes, self.centres, self.spreads = self.nodes[by_term], self.centres[by_term], self.spreads[by_term]
         self.starts = np.searchsorted(terms[by_term], np.arange(n_terms + 1))
 
     @staticmethod
@@ -153,11 +166,12 @@ class BallTree:
 
     def bounds(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Of each node, what no row of it can exceed; rounded up by far more than the sums can lose."""
-        out = np.zeros(len(self.radii))
+        out, squares = np.zeros(len(self.radii)), np.zeros(len(self.radii))
         for t, c in zip(terms.tolist(), counts.tolist(), strict=True):
             own = slice(self.starts[t], self.starts[t + 1])
             out[self.nodes[own]] += c * self.centres[own]
-        return (out + math.sqrt(float((counts * counts).sum())) * self.radii) * (1 + 1e-9) + 1
+            squares[self.nodes[own]] += c * c * self.spreads[own]
+        return (out + np.sqrt(squares) * self.radii) * (1 + 1e-9) + 1
 
     def search(self, terms: np.ndarray, counts: np.ndarray, dense: np.ndarray, best: list[tuple[int, int]], k: int) -> int:
         """Puts rows into best, a heap of (score, -id) of the k first by score and smallest id; how many leaves were scored.
