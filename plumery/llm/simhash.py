@@ -16,10 +16,12 @@ Fingerprints that share a key meet in one task, sorted by key, where the distanc
 forest leave a run of equal keys, never all its pairs. Keys belong to distinct fingerprints, so a group of copies is one row.
 
 ``keep_one`` asks for similar texts instead: sets of five-word shingles with a similarity of 0.8 or more. Such texts differ in
-10 of 64 bits on average, out of reach of keys with an equal segment. So it takes two fingerprints, and as keys a near codeword
-of each of two segments, for each pair of segments: errors of two segments may be several each. What meets is compared in all
-128 bits, and the closest pairs that tie each run together are verified by their very sets of shingles. A first round with only
-the nearest codewords ties most of a large group together, so that the second one, with all near ones, asks for few pairs more.
+10 of 64 bits on average, out of reach of keys with an equal segment. So it takes two fingerprints of the set, in which a shingle
+counts once however often it is repeated, and as keys a near codeword of each of two segments, for each pair of segments:
+errors of two segments may be several each. What meets is compared in all 128 bits, and the closest pairs that tie each run
+together are verified by their very sets of shingles; texts with equal fingerprints are no exception. There is a round for each
+fingerprint, first with the nearest codewords, then with all near ones. What a round has tied counts as tied in the next, so
+a large group is asked for few pairs more.
 """
 
 from __future__ import annotations
@@ -241,13 +243,14 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
 
 # --- similar texts ----------------------------------------------------------------------------------------------------
 
-#: The bits of 128 in which two fingerprints may differ: texts of similarity 0.8 differ in 19 on average, others in 64. Pairs are
-#: tied together in this order, the closest ones first.
-LEVELS = (8, 12, 16, 20, 24, 27, 30, 34)
+#: The bits of 128 in which two fingerprints may differ: texts of similarity 0.8 differ in 19 on average, others in 64.
+MAX_APART = 34
+#: Runs of a key above this are tied along sorted orders first; words of the table of distances that is held at once.
+SHORT_RUN, TABLE_WORDS = 512, 1 << 20
 
 
 def sketch(text: str | None, width: int) -> tuple[int, int, np.ndarray]:
-    """Two fingerprints, of the shingles' XXH64 and of the same mixed once more, and the sorted set of 32 bits of each."""
+    """Two fingerprints, of the distinct shingles' XXH64 and of the same mixed once more, and the sorted set of 32 bits of each."""
     from xxhash import xxh64_intdigest
 
     words = words_of(text)
@@ -257,15 +260,15 @@ def sketch(text: str | None, width: int) -> tuple[int, int, np.ndarray]:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - width + 1)
     starts, ends = np.concatenate(([0], ends[:-1] + 1))[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist()
-    counts, kept = np.zeros(128, np.int64), []
-    for at in range(0, n, 4096):
-        h = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[at : at + 4096], ends[at : at + 4096], strict=True)], np.uint64)
+    every = np.unique(np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)), np.uint64, n))
+    counts = np.zeros(128, np.int64)
+    for at in range(0, len(every), 4096):  # a long text is counted piece by piece
+        h = every[at : at + 4096]
         with np.errstate(over="ignore"):
             more = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
         counts += np.unpackbits(np.stack([h, more ^ more >> np.uint64(29)], 1).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        kept.append((h >> np.uint64(32)).astype(np.uint32))
-    one, two = np.packbits(counts * 2 > n, bitorder="little").view(np.uint64).tolist()
-    return one, two, np.unique(np.concatenate(kept))
+    one, two = np.packbits(counts * 2 > len(every), bitorder="little").view(np.uint64).tolist()
+    return one, two, np.unique((every >> np.uint64(32)).astype(np.uint32))
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -300,61 +303,98 @@ def pair_keys(fps: np.ndarray, nearest: bool = False) -> tuple[np.ndarray, np.nd
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def level_forest(prints: np.ndarray, trees: np.ndarray | None = None, levels: tuple[int, ...] = LEVELS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that tie rows of prints (n, 2) together: at each level, every tree is tied to all trees within that many bits.
+def closest_forest(prints: np.ndarray, trees: np.ndarray | None = None, most: int = MAX_APART) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that tie the rows of prints (n, 2) together, so far as they lie within ``most`` bits, by about the closest pairs.
 
-    trees has what is tied already; by default each row is a tree.
+    trees has what is tied already; by default each row is a tree. Each pass looks for the closest row of another tree, for all
+    rows that can have one outside of the largest tree, in tables of bounded size; rows that are far from all others drop
+    out after one pass. In a long run rows are first compared with those beside them in four sorted orders, which ties
+    most of a large group, so that its rows, being one tree, aren't compared with each other.
     """
     n = len(prints)
-    tree, a, b = np.arange(n) if trees is None else np.unique(trees, return_inverse=True)[1], [], []
-    for level in levels:
-        left = np.arange(n)
-        while len(left):
-            own = tree[left[0]]
-            todo, left = left[tree[left] == own].tolist(), left[tree[left] != own]
-            while todo and len(left):
-                node = todo.pop()
-                bits = np.bitwise_count(prints[left] ^ prints[node]).sum(1)
-                close = np.flatnonzero(bits <= level)
-                if not len(close):
-                    continue
-                close = close[np.argsort(bits[close], kind="stable")]
-                trees, first = np.unique(tree[left[close]], return_index=True)
-                a.append(np.full(len(trees), node))
-                b.append(left[close[first]])
-                reached = np.isin(tree[left], trees)
-                todo.extend(left[reached].tolist())
-                tree[left[reached]] = own
-                left = left[~reached]
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(a) if a else none), (np.concatenate(b) if b else none)
+    tree = np.arange(n) if trees is None else np.unique(trees, return_inverse=True)[1]
+    top, a, b = list(range(int(tree.max()) + 1 if n else 0)), [], []
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    def tie(rows: np.ndarray, others: np.ndarray, bits: np.ndarray) -> bool:
+        before = len(a)
+        order = np.argsort(bits, kind="stable")
+        for row, other in zip(rows[order].tolist(), others[order].tolist(), strict=True):
+            x, y = find(tree[row]), find(tree[other])
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                a.append(row)
+                b.append(other)
+        return len(a) > before
+
+    if n > SHORT_RUN:
+        for shift in (0, 16, 32, 48):
+            turned = prints << np.uint64(shift) | prints >> np.uint64((64 - shift) % 64)
+            order = np.lexsort((turned[:, 1], turned[:, 0]))
+            bits = np.bitwise_count(prints[order[1:]] ^ prints[order[:-1]]).sum(1)
+            near = bits <= most
+            tie(order[1:][near], order[:-1][near], bits[near])
+    rows = np.arange(n)
+    while True:
+        label = np.array([find(x) for x in range(len(top))], np.int64)[tree]
+        rows = rows[label[rows] != np.bincount(label).argmax()] if n else rows
+        if not len(rows):
+            break
+        others, bits = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.uint8)
+        step = max(1, TABLE_WORDS // n)
+        for at in range(0, len(rows), step):
+            own = rows[at : at + step]
+            apart = np.bitwise_count(prints[own, :1] ^ prints[:, 0]) + np.bitwise_count(prints[own, 1:] ^ prints[:, 1])
+            apart[label[own][:, None] == label] = 255
+            others[at : at + step] = apart.argmin(1)
+            bits[at : at + step] = apart[np.arange(len(own)), others[at : at + step]]
+        near = bits <= most
+        rows = rows[near]
+        if not tie(rows, others[near], bits[near]):
+            break
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def candidate_edges(nodes: DataFrame, nearest: bool = False) -> DataFrame:
-    """Pairs (a, b) of nodes(node, tree, one, two) that tie together what shares a key, is close in all bits and isn't of one tree."""
+def candidate_edges(nodes: DataFrame, nearest: bool = False, prints: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """Pairs (a, b) of nodes(node, tree, one, two) that tie together what shares a key, is close in all bits and isn't of one tree.
+
+    Keys are of the first fingerprint, the second one or both.
+    """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
-                for kind in (1, 2):
+                for kind in prints:
                     rows, keys = pair_keys(part.column(kind + 1).to_numpy().view(np.uint64), nearest)
-                    yield pa.RecordBatch.from_arrays([pa.array((keys | kind << 26).astype(np.int32)), *(c.take(pa.array(rows)) for c in part.columns)], names=["key", "node", "tree", "one", "two"])
+                    arrays = [pa.array((keys | kind << 26).astype(np.int32)), *(c.take(pa.array(rows)) for c in part.columns)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "tree", "one", "two"])
 
     def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, node, tree, one, two in whole_runs(batches):
-            prints = np.stack([one, two], 1).view(np.uint64)
+            bits = np.stack([one, two], 1).view(np.uint64)
             cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
             sizes = np.diff(cuts)
-            short = np.repeat(sizes <= 16, sizes)
+            run = np.repeat(np.arange(len(sizes)), sizes)
+            short = (sizes <= 16)[run]
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for step in range(1, min(16, len(keys))):
-                hit = np.flatnonzero((keys[step:] == keys[:-step]) & short[step:] & (tree[step:] != tree[:-step]))
-                hit = hit[np.bitwise_count(prints[hit + step] ^ prints[hit]).sum(1) <= LEVELS[-1]]
+                hit = np.flatnonzero((run[step:] == run[:-step]) & short[step:] & (tree[step:] != tree[:-step]))
+                hit = hit[np.bitwise_count(bits[hit + step] ^ bits[hit]).sum(1) <= MAX_APART]
                 a.append(hit)
                 b.append(hit + step)
-            for k in np.flatnonzero(sizes > 16).tolist():
-                x, y = level_forest(prints[cuts[k] : cuts[k + 1]], tree[cuts[k] : cuts[k + 1]])
+            # A short run with more pairs than a forest has is tied like a long one.
+            pairs = np.bincount(run[np.concatenate(a)], minlength=len(sizes))
+            many = (pairs >= sizes) | (sizes > 16)
+            a, b = ([np.concatenate(x)] for x in (a, b))
+            few = ~many[run[a[0]]]
+            a, b = ([x[0][few]] for x in (a, b))
+            for k in np.flatnonzero(many).tolist():
+                x, y = closest_forest(bits[cuts[k] : cuts[k + 1]], tree[cuts[k] : cuts[k + 1]])
                 a.append(x + cuts[k])
                 b.append(y + cuts[k])
             a, b = node[np.concatenate(a)], node[np.concatenate(b)]
@@ -386,18 +426,19 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     """(doc_id, text_hash, n_rows): the leading row of each group of docs' similar texts, and how many rows are like it in both.
 
     Texts are linked if their sets of shingles of ``width`` words (all words, where there are fewer) have at least that
-    similarity; texts without words are linked with each other. A group's leader has the smallest doc_id, then text_hash. Rows
-    without a doc_id play no part.
+    similarity; texts without words are linked with each other. Nothing is linked by fingerprints alone. A group's leader has
+    the smallest doc_id, then text_hash. Rows without a doc_id play no part. A very long text is one row with its whole set of
+    shingles, four bytes each.
     """
-    prints = materialise(sketches(docs.where(F.col("doc_id").isNotNull()), width))
-    alike = prints.groupBy("one", "two", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n_rows"))
-    nodes = alike.groupBy("one", "two").agg(F.min(F.struct("doc_id", "text_hash", "n_rows")).alias("lead"))
+    prints = materialise(sketches(docs.where(F.col("doc_id").isNotNull()), width).withColumn("of", F.xxhash64("shingles")))
+    alike = prints.groupBy("one", "two", "of", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n_rows"))
+    nodes = alike.groupBy("one", "two", "of").agg(F.min(F.struct("doc_id", "text_hash", "n_rows")).alias("lead"))
     nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "one", "two", "lead"))
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     where = nodes.select("node", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_hash").alias("text_hash"))
     trees, good = nodes.withColumn("tree", F.col("node")), None
-    for nearest in (True, False):
-        edges = materialise(candidate_edges(trees.repartition(n_parts, "node"), nearest))
+    for nearest, prints_of in ((True, 1), (True, 2), (False, 1), (False, 2)):
+        edges = materialise(candidate_edges(trees.repartition(n_parts, "node"), nearest, (prints_of,)))
         wanted = where.join(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "node")
         sets = prints.select("doc_id", "text_hash", "shingles").join(wanted, ["doc_id", "text_hash"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
         found = similar_edges(edges, materialise(sets), similarity)

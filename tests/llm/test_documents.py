@@ -177,16 +177,72 @@ def test_recall_of_similar_texts(spark):
     assert len(gone - kept) >= 0.97 * len(gone)
 
 
-def test_forest_by_levels():
+def test_texts_with_a_dominant_shingle_stay(spark):
+    """A repeated filler word makes up most of each text; their sets have next to nothing in common, but for one planted pair."""
+    r = np.random.default_rng(11)
+    word = lambda: "".join(r.choice(list("abcdefghijklmnop"), 6))
+    texts = [" ".join([word() for _ in range(90)] + ["spam"] * 200) for _ in range(20)]
+    rows = [*enumerate(texts), (20, texts[13] + " more")]
+    got = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(20))
+
+
+def test_equal_fingerprints_are_verified(spark, monkeypatch):
+    """Even if all fingerprints were equal, only the sets decide."""
+    monkeypatch.setattr(simhash, "sketches", lambda docs, width, real=simhash.sketches: real(docs, width).withColumns({"one": F.lit(5).cast("long"), "two": F.lit(6).cast("long")}))
+    r = np.random.default_rng(12)
+    rows = [(n, planted(r, 40, 0.0)[0]) for n in range(12)]
+    rows.append((12, rows[11][1] + " more"))
+    assert {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} >= set(range(12))
+
+
+def test_groups_of_drifting_copies(spark):
+    """Four groups of 100 copies, each made from the one before or from the first: no other text goes, nearly all of them do."""
+    r = np.random.default_rng(13)
+    word = lambda: "".join(r.choice(list("abcdefghijklmnop"), r.integers(2, 9)))
+    texts = []
+    for drift in (True, False, True, False):
+        text = [word() for _ in range(120)]
+        for _ in range(100):
+            texts.append(" ".join(text))
+            own = [word() if r.random() < 0.012 else w for w in text]
+            if drift:
+                text = own
+            else:
+                texts[-1] = " ".join(own)
+    rows = list(enumerate(texts))
+    lead = {i: j for (i, _), (j, _) in brute_similar(rows).items()}
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {i for i, j in lead.items() if i != j}
+    assert len(gone) > 300 and kept >= {i for i, j in lead.items() if i == j}
+    assert len(gone - kept) >= 0.95 * len(gone)
+
+
+@pytest.mark.parametrize("copies", [40, 400])
+def test_closest_forest(copies):
     r = np.random.default_rng(2)
     base = r.integers(0, 1 << 63, (6, 2)).astype(np.uint64)
-    prints = np.repeat(base, 40, axis=0)
+    prints = np.repeat(base, copies, axis=0)
     for n in range(len(prints)):
         for bit in r.choice(128, r.integers(0, 12), replace=False):
             prints[n, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-    a, b = simhash.level_forest(prints)
-    assert len(a) == 6 * 39 and (a // 40 == b // 40).all()
-    assert (np.bitwise_count(prints[a] ^ prints[b]).sum(1) <= simhash.LEVELS[-1]).all()
+    a, b = simhash.closest_forest(prints)
+    assert len(a) == 6 * (copies - 1) and (a // copies == b // copies).all()
+    assert (np.bitwise_count(prints[a] ^ prints[b]).sum(1) <= simhash.MAX_APART).all()
+    a, b = simhash.closest_forest(prints, np.arange(len(prints)) // copies % 3)
+    assert len(a) == 0 or (a // copies % 3 != b // copies % 3).all()
+    tied = np.arange(len(prints)) // (copies // 2)
+    a, b = simhash.closest_forest(prints, tied)
+    assert len(a) == 6 and (tied[a] // 2 == tied[b] // 2).all()
+
+
+def test_unlinked_rows_are_looked_at_once():
+    import time
+
+    prints = np.random.default_rng(3).integers(0, 1 << 63, (4000, 2)).astype(np.uint64)
+    start = time.process_time()
+    assert len(simhash.closest_forest(prints)[0]) == 0
+    assert time.process_time() - start < 1  # 0.2 s on a free core
 
 
 def test_runs_over_batches():
