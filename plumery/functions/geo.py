@@ -20,6 +20,11 @@ def _let(values: dict[str, Column], use) -> Column:
     return F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in values.items()))), use), F.lit(0))
 
 
+def unit_vector(lon: Column, lat: Column) -> list[Column]:
+    """x, y and z of a place on the sphere of radius 1, where neither the date line nor a pole is a border."""
+    return [F.cos(_rad(lat)) * F.cos(_rad(lon)), F.cos(_rad(lat)) * F.sin(_rad(lon)), F.sin(_rad(lat))]
+
+
 def great_circle_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Haversine distance in metres on a sphere of 6371 km."""
     a = F.pow(F.sin(_rad(lat2 - lat1) / 2), 2) + F.cos(_rad(lat1)) * F.cos(_rad(lat2)) * F.pow(F.sin(_rad(lon2 - lon1) / 2), 2)

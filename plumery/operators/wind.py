@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,10 @@ from plumery.operators.graph import cut
 #: The heights in metres that each product has.
 ALTITUDES = {"HRRR": (10, 80), "RTMA": (10,)}
 KM_PER_DEGREE = geo.EQUATOR_KM * geo.RAD
-#: A set of at most this many points may be compared with each place.
-SMALL_GRID = 4_000_000
+#: Cubes that hold the sphere's points have sides of 4 (all in one) and halves of it, this many times: down to 60 m.
+LEVELS = 19
+#: Chords and spherical distances are rounded by less than this (of the radius).
+SLACK = 1e-7
 
 
 def at_altitude(wind: DataFrame, wind_type: str, alt: int) -> DataFrame:
@@ -22,56 +26,76 @@ def at_altitude(wind: DataFrame, wind_type: str, alt: int) -> DataFrame:
     return wind.where((F.col("wind_type") == wind_type) & (F.col("alt") == alt))
 
 
-def _cells(lat, lon, size: float) -> list:
-    return [F.floor(lat / size).cast("int"), F.floor(lon / size).cast("int")]
+def _cube(axes: tuple[str, ...], level, reach=None) -> list:
+    """The numbers of the cube of a level (side 4 / 2 ** level) that a point of the unit sphere is in; with a reach, of the cubes
+    that its surroundings meet along each axis."""
+    at = lambda c, d: F.floor((F.col(c) + 1 + d) * F.pow(F.lit(2.0), level) / 4).cast("int")
+    return [at(c, F.lit(0)) if reach is None else F.sequence(at(c, -reach), at(c, reach)) for c in axes]
+
+
+def _in_cubes(rows: DataFrame, axes: tuple[str, ...], level, reach) -> DataFrame:
+    """rows once for each cube that they reach."""
+    for name, span in zip(("cx", "cy", "cz"), _cube(axes, level, reach), strict=True):
+        rows = rows.withColumn(name, F.explode(span))
+    return rows
+
 
+def _nearest(places: DataFrame, points: DataFrame, k: int, key: str, sign: int) -> DataFrame:
+    """(place_id, grid_id, distance_km, n): the k points nearest to each place, or (sign -1) to its antipode, so the farthest ones.
 
-def nearest_points(places: DataFrame, points: DataFrame, k: int = 10, cell: float = 0.3) -> DataFrame:
+    Points are in cubes around the sphere, of sides halved from level to level. The smallest cube of a place's own with k points
+    bounds the distance of the k-th one; the points of that cube give the bound itself; the cubes that it reaches have
+    the k nearest. So each place meets its points in two joins, at levels that suit the density around it.
+    """
+    p, g = ("_px", "_py", "_pz"), ("_gx", "_gy", "_gz")
+    chord = F.sqrt(sum((F.pow(F.col(a) - F.col(b), 2) for a, b in zip(p, g, strict=True)), F.lit(0.0)))
+    at = places.where("lat is not null and lon is not null").select("place_id", F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
+    at = at.distinct().withColumns({c: sign * v for c, v in zip(p, geo.unit_vector(F.col("p_lon"), F.col("p_lat")), strict=True)}).transform(cut)
+    grid = points.where("lat is not null and lon is not null").select(F.col(key).alias("grid_id"), "lon", "lat").distinct()
+    grid = grid.withColumns(dict(zip(g, geo.unit_vector(F.col("lon"), F.col("lat")), strict=True))).transform(cut)
+    cube, levels = ["level", "cx", "cy", "cz"], F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
+
+    def leveled(rows: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+        return rows.select("*", levels).withColumns(dict(zip(cube[1:], _cube(axes, F.col("level")), strict=True)))
+
+    enough = leveled(grid, g).groupBy(*cube).agg(F.count(F.lit(1)).alias("points")).where(F.col("points") >= k)
+    own = leveled(at.select("place_id", *p), p).join(enough, cube).groupBy("place_id").agg(F.max("level").alias("level"))
+    own = at.join(own, "place_id", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    own = own.withColumns(dict(zip(cube[1:], _cube(p, F.col("level")), strict=True))).transform(cut)
+    used = [r.level for r in own.select("level").distinct().collect()]  # of LEVELS + 1 values
+    here = grid.select("*", F.explode(F.array(*map(F.lit, used))).alias("level")) if used else grid.withColumn("level", F.lit(0))
+    here = here.withColumns(dict(zip(cube[1:], _cube(g, F.col("level")), strict=True)))
+    by_chord = Window.partitionBy("place_id").orderBy("chord", "grid_id")
+    bound = own.join(here, cube).select("place_id", "grid_id", chord.alias("chord")).withColumn("n", F.row_number().over(by_chord)).where(F.col("n") <= k)
+    bound = bound.groupBy("place_id").agg(F.max("chord").alias("reach"))
+    # A level whose cubes are about as wide as the bound: a place reaches at most three along an axis.
+    level = F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.floor(-F.log2(F.col("reach") / 4)))).cast("int")
+    around = at.join(bound.withColumn("reach", F.col("reach") + SLACK), "place_id").withColumn("level", level).transform(cut)
+    used = [r.level for r in around.select("level").distinct().collect()]
+    here = grid.select("*", F.explode(F.array(*map(F.lit, used))).alias("level")) if used else grid.withColumn("level", F.lit(0))
+    here = here.withColumns(dict(zip(cube[1:], _cube(g, F.col("level")), strict=True)))
+    close = _in_cubes(around, p, F.col("level"), F.col("reach")).join(here, cube).where(chord <= F.col("reach"))
+    close = close.select("place_id", "grid_id", geo.distance(F.col("p_lon"), F.col("p_lat"), F.col("lon"), F.col("lat")).alias("distance_km"))
+    order = Window.partitionBy("place_id").orderBy(sign * F.round("distance_km", 6), "grid_id")
+    return close.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+
+
+def nearest_points(places: DataFrame, points: DataFrame, k: int = 10) -> DataFrame:
     """(place_id, grid_id, distance_km, n): the k points nearest to each place, n from 1; ties of 1e-6 km go by grid_id.
 
-    places has place_id, lat and lon; points has grid_id, lat and lon. Both are put in cells; a place meets the points of its
-    cell and the eight around it. Only places whose k-th distance could be beaten from outside of these are tried again with
-    cells four times as wide, until the cells hold the whole globe. What a round finds is written before the next one begins.
-    Places without coordinates give no rows; fewer than k points give all of them.
+    places has place_id, lat and lon; points has grid_id, lat and lon, repeated rows count once. Places without coordinates give no
+    rows; fewer than k points give all of them. There is no seam at the date line or the poles.
     """
-    todo = places.where("lat is not null and lon is not null").select("place_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    grid = points.select("grid_id", "lat", "lon").distinct().transform(cut)
-    order = Window.partitionBy("place_id").orderBy(F.round("distance_km", 6), "grid_id")
-    done, step = None, F.sequence(F.lit(-1), F.lit(1))
-    while True:
-        celled = grid.withColumns(dict(zip(("cy", "cx"), _cells(F.col("lat"), F.col("lon"), cell), strict=True)))
-        cy, cx = _cells(F.col("p_lat"), F.col("p_lon"), cell)
-        spread = todo.select("*", F.explode(F.transform(step, lambda i: cy + i)).alias("cy")).select("*", F.explode(F.transform(step, lambda i: cx + i)).alias("cx"))  # noqa: B023
-        d = geo.distance(F.col("p_lon"), F.col("p_lat"), F.col("lon"), F.col("lat"))
-        # The nearest edge of the block of cells, in km; a little less, as meridians converge.
-        high = F.greatest(F.abs((cy + 2) * cell), F.abs((cy - 1) * cell))
-        edge = F.least(
-            F.least((cy + 2) * cell - F.col("p_lat"), F.col("p_lat") - (cy - 1) * cell),
-            F.least((cx + 2) * cell - F.col("p_lon"), F.col("p_lon") - (cx - 1) * cell) * F.cos(F.radians(F.least(high, F.lit(89.9)))) * 0.99,
-        ) * KM_PER_DEGREE
-        found = spread.join(celled, ["cy", "cx"]).withColumn("distance_km", d).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-        whole = Window.partitionBy("place_id")
-        last = F.lit(cell >= 360)
-        sure = last | ((F.count(F.lit(1)).over(whole) == k) & (F.max("distance_km").over(whole) < edge))
-        found = found.select("place_id", "grid_id", "distance_km", "n", sure.alias("sure")).transform(cut)
-        settled = found.where("sure").drop("sure")
-        done = settled if done is None else done.unionByName(settled)
-        if cell >= 360:
-            return done
-        todo = todo.join(settled.select("place_id").distinct(), "place_id", "left_anti").transform(cut)
-        if todo.isEmpty():
-            return done
-        cell *= 4
+    return _nearest(places, points, k, "grid_id", 1)
 
 
 def extreme_point(places: DataFrame, points: DataFrame, farthest: bool = False) -> DataFrame:
-    """(place_id, grid_id, distance_km) of the nearest or the farthest point; points must be few enough to broadcast."""
-    if points.limit(SMALL_GRID + 1).count() > SMALL_GRID:
-        raise ValueError("too many points to compare with each place")
-    pairs = places.where("lat is not null and lon is not null").join(F.broadcast(points.select("grid_id", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"))))
-    d = F.round(geo.distance(F.col("lon"), F.col("lat"), F.col("g_lon"), F.col("g_lat")), 6)
-    pick = F.min_by("grid_id", F.struct(-d if farthest else d, "grid_id"))
-    return pairs.groupBy("place_id").agg(pick.alias("grid_id"), (F.max(d) if farthest else F.min(d)).alias("distance_km"))
+    """(place_id, grid_id, distance_km) of the nearest or the farthest point, by ties of 1e-6 km the smallest grid_id.
+
+    The farthest point is the one nearest to the place's antipode.
+    """
+    found = _nearest(places, points, 1, "grid_id", -1 if farthest else 1)
+    return found.select("place_id", "grid_id", F.round("distance_km", 6).alias("distance_km"))
 
 
 def wind_of_plumes(plumes: DataFrame, wind: DataFrame, k: int = 10, n_times: int = 1, quarters: bool = False, neighbours: DataFrame | None = None) -> DataFrame:
@@ -135,17 +159,18 @@ def station_wind(plumes: DataFrame, stations: DataFrame, obs: DataFrame, radius_
     """
     if network is not None:
         stations = stations.where(F.col("network") == network)
-    cell, bucket = radius_km / KM_PER_DEGREE, minutes * 60
-    seconds = F.unix_seconds(F.col("acq_time"))
-    near = plumes.where("lat is not null and lon is not null and acq_time is not null").select(
-        "candidate_id", seconds.alias("t"), "lat", "lon", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("dy")
-    )
-    # East-west reach grows with latitude, so the number of cells to the side does too.
-    side = F.ceil(1 / F.cos(F.radians(F.least(F.abs("lat") + cell, F.lit(89.0))))).cast("int")
-    near = near.select("*", (F.floor(F.col("lat") / cell) + F.col("dy")).alias("cy"), F.explode(F.sequence(-side, side)).alias("dx")).withColumn("cx", F.floor(F.col("lon") / cell) + F.col("dx"))
-    placed = stations.select("station_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.floor(F.col("lat") / cell).alias("cy"), F.floor(F.col("lon") / cell).alias("cx"))
+    bucket, seconds = minutes * 60, F.unix_seconds(F.col("acq_time"))
+    # By cubes about as wide as the chord of the radius, on the sphere.
+    reach = 2 * math.sin(min(math.pi, radius_km * 3 / (2 * geo.EQUATOR_KM + geo.POLE_KM)) / 2) + SLACK
+    level = F.lit(min(LEVELS, max(0, math.floor(-math.log2(reach / 4)))))
+    p, g, cube = ("_px", "_py", "_pz"), ("_gx", "_gy", "_gz"), ["cx", "cy", "cz"]
+    near = plumes.where("lat is not null and lon is not null and acq_time is not null").select("candidate_id", seconds.alias("t"), "lat", "lon")
+    near = _in_cubes(near.withColumns(dict(zip(p, geo.unit_vector(F.col("lon"), F.col("lat")), strict=True))), p, level, F.lit(reach))
+    placed = stations.select("station_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
+    placed = placed.withColumns(dict(zip(g, geo.unit_vector(F.col("s_lon"), F.col("s_lat")), strict=True)))
+    placed = placed.withColumns(dict(zip(cube, _cube(g, level), strict=True)))
     d = geo.distance(F.col("lon"), F.col("lat"), F.col("s_lon"), F.col("s_lat"), "haversine")
-    close = near.join(placed, ["cy", "cx"]).withColumn("distance_km", d).where(F.col("distance_km") <= radius_km)
+    close = near.join(placed, cube).withColumn("distance_km", d).where(F.col("distance_km") <= radius_km)
     close = close.select("candidate_id", "t", "station_id", "distance_km", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("dt")).withColumn("slot", F.floor(F.col("t") / bucket) + F.col("dt"))
     timed = obs.select("station_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), "wind_speed").where("wind_speed is not null").withColumn("slot", F.floor(F.col("s") / bucket))
     means = (

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from plumery.functions import geo, names
 from plumery.operators import clustering, wind
@@ -43,40 +46,94 @@ def upsert_enriched(plumes: DataFrame, wind_table: DataFrame, out: str, checkpoi
     return run_available(plumes, checkpoint, batch)
 
 
-def assign_sources(plumes: DataFrame, state: str, out: str, checkpoint: str, radius: float = 150.0) -> StreamingQuery:
-    """Give each arriving plume its source: batches are clustered on top of the centroids so far.
+#: Sides of the squares (km) by which sources are kept, and how far beyond its own square (in radii) a key follows plumes.
+SQUARE_KM, FOLLOWED = 100, 40
 
-    Rows of a batch go in order of row_id; late rows are later rows. Centroids and plumes are joined by cells of twice the
-    radius into components, as in the batch job, so a task holds the centroids of one component. State is written per batch.
-    """
 
-    def batch(df: DataFrame, n: int) -> None:
-        spark = df.sparkSession
-        u = geo.utm(F.col("lat"), F.col("lon"))
-        new = df.where("lat is not null and lon is not null").select("row_id", u["zone"].alias("zone"), u["x"].alias("x"), u["y"].alias("y"), F.lit(0).cast("long").alias("members"), F.lit(None).cast("string").alias("source_key"))
-        old = spark.read.parquet(f"{state}/batch={n - 1}") if n else spark.createDataFrame([], "row_id long, zone int, x double, y double, members long, source_key string")
-        both = clustering.components(old.unionByName(new.select(*old.columns)).transform(cut), radius)
-
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            known = part[part["members"] > 0].sort_values("row_id")
-            fresh = part[part["members"] == 0].sort_values("row_id")
-            clusters = [[x, y, m] for x, y, m in zip(known["x"], known["y"], known["members"], strict=True)]
-            keys = list(known["source_key"])
-            rows = list(known["row_id"])
-            found = clustering.assign(fresh, radius, clusters)
-            for r, c in zip(fresh["row_id"], found, strict=True):
-                if c >= len(keys):
-                    keys.append(f"S{r:012d}")
-                    rows.append(r)
-            a = pd.DataFrame({"kind": "plume", "row_id": fresh["row_id"].to_numpy(), "source_key": [keys[c] for c in found], "zone": fresh["zone"].to_numpy(), "x": fresh["x"].to_numpy(), "y": fresh["y"].to_numpy(), "members": 0})
-            b = pd.DataFrame({"kind": "state", "row_id": rows, "source_key": keys, "zone": part["zone"].iloc[0], "x": [c[0] for c in clusters], "y": [c[1] for c in clusters], "members": [int(c[2]) for c in clusters]})
-            return pd.concat([a, b])
-
-        done = both.groupBy("component").applyInPandas(run, "kind string, row_id long, source_key string, zone int, x double, y double, members long").transform(cut)
-        done.where("kind = 'state'").select("row_id", "zone", "x", "y", "members", "source_key").write.mode("overwrite").parquet(f"{state}/batch={n}")
-        done.where("kind = 'plume'").select("row_id", "source_key").write.mode("overwrite").parquet(f"{out}/batch={n}")
+class _SourceState(StatefulProcessor):
+    """Sources of one square of a zone, in a state store: centroids by cells as wide as the radius, and doubtful cells.
 
-    return run_available(plumes, checkpoint, batch)
+    A key gets the plumes of its square and of the margin around it, and applies the rule to all in order of row_id. At the margin's
+    outer edge it doesn't know what lies beyond; what is within two radii of there, or of an earlier doubtful plume, is
+    doubtful. Only plumes of the square itself are put out. A batch reads and writes the cells around its plumes, no others.
+    """
+
+    def __init__(self, radius: float) -> None:
+        self.radius = radius
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.centroids = handle.getMapState("centroids", "i long, j long", "key array<long>, x array<double>, y array<double>, members array<long>")
+        self.doubtful = handle.getMapState("doubtful", "i long, j long", "row_id long")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        zone, sx, sy = key
+        side, beyond = SQUARE_KM * 1000.0, FOLLOWED * self.radius
+        low, high = (sx * side - beyond, sy * side - beyond), ((sx + 1) * side + beyond, (sy + 1) * side + beyond)
+        reach, cell = 2 * self.radius * clustering.SLACK, clustering.Sources(self.radius).cell
+        around = (-1, 0, 1)
+        read, written, out = {}, set(), []
+        sources = clustering.Sources(self.radius)
+
+        def fetch(at: tuple[int, int]) -> None:
+            if at not in read:
+                read[at] = True
+                if self.centroids.containsKey(at):
+                    for k, x, y, m in zip(*self.centroids.getValue(at), strict=True):
+                        sources.put(k, x, y, m)
+
+        every = pd.concat(list(rows)).sort_values("row_id")
+        for row, x, y in zip(every["row_id"].tolist(), every["x"].tolist(), every["y"].tolist(), strict=True):
+            i, j = cell(x, y)
+            near = [(i + a, j + b) for a in around for b in around]
+            for at in near:
+                fetch(at)
+            source = sources.add(row, x, y)
+            written.update(near)  # the centroid was in one of these cells and is in one of them
+            wide = [(math.floor(x / reach) + a, math.floor(y / reach) + b) for a in around for b in around]
+            doubt = min(x - low[0], y - low[1], high[0] - x, high[1] - y) < reach or any(self.doubtful.containsKey(w) for w in wide)
+            if doubt and not self.doubtful.containsKey(wide[4]):
+                self.doubtful.updateValue(wide[4], (row,))
+            if math.floor(x / side) == sx and math.floor(y / side) == sy:
+                out.append((row, f"S{source:012d}", not doubt))
+        for at in written:
+            held = [(k, *c) for k, c in sorted(sources.cells.get(at, {}).items())]
+            if held:
+                self.centroids.updateValue(at, tuple(list(c) for c in zip(*held, strict=True)))
+            elif self.centroids.containsKey(at):
+                self.centroids.removeKey(at)
+        yield pd.DataFrame(out, columns=["row_id", "source_key", "certain"]).astype({"row_id": "int64", "certain": "bool"})
+
+    def close(self) -> None:
+        pass
+
+
+def sources_of_stream(plumes: DataFrame, radius: float = 150.0) -> DataFrame:
+    """(row_id, source_key, certain) of each arriving plume that has coordinates; the source is named by its first plume.
+
+    The rule is that of the batch job, rows of a batch in order of row_id, later batches after earlier ones. State is kept by squares
+    of 100 km, each of which follows the plumes up to 40 radii beyond its sides as well; so a source astride a side is the same on
+    both. A chain of influences that might come from beyond that makes ``certain`` false; none does in practice. A batch with a
+    null row_id or place leaves these rows out. The session is set to the RocksDB state store, which such state needs.
+    """
+    spark = plumes.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    side, beyond = SQUARE_KM * 1000.0, FOLLOWED * radius
+    span = lambda c: F.sequence(F.floor((F.col(c) - beyond) / side), F.floor((F.col(c) + beyond) / side))
+    at = clustering.placed_points(plumes).where("row_id is not null")
+    at = at.select("*", F.explode(span("x")).alias("sx")).select("*", F.explode(span("y")).alias("sy"))
+    return at.groupBy("zone", "sx", "sy").transformWithStateInPandas(
+        statefulProcessor=_SourceState(radius), outputStructType="row_id long, source_key string, certain boolean", outputMode="Append", timeMode="None"
+    )
+
+
+def assign_sources(plumes: DataFrame, out: str, checkpoint: str, radius: float = 150.0) -> StreamingQuery:
+    """Write each arriving plume's source below ``out``, work off all that is there and stop.
+
+    State is in the query's own checkpoint, one version a batch, old ones removed by the store; a query that starts again goes
+    on where it was, and a batch that is run again gives the same rows once.
+    """
+    rows = sources_of_stream(plumes, radius)
+    return rows.writeStream.option("checkpointLocation", checkpoint).format("parquet").outputMode("append").trigger(availableNow=True).start(out)
 
 
 def completeness(arrived: DataFrame, expected: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -74,12 +74,55 @@ def test_images(spark, tmp_path, interleave):
     axes = {"bip": (0, 1, 2), "bil": (0, 2, 1), "bsq": (2, 0, 1)}[interleave]
     (tmp_path / "img").write_bytes(image.transpose(axes).tobytes())
     (tmp_path / "img.hdr").write_text(f"ENVI\nsamples = 4\nlines = 3\nbands = 4\ndata type = 4\ninterleave = {interleave}\nbyte order = 0\ndata ignore value = -9999\nband names = {{\n r, g, b, ch4}}\n")
-    rows = {(r.row, r.col): r for r in rasters.enhancement_pixels(rasters.read_images(spark, str(tmp_path), lines=2)).collect()}
+    rows = {(r.row, r.col): r for r in rasters.enhancement_pixels(rasters.read_images(spark, str(tmp_path), partition_bytes=70)).collect()}
     assert len(rows) == 12 and rows[2, 1].cmf == image[2, 1, 3] and rows[1, 2].r is None
     info = rasters.map_info(["UTM", "1", "1", "500000", "4000000", "3.1", "3.1", "11", "North", "WGS-84", "units=Meters", "rotation=17"])
     assert info["zone"] == 11 and info["rotation"] == 17
 
 
+@pytest.mark.parametrize("interleave", ["bip", "bil", "bsq"])
+def test_bands_and_lines_of_images(spark, tmp_path, interleave):
+    """Chosen bands in their order, lines by filter, images by name, however the image is cut; null by the last chosen band."""
+    r = np.random.default_rng(1)
+    axes = {"bip": (0, 1, 2), "bil": (0, 2, 1), "bsq": (2, 0, 1)}[interleave]
+    images = {}
+    for name, lines in (("a", 7), ("b", 1), ("none", 0)):
+        images[name] = image = r.integers(-5, 100, (lines, 5, 9)).astype(">i2")
+        (tmp_path / "sub").mkdir(exist_ok=True)
+        (tmp_path / "sub" / name).write_bytes(b"HEAD!" + image.transpose(axes).tobytes())
+        head = f"ENVI\nsamples = 5\nlines = {lines}\nbands = 9\nheader offset = 5\ndata type = 2\ninterleave = {interleave}\nbyte order = 1\ndata ignore value = -5\n"
+        (tmp_path / "sub" / f"{name}.hdr").write_text(head)
+    (tmp_path / "alone").write_bytes(b"not an image")
+    for size in (64, 1 << 20):
+        df = rasters.read_images(spark, str(tmp_path), [8, 0], any_band=False, partition_bytes=size)
+        got = {(x.image_id, x.row, x["col"]): x["values"] for x in df.collect()}
+        assert got == {
+            (name, i, j): None if im[i, j, 0] == -5 else [float(im[i, j, 8]), float(im[i, j, 0])] for name, im in images.items() for i in range(len(im)) for j in range(5)
+        }
+        some = df.where("image_id = 'a' and row >= 2 and row < 4")
+        assert {(x.image_id, x.row) for x in some.collect()} == {("a", 2), ("a", 3)} and some.count() == 10
+        assert df.where("image_id in ('b', 'c') and col = 3").count() == 1 and df.where("image_id = 'c'").count() == 0
+
+
+def test_image_of_more_than_two_gigabytes(spark, tmp_path):
+    """A file with holes: 2.4 GB by its size. Many tasks; a few lines are read from where they lie."""
+    samples, bands, lines = 600, 400, 5000
+    line = samples * bands * 2
+    marked = np.arange(samples * bands, dtype="<i2").reshape(samples, bands)
+    with open(tmp_path / "big", "wb") as f:
+        for at in (0, 2100, 4999):
+            f.seek(at * line)
+            f.write(marked.tobytes())
+    (tmp_path / "big.hdr").write_text(f"ENVI\nsamples = {samples}\nlines = {lines}\nbands = {bands}\ndata type = 2\ninterleave = bip\nbyte order = 0\n")
+    assert (tmp_path / "big").stat().st_size > 2 << 30
+    df = rasters.read_images(spark, str(tmp_path), bands=[3, 399])
+    assert df.rdd.getNumPartitions() == -(-lines * line // rasters.PARTITION_BYTES)
+    rows = df.where("row >= 2099 and row <= 2100").collect()
+    assert len(rows) == 2 * samples
+    assert {x["col"]: x["values"] for x in rows if x.row == 2100} == {k: [float(marked[k, 3]), float(marked[k, 399])] for k in range(samples)}
+    assert all(x["values"] == [0.0, 0.0] for x in rows if x.row == 2099)
+
+
 def test_granules(spark, tmp_path):
     whole = b"GRIB" + b"\0" * 4 + struct.pack(">Q", 24) + b"\0" * 4 + b"7777"
     for name, data in (("ok", whole * 2), ("empty", b""), ("cut", whole[:-1])):
@@ -88,18 +131,44 @@ def test_granules(spark, tmp_path):
     assert got == {"ok": (2, "ok"), "cut": (0, "failed"), "empty": (0, "failed")}
 
 
+def test_sources_in_a_state_store(spark, tmp_path):
+    """Three runs of a query that starts again each time give the sources of one pass over all plumes, on both sides of a
+    square's border too; a batch leaves the state of other squares alone."""
+    r = np.random.default_rng(4)
+    border = 5 * jobs.SQUARE_KM * 1000.0  # of two squares, in the middle of zone 11: longitude -117
+    rows = [(n, 36.1 + float(a), -117.0 + float(b)) for n, (a, b) in enumerate(r.normal(0, 0.004, (120, 2)))]
+    rows += [(120 + n, 36.1 + float(a), -115.5) for n, a in enumerate(r.normal(0, 0.001, 20))]
+    (src := tmp_path / "in").mkdir()
+    schema = "row_id long, lat double, lon double"
+    for n, part in enumerate((rows[:50], [*rows[50:90], *rows[120:]], rows[90:120])):
+        (src / f"{n}.csv").write_text("h\n" + "".join(",".join(map(str, x)) + "\n" for x in part))
+        query = jobs.assign_sources(jobs.plume_stream(spark, str(src), schema), str(tmp_path / "out"), str(tmp_path / "cp"))
+        query.awaitTermination()
+        updated = sum(o["numRowsUpdated"] for p in query.recentProgress for o in p["stateOperators"])
+        assert 0 < updated < 200
+    df = spark.createDataFrame(rows, schema)
+    at = clustering.placed_points(df).toPandas().sort_values("row_id")
+    assert (at["x"] < border).sum() > 30 and (at["x"] > border).sum() > 30 and at["zone"].nunique() == 1
+    order = [*range(50), *range(50, 90), *range(120, 140), *range(90, 120)]
+    number = clustering.assign(at.set_index("row_id").loc[order], 150.0)
+    first = {c: row for c, row in zip(reversed(number), reversed(order), strict=True)}
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {x.row_id: x.source_key for x in got} == {row: f"S{first[c]:012d}" for row, c in zip(order, number, strict=True)}
+    assert len(got) == len(rows) and all(x.certain for x in got)
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     schema = "row_id long, candidate_id string, lat double, lon double, ime_fetch_avg double, ime_fetch_std double, aspect_ratio double"
     rows = [(n, f"ang20240101t12{n:02d}00-{n}", 35 + (n % 3) * 0.0006, -118 + (n % 2) * 0.0007, 1.0, 0.1, 0.5) for n in range(12)]
     grid = spark.createDataFrame([(g, 35 + g * 0.01, -118.0, f"2024-01-01 {h}:00:00", 3.0, 4.0) for g in range(12) for h in (11, 12, 13)], "grid_id long, lat double, lon double, t string, u double, v double").withColumn("valid_time", F.col("t").cast("timestamp"))
-    state, out, cp = (str(tmp_path / x) for x in ("state", "out", "cp"))
+    out, cp = (str(tmp_path / x) for x in ("out", "cp"))
     for n, part in enumerate((rows[:5], rows[5:])):
         (src / f"{n}.csv").write_text("h\n" + "".join(",".join(map(str, r)) + "\n" for r in part))
         stream = jobs.plume_stream(spark, str(src), schema)
         jobs.upsert_enriched(stream, grid, f"{out}/wind", f"{cp}/wind", k=3).awaitTermination()
-        jobs.assign_sources(jobs.plume_stream(spark, str(src), schema), state, f"{out}/sources", f"{cp}/sources").awaitTermination()
+        jobs.assign_sources(jobs.plume_stream(spark, str(src), schema), f"{out}/sources", f"{cp}/sources").awaitTermination()
     done = spark.read.parquet(f"{out}/wind")
     assert done.count() == 12 and done.where("wind_mean = 5").count() == 12
     (src / "2.csv").write_text("h\n" + ",".join(map(str, (*rows[3][:4], 7.0, *rows[3][5:]))) + "\n" + ",".join(map(str, (99, "ang20240102t120000-99", *rows[3][2:]))) + "\n")
