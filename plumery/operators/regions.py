@@ -188,21 +188,76 @@ def distance_to(pixels: DataFrame, targets: DataFrame, reach: int) -> DataFrame:
     return pixels.join(near.agg(F.sqrt(F.min(F.col("s.a") * F.col("s.a") + F.col("s.b") * F.col("s.b"))).alias("distance")), ["image_id", "row", "col"], "left")
 
 
-def borders(regions: DataFrame, shape: DataFrame | None = None, inner: bool = True) -> DataFrame:
-    """Inner border: pixels with a 4-neighbour of another or no region (the image's edge doesn't count). Outer: pixels of no region
-    beside one. ``shape`` has image_id, nrow and ncol."""
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in AROUND_4))
-    near = regions.select("image_id", "region_id", F.col("row").alias("r"), F.col("col").alias("c"), F.explode(steps).alias("s")).withColumns({"row": F.col("r") + F.col("s.a"), "col": F.col("c") + F.col("s.b")})
+def borders(regions: DataFrame, shape: DataFrame | None = None, mode: str = "inner", eight: bool = True) -> DataFrame:
+    """Pixels at which labels change, with region_id; no region is a label of its own, and the image's edge is no change.
+
+    inner: pixels of a region with a neighbour of another or no region. outer: pixels of no region beside one, once for each.
+    thick: both, so two pixels wide; those of no region have a null region_id. ``shape`` has image_id, nrow and ncol, and
+    keeps neighbours inside of the image. Neighbours are the eight around, or four.
+    """
+    if mode not in ("inner", "outer", "thick"):
+        raise ValueError(f"no border {mode!r}")
+    around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (AROUND_8 if eight else AROUND_4)))
+    near = regions.select("image_id", "region_id", F.col("row").alias("r"), F.col("col").alias("c"), F.explode(around).alias("s"))
+    near = near.withColumns({"row": F.col("r") + F.col("s.a"), "col": F.col("c") + F.col("s.b")})
     if shape is not None:
-        near = near.join(shape, "image_id").where("row between 0 and nrow - 1 and col between 0 and ncol - 1")
+        near = near.join(shape.select("image_id", "nrow", "ncol"), "image_id").where("row between 0 and nrow - 1 and col between 0 and ncol - 1")
     seen = near.join(regions.select("image_id", "row", "col", F.col("region_id").alias("other")), ["image_id", "row", "col"], "left")
-    if inner:
-        return seen.where("other is null or other <> region_id").select("image_id", F.col("r").alias("row"), F.col("c").alias("col"), "region_id").distinct()
-    return seen.where("other is null").select("image_id", "row", "col", "region_id").distinct()
+    inner = seen.where("other is null or other <> region_id").select("image_id", F.col("r").alias("row"), F.col("c").alias("col"), "region_id")
+    if mode == "inner":
+        return inner.distinct()
+    outer = seen.where("other is null").select("image_id", "row", "col", "region_id")
+    if mode == "outer":
+        return outer.distinct()
+    return inner.unionByName(outer.withColumn("region_id", F.lit(None).cast(regions.schema["region_id"].dataType))).distinct()
 
 
-def fill_holes(regions: DataFrame, tile: int = TILE) -> DataFrame:
-    """regions and the pixels of their holes: background inside a region's box that no 4-path leads out of."""
+def _touching(regions: DataFrame) -> DataFrame:
+    """(image_id) of images with pixels of two regions side by side, in eight directions, or of two regions at once."""
+    ahead = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in [(0, 0), *AROUND_8[4:]]))
+    near = regions.select("image_id", "region_id", "row", "col", F.explode(ahead).alias("s"))
+    near = near.select("image_id", F.col("region_id").alias("other"), (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"))
+    return near.join(regions.select("image_id", "row", "col", "region_id"), ["image_id", "row", "col"]).where("other <> region_id").select("image_id").distinct()
+
+
+def containment(regions: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """What surrounds what in images whose regions are 8-connected and don't touch: a tree of regions and background parts.
+
+    Gives (image_id, row, col, part), the background within the regions' box and a frame around it, in 4-connected parts, and
+    (image_id, within, part, region_id): each background part or region (the other is null) with each region around it. The
+    background is labelled once; the tree is gone down from the frame, a level of nesting a round.
+    """
+    box = regions.groupBy("image_id").agg(*(f(c).alias(n) for f, c, n in ((F.min, "row", "r0"), (F.max, "row", "r1"), (F.min, "col", "c0"), (F.max, "col", "c1"))))
+    lines = box.select("image_id", "r0", "c0", "c1", F.explode(F.sequence(F.col("r0") - 1, F.col("r1") + 1)).alias("row"))
+    cells = lines.select("image_id", "r0", "row", F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1)).alias("col"))
+    free = cells.join(regions.select("image_id", "row", "col"), ["image_id", "row", "col"], "left_anti")
+    back = connected_regions(free, eight=False, tile=tile).withColumnRenamed("region_id", "part").transform(cut)
+    frame = back.where("row = r0 - 1").select("image_id", "part").distinct()
+    back = back.select("image_id", "row", "col", "part")
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in AROUND_4))
+    beside = regions.select("image_id", "region_id", F.col("row").alias("r"), F.col("col").alias("c"), F.explode(steps).alias("s"))
+    beside = beside.select("image_id", "region_id", (F.col("r") + F.col("s.a")).alias("row"), (F.col("c") + F.col("s.b")).alias("col"))
+    tied = beside.join(back, ["image_id", "row", "col"]).select("image_id", "region_id", "part").distinct().transform(cut)
+    long = lambda c: F.lit(None).cast("long").alias(c)
+    # Parts of the last level with the regions around them; none around the frame's.
+    level, found = frame.withColumn("around", F.array().cast("array<long>")).transform(cut), None
+    left = tied
+    while True:
+        here = left.join(level, ["image_id", "part"]).select("image_id", "region_id", "around").distinct()
+        left_now = left.join(level.select("image_id", "part"), ["image_id", "part"], "left_anti")
+        below = left_now.join(here, ["image_id", "region_id"])
+        next_level = below.select("image_id", "part", F.concat("around", F.array(F.col("region_id").cast("long"))).alias("around")).distinct().transform(cut)
+        new = here.select("image_id", F.explode("around").alias("within"), long("part"), F.col("region_id").cast("long").alias("region_id"))
+        new = new.unionByName(next_level.select("image_id", F.explode("around").alias("within"), F.col("part").cast("long").alias("part"), long("region_id")))
+        found = new if found is None else found.unionByName(new)
+        if next_level.isEmpty():
+            return back, found.transform(cut)
+        left = left_now.join(here.select("image_id", "region_id"), ["image_id", "region_id"], "left_anti").transform(cut)
+        level = next_level
+
+
+def _holes_by_boxes(regions: DataFrame, tile: int) -> DataFrame:
+    """Holes of any labels: for each region by itself, what is free in its box and no 4-path leads out of."""
     boxes = regions.groupBy("image_id", "region_id").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
     cells = boxes.select("*", F.explode(F.sequence("r0", "r1")).alias("row")).select("*", F.explode(F.sequence("c0", "c1")).alias("col"))
     free = cells.join(regions.select("image_id", "region_id", "row", "col"), ["image_id", "region_id", "row", "col"], "left_anti")
@@ -210,8 +265,27 @@ def fill_holes(regions: DataFrame, tile: int = TILE) -> DataFrame:
     part = connected_regions(free.select(F.col("_key").alias("image_id"), "row", "col"), eight=False, tile=tile).withColumnRenamed("region_id", "part").withColumnRenamed("image_id", "_key")
     tagged = free.join(part, ["_key", "row", "col"])
     open_ = tagged.where("row in (r0, r1) or col in (c0, c1)").select("_key", "part").distinct()
-    holes = tagged.join(open_, ["_key", "part"], "left_anti").select("image_id", "row", "col", "region_id")
-    return regions.select("image_id", "row", "col", "region_id").unionByName(holes)
+    return tagged.join(open_, ["_key", "part"], "left_anti").select("image_id", "row", "col", "region_id")
+
+
+def fill_holes(regions: DataFrame, tile: int = TILE) -> DataFrame:
+    """regions and the pixels of their holes: what no 4-path that avoids the region leads out of, other regions included.
+
+    Regions that don't touch, as connected_regions() gives them with eight neighbours, are filled by containment(): work
+    goes with the pixels of the image's box. Images in which regions touch, where there is no such tree, are filled region by region.
+    """
+    own = regions.select("image_id", "row", "col", "region_id").distinct().transform(cut)
+    touching = _touching(own).transform(cut)
+    apart = own.join(touching, "image_id", "left_anti")
+    back, within = containment(apart, tile)
+    kind = regions.schema["region_id"].dataType
+    parts = back.join(within.where("part is not null").select("image_id", "part", "within"), ["image_id", "part"])
+    nested = apart.join(within.where("region_id is not null").select("image_id", "region_id", "within"), ["image_id", "region_id"])
+    holes = parts.unionByName(nested, allowMissingColumns=True).select("image_id", "row", "col", F.col("within").cast(kind).alias("region_id"))
+    out = own.unionByName(holes)
+    if touching.isEmpty():
+        return out
+    return out.unionByName(_holes_by_boxes(own.join(touching, "image_id", "left_semi"), tile))
 
 
 def extents(pixels: DataFrame, by: str = "row") -> DataFrame:

@@ -67,6 +67,12 @@ def extrema(df: DataFrame, keys: list[str], value: str, p: float = 1.0, buffer:
     return out.select(*keys, (F.col("low") - wide).alias("low"), (F.col("high") + wide).alias("high"))
 
 
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value and n: how often each value occurs. All NaNs are one value; nulls aren't counted. In order of n, then value, the
+    rarest come first: ``orderBy("n", value)``."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+
+
 def running_median(profile: DataFrame, value: str, edges: str = "null") -> DataFrame:
     """profile with ``running``: the median of three neighbouring columns; null at the ends, or there the first three's median."""
     w = Window.partitionBy("image_id").orderBy("col")

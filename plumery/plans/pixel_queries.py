@@ -10,6 +10,7 @@ from plumery.operators import matched_filter as M
 from plumery.operators import pixels as P
 from plumery.operators import regions as R
 from plumery.operators import tiles as T
+from plumery.operators import triage
 from plumery.plans import views as V
 from plumery.plans.views import with_views
 
@@ -60,6 +61,16 @@ def region_borders(spark: SparkSession, d: str) -> DataFrame:
     return R.borders(_regions(spark, d)).select("image_id", "row", "col", "region_id")
 
 
+def thick_borders(spark: SparkSession, d: str) -> DataFrame:
+    shape = V.grid_pixels(spark, d).select("image_id", F.lit(64).alias("nrow"), F.lit(64).alias("ncol")).distinct()
+    return R.borders(_regions(spark, d), shape, "thick").select("image_id", "row", "col", "region_id")
+
+
+def value_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many pixels of an image have each whole value of the enhancement."""
+    return triage.value_counts(V.grid_pixels(spark, d).withColumn("value", F.floor(F.col("cmf") / 10)), ["image_id"], "value")
+
+
 def filled_holes(spark: SparkSession, d: str) -> DataFrame:
     return R.fill_holes(_regions(spark, d)).groupBy("image_id", "region_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -127,7 +138,7 @@ def normalised_images(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        pixel_masks, four_band_mask, mask_lookup, region_stats, region_filter, region_merge, region_borders, filled_holes, dilated, row_extents, ime_by_region, matched_filter, filter_columns, density_filter,
+        pixel_masks, four_band_mask, mask_lookup, region_stats, region_filter, region_merge, region_borders, thick_borders, value_counts, filled_holes, dilated, row_extents, ime_by_region, matched_filter, filter_columns, density_filter,
         coarse_images, window_scores, stitched_scores, peaks, normalised_images,
     )
 }
@@ -146,6 +157,7 @@ SELECT candidate_id, coalesce(bright, 0)::INTEGER AS bright, coalesce(dark, 0)::
 SELECT DISTINCT image_id, (row + a)::INTEGER AS row, (col + b)::INTEGER AS col FROM grid_pixels, o WHERE cmf > 3000"""),
     "row_extents": with_views("grid_pixels", " SELECT image_id, row, min(col) AS low, max(col) AS high, (min(col) + max(col)) / 2 AS mid FROM grid_pixels WHERE cmf > 1000 GROUP BY ALL"),
     "ime_by_region": with_views("grid_pixels", " SELECT image_id, ((row // 32) * 2 + col // 32)::BIGINT AS region_id, round(sum(cmf) * 3.1 * 3.1 * (1e-6 * 1000 / 22.4 * 0.01604), 9) AS ime, count(*) AS n FROM grid_pixels WHERE cmf > 500 GROUP BY ALL"),
+    "value_counts": with_views("grid_pixels", " SELECT image_id, floor(cmf / 10)::BIGINT AS value, count(*) AS n FROM grid_pixels GROUP BY ALL"),
     "normalised_images": with_views("grid_pixels", ", m AS (SELECT image_id, max(abs(cmf)) AS m FROM grid_pixels GROUP BY ALL) SELECT image_id, row, col, round((cmf + m) / (2 * m), 9) AS norm FROM grid_pixels JOIN m USING (image_id)"),
     "peaks": with_views("grid_pixels", """, m AS (SELECT image_id, min(cmf) AS m FROM grid_pixels GROUP BY ALL)
 SELECT image_id, row, col, cmf AS value FROM grid_pixels p JOIN m USING (image_id) WHERE cmf > m AND row BETWEEN 2 AND 61 AND col BETWEEN 2 AND 61 AND NOT EXISTS (

@@ -75,8 +75,13 @@ top AS (SELECT image_id, p AS region_id, min(top) AS top FROM way GROUP BY ALL),
 merged AS (SELECT image_id, region_id, dense_rank() OVER (PARTITION BY image_id ORDER BY top)::BIGINT AS merged_id FROM top)"""],
         "SELECT image_id, merged_id, string_agg(region_id::VARCHAR, ',' ORDER BY region_id) AS originals FROM merged GROUP BY ALL"),
     "region_borders": query("grid_pixels", [_LOW], f"""
-SELECT DISTINCT a.image_id, a.row, a.col, a.region_id FROM reg a CROSS JOIN (VALUES {FOUR}) o(dr, dc) LEFT JOIN reg b ON b.image_id = a.image_id AND b.row = a.row + dr AND b.col = a.col + dc
+SELECT DISTINCT a.image_id, a.row, a.col, a.region_id FROM reg a CROSS JOIN (VALUES {EIGHT}) o(dr, dc) LEFT JOIN reg b ON b.image_id = a.image_id AND b.row = a.row + dr AND b.col = a.col + dc
 WHERE b.region_id IS NULL OR b.region_id <> a.region_id"""),
+    "thick_borders": query("grid_pixels", [_LOW, f"""
+cells AS (SELECT DISTINCT image_id, y.range::INTEGER AS row, x.range::INTEGER AS col FROM grid_pixels, range(64) y, range(64) x),
+named AS MATERIALIZED (SELECT image_id, row, col, region_id FROM cells LEFT JOIN reg USING (image_id, row, col))"""], f"""
+SELECT DISTINCT a.image_id, a.row, a.col, a.region_id FROM named a CROSS JOIN (VALUES {EIGHT}) o(dr, dc) JOIN named b ON b.image_id = a.image_id AND b.row = a.row + dr AND b.col = a.col + dc
+WHERE a.region_id IS DISTINCT FROM b.region_id"""),
     "filled_holes": query("grid_pixels", [_LOW, f"""
 box AS (SELECT image_id, region_id, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1, count(*) AS n FROM reg GROUP BY ALL),
 cell AS MATERIALIZED (SELECT b.*, y.r AS row, x.c AS col FROM box b, LATERAL (SELECT unnest(range(r0, r1 + 1))::INTEGER AS r) y, LATERAL (SELECT unnest(range(c0, c1 + 1))::INTEGER AS c) x),

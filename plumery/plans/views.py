@@ -38,7 +38,7 @@ SQL = {
   SELECT user_id % 9 AS uid, 'L' || (user_id % 40) AS lid, CAST(event_id % 25 AS VARCHAR) AS cid, event_id AS row_id,
          CASE event_id % 11 WHEN 0 THEN 'Super Plume' WHEN 1 THEN 'Artifact' WHEN 2 THEN 'Cloud' WHEN 3 THEN 'False Enhancement' WHEN 4 THEN 'Ambiguous' WHEN 5 THEN 'Duplicate'
            WHEN 6 THEN 'Background' WHEN 7 THEN 'Reject' ELSE 'Plume' END AS label
-  FROM events WHERE event_id % 7 = 0""",
+  FROM events""",
     "qc_lid": """
   SELECT DISTINCT user_id % 9 AS uid, 'L' || (user_id % 40) AS lid,
          CASE WHEN (user_id % 9 + user_id % 40) % 6 = 0 THEN 'Severe' WHEN user_id % 2 = 0 THEN 'None' ELSE 'Minor' END AS column_artifacts,
@@ -124,7 +124,7 @@ def candidate_image(spark: SparkSession, d: str) -> str:
 def qc_cid(spark: SparkSession, d: str) -> DataFrame:
     label = """CASE event_id % 11 WHEN 0 THEN 'Super Plume' WHEN 1 THEN 'Artifact' WHEN 2 THEN 'Cloud' WHEN 3 THEN 'False Enhancement' WHEN 4 THEN 'Ambiguous'
                WHEN 5 THEN 'Duplicate' WHEN 6 THEN 'Background' WHEN 7 THEN 'Reject' ELSE 'Plume' END AS label"""
-    return events(spark, d).where("event_id % 7 = 0").selectExpr("user_id % 9 AS uid", "'L' || (user_id % 40) AS lid", "cast(event_id % 25 as string) AS cid", "event_id AS row_id", label)
+    return events(spark, d).selectExpr("user_id % 9 AS uid", "'L' || (user_id % 40) AS lid", "cast(event_id % 25 as string) AS cid", "event_id AS row_id", label)
 
 
 def qc_lid(spark: SparkSession, d: str) -> DataFrame:

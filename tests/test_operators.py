@@ -79,6 +79,47 @@ def test_nearest_points_widen_and_tie(spark):
         assert [x.grid_id for x in sorted((g for g in got if g.place_id == p.place_id), key=lambda g: g.n)] == [g for _, g in want]
 
 
+def sphere_km(lat, lon, lats, lons):
+    a, b = np.radians(lat), np.radians(lats)
+    return 6378.137 * np.arccos(np.clip(np.sin(a) * np.sin(b) + np.cos(a) * np.cos(b) * np.cos(np.radians(lons - lon)), -1, 1))
+
+
+def test_nearest_and_farthest_points_on_the_sphere(spark):
+    """Places at the date line, both poles and elsewhere, a dense crowd of points and few others, against all distances."""
+    r = np.random.default_rng(6)
+    lat = np.concatenate([r.uniform(-90, 90, 60), r.uniform(-1, 1, 40), [90, -90, 89.99, 0, 0, 0]])
+    lon = np.concatenate([r.uniform(-180, 180, 60), 180 - r.uniform(-0.5, 0.5, 40), [0, 0, -170, -179.96, 179.7, 0]])
+    lon = np.where(lon > 180, lon - 360, lon)
+    crowd = r.normal(0, 0.001, (300, 2)) + [35, -118]
+    grid = pd.DataFrame({"grid_id": range(406), "lat": [*lat, *crowd[:, 0]], "lon": [*lon, *crowd[:, 1]]})
+    grid.loc[405, ["lat", "lon"]] = grid.loc[200, ["lat", "lon"]].to_numpy()
+    at = [(0, 179.95), (0, 180), (0, -180), (90, 12), (-90, 0), (89.9, 10), (-89.95, -170), (35, -118), (-35, 62), (35.01, -118), (0, 0), (60, 179.999)]
+    at += [(float(a), float(b)) for a, b in zip(r.uniform(-90, 90, 30), r.uniform(-180, 180, 30), strict=True)]
+    places = pd.DataFrame({"place_id": range(len(at)), "lat": [a for a, _ in at], "lon": [b for _, b in at]})
+    here, points = spark.createDataFrame(places), spark.createDataFrame(pd.concat([grid, grid.head(50)]))
+    for k in (1, 7, 500):
+        got = {}
+        for x in wind.nearest_points(here, points, k).orderBy("place_id", "n").collect():
+            got.setdefault(x.place_id, []).append(x.grid_id)
+        for p in places.itertuples():
+            want = sorted(zip(sphere_km(p.lat, p.lon, grid.lat, grid.lon).round(6), grid.grid_id, strict=True))[:k]
+            assert got[p.place_id] == [g for _, g in want]
+    far = {x.place_id: (x.grid_id, x.distance_km) for x in wind.extreme_point(here, points, farthest=True).collect()}
+    for p in places.itertuples():
+        d = sphere_km(p.lat, p.lon, grid.lat, grid.lon).round(6)
+        assert far[p.place_id] == (int(grid.grid_id[d.argmax()]), pytest.approx(d.max()))
+    assert wind.nearest_points(here.limit(0), points).count() == 0 and wind.nearest_points(here, points.limit(0)).count() == 0
+
+
+def test_station_wind_across_the_date_line(spark):
+    t = "2024-01-01 12:00:00"
+    plumes = spark.createDataFrame([("a", 10.0, 179.98, t), ("b", 10.0, -179.99, t), ("c", 89.99, 5.0, t), ("d", 10.0, 100.0, t)], "candidate_id string, lat double, lon double, at string")
+    stations = spark.createDataFrame([(1, 10.0, -179.97), (2, 10.0, 179.8), (3, 89.99, -150.0), (4, 10.0, 100.19)], "station_id long, lat double, lon double")
+    obs = spark.createDataFrame([(n, t, float(n)) for n in (1, 2, 3, 4)], "station_id long, t string, wind_speed double").withColumn("ts", F.col("t").cast("timestamp"))
+    got = {r.candidate_id: r.station_id for r in wind.station_wind(plumes.withColumn("acq_time", F.col("at").cast("timestamp")), stations, obs).collect()}
+    assert got == {"a": 1, "b": 1, "c": 3, "d": None}
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_clusters_are_those_of_one_pass(spark, seed):
     r = np.random.default_rng(seed)
@@ -92,6 +133,43 @@ def test_clusters_are_those_of_one_pass(spark, seed):
         assert [got[n] for n in range(250)] == want and got[250] is None
 
 
+@pytest.mark.parametrize(("seed", "spread", "tile"), [(0, 900, 40), (1, 3000, 60), (2, 6000, 25), (3, 200, 10)])
+def test_clusters_by_reservations(spark, seed, spread, tile):
+    """A field without gaps, all of it one component, settled in many rounds of small tiles; two zones side by side."""
+    r = np.random.default_rng(seed)
+    n = 500
+    points = pd.DataFrame({"zone": r.integers(0, 2, n), "row_id": r.permutation(n) * 3, "x": r.uniform(-spread, spread, n), "y": r.uniform(-spread, spread, n)})
+    points.loc[: n // 3, ["x", "y"]] = r.normal(0, 60, (n // 3 + 1, 2)) + spread / 3  # a third of all at one place
+    want = {}
+    for _, own in points.sort_values("row_id").groupby("zone"):
+        number = clustering.assign(own, 20.0)
+        first = {c: row for c, row in zip(reversed(number), reversed(own["row_id"].tolist()), strict=True)}
+        want |= {row: first[c] for row, c in zip(own["row_id"], number, strict=True)}
+    df = spark.createDataFrame(points).repartition(5)
+    got = {x.row_id: x.first_row for x in clustering.first_rows_of_sources(df, 20.0, tile).collect()}
+    assert got == want
+
+
+def test_registered_clusters_are_those_of_one_pass(spark, small):
+    """The registered query, all rows, against one pass written anew."""
+    from plumery import plans
+    from plumery.plans import views
+
+    at = clustering.placed_points(views.plumes(spark, small)).toPandas().sort_values("row_id")
+    want, held = {}, []  # zone, members' places
+    for row, zone, x, y in at.itertuples(index=False):
+        near = [(np.hypot(*(np.mean(m, axis=0) - (x, y))) if z == zone else np.inf) for z, m in held]
+        if not near or min(near) > 150.0:
+            held.append((zone, [(x, y)]))
+            want[row] = len(held)
+        else:
+            held[int(np.argmin(near))][1].append((x, y))
+            want[row] = int(np.argmin(near)) + 1
+    rows = plans.QUERIES["source_cluster"](spark, small).collect()
+    assert {r.row_id: r.source_number for r in rows if r.source_number} == want
+    assert all(r.source_name == (r.source_number and f"A{r.source_number:08d}") for r in rows)
+
+
 def test_cluster_rules():
     at = lambda *p: pd.DataFrame(p, columns=["x", "y"])
     assert clustering.assign(at((0, 0), (300, 0), (150, 0)), 150) == [0, 1, 0]  # exactly at the radius joins the first of equals
@@ -152,6 +230,7 @@ def test_region_shapes(spark):
     df = spark.createDataFrame([("i", a, b, 1, 1.0) for a, b in ring], "image_id string, row int, col int, region_id long, cmf double")
     assert regions.fill_holes(df).count() == 25
     assert regions.borders(df).count() == len(ring)
+    assert regions.borders(df, mode="thick").count() == len(ring) + 24 + 9 - 1
     assert regions.dilate(df.where("row = 0 and col = 0"), regions.diamond(2)).count() == 13
     assert regions.opened(df, regions.square(1)).count() == 0
     two = spark.createDataFrame([("i", 0, 0, 1, 1.0), ("i", 0, 3, 2, 1.0), ("i", 0, 9, 3, 1.0)], df.schema)
@@ -160,6 +239,67 @@ def test_region_shapes(spark):
     assert regions.detections(sizes.drop("region_id")).groupBy("region_id").count().count() == 2
 
 
+def brute_holes(label):
+    """(row, col, region) of each region and what no 4-path around it leads out of."""
+    out = set()
+    for k in set(label.ravel().tolist()) - {0}:
+        free = np.pad(label != k, 1, constant_values=True)
+        seen, todo = {(0, 0)}, [(0, 0)]
+        while todo:
+            r, c = todo.pop()
+            for a, b in regions.AROUND_4:
+                q = (r + a, c + b)
+                if 0 <= q[0] < free.shape[0] and 0 <= q[1] < free.shape[1] and q not in seen and free[q]:
+                    seen.add(q)
+                    todo.append(q)
+        out |= {(r, c, k) for r in range(label.shape[0]) for c in range(label.shape[1]) if (r + 1, c + 1) not in seen}
+    return out
+
+
+def test_holes_of_nested_and_touching_regions(spark):
+    """Rings in rings, islands in their holes, random masks, and an image whose regions touch; borders of all of them too."""
+    r = np.random.default_rng(8)
+    rings = np.zeros((31, 33), bool)
+    for k in range(0, 15, 2):
+        rings[k : 31 - k, k : 33 - k] = True
+        rings[k + 1 : 30 - k, k + 1 : 32 - k] = False
+    rings[2, 20] = False  # this ring is open, what lies in it stays in the ring around
+    rings[1, 5] = True  # two rings are one region
+    masks = {"rings": rings, "a": r.random((24, 24)) < 0.55, "b": r.random((24, 24)) < 0.7, "empty": np.zeros((3, 3), bool), "whole": np.ones((4, 5), bool)}
+    rows = [(n, int(i), int(j)) for n, m in masks.items() for i, j in zip(*np.nonzero(m), strict=True)]
+    found = regions.connected_regions(spark.createDataFrame(rows, "image_id string, row int, col int"), tile=8)
+    labels = {n: np.zeros(m.shape, int) for n, m in masks.items()}
+    for x in found.collect():
+        labels[x.image_id][x.row, x["col"]] = x.region_id
+    labels["touch"] = np.where(r.random((12, 12)) < 0.8, r.integers(1, 4, (12, 12)), 0)
+    rows = [(n, int(i), int(j), int(m[i, j])) for n, m in labels.items() for i, j in zip(*np.nonzero(m), strict=True)]
+    df = spark.createDataFrame(rows, "image_id string, row int, col int, region_id long").repartition(3)
+    got = {}
+    for x in regions.fill_holes(df, tile=8).collect():
+        got.setdefault(x.image_id, []).append((x.row, x["col"], x.region_id))
+    for n, m in labels.items():
+        assert sorted(got.get(n, [])) == sorted(brute_holes(m))
+    within = regions.containment(df.where("image_id = 'rings'"))[1]
+    assert within.groupBy("part").count().agg(F.max("count")).first()[0] >= 6  # so deep are they nested
+    shape = spark.createDataFrame([(n, *m.shape) for n, m in labels.items()], "image_id string, nrow int, ncol int")
+    for eight in (True, False):
+        for mode in ("inner", "outer", "thick"):
+            got = {(x.image_id, x.row, x["col"]) for x in regions.borders(df, shape, mode, eight).collect()}
+            want = set()
+            for n, m in labels.items():
+                edge = np.pad(m, 1, mode="edge")
+                changes = np.logical_or.reduce([edge[1 + a : edge.shape[0] - 1 + a, 1 + b : edge.shape[1] - 1 + b] != m for a, b in (regions.AROUND_8 if eight else regions.AROUND_4)])
+                changes &= {"inner": m > 0, "outer": m == 0, "thick": m >= 0}[mode]
+                want |= {(n, int(i), int(j)) for i, j in zip(*np.nonzero(changes), strict=True)}
+            assert got == want
+
+
+def test_value_counts(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", float("nan")), ("a", float("nan")), ("a", None), ("b", 2.0)], "k string, v double")
+    got = sorted((x.k, str(x.v), x.n) for x in triage.value_counts(df, ["k"], "v").collect())
+    assert got == [("a", "1.0", 2), ("a", "nan", 2), ("b", "2.0", 1)]
+
+
 @pytest.mark.parametrize("tile", [16, 32, 64])
 def test_halo_work_is_that_of_the_whole_image(spark, tile):
     r = np.random.default_rng(2)
@@ -212,6 +352,68 @@ def test_shrinkage_matches_the_long_way():
     assert a == best[1] and np.allclose(c, ((1 - a) * s + a * t) / 1e4)
 
 
+@pytest.mark.parametrize("options", [{}, {"reflectance": True}, {"model": "empirical"}, {"n_modes": 3}, {"n_modes": 3, "regularise_full": True}])
+def test_matched_filter_of_large_keys_over_tasks(spark, options):
+    """Keys above the bound, cut into parts whose sums are added up, have the values of one task that holds them; small ones beside."""
+    r = np.random.default_rng(9)
+    rows = []
+    for key, n in (("a", 400), ("b", 90), (None, 260), ("few", 25)):
+        base = np.repeat([1.0, 3.0, 6.0], [n - n // 3 - 4, n // 3, 4])[:, None]  # the last mode is too small
+        spectra = np.abs(base * (1 + np.arange(6) / 10) + r.normal(0, 0.05, (n, 6)) + r.normal(0, 0.2, (n, 1)))
+        rows += [(key, int(k), row.tolist()) for k, row in enumerate(spectra)]
+    df = spark.createDataFrame(rows, "image_id string, pixel_id long, spectrum array<double>").repartition(5)
+    target = (1 + np.arange(6) % 3 / 10).tolist()
+    whole, parts = ({(x.image_id, x.pixel_id): (x.cmf, x.mode) for x in matched_filter.matched_filter(df, target, ("image_id",), held=h, **options).collect()} for h in (1000, 40))
+    assert len(whole) == len(rows) and whole.keys() == parts.keys()
+    assert all(parts[k][1] == m for k, (_, m) in whole.items())
+    assert any(m < 0 for _, m in whole.values()) == ("n_modes" in options)
+    assert np.allclose([parts[k][0] for k in whole], [v for v, _ in whole.values()], rtol=1e-6, atol=1e-6 * max(abs(v) for v, _ in whole.values()))
+
+
+def test_matched_filter_adds_many_parts(spark, monkeypatch):
+    """More parts than are added at a time."""
+    monkeypatch.setattr(matched_filter, "FEW", 3)
+    r = np.random.default_rng(10)
+    df = spark.createDataFrame([("a", int(k), np.abs(r.normal(5, 1, 4)).tolist()) for k in range(330)], "image_id string, pixel_id long, spectrum array<double>")
+    whole, parts = ({x.pixel_id: x.cmf for x in matched_filter.matched_filter(df, [1.0, 1.1, 1.2, 1.0], ("image_id",), held=h).collect()} for h in (1000, 30))
+    assert np.allclose([parts[k] for k in whole], list(whole.values()), rtol=1e-7)
+
+
+def test_registered_filters_against_numpy(spark, small):
+    """All rows of the registered queries, by the formulas, with inverses and determinants in place of eigenvalues."""
+    from plumery import plans
+    from plumery.plans import views
+
+    target = 1 + np.arange(64) % 7 / 10
+    spectra = views.spectra(spark, small).toPandas()
+    got = {x.pixel_id: x.cmf for x in plans.QUERIES["matched_filter"](spark, small).collect()}
+    for _, own in spectra.groupby("image_id"):
+        x = np.stack(own["spectrum"])
+        mu, n = x.mean(0), len(x)
+        s = np.cov(x - mu, rowvar=False)
+        best, chosen = np.inf, s
+        for a in matched_filter.alphas():
+            c = n * (1 - a) / (n - 1) * s + a * np.diag(np.diag(s))
+            c *= 1e4
+            sign, log_det = np.linalg.slogdet(c)
+            rk = np.einsum("ij,jk,ik->i", 100 * (x - mu), np.linalg.inv(c), 100 * (x - mu)) if sign > 0 else np.full(n, np.nan)
+            with np.errstate(invalid="ignore"):
+                q = 1 - (1 - a) / (n - 1) * rk
+                nll = 0.5 * (64 * np.log(2 * np.pi) + log_det) + (np.log(q) + rk / q).sum() / (2 * n)
+            if nll < best:
+                best, chosen = nll, (1 - a) * s + a * np.diag(np.diag(s))
+        inv = np.linalg.inv(chosen)
+        want = (x - mu) @ inv @ (target * mu) / ((target * mu) @ inv @ (target * mu)) * 100_000
+        assert np.allclose([got[k] for k in own["pixel_id"]], want, rtol=1e-5, atol=1e-3 * np.abs(want).max())
+    stats = plans.QUERIES["filter_columns"](spark, small).collect()
+    assert {x.image_id for x in stats} == set(spectra["image_id"])
+    for x in stats:
+        own = np.stack(spectra[spectra["image_id"] == x.image_id].sort_values("pixel_id")["spectrum"])
+        value, mode = matched_filter.filter_column(own, target, n_modes=2)
+        kept = value[mode >= 0]
+        assert x.npix == len(own) and np.allclose([x.avg, x.std], [kept.mean(), kept.std()], rtol=1e-6, atol=1e-6 * np.abs(kept).max())
+
+
 def test_matched_filter_finds_what_was_added(spark):
     r = np.random.default_rng(8)
     base = r.normal(10, 0.3, (200, 10))
@@ -280,3 +482,40 @@ def test_curve(spark):
     rows = {r.threshold: (r.tp, r.fp) for r in evaluation.precision_recall(df).collect()}
     assert rows == {0.9: (1, 0), 0.8: (2, 1), 0.1: (2, 2)}
     assert evaluation.best_f1(evaluation.precision_recall(df)).first().threshold == 0.8
+
+
+def test_conjugate_gradients_are_the_direct_solution(spark, monkeypatch):
+    """Many unknowns by passes over the rows: the same fluxes, mean and covariances as by the whole matrix."""
+    monkeypatch.setattr(inversion, "FEW", 3)
+    r = np.random.default_rng(11)
+    h = r.random((160, 40))
+    x = r.uniform(1, 20, 40)
+    y = h @ x + r.normal(0, 0.1, 160)
+    df = spark.createDataFrame([(row.tolist(), 1860 + float(v), 1860.0) for row, v in zip(h, y, strict=True)], "h array<double>, xch4 double, back double").repartition(7)
+    assert np.allclose(inversion.solve_fluxes(df, direct=10), inversion.solve_fluxes(df), rtol=1e-6)
+    mean, covariance = inversion.posterior(df)
+    got, columns = inversion.posterior_of(df, [0, 7, 39], block=2)
+    assert np.allclose(got, mean, rtol=1e-7) and np.allclose(columns, covariance[:, [0, 7, 39]], rtol=1e-6, atol=1e-9)
+    with pytest.raises(np.linalg.LinAlgError):
+        inversion.solve_fluxes(df.withColumn("h", F.transform("h", lambda v, k: F.when(k == 3, 0.0).otherwise(v))), direct=10)
+
+
+def test_fifty_thousand_unknowns(spark):
+    """A matrix of 20 GB, never made: rows see a few unknowns each, strongly their own."""
+    n = 50_000
+    at = F.col("id").cast("int")
+    h = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.when(F.pmod(k - at, F.lit(40)) == 0, F.when(k % 7 == 0, 3.0).otherwise(2.0)).otherwise(F.lit(0.0)))
+    rows = spark.range(40, numPartitions=8).select(h.alias("h"), (F.lit(1860.5) + F.col("id") % 5).alias("xch4"), F.lit(1860.0).alias("back"))
+    mean, columns = inversion.posterior_of(rows, [0, 49_999], prior_error=0.5, obs_error=0.1)
+    # A row's unknowns are no other row's, so each row has a posterior of its own.
+    for row in (0, 13, 39):
+        own = np.arange(row, n, 40)
+        v = np.where(own % 7 == 0, 3.0, 2.0)
+        y = 0.5 + row % 5
+        w = 1 / (0.1 * y) ** 2
+        want = 10 + (w * (y - 10 * v.sum())) / (1 / 25 + w * v @ v) * v
+        assert np.allclose(mean[own], want, rtol=1e-6)
+        if row == 0:
+            cov = np.eye(len(own)) * 25 - np.outer(v, v) * (25 * 25 * w / (1 + 25 * w * v @ v))
+            assert np.allclose(columns[own, 0], cov[0], atol=1e-7)
+    assert len(mean) == n and columns.shape == (n, 2)
