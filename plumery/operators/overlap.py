@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumery.functions import geo, names
-from plumery.operators.graph import cut
+from plumery.operators.graph import cut, min_labels
 
 RADIUS_M = 150.0
 
@@ -79,6 +79,11 @@ class _Discs:
         self.update(np.flatnonzero(self.alive & np.isin(self.partner, rows)))
 
 
+def _first_above(discs: _Discs, rows: np.ndarray, max_overlap: float) -> tuple[np.ndarray, np.ndarray]:
+    v = discs.share[rows]
+    return v, np.flatnonzero(v > max_overlap)
+
+
 def resolve(group: pd.DataFrame, flux: list[str], max_overlap: float = 0.3, radius: float = RADIUS_M, rule: str = "first") -> pd.DataFrame:
     """Drop rows of one group until no overlap is above max_overlap. group has row_id, x, y and flux columns.
 
@@ -90,45 +95,155 @@ def resolve(group: pd.DataFrame, flux: list[str], max_overlap: float = 0.3, radi
     discs = _Discs(group["x"].to_numpy(), group["y"].to_numpy(), radius, rule)
     least_flux, most_flux = group[flux].min(axis=1, skipna=False).to_numpy(float), group[flux].max(axis=1).to_numpy(float)
     while len(rows := np.flatnonzero(discs.alive)) > 1:
-        v, least, most = discs.share[rows], least_flux[rows], most_flux[rows]
-        over = np.flatnonzero(v > max_overlap)
+        v, over = _first_above(discs, rows, max_overlap)
         if not len(over):
             break
-        if len(over) > 2:
-            drop = np.array([v.argmax()])
-        else:
-            _, first, which = np.unique(v, return_index=True, return_inverse=True)
-            later = np.setdiff1d(np.arange(len(v)), first)
-            if len(later) and np.isnan(least).any():
-                drop = np.flatnonzero(np.isnan(least))[:1]
-            elif len(later):
-                drop = np.flatnonzero(np.isin(least, np.minimum(least[later], least[first[which[later]]])))
-            else:
-                drop = np.flatnonzero(most == np.nanmin(most)) if not np.isnan(most).all() else over[:1]
+        drop = np.array([v.argmax()]) if len(over) > 2 else _few_above(v, over, least_flux[rows], most_flux[rows])
         if not len(drop):
             break
         discs.drop(rows[drop])
     return group[discs.alive].reset_index(drop=True)
 
 
-def filter_overlaps(plumes: DataFrame, flux: list[str], max_overlap: float = 0.3, apply_flux_min: bool = True, rule: str = "first") -> DataFrame:
+def _few_above(v: np.ndarray, over: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which rows of a group go when one or two overlaps are above: by equal overlaps, else by the largest fluxes."""
+    _, first, which = np.unique(v, return_index=True, return_inverse=True)
+    later = np.setdiff1d(np.arange(len(v)), first)
+    if len(later) and np.isnan(least).any():
+        return np.flatnonzero(np.isnan(least))[:1]
+    if len(later):
+        return np.flatnonzero(np.isin(least, np.minimum(least[later], least[first[which[later]]])))
+    return np.flatnonzero(most == np.nanmin(most)) if not np.isnan(most).all() else over[:1]
+
+
+def _drops(part: pd.DataFrame, max_overlap: float, radius: float, rule: str) -> pd.DataFrame:
+    """The rows of a connected part that would go, one by one, while the largest overlap of all is the part's own.
+
+    low and late order the parts' rows into one sequence: the group drops the largest overlap that there is, so a part's next row
+    waits for the smallest overlap so far (low), and among equal ones for the largest row so far (late). above counts
+    the part's overlaps above the bound after the drop; a first row without a drop has the count before.
+    """
+    part = part.sort_values("row_id")
+    ids = part["row_id"].to_numpy()
+    discs = _Discs(part["x"].to_numpy(), part["y"].to_numpy(), radius, rule)
+    low, late, n, out = math.inf, -1, 0, []
+    rows = np.arange(len(ids))
+    v, over = _first_above(discs, rows, max_overlap)
+    out.append((0, None, math.inf, -1, len(over), len(over)))
+    while len(over):
+        at = int(v.argmax())
+        row, n = int(ids[rows[at]]), n + 1
+        if v[at] < low:
+            low, late = float(v[at]), row
+        elif v[at] == low:
+            late = max(late, row)
+        before = len(over)
+        discs.drop(rows[[at]])
+        rows = np.flatnonzero(discs.alive)
+        v, over = _first_above(discs, rows, max_overlap)
+        out.append((n, row, low, late, len(over), len(over) - before))
+    found = pd.DataFrame(out, columns=["seq", "row_id", "low", "late", "above", "change"]).astype({"row_id": "Int64"})
+    return found.assign(group_id=part["group_id"].iloc[0])[["group_id", "seq", "row_id", "low", "late", "change"]]
+
+
+def _largest_first(rows: DataFrame, max_overlap: float, radius: float, rule: str) -> DataFrame:
+    """(row_id) of rows(group_id, part, row_id, x, y) that go while more than two overlaps of their group are above the bound.
+
+    Parts that don't meet are worked on side by side; their drops form one ordered sequence of the group, along which the number of
+    overlaps above the bound is summed by range partitions, up to where it first is two or less.
+    """
+    kind = rows.schema["group_id"].dataType.simpleString()
+    schema = f"group_id {kind}, seq long, row_id long, low double, late long, change long"
+    drops = rows.groupBy("group_id", "part").applyInPandas(lambda part: _drops(part, max_overlap, radius, rule), schema)
+    order = ["group_id", F.col("low").desc(), "late", "seq"]
+    ranged = drops.repartitionByRange(*order).withColumn("at", F.spark_partition_id()).transform(cut)
+    ahead = Window.partitionBy("group_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("group_id", "at").agg(F.sum("change").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(ahead), F.lit(0)))
+    inside = Window.partitionBy("group_id", "at").orderBy(*order[1:])
+    upto = ranged.join(before.select("group_id", "at", "before"), ["group_id", "at"])
+    upto = upto.withColumn("above", F.col("before") + F.sum("change").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # The counts before any drop come first (low is infinite), so "two or less" counts from the last of these on.
+    key = F.struct((-F.col("low")).alias("low"), "late", "seq")
+    end = upto.where("above <= 2 and seq > 0").groupBy("group_id").agg(F.min(key).alias("end"))
+    begun = ranged.where("seq = 0").groupBy("group_id").agg(F.sum("change").alias("start")).where("start > 2")
+    gone = upto.where("seq > 0").join(begun, "group_id").join(end, "group_id")
+    return gone.where(key <= F.col("end")).select("row_id")
+
+
+def _connected(rows: DataFrame, radius: float) -> DataFrame:
+    """rows(group_id, row_id, x, y, ...) with part: discs of a group that may meet, by cells as wide as two radii that touch."""
+    size = 2 * radius
+    celled = rows.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
+    cells = celled.select("group_id", "cx", "cy").distinct().withColumn("node", F.struct("group_id", "cx", "cy")).transform(cut)
+    beside = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))))
+    near = cells.select(F.col("node").alias("a"), "group_id", "cx", "cy", F.explode(beside).alias("s"))
+    near = near.select("a", F.struct("group_id", (F.col("cx") + F.col("s.a")).alias("cx"), (F.col("cy") + F.col("s.b")).alias("cy")).alias("b"))
+    labels = min_labels(cells, near.join(cells.select(F.col("node").alias("b")), "b", "left_semi"))
+    labels = labels.select("node.group_id", "node.cx", "node.cy", F.xxhash64("label.cx", "label.cy").alias("part"))
+    return celled.join(labels, ["group_id", "cx", "cy"]).drop("cx", "cy")
+
+
+#: Discs of a group that one task may hold with all that they meet.
+HELD_DISCS = 20_000
+
+
+def filter_overlaps(
+    plumes: DataFrame, flux: list[str], max_overlap: float = 0.3, apply_flux_min: bool = True, rule: str = "first", held: int = HELD_DISCS, radius: float = RADIUS_M
+) -> DataFrame:
     """plumes(group_id, row_id, lat, lon, flux columns) without those that overlap stronger ones of their group.
 
-    Rows with equal fluxes count once; rows without coordinates go. Only plumes that meet another one are worked on group by
-    group; the others of a group matter as well, as rows with no overlap count as equals, so whole groups with a meeting are.
+    Rows with equal fluxes count once; rows without coordinates go. Only groups in which plumes meet are worked on. Up to ``held`` rows
+    a group is one task's work, by resolve(). In a larger one, connected parts are worked on side by side while more than two
+    overlaps are above the bound, which is nearly all of it; what is left then, the rule compares over the whole group: one
+    task has a few numbers of each row, and only discs that may meet others as such. The result is that of resolve().
     """
     rows = any_flux_above(plumes, flux) if apply_flux_min else plumes
     rows = names.first_rows(rows, flux).where("lat is not null and lon is not null").transform(cut)
     xy = geo.albers(F.col("lat"), F.col("lon"))
-    met = overlap_pairs(rows).select("group_id").distinct()
-    small = rows.select("group_id", "row_id", xy["x"].alias("x"), xy["y"].alias("y"), *flux).join(met, "group_id", "left_semi")
+    placed = rows.select("group_id", "row_id", xy["x"].alias("x"), xy["y"].alias("y"), *flux).transform(cut)
+    sizes = placed.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > held).select("group_id").transform(cut)
+    met = overlap_pairs(rows.join(large, "group_id", "left_anti"), radius).select("group_id").distinct()
+    small = placed.join(met, "group_id", "left_semi")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        return resolve(part, flux, max_overlap, rule=rule)[["row_id"]]
+        return resolve(part, flux, max_overlap, radius, rule)[["row_id"]]
 
     kept = small.groupBy("group_id").applyInPandas(run, "row_id long")
-    alone = rows.join(met, "group_id", "left_anti").select("row_id")
-    return rows.join(kept.unionByName(alone), "row_id", "left_semi")
+    alone = rows.join(met, "group_id", "left_anti").join(large, "group_id", "left_anti").select("row_id")
+    kept = kept.unionByName(alone)
+    if large.isEmpty():
+        return rows.join(kept, "row_id", "left_semi")
+    least = F.when(F.exists(F.array(*flux), lambda x: x.isNull() | F.isnan(x)), None).otherwise(F.least(*flux) if len(flux) > 1 else F.col(flux[0]))
+    most = F.array_max(F.filter(F.array(*flux), lambda x: x.isNotNull() & ~F.isnan(x)))
+    parts = _connected(placed.join(large, "group_id", "left_semi"), radius).transform(cut)
+    gone = _largest_first(parts.select("group_id", "part", "row_id", "x", "y"), max_overlap, radius, rule).transform(cut)
+    several = parts.groupBy("group_id", "part").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("group_id", "part", F.lit(True).alias("meets"))
+    left = parts.join(gone, "row_id", "left_anti").join(several, ["group_id", "part"], "left")
+    alone = F.col("meets").isNull()
+    left = left.select("group_id", "row_id", *(F.when(~alone, F.col(c)).alias(c) for c in ("x", "y")), least.cast("double").alias("least"), most.cast("double").alias("most"))
+
+    def end(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("row_id")
+        ids, least, most = (group[c].to_numpy() for c in ("row_id", "least", "most"))
+        near = np.flatnonzero(group["x"].notna())
+        discs = _Discs(group["x"].to_numpy()[near], group["y"].to_numpy()[near], radius, rule)
+        share, alive = np.zeros(len(ids)), np.ones(len(ids), bool)
+        while alive.sum() > 1:
+            share[near] = discs.share
+            now = np.flatnonzero(alive)
+            over = np.flatnonzero(share[now] > max_overlap)
+            if not len(over):
+                break
+            drop = now[[share[now].argmax()]] if len(over) > 2 else now[_few_above(share[now], over, least[now], most[now])]
+            if not len(drop):
+                break
+            alive[drop] = False
+            discs.drop(np.flatnonzero(np.isin(near, drop)))
+        return pd.DataFrame({"row_id": ids[alive]})
+
+    kept = kept.unionByName(left.groupBy("group_id").applyInPandas(end, "row_id long"))
+    return rows.join(kept, "row_id", "left_semi")
 
 
 def exists_near(candidates: DataFrame, known: DataFrame, reach: float = 0.5) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumery.functions import geo, physics
+from plumery.operators import selection
 from plumery.operators.graph import cut, min_labels
 
 TILE = 512
@@ -101,20 +102,34 @@ def detections(pixels: DataFrame, low: float = 500.0, high: float = 1250.0, leas
     return connected_regions(large.unionByName(back).transform(cut))
 
 
-def region_statistics(regions: DataFrame, value: str = "cmf", pixel_size: float = 3.1) -> DataFrame:
+def region_statistics(regions: DataFrame, value: str = "cmf", pixel_size: float = 3.1, held: int = selection.HELD_ROWS) -> DataFrame:
     """Per region: pixels, box (max exclusive), max, min, median and median absolute deviation, the place of the maximum (whole
-    part of the mean of its pixels) and the mass enhancement."""
+    part of the mean of its pixels) and the mass enhancement. Regions of more than ``held`` pixels have their medians by
+    refined histograms, over all tasks."""
     keys, v = ["image_id", "region_id"], F.col(value)
-    g = regions.groupBy(*keys).agg(
+    plain = (
         F.count(F.lit(1)).alias("n"), F.min("row").alias("rmin"), (F.max("row") + 1).alias("rmax"), F.min("col").alias("cmin"), (F.max("col") + 1).alias("cmax"),
-        F.max(v).alias("vmax"), F.min(v).alias("vmin"), F.median(v).alias("med"), F.sum(v).alias("total"),
+        F.max(v).alias("vmax"), F.min(v).alias("vmin"), F.sum(v).alias("total"),
     )
-    both = regions.select(*keys, "row", "col", v.alias("_v")).join(g.select(*keys, "vmax", "med"), keys)
-    more = both.groupBy(*keys).agg(
-        F.median(F.abs(F.col("_v") - F.col("med"))).alias("mad"), F.floor(F.avg(F.when(F.col("_v") == F.col("vmax"), F.col("row")))).cast("int").alias("max_row"),
-        F.floor(F.avg(F.when(F.col("_v") == F.col("vmax"), F.col("col")))).cast("int").alias("max_col"),
-    )
-    return g.join(more, keys).withColumn("ime", physics.ime_kg(F.col("total"), F.lit(pixel_size)))
+    place = lambda c: F.floor(F.avg(F.when(F.col("_v") == F.col("vmax"), F.col(c)))).cast("int").alias(f"max_{c}")
+    columns = [*keys, "n", "rmin", "rmax", "cmin", "cmax", "vmax", "vmin", "med", "total", "mad", "max_row", "max_col"]
+
+    def sorted_(few: DataFrame) -> DataFrame:
+        g = few.groupBy(*keys).agg(*plain, F.median(v).alias("med"))
+        both = few.select(*keys, "row", "col", v.alias("_v")).join(g.select(*keys, "vmax", "med"), keys)
+        more = both.groupBy(*keys).agg(F.median(F.abs(F.col("_v") - F.col("med"))).alias("mad"), place("row"), place("col"))
+        return g.join(more, keys).select(*columns)
+
+    large = selection.large_groups(regions, keys, held)
+    if large.isEmpty():
+        out = sorted_(regions)
+    else:
+        few, many = (selection.in_groups(regions, large, keys, inside) for inside in (False, True))
+        g = many.groupBy(*keys).agg(*plain).transform(cut)
+        places = many.select(*keys, "row", "col", v.alias("_v")).join(F.broadcast(g.select(*keys, "vmax")), keys).groupBy(*keys).agg(place("row"), place("col"))
+        med = selection.medians_of_large(many.where(v.isNotNull() & ~F.isnan(v.cast("double"))), keys, value, large)
+        out = sorted_(few).unionByName(g.join(med.drop("n"), keys).join(places, keys).select(*columns))
+    return out.withColumn("ime", physics.ime_kg(F.col("total"), F.lit(pixel_size)))
 
 
 def score_regions(pixels: DataFrame, threshold: float = 0.5, cmf_threshold: float = 250.0, images: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumery.operators import selection
+
 
 def usable(pixels: DataFrame, value: str = "cmf") -> DataFrame:
     """Pixels with data (not null or NaN) above zero."""
@@ -23,15 +25,23 @@ def nearest_rank(n: Column, q: float) -> Column:
     return (F.floor((n - 1) * F.lit(q) + 0.5) if q < 0.5 else F.rint(at)).cast("int")
 
 
-def column_profile_robust(pixels: DataFrame, value: str = "cmf", exact: bool = True) -> DataFrame:
+def column_profile_robust(pixels: DataFrame, value: str = "cmf", exact: bool = True, held: int = selection.HELD_ROWS) -> DataFrame:
     """(image_id, col, npix, med, mad, p05, p95): median, median absolute deviation and nearest-rank percentiles.
 
-    exact=False takes approximate percentiles, which keep a small sketch per column at any size.
+    Columns of more than ``held`` pixels are worked out by refined histograms, over all tasks. exact=False takes approximate
+    percentiles, which keep a small sketch per column at any size.
     """
     rows, keys, v = usable(pixels, value), ["image_id", "col"], F.col(value)
     if not exact:
         med = rows.groupBy(*keys).agg(F.count(v).alias("npix"), F.percentile_approx(v, 0.5).alias("med"), F.percentile_approx(v, 0.05).alias("p05"), F.percentile_approx(v, 0.95).alias("p95"))
         return rows.join(med, keys).groupBy(*keys, "npix", "med", "p05", "p95").agg(F.percentile_approx(F.abs(v - F.col("med")), 0.5).alias("mad")).select(*keys, "npix", "med", "mad", "p05", "p95")
+    large = selection.large_groups(rows, keys, held)
+    if not large.isEmpty():
+        both = selection.in_groups(rows, large, keys).select(*keys, v.alias("_v"))
+        med = selection.medians_of_large(both, keys, "_v", large)
+        ends = selection.ranks_of_large(both, keys, "_v", large, {"p05": lambda n: nearest_rank(n, 0.05), "p95": lambda n: nearest_rank(n, 0.95)})
+        found = med.join(ends.drop("n"), keys).select(*keys, F.col("n").alias("npix"), "med", "mad", "p05", "p95")
+        return column_profile_robust(selection.in_groups(rows, large, keys, inside=False), value).unionByName(found)
     # One count per distinct value first: repeated values of a column travel once.
     counts = rows.groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
     up = Window.partitionBy(*keys).orderBy("v")
@@ -48,21 +58,41 @@ def column_profile_robust(pixels: DataFrame, value: str = "cmf", exact: bool = T
     return first.join(mads, keys).select(*keys, "npix", "med", "mad", "p05", "p95")
 
 
-def spread(df: DataFrame, keys: list[str], value: str, normal: bool = False) -> DataFrame:
-    """keys, median and median absolute deviation (over 0.6745 where ``normal``)."""
+def spread(df: DataFrame, keys: list[str], value: str, normal: bool = False, held: int = selection.HELD_ROWS) -> DataFrame:
+    """keys, median and median absolute deviation (over 0.6745 where ``normal``).
+
+    Groups of more than ``held`` rows are worked out by refined histograms, over all tasks.
+    """
     df = df.select(*keys, F.col(value).alias("_v"))
-    med = df.groupBy(*keys).agg(F.median("_v").alias("med"))
     scale = 0.6745 if normal else 1.0
-    return df.join(med, keys).groupBy(*keys, "med").agg((F.median(F.abs(F.col("_v") - F.col("med"))) / scale).alias("mad"))
+    sure = df.where(F.col("_v").isNotNull() & ~F.isnan(F.col("_v").cast("double")))
+    large = selection.large_groups(sure, keys, held)
+    many = not large.isEmpty()
+    few = selection.in_groups(df, large, keys, inside=False) if many else df
+    med = few.groupBy(*keys).agg(F.median("_v").alias("med"))
+    out = few.join(med, keys).groupBy(*keys, "med").agg((F.median(F.abs(F.col("_v") - F.col("med"))) / scale).alias("mad"))
+    if not many:
+        return out
+    return out.unionByName(selection.medians_of_large(sure, keys, "_v", large).select(*keys, "med", (F.col("mad") / scale).alias("mad")))
 
 
-def extrema(df: DataFrame, keys: list[str], value: str, p: float = 1.0, buffer: float = 0.0) -> DataFrame:
-    """keys, low and high: the share p of values between nearest ranks, widened by a share of the range."""
-    ordered = Window.partitionBy(*keys).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(ordered) - 1, "_n": n})
-    lo, hi = (nearest_rank(F.col("_n"), 1 - p), nearest_rank(F.col("_n"), p)) if p < 1 else (F.lit(0), F.col("_n") - 1)
-    out = ranked.groupBy(*keys).agg(F.min(F.when(F.col("_i") == lo, F.col(value))).alias("low"), F.min(F.when(F.col("_i") == hi, F.col(value))).alias("high"))
+def extrema(df: DataFrame, keys: list[str], value: str, p: float = 1.0, buffer: float = 0.0, held: int = selection.HELD_ROWS) -> DataFrame:
+    """keys, low and high: the share p of values between nearest ranks, widened by a share of the range.
+
+    All values (p = 1) need no order. Groups of more than ``held`` rows are worked out by refined histograms, over all tasks.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    if p >= 1:
+        out = rows.groupBy(*keys).agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
+    else:
+        large = selection.large_groups(rows, keys, held)
+        many = not large.isEmpty()
+        few = selection.in_groups(rows, large, keys, inside=False) if many else rows
+        ranked = few.withColumns({"_i": F.row_number().over(Window.partitionBy(*keys).orderBy("_v")) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+        at = lambda q: F.min(F.when(F.col("_i") == nearest_rank(F.col("_n"), q), F.col("_v")))
+        out = ranked.groupBy(*keys).agg(at(1 - p).alias("low"), at(p).alias("high"))
+        if many:
+            out = out.unionByName(selection.ranks_of_large(rows, keys, "_v", large, {"low": lambda n: nearest_rank(n, 1 - p), "high": lambda n: nearest_rank(n, p)}).drop("n"))
     wide = (F.col("high") - F.col("low")) * buffer
     return out.select(*keys, (F.col("low") - wide).alias("low"), (F.col("high") + wide).alias("high"))
 

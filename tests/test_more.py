@@ -1,12 +1,14 @@
 """Operators without a registered query: by hand, or against plain numpy."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from plumery.functions import geo, names, physics
-from plumery.operators import clustering, evaluation, graph, overlap, pixels, qc, regions, tiles, triage, wind
+from plumery.operators import clustering, evaluation, graph, overlap, pixels, qc, regions, selection, tiles, triage, wind
 from plumery.sources import lists, rasters
 
 
@@ -180,3 +182,32 @@ def test_without_a_checkpoint_folder(spark):
     sc, base = spark.sparkContext, spark.sparkContext.getCheckpointDir()
     graph.ensure_checkpoints(spark)
     assert sc.getCheckpointDir() == base
+
+
+@pytest.mark.parametrize("sorted_at_once", [5, 10_000])
+def test_order_statistics_of_large_groups(spark, monkeypatch, sorted_at_once):
+    """Refined histograms give the medians, ranks and profiles that sorting gives: many scales, signs, ties, subnormal and infinite values."""
+    monkeypatch.setattr(selection, "SORTED", sorted_at_once)
+    monkeypatch.setattr(selection, "BINS", 7)
+    r = np.random.default_rng(7)
+    groups = {
+        "normal": r.normal(3, 1, 301), "scales": 10.0 ** r.uniform(-300, 300, 200) * r.choice([-1, 1], 200), "ties": r.integers(0, 3, 250).astype(float),
+        "same": np.full(90, 2.5), "ends": np.array([-np.inf, np.inf, 0.0, -0.0, 5e-324, 1.7e308, -1.7e308] * 9), "close": 1 + np.arange(80) * 2.0**-52, None: r.random(70), "few": r.random(9),
+    }
+    rows = [(k, 1, float(v)) for k, own in groups.items() for v in own] + [("normal", 1, None)]
+    df = spark.createDataFrame(rows, "image_id string, col int, cmf double").repartition(4)
+    same = lambda x, y: x == y or abs(x - y) <= 1e-12 * abs(y) or (math.isnan(x) and math.isnan(y))
+    large = selection.large_groups(df.where("cmf is not null"), ["image_id"], 50)
+    got = {x.image_id: x for x in selection.ranks_of_large(df.where("cmf is not null"), ["image_id"], "cmf", large, {"a": lambda n: F.lit(3), "b": lambda n: n - 2}).collect()}
+    assert set(got) == set(groups) - {"few"}
+    for k, x in got.items():
+        own = np.sort(groups[k])
+        assert (x.n, x.a, x.b) == (len(own), own[3], own[-2])
+    finite = df.where("image_id in ('normal', 'ties', 'same', 'close', 'few')")
+    for name, f in (("spread", lambda h: triage.spread(finite, ["image_id"], "cmf", held=h)), ("extrema", lambda h: triage.extrema(finite, ["image_id"], "cmf", 0.9, 0.1, held=h)), ("profile", lambda h: triage.column_profile_robust(finite, held=h))):
+        whole, parts = ({x[0]: list(x)[1:] for x in f(h).collect()} for h in (10_000, 50))
+        assert whole.keys() == parts.keys() == {"normal", "ties", "same", "close", "few"}, name
+        assert all(same(a, b) for k in whole for a, b in zip(parts[k], whole[k], strict=True)), name
+    pixels = finite.select("image_id", F.lit(1).alias("region_id"), (F.monotonically_increasing_id() % 1000).alias("row"), "col", "cmf").where("cmf is not null")
+    whole, parts = ({x.image_id: x.asDict() for x in regions.region_statistics(pixels, held=h).collect()} for h in (10_000, 50))
+    assert whole.keys() == parts.keys() and all(same(parts[k][c], whole[k][c]) for k in whole for c in ("n", "med", "mad", "vmax", "total"))

@@ -352,6 +352,25 @@ def test_shrinkage_matches_the_long_way():
     assert a == best[1] and np.allclose(c, ((1 - a) * s + a * t) / 1e4)
 
 
+@pytest.mark.parametrize("rule", ["first", "largest"])
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_overlaps_of_large_groups_over_tasks(spark, rule, seed):
+    """Groups cut into connected parts have the rows that one task leaves: crowded and sparse places, equal overlaps on a lattice,
+    fluxes without a least one, a group with no overlap, one with few."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for g, (n, width) in enumerate(((140, 0.03), (120, 0.08), (60, 2.0), (90, 0.2))):
+        at = r.uniform(0, width, (n, 2))
+        if g == 1:
+            at = np.round(at / 0.0015) * 0.0015  # repeated distances
+        for k in range(n):
+            a, b = (float(x) for x in r.uniform(1.5, 100, 2))
+            rows.append((f"g{g}", len(rows), 35 + float(at[k, 0]), -118 + float(at[k, 1]), a, None if seed == 2 and k % 9 == 0 else b))
+    df = spark.createDataFrame(rows, "group_id string, row_id long, lat double, lon double, flux_a double, flux_b double").repartition(3)
+    whole, parts = ({x.row_id for x in overlap.filter_overlaps(df, ["flux_a", "flux_b"], rule=rule, held=h).collect()} for h in (1000, 20))
+    assert whole == parts and 20 < len(whole) < len(rows)
+
+
 @pytest.mark.parametrize("options", [{}, {"reflectance": True}, {"model": "empirical"}, {"n_modes": 3}, {"n_modes": 3, "regularise_full": True}])
 def test_matched_filter_of_large_keys_over_tasks(spark, options):
     """Keys above the bound, cut into parts whose sums are added up, have the values of one task that holds them; small ones beside."""
