@@ -37,7 +37,7 @@ def _values(column: pa.Array) -> list:
     return column.to_pylist()
 
 
-def _tied(edges: DataFrame) -> DataFrame:
+def tied(edges: DataFrame) -> DataFrame:
     """(node, label) of few edges, by pointers in one task."""
     kind = edges.schema["a"].dataType.simpleString()
 
@@ -88,9 +88,12 @@ def _contracted(edges: DataFrame) -> DataFrame:
 
 
 def min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label) of nodes(node): the smallest node that edges(a, b) lead to; nodes without an edge are their own."""
+    """(node, label) of nodes(node): the smallest node that edges(a, b) lead to; nodes without an edge are their own.
+
+    At most LOCAL_EDGES edges are tied in one task, more by rounds of contractions; the labels are the same.
+    """
     edges = cut(edges.select("a", "b").where("a <> b"))
-    labels = _tied(edges) if edges.count() <= LOCAL_EDGES else _contracted(edges)
+    labels = tied(edges) if edges.count() <= LOCAL_EDGES else _contracted(edges)
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
