@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumery.operators.graph import cut
+from plumery.operators.graph import LOCAL_EDGES, cut, tied
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,11 +26,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges(a, b); the root is the smallest node that can be reached.
 
-    Edges may be repeated, in either direction, or loops; loops alone give no row. Each round writes its edges with
+    Edges may be repeated, in either direction, or loops; loops alone give no row. At most LOCAL_EDGES edges, a few MB, are tied
+    in one task, with the same result; more go through rounds of contractions. Each round writes its edges with
     a checkpoint; rounds go on until none changes anything. No list of a node's neighbours is ever built: only minima are grouped, and joins on a busy node are left
     to Spark's skew join.
     """
     edges = edges.select("a", "b").where("a <> b").distinct().transform(cut)
+    if edges.count() <= LOCAL_EDGES:
+        return tied(edges).select("node", F.col("label").alias("root"))
     sums = None
     while True:
         edges = _small_star(_large_star(edges)).transform(cut)
