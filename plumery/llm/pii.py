@@ -2,10 +2,14 @@
 
 A chain of small transducers rewrites a text while carrying, for each character written, the source characters it stands
 for: look-alike letters, foreign digits and invisible characters; letters for digits and spelled digits; "at", "dot", "plus",
-"underscore" and "dash" in words, "@" and "." in brackets. The plain detectors then run over the rewritten text, and what they
-find is mapped back to source positions. A bare "at" counts before a domain with a disguised dot, or with plain dots where
-what stands before it looks like an address already; words of everyday language aren't taken for a domain's labels.
-Only texts that hold a trigger, which is anything that a transducer rewrites, are rewritten.
+"underscore" and "dash" in words, "@" and "." in brackets or between blanks. The plain detectors then run over the rewritten
+text, and what they find is mapped back to source positions. Only texts that hold a trigger, which is anything that a
+transducer rewrites, are rewritten. Very long texts are worked on whole.
+
+"We shop at a site dot com" has the form of an address. So a bare "at" counts only after what looks like a local part: one with a
+digit, dot, underscore or the like; or a word that stands where addresses do: after a colon or another mark, at the start of
+a line (in lower case, or with nothing else on it), or after words that speak of mail. And words of everyday language aren't
+taken for a domain's labels.
 """
 
 from __future__ import annotations
@@ -89,7 +93,7 @@ _DIGIT_OF = {w: str(n) for n, w in enumerate(DIGIT_WORDS)}
 
 _FOREIGN = re.compile(f"[{_HIDDEN}{re.escape(''.join(_ALIKE))}！-～٠-٩۰-۹०-९\U0001d400-\U0001d7ff]")
 _NAME = "|".join(DIGIT_WORDS)
-_SPELLED = re.compile(rf"\b(?:{_NAME})(?:[\x20-](?:{_NAME}))*\b", re.I)
+_SPELLED = re.compile(rf"\b(?:{_NAME}|oh(?=[\x20-](?:{_NAME}|oh)))(?:[\x20-](?:{_NAME}|oh))*\b", re.I)
 _OPEN, _CLOSE = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
 _DOT = re.compile(rf"{_OPEN}(?:dot|\.){_CLOSE}|(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])", re.I)
 #: Words that stand beside "at" and "dot" in plain sentences, and so are no label of a disguised domain.
@@ -98,7 +102,12 @@ EVERYDAY = frozenset(
     "is was are were be been it he she we you they there here then than when where which who what noon night home last first least most once".split()
 )
 _AT = re.compile(rf"{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9])\x20at\x20(?=((?:[A-Za-z0-9-]+[.\ue000])+)([A-Za-z]{{2,24}})(?![A-Za-z0-9-]))", re.I)
-_LAST_WORD = re.compile(r"[A-Za-z0-9._%+-]+$")
+_LAST_WORD = re.compile("[A-Za-z0-9._%+\ue000-]+$")
+#: A blank behind @, and perhaps around the dots of the domain, all of it in lower case.
+_WIDE = re.compile(r"(?<=[A-Za-z0-9])\x20?@\x20([a-z0-9-]+(?:\x20?\.\x20?[a-z0-9-]+)*\x20?\.\x20?[a-z]{2,24})(?![A-Za-z0-9-])")
+#: Marks before an address, and fixed values: words that speak of mail, some of the last four before it, or right before it.
+_MARK_BEFORE = re.compile(r"[:;,=|<>(\[{\"'*/\u2022\u201c]\s?$")
+_MAIL_BEFORE = re.compile(r"\b(?:e-?mails?|e-?mailed|mailto|mail|mails|mailed|inbox|address|contact|cc|bcc)\b\W+(?:[\w'-]+\W+){0,3}$|\b(?:write|reply|send|forward|ping)\W+(?:[\w'-]+\W+)?to\W+$|\bping\W+$", re.I)
 _PLUS = re.compile(r"\bplus\x20(?=[0-9])", re.I)
 _JOIN = re.compile(r"(?<=[A-Za-z0-9])\x20(underscore|dash|hyphen)\x20(?=[A-Za-z0-9])", re.I)
 #: Letters that stand for a digit beside digits.
@@ -118,6 +127,7 @@ def triggered(text: str) -> bool:
         or _MARKS.search(text)
         or any(not (at := m.start()) or not (low[at - 1].isalnum() or low[at - 1] == "_") for m in _HINT.finditer(low))
         or (_DIGIT.search(text) and _MIXED.search(text))
+        or ("@" in text and _WIDE.search(text))
     )
 
 
@@ -161,17 +171,34 @@ def _plain(m: re.Match) -> str:
 
 def _spelled(m: re.Match) -> str:
     # re.I takes the long s and the i's with and without a dot for s and i.
-    return "".join(_DIGIT_OF[w.upper().replace("İ", "I").lower()] for w in re.split("[ -]", m[0]))
+    words = [w.upper().replace("İ", "I").lower() for w in re.split("[ -]", m[0])]
+    if "oh" in words and sum(w != "oh" for w in words) < 3:  # zero only among digits
+        return m[0]
+    return "".join(_DIGIT_OF.get(w, "0") for w in words)
 
 
 def _at(m: re.Match) -> str:
     if m[1] is None:  # in brackets
         return "@"
-    labels = re.split("[.\ue000]", m[1])[:-1]
-    if "\ue000" in m[1]:
-        return m[0] if m[2].lower() in EVERYDAY or any(x.lower() in EVERYDAY for x in labels) else "@"
+    labels = [*re.split("[.\ue000]", m[1])[:-1], m[2]]
     before = _LAST_WORD.search(m.string, max(0, m.start() - 64), m.start())
-    return "@" if before and re.search("[0-9._]", before[0]) else m[0]
+    if before is None or ("\ue000" in m[1] and any(x.lower() in EVERYDAY for x in labels)):
+        return m[0]
+    if re.search("[0-9._+\ue000]", before[0]):
+        return "@"
+    if "\ue000" not in m[1] or before[0].lower() in EVERYDAY:
+        return m[0]
+    return "@" if _addressed(m.string, before.start(), m.end(2)) else m[0]
+
+
+def _addressed(text: str, start: int, end: int) -> bool:
+    """Whether a word from start on stands where an address does; end is that of what would be its domain."""
+    before = text[max(0, start - 96) : start]
+    if _MARK_BEFORE.search(before) or _MAIL_BEFORE.search(before):
+        return True
+    if before.strip(" \t") and not before.rstrip(" \t").endswith("\n"):
+        return False
+    return text[start].islower() or bool(re.match(r"[\x20\t]*(?:\n|$)", text[end : end + 8]))
 
 
 def deobfuscated(text: str) -> Tape:
@@ -181,6 +208,7 @@ def deobfuscated(text: str) -> Tape:
     tape.rewrite(_SPELLED, _spelled)
     tape.rewrite(_PLUS, lambda m: "+")
     tape.rewrite(_JOIN, lambda m: "_" if m[1].lower() == "underscore" else "-")
+    tape.rewrite(_WIDE, lambda m: "@" + m[1].replace(" ", ""))
     tape.rewrite(_DOT, lambda m: "\ue000")  # marks a disguised dot: a bare "at" counts only before one
     tape.rewrite(_AT, _at)
     tape.rewrite(re.compile("\ue000"), lambda m: ".")

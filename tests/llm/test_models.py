@@ -301,6 +301,50 @@ def test_recall_and_precision_of_disguises():
     assert caught >= 0.97 * 2000 and wrong == 0, (caught, wrong)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("john @ example . com", "email", "john @ example . com"), ("mail john \uff20 example \uff0e com please", "email", "john \uff20 example \uff0e com"), ("jane.doe @ my-site.co.uk ok", "email", "jane.doe @ my-site.co.uk"),
+        ("call plus four four oh two oh seven nine four six one two", "phone", "plus four four oh two oh seven nine four six one two"), ("please write to jane at example dot org", "email", "jane at example dot org"),
+        ("my email is bob at site dot net ok", "email", "bob at site dot net"), ("Contact: Jane at example dot org", "email", "Jane at example dot org"), ("so\nJane at example dot org\nor", "email", "Jane at example dot org"),
+    ],
+)
+def test_disguises_by_where_they_stand(text, kind, found):
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.all_spans(text, pii.base_spans(text))] == [(kind, found)]
+
+
+def sentence(r):
+    """A plain sentence that names a site in words."""
+    word = lambda: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), r.integers(3, 9)))
+    pick = lambda *x: x[r.integers(len(x))]
+    site = word() + " dot " + pick("com", "org", "co dot uk", "net", word())
+    verb = pick("shop", "look", "read", "work", "meet", "buy books", "watch films", "ask around", "order", word())
+    start = pick(
+        f"We {verb} at ", f"I read {pick('it', 'that', 'them', word())} at ", f"They like to {verb} at ", f"{verb.capitalize()} at ", f"follow {word()} at ", f"the {word()} is open at ", f"He told us to {verb} at ",
+        f"Our {word()} {word()} at ", f"prices {word()} at ", f"{word()} {word()} and {word()} at ",
+    )
+    return start + site + pick(" every week", ".", " for free", ", so they said", " " + word())
+
+
+def test_precision_and_recall_of_addresses_in_words():
+    """500 clean sentences with a bare "at" and "dot", 2000 disguises of the same form among others."""
+    r = np.random.default_rng(21)
+    wrong = [t for t in (sentence(r) for _ in range(500)) if pii.all_spans(t, pii.base_spans(t))]
+    word = lambda: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), r.integers(3, 9)))
+    caught = 0
+    for _ in range(2000):
+        if r.random() < 0.5:
+            text, kind, (a, b) = disguised(r)
+        else:
+            local = (word() + (word(), "." + word(), "_" + word(), str(r.integers(1, 99)))[r.integers(4)])
+            dot, at = (x[r.integers(len(x))] for x in ((" dot ", "[.]", " (dot) "), (" at ", " [at] ", "(at)")))
+            before = ("my email is ", "write to ", f"{word()} {word()}: ", "contact ", f"{word()}, ", f"{word()} {word()}\n", "reply to me by mail, ", "(")[r.integers(8)]
+            found = local + at + word() + dot + ("com", "org", "net", "xyz", word())[r.integers(5)]
+            text, kind, (a, b) = before + found + " " + word(), 0, (len(before), len(before) + len(found))
+        caught += any(k == kind and s < b and e > a for s, k, e in pii.all_spans(text, pii.base_spans(text)))
+    assert len(wrong) <= 0.05 * 500 and caught >= 0.95 * 2000, (len(wrong), wrong[:5], caught)
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "found"),
     [
