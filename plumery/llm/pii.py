@@ -291,3 +291,25 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2(F.col("base_spans").cast("binary"), 256)).select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_disguised"
     )
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many plain identifiers of each kind every document has."""
+    return find_pii(table(spark, sf_dir, "documents")).select("doc_id", *(f"n_{k}" for k in KINDS))
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+SQL = {
+    "pii_counts": rf"""
+WITH found AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email,
+         regexp_extract_all(coalesce(text, ''), '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+         regexp_extract_all(coalesce(text, ''), '[0-9]([\x20-]?[0-9])+') AS card, regexp_extract_all(coalesce(text, ''), '\+[0-9][\x20().0-9-]+[0-9]') AS phone
+  FROM documents)
+SELECT doc_id, len(email)::BIGINT AS n_email,
+       len(list_filter(ip, lambda m: list_max(list_transform(string_split(m, '.'), lambda p: CASE WHEN len(ltrim(p, '0')) > 3 THEN 256 ELSE coalesce(try_cast(nullif(ltrim(p, '0'), '') AS INTEGER), 0) END)) <= 255))::BIGINT AS n_ip,
+       len(list_filter(card, lambda m: len({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(regexp_extract_all(reverse({_DIGITS}), '[0-9]'), lambda d, i:
+           CASE WHEN i % 2 = 1 THEN d::INTEGER WHEN d::INTEGER > 4 THEN 2 * d::INTEGER - 9 ELSE 2 * d::INTEGER END)) % 10 = 0))::BIGINT AS n_card,
+       len(list_filter(phone, lambda m: len({_DIGITS}) BETWEEN 9 AND 15))::BIGINT AS n_phone
+FROM found"""
+}

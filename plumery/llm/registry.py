@@ -10,6 +10,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_sentencepiece": sentencepieces.op6_sentencepiece,
     "op7_pii": pii.op7_pii,
+    "pii_counts": pii.pii_counts,
     "op8_langid": langid.op8_langid,
     "op9_quality": quality.op9_quality,
     "op10_decontamination": decontam.op10_decontamination,
@@ -17,4 +18,4 @@ QUERIES = {
     "op12_merkle": merkle.op12_merkle,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
-ORACLES = {**line_dedup.SQL, **neighbours.SQL, **sharding.SQL, **decontam.SQL, **lexical.SQL, **merkle.SQL, **exact_dedup.SQL}
+ORACLES = {**line_dedup.SQL, **neighbours.SQL, **sharding.SQL, **decontam.SQL, **pii.SQL, **lexical.SQL, **merkle.SQL, **exact_dedup.SQL}
