@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 
 from plumery.llm.common import LOWER, UPPER, join_skewed, materialise, small_batches, table
 from plumery.llm.components import connected_components
-from plumery.operators.graph import cut
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 MAX_BITS = 4
@@ -436,14 +435,14 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     nodes = alike.groupBy("one", "two", "of").agg(F.min(F.struct("doc_id", "text_hash", "n_rows")).alias("lead"))
     nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "one", "two", "lead"))
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Sets are brought to their nodes once, and stay dealt out by node: each round's pairs come to them.
     where = nodes.select("node", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_hash").alias("text_hash"))
-    sets = prints.select("doc_id", "text_hash", "shingles").join(where, ["doc_id", "text_hash"]).select("node", "shingles")
-    sets = sets.repartition(n_parts, "node").groupBy("node").agg(F.first("shingles").alias("shingles")).transform(cut)
     trees, good = nodes.withColumn("tree", F.col("node")), None
     for nearest, prints_of in ((True, 1), (True, 2), (False, 1), (False, 2)):
         edges = materialise(candidate_edges(trees.repartition(n_parts, "node"), nearest, (prints_of,)))
-        found = similar_edges(edges, sets, similarity)
+        # Sets, which are the larger part of all, are kept for those nodes alone that a pair of the round has.
+        wanted = where.join(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "node")
+        sets = prints.select("doc_id", "text_hash", "shingles").join(wanted, ["doc_id", "text_hash"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
+        found = similar_edges(edges, materialise(sets), similarity)
         good = materialise(found if good is None else good.unionByName(found))
         roots = connected_components(good)
         trees = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("tree"), "one", "two", "lead")
