@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumery.functions import geo
+from plumery.operators import cover
 from plumery.operators.graph import cut, dense_numbers
 
 #: As few unsettled points as this are one tile, so that a task settles them all; a tile of a larger table has about as many.
@@ -206,14 +207,12 @@ def plumes_per_source(plumes: DataFrame, members: bool = False) -> DataFrame:
 def overflights(sources: DataFrame, lines: DataFrame, cell: float = 0.1) -> DataFrame:
     """(source_id, total_overflights, flight_runs): flight lines whose ring holds the source's place, boundary excluded.
 
-    lines has flight_run and ring (closed array of structs x = lon, y = lat). Rings are listed by the cells of their box, and
-    joined with the sources' cells. Only sources within some ring have a row.
+    lines has flight_run and ring (closed array of structs x = lon, y = lat), and may have holes, an array of rings; see
+    cover.points_in_rings(). Rows of a flight run are areas of their own. Only sources within some ring have a row.
     """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    span = lambda v: F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell))
-    tiles = lines.select("flight_run", "ring", F.explode(span(xs)).alias("cx"), ys.alias("ys")).select("flight_run", "ring", "cx", F.explode(span(F.col("ys"))).alias("cy"))
-    at = sources.where("lat is not null and lon is not null").select("source_id", "lat", "lon", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
-    inside = at.join(tiles, ["cx", "cy"]).where(geo.in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
+    rings = lines.withColumn("ring_id", F.monotonically_increasing_id()).transform(cut)
+    at = sources.select(F.col("source_id").alias("point_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    inside = cover.points_in_rings(at, rings, cell).join(rings.select("ring_id", "flight_run"), "ring_id").withColumnRenamed("point_id", "source_id")
     return inside.groupBy("source_id").agg(F.count(F.lit(1)).alias("total_overflights"), F.sort_array(F.collect_list("flight_run")).alias("flight_runs"))
 
 

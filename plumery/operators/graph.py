@@ -30,6 +30,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_dealt(df: DataFrame) -> DataFrame:
+    """cut(), after which Spark still knows how rows are dealt out and sorted, so that later joins and groups don't deal them anew.
+
+    Adaptive execution hides that of a plan, so it is off while this one is written.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return cut(df.select("*"))  # a plan of its own
+    finally:
+        conf.set(key, before)
+
+
 def _values(column: pa.Array) -> list:
     """Nodes as values that can be ordered: structs as tuples."""
     if pa.types.is_struct(column.type):

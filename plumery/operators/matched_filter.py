@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumery.operators.graph import cut
+from plumery.operators.graph import cut, cut_dealt
 
 #: Active channels, 1-based and inclusive, by what is sought.
 ACTIVE = {"ch4": (351, 422), "co2": (309, 391), "ch4_reflectance": (5, 420)}
@@ -176,7 +176,7 @@ class _Spread:
         self.keys = rows.groupBy("gid").agg(F.max("n").alias("n")).withColumn("parts", F.ceil(F.col("n") / held).cast("int")).transform(cut)
         self.most = self.keys.agg(F.max("parts")).first()[0]
         dealt = rows.select("gid", F.pmod(F.xxhash64(pixel), F.ceil(F.col("n") / held)).cast("int").alias("part"), pixel, "s")
-        self.rows, self.pixel = dealt.repartition(n_parts, "gid", "part").transform(cut), pixel
+        self.rows, self.pixel = dealt.repartition(n_parts, "gid", "part").transform(cut_dealt), pixel
 
     def start(self) -> DataFrame:
         """(gid, model): of each key the number of its spectra."""
@@ -259,7 +259,7 @@ def _spread_modes(spread: _Spread, models: DataFrame, k: int, dims: int, rounds:
 
     kind = spread.rows.schema[pixel].dataType.simpleString()
     n_parts = int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = spread.each(models, project, f"gid long, part int, {pixel} {kind}, p array<double>").repartition(n_parts, "gid", "part").transform(cut)
+    p = spread.each(models, project, f"gid long, part int, {pixel} {kind}, p array<double>").repartition(n_parts, "gid", "part").transform(cut_dealt)
     # Starts: the projections at k even ranks along the first component, found by range partitions and the counts before each.
     first = F.get("p", F.lit(0))
     ranged = p.select("gid", pixel, "p", first.alias("first")).repartitionByRange("gid", "first", pixel).withColumn("at", F.spark_partition_id()).transform(cut)

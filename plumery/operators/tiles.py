@@ -163,11 +163,35 @@ def local_maxima(pixels: DataFrame, shape: DataFrame, radius: int, value: str =
     return inside.join(low, "image_id").where("value > _low").select("image_id", "row", "col", "value")
 
 
+def bilinear_place(cells: DataFrame) -> DataFrame:
+    """cells with a and b, the place in the unit square of (qx, qy), counted from a cell's first corner; null where there is none.
+
+    A cell has lat, lon and, with _e, _s and _se, those of the next corner to the right, below and across. (qx, qy) = a e + b s +
+    a b d, with d the corner across less a parallelogram's. Crossing out a leaves a quadratic equation of b, whose root nearer to that of
+    the parallelogram is taken, or the other if only that is in the cell; both in the form that loses no digits.
+    """
+    edge = lambda c, n: F.col(f"{c}_{n}") - F.col(c)
+    v = {f"{k}{n}": edge(c, m) for k, m in (("e", "e"), ("s", "s")) for n, c in (("x", "lon"), ("y", "lat"))}
+    v |= {f"d{n}": F.col(f"{c}_se") - F.col(f"{c}_e") - F.col(f"{c}_s") + F.col(c) for n, c in (("x", "lon"), ("y", "lat"))}
+    out = cells.withColumns({f"_{n}": c for n, c in v.items()})
+    cross = lambda p, q: F.col(f"{p}x") * F.col(f"{q}y") - F.col(f"{p}y") * F.col(f"{q}x")
+    out = out.withColumns({"_2": -cross("_s", "_d"), "_1": cross("q", "_d") - cross("_s", "_e"), "_0": cross("q", "_e")})
+    under = F.col("_1") * F.col("_1") - 4 * F.col("_2") * F.col("_0")
+    out = out.withColumn("_t", -(F.col("_1") + F.when(F.col("_1") < 0, -1).otherwise(1) * F.sqrt(F.when(under >= 0, under))) / 2)
+    near, far = F.col("_0") / F.nullif(F.col("_t"), F.lit(0.0)), F.col("_t") / F.nullif(F.col("_2"), F.lit(0.0))
+    out = out.withColumn("b", F.when(near.between(-1e-9, 1 + 1e-9), near).otherwise(F.coalesce(far, near)))
+    den = {n: F.col(f"_e{n}") + F.col("b") * F.col(f"_d{n}") for n in "xy"}
+    own = {n: (F.col(f"q{n}") - F.col("b") * F.col(f"_s{n}")) / F.nullif(den[n], F.lit(0.0)) for n in "xy"}
+    return out.withColumn("a", F.when(F.abs(den["x"]) >= F.abs(den["y"]), own["x"]).otherwise(own["y"])).drop(*(f"_{n}" for n in (*v, "2", "1", "0", "t")))
+
+
 def regrid(pixels: DataFrame, value: str, step: float = 0.025, fill: float = -9999.9) -> DataFrame:
     """(image_id, lat, lon, value) on a regular grid, between the four pixels around each grid point.
 
-    pixels has image_id, row, col, lat and lon. Each cell of four pixels is taken as a parallelogram; the grid covers all
-    pixels, rounded to the step, and points in no cell, or beside a pixel without data, get ``fill``.
+    pixels has image_id, row, col, lat and lon. Within a cell of four pixels, whatever its shape, the bilinear map from the unit
+    square to the cell is inverted, and the value is bilinear there. The grid covers all pixels, rounded to the step, and points
+    in no cell, or beside a pixel without data, get ``fill``. Cells meet grid points by the rows and columns of the grid that they
+    span; a point on a side of two cells takes the first one's value.
     """
     right = Window.partitionBy("image_id", "row").orderBy("col")
     p = pixels.select("image_id", "row", "col", "lat", "lon", F.col(value).alias("v"))
@@ -178,10 +202,8 @@ def regrid(pixels: DataFrame, value: str, step: float = 0.025, fill: float = -99
     lat, lon = ([F.col(x), F.col(f"{x}_e"), F.col(f"{x}_s"), F.col(f"{x}_se")] for x in ("lat", "lon"))
     span = lambda c: F.sequence(F.ceil(F.least(*c) / step), F.greatest(F.floor(F.greatest(*c) / step), F.ceil(F.least(*c) / step)))
     at = q.select("*", F.explode(span(lat)).alias("gy")).select("*", F.explode(span(lon)).alias("gx"))
-    dy, dx = F.col("gy") * step - F.col("lat"), F.col("gx") * step - F.col("lon")
-    ay, ax, by, bx = F.col("lat_e") - F.col("lat"), F.col("lon_e") - F.col("lon"), F.col("lat_s") - F.col("lat"), F.col("lon_s") - F.col("lon")
-    det = F.nullif(ax * by - ay * bx, F.lit(0.0))
-    at = at.withColumns({"a": (dx * by - dy * bx) / det, "b": (dy * ax - dx * ay) / det}).where("a between -1e-9 and 1 + 1e-9 and b between -1e-9 and 1 + 1e-9")
+    at = bilinear_place(at.withColumns({"qx": F.col("gx") * step - F.col("lon"), "qy": F.col("gy") * step - F.col("lat")}))
+    at = at.where("a between -1e-9 and 1 + 1e-9 and b between -1e-9 and 1 + 1e-9")
     a, b = F.col("a"), F.col("b")
     mixed = F.col("v") * (1 - a) * (1 - b) + F.col("v_e") * a * (1 - b) + F.col("v_s") * (1 - a) * b + F.col("v_se") * a * b
     found = at.groupBy("image_id", "gy", "gx").agg(F.min_by(mixed, F.struct("row", "col")).alias("value"))

@@ -18,8 +18,10 @@ def known_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def facility_hulls(spark: SparkSession, d: str) -> DataFrame:
-    p = V.plumes(spark, d).where("lat is not null").select(F.col("facility").alias("key"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return overlap.convex_hulls(p).select("key", F.size("hull").alias("corners"))
+    """The corners of each facility's hull, counter-clockwise from the west, in whole steps of 0.0005 degrees."""
+    step = lambda c, low: F.rint((F.col(c) - low) * 2000)
+    p = V.plumes(spark, d).where("lat is not null").select(F.col("facility").alias("key"), step("lon", -119).alias("x"), step("lat", 34).alias("y"))
+    return overlap.convex_hulls(p).select("key", F.posexplode("hull").alias("n", "p")).select("key", "n", F.col("p.x").cast("long").alias("x"), F.col("p.y").cast("long").alias("y"))
 
 
 def points_in_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -109,6 +111,18 @@ QUERIES = {
 }
 
 ORACLES = {
+    "facility_hulls": with_views("plumes", """,
+pts AS (SELECT DISTINCT facility AS key, round((lon + 119) * 2000)::BIGINT AS x, round((lat - 34) * 2000)::BIGINT AS y FROM plumes WHERE lat IS NOT NULL),
+ends AS MATERIALIZED (SELECT key, x, unnest([min(y), max(y)]) AS y FROM pts GROUP BY key, x),
+e AS MATERIALIZED (SELECT DISTINCT * FROM ends),
+side AS (SELECT p.key, p.x, p.y, q.x AS qx, q.y AS qy FROM e p JOIN e q ON p.key = q.key AND (p.x, p.y) <> (q.x, q.y)
+  WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.key = p.key AND (
+    (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0
+    OR ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) = 0 AND ((r.x - p.x) * (q.x - p.x) + (r.y - p.y) * (q.y - p.y) < 0 OR (r.x - p.x) ** 2 + (r.y - p.y) ** 2 > (q.x - p.x) ** 2 + (q.y - p.y) ** 2))))),
+m AS (SELECT key, avg(x) AS mx, avg(y) AS my FROM side GROUP BY key),
+w AS (SELECT key, arg_min({'x': x, 'y': y}, (x, y)) AS s FROM side GROUP BY key),
+turned AS (SELECT key, x, y, atan2(y - my, x - mx) AS a, atan2(s.y - my, s.x - mx) AS a0 FROM side JOIN m USING (key) JOIN w USING (key))
+SELECT key, (row_number() OVER (PARTITION BY key ORDER BY CASE WHEN a >= a0 THEN a ELSE a + 2 * pi() END) - 1)::INTEGER AS n, x, y FROM turned"""),
     "images_in_lines": with_views("plumes", " SELECT row_id, lid || '_ch4mf_v2y1_img' AS name FROM plumes WHERE lid IN (SELECT lid FROM plumes WHERE facility = 'F1' AND row_id % 3 = 0)"),
     "known_candidates": with_views("qc_cid", """, a AS (SELECT row_id, label, (row_id % 97) * 0.37::DOUBLE AS x, (row_id % 29) * 0.41::DOUBLE AS y FROM qc_cid)
 SELECT row_id, label FROM a WHERE row_id % 2 = 1 AND EXISTS (SELECT 1 FROM a b WHERE b.row_id % 2 = 0 AND b.label = a.label AND abs(b.x - a.x) < 0.5 AND abs(b.y - a.y) < 0.5)"""),

@@ -142,8 +142,12 @@ q AS (SELECT a.*, e.lat AS lat_e, e.lon AS lon_e, e.v AS v_e, s.lat AS lat_s, s.
 b AS (SELECT *, ceil(least(lat, lat_e, lat_s, lat_t) / 0.1::DOUBLE) AS y0, floor(greatest(lat, lat_e, lat_s, lat_t) / 0.1::DOUBLE) AS y1, ceil(least(lon, lon_e, lon_s, lon_t) / 0.1::DOUBLE) AS x0,
   floor(greatest(lon, lon_e, lon_s, lon_t) / 0.1::DOUBLE) AS x1 FROM q),
 ats AS (SELECT b.*, y.g AS gy, x.g AS gx FROM b, LATERAL (SELECT unnest(range(y0::BIGINT, greatest(y0, y1)::BIGINT + 1)) AS g) y, LATERAL (SELECT unnest(range(x0::BIGINT, greatest(x0, x1)::BIGINT + 1)) AS g) x),
-d AS (SELECT *, gy * 0.1::DOUBLE - lat AS dy, gx * 0.1::DOUBLE - lon AS dx, lat_e - lat AS ay, lon_e - lon AS ax, lat_s - lat AS cy, lon_s - lon AS cx FROM ats),
-f AS (SELECT *, (dx * cy - dy * cx) / (ax * cy - ay * cx) AS a, (dy * ax - dx * ay) / (ax * cy - ay * cx) AS b FROM d WHERE ax * cy - ay * cx <> 0),
+d AS (SELECT *, gy * 0.1::DOUBLE - lat AS qy, gx * 0.1::DOUBLE - lon AS qx, lat_e - lat AS ey, lon_e - lon AS ex, lat_s - lat AS sy, lon_s - lon AS sx,
+  lat_t - lat_e - lat_s + lat AS dy, lon_t - lon_e - lon_s + lon AS dx FROM ats),
+k AS (SELECT *, sy * dx - sx * dy AS k2, qx * dy - qy * dx - sx * ey + sy * ex AS k1, qx * ey - qy * ex AS k0 FROM d),
+t AS (SELECT *, -(k1 + CASE WHEN k1 < 0 THEN -1 ELSE 1 END * sqrt(k1 * k1 - 4 * k2 * k0)) / 2 AS t FROM k WHERE k1 * k1 - 4 * k2 * k0 >= 0),
+r AS (SELECT *, CASE WHEN k0 / nullif(t, 0) BETWEEN -1e-9 AND 1 + 1e-9 OR k2 = 0 THEN k0 / nullif(t, 0) ELSE t / k2 END AS b FROM t),
+f AS (SELECT *, CASE WHEN abs(ex + b * dx) >= abs(ey + b * dy) THEN (qx - b * sx) / nullif(ex + b * dx, 0) ELSE (qy - b * sy) / nullif(ey + b * dy, 0) END AS a FROM r),
 found AS (SELECT image_id, gy, gx, arg_min(v * (1 - a) * (1 - b) + v_e * a * (1 - b) + v_s * (1 - a) * b + v_t * a * b, row * 100 + col) AS value FROM f WHERE a BETWEEN -1e-9 AND 1 + 1e-9 AND b BETWEEN -1e-9 AND 1 + 1e-9 GROUP BY ALL),
 ends AS (SELECT image_id, round_even(min(lat) / 0.1::DOUBLE, 0)::BIGINT AS y0, round_even(max(lat) / 0.1::DOUBLE, 0)::BIGINT AS y1, round_even(min(lon) / 0.1::DOUBLE, 0)::BIGINT AS x0, round_even(max(lon) / 0.1::DOUBLE, 0)::BIGINT AS x1 FROM p GROUP BY ALL),
 grid AS (SELECT image_id, y.g AS gy, x.g AS gx FROM ends, LATERAL (SELECT unnest(range(y0, y1 + 1)) AS g) y, LATERAL (SELECT unnest(range(x0, x1 + 1)) AS g) x)"""],

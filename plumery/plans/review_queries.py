@@ -123,7 +123,8 @@ def flux_solution(spark: SparkSession, d: str) -> DataFrame:
     mean, _ = inversion.posterior(obs)
     lats, lons = [34 + 0.1 * k for k in range(8)], [-119 + 0.1 * k for k in range(8)]
     a = inversion.on_grid(spark, inversion.solve_fluxes(obs), lats, lons).withColumnRenamed("value", "flux")
-    return a.join(inversion.on_grid(spark, mean, lats, lons).withColumnRenamed("value", "posterior"), ["lat", "lon"])
+    both = a.join(inversion.on_grid(spark, mean, lats, lons).withColumnRenamed("value", "posterior"), ["lat", "lon"])
+    return _round(both, "lat", "lon", "flux", "posterior", n=5)
 
 
 def pr_curve(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +197,26 @@ c AS (SELECT threshold, (sum(p) OVER o)::BIGINT AS tp, (sum(n) OVER o)::BIGINT A
 f AS (SELECT threshold, tp, fp, tp / (tp + fp) AS precision, tp / t AS recall FROM c),
 pr AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) END AS f1 FROM f)"""
 
+def _eliminated(name: str) -> str:
+    """Common tables {name}_m and {name}: the solution x by i of the equations {name}_e(i, j, v) and right sides {name}_r(i, v), by elimination."""
+    return f"""
+{name}_m AS (SELECT list(r ORDER BY i) AS m, count(*) AS n FROM (SELECT i, list(v ORDER BY j) AS r FROM (SELECT i, j, v FROM {name}_e UNION ALL SELECT i, 1000000, v FROM {name}_r) GROUP BY i)),
+{name}_s(k, m, n) AS (
+  SELECT 1, m, n FROM {name}_m
+  UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN p ELSE list_transform(r, lambda x, j: x - r[k] * p[j]) END), n
+  FROM (SELECT k, m, n, list_transform(m[k], lambda x: x / m[k][k]) AS p FROM {name}_s WHERE k <= n)),
+{name} AS (SELECT unnest(range(1, n + 1)) AS i, unnest(list_transform(m, lambda r: r[-1])) AS x FROM {name}_s WHERE k = n + 1)"""
+
+
 ORACLES = {
+    "flux_solution": with_views("inv_obs", f""",
+u AS (SELECT obs_id, unnest(range(1, len(h) + 1)) AS i, unnest(h)::DOUBLE AS h, xch4 - 1860 AS y, xch4 - 1859.5 AS z FROM inv_obs),
+sums AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.h * b.h) AS v, sum(a.h * b.h / pow(0.1 * a.z, 2)) AS vw FROM u a JOIN u b USING (obs_id) GROUP BY ALL),
+sides AS MATERIALIZED (SELECT i, sum(h * y) AS v, sum(h * z / pow(0.1 * z, 2)) AS vw FROM u GROUP BY i),
+flat_e AS (SELECT i, j, v FROM sums), flat_r AS (SELECT i, v FROM sides),
+post_e AS (SELECT i, j, vw + CASE WHEN i = j THEN 0.04 ELSE 0 END AS v FROM sums),
+post_r AS (SELECT i, s.vw - 10 * t.v AS v FROM sides s JOIN (SELECT i, sum(vw) AS v FROM sums GROUP BY i) t USING (i)),{_eliminated("flat")},{_eliminated("post")}
+SELECT round(34 + 0.1::DOUBLE * ((i - 1) // 8), 5) AS lat, round(-119 + 0.1::DOUBLE * ((i - 1) % 8), 5) AS lon, round(flat.x, 5) AS flux, round(10 + post.x, 5) AS posterior FROM flat JOIN post USING (i)""").replace("WITH ", "WITH RECURSIVE ", 1),
     "column_profile": with_views("col_pixels", """ SELECT image_id, col, count(*) AS npix, round(avg(cmf), 10) AS avg, round(stddev_pop(cmf), 10) AS std, round(min(cmf), 10) AS min, round(max(cmf), 10) AS max FROM col_pixels WHERE cmf > 0 GROUP BY ALL"""),
     "column_profile_robust": with_views("col_pixels", _ROBUST + """
 SELECT image_id, col, npix, round(any_value(med), 6) AS med, round(median(abs(v - med)), 6) AS mad, round(any_value(p05), 6) AS p05, round(any_value(p95), 6) AS p95 FROM good JOIN m USING (image_id, col) GROUP BY image_id, col, npix"""),

@@ -132,11 +132,12 @@ def two_sheets(automatic: DataFrame, manual: DataFrame, truncated: bool = False,
 
 
 def footprints(lines: DataFrame) -> DataFrame:
-    """(flight_run, ring): from a name's first word where there is no Flight_Run, and from WKT polygons' outer ring."""
+    """(flight_run, ring, holes): from a name's first word where there is no Flight_Run; of WKT polygons, the outer ring and the others."""
     run = F.col("Flight_Run") if "Flight_Run" in lines.columns else F.split_part("Name", F.lit(" "), F.lit(1))
-    points = F.split(F.regexp_extract("wkt", r"\(\(([^)]*)\)", 1), r"\s*,\s*")
-    ring = F.transform(points, lambda p: F.struct(F.get(F.split(p, r"\s+"), F.lit(0)).cast("double").alias("x"), F.get(F.split(p, r"\s+"), F.lit(1)).cast("double").alias("y")))
-    return lines.select(run.alias("flight_run"), ring.alias("ring"))
+    number = lambda p, k: F.get(F.split(F.trim(p), r"\s+"), F.lit(k)).cast("double")
+    ring = lambda text: F.transform(F.split(text, ","), lambda p: F.struct(number(p, 0).alias("x"), number(p, 1).alias("y")))
+    rings = lines.select(run.alias("flight_run"), F.transform(F.regexp_extract_all("wkt", F.lit(r"\(([^()]*)\)"), 1), ring).alias("rings"))
+    return rings.select("flight_run", F.get("rings", F.lit(0)).alias("ring"), F.slice("rings", 2, F.greatest(F.size("rings") - 1, F.lit(0))).alias("holes"))
 
 
 def submissions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

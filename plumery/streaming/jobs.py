@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from plumery.functions import geo, names
 from plumery.operators import clustering, wind
 from plumery.operators.graph import cut
+from plumery.streaming.versions import Versions
 
 
 def plume_stream(spark: SparkSession, path: str, schema: str, pattern: str = "*.csv") -> DataFrame:
@@ -25,27 +26,41 @@ def run_available(df: DataFrame, checkpoint: str, per_batch) -> StreamingQuery:
     return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(per_batch).trigger(availableNow=True).start()
 
 
-def upsert_enriched(plumes: DataFrame, wind_table: DataFrame, out: str, checkpoint: str, k: int = 10) -> StreamingQuery:
+def upsert_enriched(plumes: DataFrame, wind_table: DataFrame, out: str, checkpoint: str, k: int = 10, keep: int = 2) -> StreamingQuery:
     """Add wind and emission to arriving plumes and put them into the list at ``out``, which is kept by date and in order of
-    candidate_id inside: a plume that is there already is replaced. Only the dates that a batch has are read and written, and
-    a batch that is run again leaves the same list. Of several rows of a candidate in one batch, one stays.
+    candidate_id inside: a plume that is there already is replaced. Only the dates that a batch has are read and written.
+
+    Each batch is a version of the list, see versions.Versions: a reader, by enriched_list(), sees the list before or after a batch,
+    and a batch that is run again changes nothing. Of several rows of a candidate in one batch, one stays. The last ``keep``
+    versions are kept.
     """
 
     def batch(df: DataFrame, n: int) -> None:
-        spark = df.sparkSession
+        versions = Versions(df.sparkSession, out)
+        old = versions.current()
+        if old["batches"].get(checkpoint, -1) >= n:
+            return
         timed = df.withColumn("acq_time", names.candidate_time(F.col("candidate_id")))
         done = wind.emissions(timed, wind.wind_statistics(wind.wind_of_plumes(timed, wind_table, k)))
         new = done.withColumn("date", F.coalesce(F.to_date("acq_time").cast("string"), F.lit("none"))).dropDuplicates(["candidate_id"]).transform(cut)
         dates = [r.date for r in new.select("date").distinct().collect()]
-        path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            old = spark.read.schema(new.schema).parquet(out).where(F.col("date").isin(dates))
-            new = new.unionByName(old.join(new.select("candidate_id"), "candidate_id", "left_anti")).transform(cut)
-        new.repartition("date").sortWithinPartitions("date", "candidate_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(out)
+        rows = old["rows"] or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema.fields)
+        there = versions.read(rows, dates, old).join(new.select("candidate_id"), "candidate_id", "left_anti")
+        path = versions.folder()
+        both = new.unionByName(there).withColumn("_date", F.col("date"))
+        both.repartition("_date").sortWithinPartitions("_date", "candidate_id").write.partitionBy("_date").parquet(path)
+        parts = old["parts"] | {d: f"{path}/_date={d}" for d in dates}
+        versions.switch(old | {"parts": parts, "batches": old["batches"] | {checkpoint: n}, "rows": rows})
+        versions.expire(keep)
 
     return run_available(plumes, checkpoint, batch)
 
 
+def enriched_list(spark: SparkSession, out: str) -> DataFrame:
+    """The list that upsert_enriched() keeps, as it was after its last whole batch."""
+    return Versions(spark, out).read()
+
+
 #: Sides of the squares (km) by which sources are kept, and how far beyond its own square (in radii) a key follows plumes.
 SQUARE_KM, FOLLOWED = 100, 40
 
@@ -136,15 +151,45 @@ def assign_sources(plumes: DataFrame, out: str, checkpoint: str, radius: float =
     return rows.writeStream.option("checkpointLocation", checkpoint).format("parquet").outputMode("append").trigger(availableNow=True).start(out)
 
 
-def completeness(arrived: DataFrame, expected: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """After each batch of arrived (path, status), the expected paths that are still missing or failed, below ``missing/batch=n``.
+#: So many batches' arrivals are kept beside the missing paths before they are taken out of them.
+COMPACTED = 20
+
+
+def completeness(arrived: DataFrame, expected: DataFrame, out: str, checkpoint: str, keep: int = 2) -> StreamingQuery:
+    """Keep account of which expected paths haven't arrived well, as arrived (path, status) comes in; missing_paths() reads it.
 
-    A batch starts from what the one before it left, so what has arrived earlier isn't read again.
+    A batch writes what has arrived well in it, nothing else; after COMPACTED batches these are taken out of the missing paths once.
+    Each batch is a version, see versions.Versions, and one that is run again changes nothing.
     """
 
     def batch(df: DataFrame, n: int) -> None:
-        fine = df.where("status = 'ok'").select("path").distinct()
-        left = df.sparkSession.read.schema("path string").parquet(f"{out}/missing/batch={n - 1}") if n else expected.select("path")
-        left.join(fine, "path", "left_anti").write.mode("overwrite").parquet(f"{out}/missing/batch={n}")
+        versions = Versions(df.sparkSession, out)
+        old = versions.current()
+        if old["batches"].get(checkpoint, -1) >= n:
+            return
+        parts = dict(old["parts"])
+        if not old["version"]:
+            parts["expected"] = versions.folder()
+            expected.select("path").distinct().write.parquet(parts["expected"])
+        parts[f"fine {n:012d}"] = versions.folder()
+        df.where("status = 'ok'").select("path").distinct().write.parquet(parts[f"fine {n:012d}"])
+        if len(parts) > COMPACTED:
+            left = versions.folder()
+            _missing(versions, old | {"parts": parts}).write.parquet(left)
+            parts = {"expected": left}
+        versions.switch(old | {"parts": parts, "batches": old["batches"] | {checkpoint: n}, "rows": "path string"})
+        versions.expire(keep)
 
     return run_available(arrived, checkpoint, batch)
+
+
+def _missing(versions: Versions, manifest: dict) -> DataFrame:
+    fine = [k for k in manifest["parts"] if k != "expected"]
+    left = versions.read("path string", ["expected"], manifest)
+    return left.join(versions.read("path string", fine, manifest), "path", "left_anti") if fine else left
+
+
+def missing_paths(spark: SparkSession, out: str) -> DataFrame:
+    """(path) of what is missing or failed after the last whole batch of completeness()."""
+    versions = Versions(spark, out)
+    return _missing(versions, versions.current())

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumery.functions import geo, names, physics
-from plumery.operators import clustering, evaluation, graph, overlap, pixels, qc, regions, selection, tiles, triage, wind
+from plumery.operators import clustering, cover, evaluation, graph, overlap, pixels, qc, regions, selection, tiles, triage, wind
 from plumery.sources import lists, rasters
 
 
@@ -211,3 +211,107 @@ def test_order_statistics_of_large_groups(spark, monkeypatch, sorted_at_once):
     pixels = finite.select("image_id", F.lit(1).alias("region_id"), (F.monotonically_increasing_id() % 1000).alias("row"), "col", "cmf").where("cmf is not null")
     whole, parts = ({x.image_id: x.asDict() for x in regions.region_statistics(pixels, held=h).collect()} for h in (10_000, 50))
     assert whole.keys() == parts.keys() and all(same(parts[k][c], whole[k][c]) for k in whole for c in ("n", "med", "mad", "vmax", "total"))
+
+
+def even_odd(x, y, rings):
+    """Crossings of a ray to the right of each place, for closed rings of numpy corners."""
+    inside = np.zeros(len(x), bool)
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+            hit = (y1 > y) != (y2 > y)
+            if y1 != y2:
+                inside ^= hit & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+    return inside
+
+
+@pytest.mark.parametrize("cell", [0.03, 0.4, 50.0])
+def test_points_in_rings(spark, cell):
+    """Stars, boxes on cell borders, holes, an island beside, one ring twice: as by all edges, for any cell."""
+    r = np.random.default_rng(12)
+    rings = {}
+    for k in range(6):
+        angle = np.sort(r.uniform(0, 2 * np.pi, 40))
+        star = np.stack([np.cos(angle), np.sin(angle)], 1) * r.uniform(0.5, 3, (40, 1)) + r.uniform(-3, 3, 2)
+        rings[k] = [np.vstack([star, star[:1]])]
+    box = lambda a, b, c, d: np.array([(a, b), (c, b), (c, d), (a, d), (a, b)], float)
+    rings[6] = [box(-2, -2, 2, 2), box(-1, -1, 1, 1), box(1.2, 1.2, 1.6, 1.6)]
+    rings[7] = [box(-4, -4, -3.2, 4), box(3.2, -4, 4, 4)]
+    rings[8] = rings[0]
+    corners = lambda ring: [(float(a), float(b)) for a, b in ring]
+    point = "struct<x: double, y: double>"
+    lines = spark.createDataFrame([(k, corners(v[0]), [corners(h) for h in v[1:]] or None) for k, v in rings.items()] + [(9, [], None), (10, None, None)], f"ring_id long, ring array<{point}>, holes array<array<{point}>>")
+    at = np.round(r.uniform(-4.5, 4.5, (700, 2)), 2)
+    points = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(at)] + [(700, None, 1.0)], "point_id long, x double, y double")
+    got = sorted((x.point_id, x.ring_id) for x in cover.points_in_rings(points, lines, cell).collect())
+    edge = {6: lambda x, y: np.isin(np.maximum(abs(x), abs(y)), [1, 2]) | ((x >= 1.2) & (x <= 1.6) & (y >= 1.2) & (y <= 1.6) & (np.isin(x, [1.2, 1.6]) | np.isin(y, [1.2, 1.6])))}
+    edge[7] = lambda x, y: (np.isin(abs(x), [3.2, 4]) & (abs(y) <= 4)) | ((abs(y) == 4) & (abs(x) >= 3.2) & (abs(x) <= 4))
+    want = set()
+    for k, own in rings.items():
+        inside = even_odd(at[:, 0], at[:, 1], own)
+        if k in edge:
+            inside &= ~edge[k](at[:, 0], at[:, 1])
+        want |= {(int(n), k) for n in np.flatnonzero(inside)}
+    assert got == sorted(want)
+
+
+def test_a_large_ring_over_many_cells(spark):
+    """100,000 corners over a million cells: what is kept grows with the border, not with the cells inside."""
+    n = 100_000
+    angle = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    radius = 480 + 10 * np.sin(37 * angle) + 3 * np.sin(1001 * angle)
+    ring = np.stack([500 + radius * np.cos(angle), 500 + radius * np.sin(angle)], 1)
+    ring = np.vstack([ring, ring[:1]])
+    lines = spark.createDataFrame([(1, ring.tolist())], "ring_id long, c array<array<double>>").select("ring_id", F.transform("c", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring"))
+    bands = cover.banded_edges(lines, 1.0).cache()
+    borders = cover.border_cells(bands, 1.0).cache()
+    inner = cover.inner_intervals(borders)
+    assert bands.count() < 2.5 * n and inner.count() < 12_000  # of some 720,000 cells inside
+    at = np.random.default_rng(1).uniform(0, 1000, (3000, 2))
+    d, a = np.hypot(at[:, 0] - 500, at[:, 1] - 500), np.arctan2(at[:, 1] - 500, at[:, 0] - 500) % (2 * np.pi)
+    edge = 480 + 10 * np.sin(37 * a) + 3 * np.sin(1001 * a)
+    sure = abs(d - edge) > 0.05
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(at)], "point_id long, x double, y double")
+    got = {x.point_id for x in cover.points_in_rings(points, lines, 1.0).collect()}
+    assert all((k in got) == (d[k] < edge[k]) for k in np.flatnonzero(sure))
+
+
+@pytest.mark.parametrize("bend", [0.0, 0.3])
+def test_regrid_of_a_turned_and_bent_grid(spark, bend):
+    """Cells of any shape: linear fields come out exactly, others as by a numeric inverse of each cell's map; the rest is filled."""
+    r = np.random.default_rng(3)
+    n, m = 9, 8
+    i, j = np.indices((n, m))
+    turn = np.radians(25)
+    u, w = j + bend * r.uniform(-1, 1, (n, m)) * 0.6, i + 0.4 * j + bend * r.uniform(-1, 1, (n, m)) * 0.6
+    lon, lat = 10 + 0.1 * (np.cos(turn) * u - np.sin(turn) * w), 50 + 0.1 * (np.sin(turn) * u + np.cos(turn) * w)
+    noise = r.uniform(0, 1, (n, m))
+    rows = [("linear", int(a), int(b), float(lat[a, b]), float(lon[a, b]), float(3 * lon[a, b] - 2 * lat[a, b])) for a in range(n) for b in range(m)]
+    rows += [("noise", int(a), int(b), float(lat[a, b]), float(lon[a, b]), float(noise[a, b])) for a in range(n) for b in range(m)]
+    df = spark.createDataFrame(rows, "image_id string, row int, col int, lat double, lon double, v double").repartition(3)
+    got = {}
+    for x in tiles.regrid(df, "v", 0.025).collect():
+        got.setdefault(x.image_id, {})[round(x.lat / 0.025), round(x.lon / 0.025)] = x.value
+    inside = 0
+    for (gy, gx), value in got["linear"].items():
+        q = np.array([gx * 0.025, gy * 0.025])
+        found = None
+        for a in range(n - 1):
+            for b in range(m - 1):
+                p = [np.array([lon[a + k, b + l], lat[a + k, b + l]]) for k in (0, 1) for l in (0, 1)]
+                if found is None and (np.min(p, 0) <= q).all() and (q <= np.max(p, 0)).all():
+                    s = np.array([0.5, 0.5])
+                    for _ in range(60):  # Newton steps
+                        here = p[0] * (1 - s[0]) * (1 - s[1]) + p[1] * s[0] * (1 - s[1]) + p[2] * (1 - s[0]) * s[1] + p[3] * s[0] * s[1]
+                        slope = np.stack([(p[1] - p[0]) * (1 - s[1]) + (p[3] - p[2]) * s[1], (p[2] - p[0]) * (1 - s[0]) + (p[3] - p[1]) * s[0]], 1)
+                        s = np.clip(s - np.linalg.solve(slope, here - q), -2, 3)
+                    if (s > -1e-10).all() and (s < 1 + 1e-10).all():
+                        found = (a, b, s)
+        if found is None:
+            assert value == -9999.9 and got["noise"][gy, gx] == -9999.9
+            continue
+        inside += 1
+        a, b, s = found
+        v = [noise[a, b], noise[a, b + 1], noise[a + 1, b], noise[a + 1, b + 1]]
+        assert abs(value - (3 * q[0] - 2 * q[1])) < 1e-9
+        assert abs(got["noise"][gy, gx] - (v[0] * (1 - s[0]) * (1 - s[1]) + v[1] * s[0] * (1 - s[1]) + v[2] * (1 - s[0]) * s[1] + v[3] * s[0] * s[1])) < 1e-8
+    assert inside > 500

@@ -352,6 +352,65 @@ def test_shrinkage_matches_the_long_way():
     assert a == best[1] and np.allclose(c, ((1 - a) * s + a * t) / 1e4)
 
 
+def test_registered_overlap_filter_by_hand(spark, small):
+    """All rows of the registered query, every overlap of a group worked out anew after each drop."""
+    from plumery import plans
+    from plumery.plans import plume_queries
+
+    rows = plume_queries._grouped(spark, small)
+    seen, groups = set(), {}
+    at = rows.where("lat is not null").select("group_id", "row_id", "flux_a", "flux_b", geo.albers(F.col("lat"), F.col("lon")).alias("p"))
+    null = {r.row_id for r in rows.where("lat is null").collect()}
+    flux = {r.row_id: (r.flux_a, r.flux_b) for r in rows.collect()}
+    first = set()
+    for row in sorted(flux):
+        if max(flux[row]) > 1 and flux[row] not in seen:
+            seen.add(flux[row])
+            first.add(row)
+    for r in at.orderBy("row_id").collect():
+        if r.row_id in first and r.row_id not in null:
+            groups.setdefault(r.group_id, []).append((r.row_id, r.p.x, r.p.y, r.flux_a, r.flux_b))
+    want = set()
+    for own in groups.values():
+        while len(own) > 1:
+            v = []
+            for row, x, y, _, _ in own:
+                met = [d for other, a, b, _, _ in own if other != row and (d := math.hypot(x - a, y - b)) <= 300]
+                v.append(round((2 * 150**2 * math.acos(met[0] / 300) - met[0] / 2 * math.sqrt(4 * 150**2 - met[0] ** 2)) / (math.pi * 150**2), 9) if met else 0.0)
+            over = [k for k, o in enumerate(v) if o > 0.3]
+            if not over:
+                break
+            least, most = [min(o[3:]) for o in own], [max(o[3:]) for o in own]
+            if len(over) > 2:
+                gone = {v.index(max(v))}
+            elif len(set(v)) < len(v):
+                low = {min(least[k], least[v.index(o)]) for k, o in enumerate(v) if v.index(o) < k}
+                gone = {k for k, o in enumerate(least) if o in low}
+            else:
+                gone = {k for k, o in enumerate(most) if o == min(most)}
+            own = [o for k, o in enumerate(own) if k not in gone]
+        want |= {o[0] for o in own}
+    assert {r.row_id for r in plans.QUERIES["overlap_filter"](spark, small).collect()} == want
+
+
+def test_registered_tile_samples(spark, small):
+    """As many as there are cells, up to the wanted number of each class; one of a cell at most, around a pixel of its class; the same again."""
+    from plumery import plans
+    from plumery.plans import views
+
+    pixels = views.grid_pixels(spark, small).withColumn("label", F.when(F.col("cmf") > 3500, 1).when(F.col("cmf") > 0, 0).otherwise(-1)).collect()
+    labels = {(p.image_id, p.row, p["col"]): p.label for p in pixels}
+    cells = {}
+    for (i, r, c), label in labels.items():
+        cells.setdefault(label, set()).add((i, r // 16, c // 16))
+    got = [tuple(x) for x in plans.QUERIES["tile_samples"](spark, small).collect()]
+    for label, most in {1: 500, 0: 500, -1: 100}.items():
+        own = [(i, (r + 8) // 16, (c + 8) // 16) for i, k, r, c in got if k == label]
+        assert len(own) == len(set(own)) == min(most, len(cells[label])) and set(own) <= cells[label]
+    assert all(labels[i, r + 8, c + 8] == k for i, k, r, c in got)
+    assert sorted(got) == sorted(tuple(x) for x in plans.QUERIES["tile_samples"](spark, small).collect())
+
+
 @pytest.mark.parametrize("rule", ["first", "largest"])
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_overlaps_of_large_groups_over_tasks(spark, rule, seed):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumery.functions import geo
 from plumery.operators import clustering
 from plumery.sources import lists, rasters
-from plumery.streaming import jobs
+from plumery.streaming import jobs, versions
 
 HEAD = "Candidate ID, Line name, Plume Latitude (deg), Plume Longitude (deg), Minimum Threshold (ppmm), extra"
 
@@ -49,7 +49,10 @@ def test_sheets_and_footprints(spark):
     rows = {r.cid: r.label for r in lists.two_sheets(auto, manual, truncated=True, dedup=["cid"]).collect()}
     assert rows == {"A": "Plume", "B": "False Enhancement", "C": "Plume"}
     f = lists.footprints(spark.createDataFrame([("run1 x", "POLYGON ((0 0, 1 0, 1 1, 0 0))")], "Name string, wkt string")).first()
-    assert f.flight_run == "run1" and len(f.ring) == 4 and f.ring[1].x == 1
+    assert f.flight_run == "run1" and len(f.ring) == 4 and f.ring[1].x == 1 and f.holes == []
+    wkt = "POLYGON((0 0,9 0, 9 9 ,0 9,0 0), (1 1, 2 1, 2 2, 1 1),(4 4,5 4,5 5,4 4))"
+    f = lists.footprints(spark.createDataFrame([("run2", wkt)], "Flight_Run string, wkt string")).first()
+    assert len(f.ring) == 5 and [[(p.x, p.y) for p in h] for h in f.holes] == [[(1, 1), (2, 1), (2, 2), (1, 1)], [(4, 4), (5, 4), (5, 5), (4, 4)]]
 
 
 def test_submissions_rules_and_tiles(spark, tmp_path):
@@ -169,13 +172,15 @@ def test_streams(spark, tmp_path):
         stream = jobs.plume_stream(spark, str(src), schema)
         jobs.upsert_enriched(stream, grid, f"{out}/wind", f"{cp}/wind", k=3).awaitTermination()
         jobs.assign_sources(jobs.plume_stream(spark, str(src), schema), f"{out}/sources", f"{cp}/sources").awaitTermination()
-    done = spark.read.parquet(f"{out}/wind")
+    done = jobs.enriched_list(spark, f"{out}/wind")
     assert done.count() == 12 and done.where("wind_mean = 5").count() == 12
+    before = versions.Versions(spark, f"{out}/wind").current()
     (src / "2.csv").write_text("h\n" + ",".join(map(str, (*rows[3][:4], 7.0, *rows[3][5:]))) + "\n" + ",".join(map(str, (99, "ang20240102t120000-99", *rows[3][2:]))) + "\n")
     jobs.upsert_enriched(jobs.plume_stream(spark, str(src), schema), grid, f"{out}/wind", f"{cp}/wind", k=3).awaitTermination()
-    spark.catalog.refreshByPath(f"{out}/wind")
-    done = spark.read.parquet(f"{out}/wind")  # the plume that came again is replaced, the one of another day added
+    done = jobs.enriched_list(spark, f"{out}/wind")  # the plume that came again is replaced, the one of another day added
     assert done.count() == 13 and done.where("candidate_id = '%s' and ime_fetch_avg = 7" % rows[3][1]).count() == 1
+    old = versions.Versions(spark, f"{out}/wind").read(manifest=before)  # a reader of the version before still has it whole
+    assert old.count() == 12 and old.where("ime_fetch_avg = 7").count() == 0
     u = spark.createDataFrame(rows, schema).select("row_id", geo.utm(F.col("lat"), F.col("lon")).alias("u")).select("row_id", "u.x", "u.y").toPandas().sort_values("row_id")
     want = clustering.assign(u, 150.0)
     got = {r.row_id: r.source_key for r in spark.read.parquet(f"{out}/sources").collect()}
@@ -186,7 +191,49 @@ def test_streams(spark, tmp_path):
     (seen / "a.csv").write_text("h\np1,ok\np2,failed\n")
     arrived = spark.readStream.schema("path string, status string").option("header", True).csv(str(seen))
     jobs.completeness(arrived, spark.createDataFrame([("p1",), ("p2",), ("p3",)], "path string"), f"{out}/feed", f"{cp}/feed").awaitTermination()
-    assert {r.path for r in spark.read.parquet(f"{out}/feed/missing/batch=0").collect()} == {"p2", "p3"}
+    assert {r.path for r in jobs.missing_paths(spark, f"{out}/feed").collect()} == {"p2", "p3"}
     (seen / "b.csv").write_text("h\np2,ok\n")
     jobs.completeness(arrived, spark.createDataFrame([("p1",), ("p2",), ("p3",)], "path string"), f"{out}/feed", f"{cp}/feed").awaitTermination()
-    assert {r.path for r in spark.read.parquet(f"{out}/feed/missing/batch=1").collect()} == {"p3"}
+    assert {r.path for r in jobs.missing_paths(spark, f"{out}/feed").collect()} == {"p3"}
+
+
+def test_versions_switch_as_a_whole(spark, tmp_path):
+    """A batch that fails before its switch changes nothing, two writers can't make the same version, old files go with their versions."""
+    root = str(tmp_path / "table")
+    table = versions.Versions(spark, root)
+    assert table.read("a long").count() == 0
+    for n in range(4):
+        now = table.current()
+        path = table.folder()
+        spark.range(n + 1).toDF("a").write.parquet(path)
+        table.switch(now | {"parts": now["parts"] | {f"part {n % 3}": path}, "rows": "a long"})
+    assert table.current()["version"] == 4 and table.read().count() == 4 + 2 + 3 and table.read(keys=["part 1"]).count() == 2
+    stale = now | {"parts": {}}
+    with pytest.raises(RuntimeError):
+        table.switch(stale)
+    spark.range(9).toDF("a").write.parquet(table.folder())  # written, never switched to
+    assert table.read().count() == 9
+    table.expire(keep=1)
+    assert len(list((tmp_path / "table" / "data").iterdir())) == 3 and table.read().count() == 9 and table.current()["version"] == 4
+
+
+def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path, monkeypatch):
+    """The stream's own account of a batch is lost after the switch: the batch comes again and is passed over. Arrivals are taken out
+    of the missing paths in between."""
+    monkeypatch.setattr(jobs, "COMPACTED", 3)
+    (seen := tmp_path / "seen").mkdir()
+    arrived = spark.readStream.schema("path string, status string").option("header", True).csv(str(seen))
+    expected = spark.createDataFrame([(f"p{n}",) for n in range(8)], "path string")
+    for n in range(6):
+        (seen / f"{n}.csv").write_text(f"h\np{n},{'failed' if n == 2 else 'ok'}\n")
+        jobs.completeness(arrived, expected, f"{tmp_path}/feed", f"{tmp_path}/cp").awaitTermination()
+    want = {"p2", "p6", "p7"}
+    assert {r.path for r in jobs.missing_paths(spark, f"{tmp_path}/feed").collect()} == want
+    version = versions.Versions(spark, f"{tmp_path}/feed").current()
+    assert version["version"] == 6 and len(version["parts"]) <= 3
+    commits = sorted(p for p in (tmp_path / "cp" / "commits").iterdir() if p.name.isdigit())
+    for p in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        p.unlink(missing_ok=True)
+    jobs.completeness(arrived, expected, f"{tmp_path}/feed", f"{tmp_path}/cp").awaitTermination()
+    assert versions.Versions(spark, f"{tmp_path}/feed").current() == version
+    assert {r.path for r in jobs.missing_paths(spark, f"{tmp_path}/feed").collect()} == want
