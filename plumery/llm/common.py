@@ -44,12 +44,18 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
-def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
+def written(df: DataFrame, partition_by: str | None = None) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder and read back, and where it is: who has it may remove() it when all that was made of
+    it is written."""
     path = shared_dir(df.sparkSession)
     writer = df.write
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
+    return written(df, partition_by)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:

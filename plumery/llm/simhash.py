@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumery.llm.common import LOWER, UPPER, join_skewed, materialise, small_batches, table
+from plumery.llm.common import LOWER, UPPER, join_skewed, materialise, remove, small_batches, table, written
 from plumery.llm.components import connected_components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -436,14 +436,18 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "one", "two", "lead"))
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     where = nodes.select("node", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_hash").alias("text_hash"))
-    trees, good = nodes.withColumn("tree", F.col("node")), None
+    trees, good, good_at = nodes.withColumn("tree", F.col("node")), None, None
     for nearest, prints_of in ((True, 1), (True, 2), (False, 1), (False, 2)):
-        edges = materialise(candidate_edges(trees.repartition(n_parts, "node"), nearest, (prints_of,)))
+        edges, edges_at = written(candidate_edges(trees.repartition(n_parts, "node"), nearest, (prints_of,)))
         # Sets, which are the larger part of all, are kept for those nodes alone that a pair of the round has.
         wanted = where.join(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "node")
         sets = prints.select("doc_id", "text_hash", "shingles").join(wanted, ["doc_id", "text_hash"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
-        found = similar_edges(edges, materialise(sets), similarity)
-        good = materialise(found if good is None else good.unionByName(found))
+        sets, sets_at = written(sets)
+        found = similar_edges(edges, sets, similarity)
+        done = [edges_at, sets_at, *([good_at] if good_at else [])]
+        good, good_at = written(found if good is None else good.unionByName(found))
+        for path in done:
+            remove(docs.sparkSession, path)
         roots = connected_components(good)
         trees = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("tree"), "one", "two", "lead")
     return trees.groupBy("tree").agg(F.min("lead").alias("lead")).select("lead.*")
