@@ -273,7 +273,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Windows are runs of ``window`` words of an item; an item of fewer words, but not none, is one window. Null texts have no
     words; items with a null id or text play no part. Several blocks of items are searched one after the other and their
-    spans merged. Rows repeat as they come; other columns pass through, those of the names above are replaced.
+    spans merged. A very long text is a shard of its own. Rows repeat as they come; other columns pass through, those of the names above are replaced.
     """
     spans_type, ids_type = T.ArrayType(T.ArrayType(T.LongType())), T.ArrayType(T.StringType())
     out = None

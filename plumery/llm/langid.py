@@ -131,7 +131,8 @@ def learn(training: DataFrame, min_share: float = 0.02, min_ratio: float = 0.2)
     """Filters of all languages of training(lang, text); counts are taken over every row.
 
     What reaches the driver is bounded at any size: a language has at most (mean distinct n-grams of a document) / min_share
-    n-grams that are in that share of its documents.
+    n-grams that are in that share of its documents. The languages' sizes are broadcast, one row for each; a filter has a bit
+    for each as well, so they must be few.
     """
     training = training.where("lang is not null and text is not null")
     sizes = training.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -146,7 +147,10 @@ def learn(training: DataFrame, min_share: float = 0.02, min_ratio: float = 0.2)
 
 
 def predict_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
-    """doc_id, lang_pred and score of each row of docs, from its text alone; ``und`` with score 0 for texts without a letter."""
+    """doc_id, lang_pred and score of each row of docs, from its text alone; ``und`` with score 0 for texts without a letter.
+
+    A very long text is looked at whole, with about 40 bytes a character for as long as that takes.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

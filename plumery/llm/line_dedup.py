@@ -134,7 +134,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batch
     least min_docs documents hold is kept in the largest doc_id that has it and dropped elsewhere. A null or empty text is
     one empty line. Documents with a null doc_id aren't counted and lose nothing; rows with the same doc_id count as one
     document, and repeated rows come out as often as they went in. Other columns pass through; n_lines and n_dropped
-    replace columns of these names.
+    replace columns of these names. A very long text is one row's array of lines, and one row for each line of a key.
     """
     lines = materialise(line_hashes(docs, min_chars))
     shared = shared_lines(lines, min_docs, n_batches, fan_in)

@@ -166,7 +166,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, n_tasks: int |
     Both have vec_id and embedding. A query's own vec_id is no candidate of its; vectors of another length aren't either.
     Unusable vectors take no part. A repeated vec_id counts once: the nearest of its vectors as candidate, the smallest as query.
     Fewer candidates than k give fewer rows; an empty table gives none. Each query group is copied to every group of
-    candidates and the other way round; nothing is broadcast. A task holds one query group and one candidate block.
+    candidates and the other way round; nothing is broadcast. A task holds one query group and one candidate block; vectors so long
+    that few make BLOCK_BYTES are in blocks of few, of one at least.
     """
     n_tasks = n_tasks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = materialise(usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", F.size("v").alias("dim"), "v"))

@@ -18,7 +18,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, per_row: int = 16, n_par
 
     A row's size is the UTF-8 length of its text (null: 0) plus per_row. In order of doc_id (nulls first, then the text's
     checksum and size, then input order) a row goes to the shard in whose equal part of all bytes its middle lies. Slots
-    count from 0 in each shard. Repeated rows each get a slot. Other columns of docs play no part.
+    count from 0 in each shard. Repeated rows each get a slot. Other columns of docs play no part. Of a very long text only size
+    and checksum are carried on; it is in one shard whole, however large that makes it.
     """
     spark = docs.sparkSession
     n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))

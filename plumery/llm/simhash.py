@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
 
     Rows are linked if their fingerprints differ in at most 4 bits; component_id is the smallest doc_id that links reach,
     the row's own included (rows with a null doc_id get it too; null where no member has an id). Null and blank texts have
-    fingerprint 0 and are linked like others. Repeated rows each give a row; other columns of docs play no part.
+    fingerprint 0 and are linked like others. Repeated rows each give a row; other columns of docs play no part. A very long text
+    is hashed whole, its bits counted piece by piece.
     """
     prints = materialise(fingerprints(docs, width))
     reps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))

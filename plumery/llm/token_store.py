@@ -257,7 +257,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, shard_bytes: i
 
     Rows with a null doc_id come first and can be read but not looked up; rows with the same doc_id all stay, in order of
     their texts' hashes, in one or more shards, and look-up finds all. Only doc_id and text are used. An empty table gives an
-    empty store.
+    empty store. A very long text is encoded whole, and its shard is as large as its ids.
     """
     n_parts = n_parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
