@@ -15,7 +15,7 @@ def _rad(c: Column) -> Column:
     return c * F.lit(RAD)
 
 
-def _let(values: dict[str, Column], use) -> Column:
+def let(values: dict[str, Column], use) -> Column:
     """use(struct of values) with each value worked out once: nested formulas would otherwise repeat their parts many times over."""
     return F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in values.items()))), use), F.lit(0))
 
@@ -73,11 +73,11 @@ def utm(lat: Column, lon: Column, zone: Column | None = None) -> Column:
 
     def place(v: Column) -> Column:
         s = v["s"]
-        return _let({"zone": v["zone"], "north": v["north"], "d": v["d"], "t": F.sinh(F.atanh(s) - k * F.atanh(k * s))}, turned)
+        return let({"zone": v["zone"], "north": v["north"], "d": v["d"], "t": F.sinh(F.atanh(s) - k * F.atanh(k * s))}, turned)
 
     def turned(v: Column) -> Column:
         t, d = v["t"], v["d"]
-        return _let({"zone": v["zone"], "north": v["north"], "xi": F.atan2(t, F.cos(d)), "eta": F.atanh(F.sin(d) / F.sqrt(1 + t * t))}, series)
+        return let({"zone": v["zone"], "north": v["north"], "xi": F.atan2(t, F.cos(d)), "eta": F.atanh(F.sin(d) / F.sqrt(1 + t * t))}, series)
 
     def series(v: Column) -> Column:
         xi, eta, north = v["xi"], v["eta"], v["north"]
@@ -88,7 +88,7 @@ def utm(lat: Column, lon: Column, zone: Column | None = None) -> Column:
         return F.struct(v["zone"].alias("zone"), north.alias("north"), (F.lit(500000.0) + _SCALE * x).alias("x"), (F.when(north, 0.0).otherwise(1e7) + _SCALE * y).alias("y"))
 
     at = {"lat": lat.cast("double"), "lon": lon.cast("double"), "zone": utm_zone(lon) if zone is None else zone}
-    return _let(at, lambda v: _let({"zone": v["zone"], "north": v["lat"] >= 0, "s": F.sin(_rad(v["lat"])), "d": _rad(v["lon"] - (v["zone"] * 6 - 183))}, place))
+    return let(at, lambda v: let({"zone": v["zone"], "north": v["lat"] >= 0, "s": F.sin(_rad(v["lat"])), "d": _rad(v["lon"] - (v["zone"] * 6 - 183))}, place))
 
 
 def utm_inverse(x: Column, y: Column, zone: Column, north: Column) -> Column:
@@ -99,10 +99,10 @@ def utm_inverse(x: Column, y: Column, zone: Column, north: Column) -> Column:
         for j, c in enumerate(_BETA, 1):
             a = a - c * F.sin(2 * j * v["xi"]) * F.cosh(2 * j * v["eta"])
             b = b - c * F.cos(2 * j * v["xi"]) * F.sinh(2 * j * v["eta"])
-        return _let({"zone": v["zone"], "a": a, "b": b}, conformal)
+        return let({"zone": v["zone"], "a": a, "b": b}, conformal)
 
     def conformal(v: Column) -> Column:
-        return _let({"chi": F.asin(F.sin(v["a"]) / F.cosh(v["b"])), "lon": F.atan2(F.sinh(v["b"]), F.cos(v["a"])) / RAD + (v["zone"] * 6 - 183)}, geographic)
+        return let({"chi": F.asin(F.sin(v["a"]) / F.cosh(v["b"])), "lon": F.atan2(F.sinh(v["b"]), F.cos(v["a"])) / RAD + (v["zone"] * 6 - 183)}, geographic)
 
     def geographic(v: Column) -> Column:
         lat = v["chi"]
@@ -110,7 +110,7 @@ def utm_inverse(x: Column, y: Column, zone: Column, north: Column) -> Column:
             lat = lat + c * F.sin(2 * j * v["chi"])
         return F.struct((lat / RAD).alias("lat"), v["lon"].alias("lon"))
 
-    return _let({"xi": (y - F.when(north, 0.0).otherwise(1e7)) / _SCALE, "eta": (x - 500000.0) / _SCALE, "zone": zone}, series)
+    return let({"xi": (y - F.when(north, 0.0).otherwise(1e7)) / _SCALE, "eta": (x - 500000.0) / _SCALE, "zone": zone}, series)
 
 
 # --- other projections ------------------------------------------------------------------------------------------------
@@ -167,7 +167,7 @@ def map_to_pixel(x: Column, y: Column, m: Column) -> Column:
 
 def latlon_to_pixel(lat: Column, lon: Column, m: Column) -> Column:
     """By the image's UTM zone (m.zone, m.hemi)."""
-    return _let({"u": utm(lat, lon, m["zone"]), "lat": lat, "m": m}, lambda v: _utm_to_pixel(v["u"], v["lat"], v["m"]))
+    return let({"u": utm(lat, lon, m["zone"]), "lat": lat, "m": m}, lambda v: _utm_to_pixel(v["u"], v["lat"], v["m"]))
 
 
 def _utm_to_pixel(u: Column, lat: Column, m: Column) -> Column:
@@ -175,12 +175,12 @@ def _utm_to_pixel(u: Column, lat: Column, m: Column) -> Column:
 
 
 def pixel_to_latlon(sample: Column, line: Column, m: Column) -> Column:
-    return _let({"p": pixel_to_map(sample, line, m), "m": m}, lambda v: utm_inverse(v["p"]["x"], v["p"]["y"], v["m"]["zone"], v["m"]["hemi"] == "North"))
+    return let({"p": pixel_to_map(sample, line, m), "m": m}, lambda v: utm_inverse(v["p"]["x"], v["p"]["y"], v["m"]["zone"], v["m"]["hemi"] == "North"))
 
 
 def geo_box(lat: Column, lon: Column, diameter_m: Column, m: Column) -> Column:
     """Array of 4 corners (UTM x and y, lat, lon, sample, line) of a square around a point, turned like the image."""
-    return _let({"u": utm(lat, lon, m["zone"]), "d": diameter_m, "m": m}, lambda v: _corners(v["u"], v["d"], v["m"]))
+    return let({"u": utm(lat, lon, m["zone"]), "d": diameter_m, "m": m}, lambda v: _corners(v["u"], v["d"], v["m"]))
 
 
 def _corners(u: Column, diameter_m: Column, m: Column) -> Column:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumery.functions import geo
 from plumery.operators.graph import cut
 
 Kernel = Callable[[np.ndarray, int, int], np.ndarray]
@@ -163,26 +164,38 @@ def local_maxima(pixels: DataFrame, shape: DataFrame, radius: int, value: str =
     return inside.join(low, "image_id").where("value > _low").select("image_id", "row", "col", "value")
 
 
-def bilinear_place(cells: DataFrame) -> DataFrame:
-    """cells with a and b, the place in the unit square of (qx, qy), counted from a cell's first corner; null where there is none.
+def bilinear_place(x: Column, y: Column) -> Column:
+    """(a, b): where a place lies in the unit square of a cell; null where there is no such place.
 
-    A cell has lat, lon and, with _e, _s and _se, those of the next corner to the right, below and across. (qx, qy) = a e + b s +
-    a b d, with d the corner across less a parallelogram's. Crossing out a leaves a quadratic equation of b, whose root nearer to that of
-    the parallelogram is taken, or the other if only that is in the cell; both in the form that loses no digits.
+    A cell has columns lat, lon and, with _e, _s and _se, those of the next corner to the right, below and across. Counted from the
+    first corner, the place q is a e + b s + a b d, with d the corner across less a parallelogram's. Crossing out a leaves a quadratic
+    equation of b, whose root nearer to that of the parallelogram is taken, or the other if only that is in the cell; both in
+    the form that loses no digits. Values are bound, not repeated.
     """
-    edge = lambda c, n: F.col(f"{c}_{n}") - F.col(c)
-    v = {f"{k}{n}": edge(c, m) for k, m in (("e", "e"), ("s", "s")) for n, c in (("x", "lon"), ("y", "lat"))}
-    v |= {f"d{n}": F.col(f"{c}_se") - F.col(f"{c}_e") - F.col(f"{c}_s") + F.col(c) for n, c in (("x", "lon"), ("y", "lat"))}
-    out = cells.withColumns({f"_{n}": c for n, c in v.items()})
-    cross = lambda p, q: F.col(f"{p}x") * F.col(f"{q}y") - F.col(f"{p}y") * F.col(f"{q}x")
-    out = out.withColumns({"_2": -cross("_s", "_d"), "_1": cross("q", "_d") - cross("_s", "_e"), "_0": cross("q", "_e")})
-    under = F.col("_1") * F.col("_1") - 4 * F.col("_2") * F.col("_0")
-    out = out.withColumn("_t", -(F.col("_1") + F.when(F.col("_1") < 0, -1).otherwise(1) * F.sqrt(F.when(under >= 0, under))) / 2)
-    near, far = F.col("_0") / F.nullif(F.col("_t"), F.lit(0.0)), F.col("_t") / F.nullif(F.col("_2"), F.lit(0.0))
-    out = out.withColumn("b", F.when(near.between(-1e-9, 1 + 1e-9), near).otherwise(F.coalesce(far, near)))
-    den = {n: F.col(f"_e{n}") + F.col("b") * F.col(f"_d{n}") for n in "xy"}
-    own = {n: (F.col(f"q{n}") - F.col("b") * F.col(f"_s{n}")) / F.nullif(den[n], F.lit(0.0)) for n in "xy"}
-    return out.withColumn("a", F.when(F.abs(den["x"]) >= F.abs(den["y"]), own["x"]).otherwise(own["y"])).drop(*(f"_{n}" for n in (*v, "2", "1", "0", "t")))
+    edge = lambda n: {f"{n}x": F.col(f"lon_{n}") - F.col("lon"), f"{n}y": F.col(f"lat_{n}") - F.col("lat")}
+    across = {f"d{n}": F.col(f"{c}_se") - F.col(f"{c}_e") - F.col(f"{c}_s") + F.col(c) for n, c in (("x", "lon"), ("y", "lat"))}
+    cross = lambda v, p, q: v[f"{p}x"] * v[f"{q}y"] - v[f"{p}y"] * v[f"{q}x"]
+
+    def root(k: Column) -> Column:
+        under = k["one"] * k["one"] - 4 * k["two"] * k["zero"]
+        return -(k["one"] + F.when(k["one"] < 0, -1).otherwise(1) * F.sqrt(F.when(under >= 0, under))) / 2
+
+    def chosen(r: Column) -> Column:
+        near, far = r["k"]["zero"] / F.nullif(r["t"], F.lit(0.0)), r["t"] / F.nullif(r["k"]["two"], F.lit(0.0))
+        return geo.let({"near": near, "far": far}, lambda n: F.when(n["near"].between(-1e-9, 1 + 1e-9), n["near"]).otherwise(F.coalesce(n["far"], n["near"])))
+
+    def place(w: Column) -> Column:
+        v, b = w["v"], w["b"]
+        den = {n: v[f"e{n}"] + b * v[f"d{n}"] for n in "xy"}
+        own = {n: (v[f"q{n}"] - b * v[f"s{n}"]) / F.nullif(den[n], F.lit(0.0)) for n in "xy"}
+        return F.struct(F.when(F.abs(den["x"]) >= F.abs(den["y"]), own["x"]).otherwise(own["y"]).alias("a"), b.alias("b"))
+
+    def solved(v: Column) -> Column:
+        k = {"two": -cross(v, "s", "d"), "one": cross(v, "q", "d") - cross(v, "s", "e"), "zero": cross(v, "q", "e")}
+        b = geo.let(k, lambda k: geo.let({"k": k, "t": root(k)}, chosen))
+        return geo.let({"v": v, "b": b}, place)
+
+    return geo.let(edge("e") | edge("s") | across | {"qx": x - F.col("lon"), "qy": y - F.col("lat")}, solved)
 
 
 def regrid(pixels: DataFrame, value: str, step: float = 0.025, fill: float = -9999.9) -> DataFrame:
@@ -202,9 +215,10 @@ def regrid(pixels: DataFrame, value: str, step: float = 0.025, fill: float = -99
     lat, lon = ([F.col(x), F.col(f"{x}_e"), F.col(f"{x}_s"), F.col(f"{x}_se")] for x in ("lat", "lon"))
     span = lambda c: F.sequence(F.ceil(F.least(*c) / step), F.greatest(F.floor(F.greatest(*c) / step), F.ceil(F.least(*c) / step)))
     at = q.select("*", F.explode(span(lat)).alias("gy")).select("*", F.explode(span(lon)).alias("gx"))
-    at = bilinear_place(at.withColumns({"qx": F.col("gx") * step - F.col("lon"), "qy": F.col("gy") * step - F.col("lat")}))
-    at = at.where("a between -1e-9 and 1 + 1e-9 and b between -1e-9 and 1 + 1e-9")
-    a, b = F.col("a"), F.col("b")
+    place = bilinear_place(F.col("gx") * step, F.col("gy") * step)
+    inside = F.filter(F.array(place), lambda p: p["a"].between(-1e-9, 1 + 1e-9) & p["b"].between(-1e-9, 1 + 1e-9))
+    at = at.select("*", F.explode(inside).alias("p"))
+    a, b = F.col("p.a"), F.col("p.b")
     mixed = F.col("v") * (1 - a) * (1 - b) + F.col("v_e") * a * (1 - b) + F.col("v_s") * (1 - a) * b + F.col("v_se") * a * b
     found = at.groupBy("image_id", "gy", "gx").agg(F.min_by(mixed, F.struct("row", "col")).alias("value"))
     ends = p.groupBy("image_id").agg(*(F.rint(f(c) / step).cast("long").alias(n) for f, c, n in ((F.min, "lat", "y0"), (F.max, "lat", "y1"), (F.min, "lon", "x0"), (F.max, "lon", "x1"))))
