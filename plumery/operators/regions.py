@@ -120,6 +120,7 @@ def region_statistics(regions: DataFrame, value: str = "cmf", pixel_size: float
         more = both.groupBy(*keys).agg(F.median(F.abs(F.col("_v") - F.col("med"))).alias("mad"), place("row"), place("col"))
         return g.join(more, keys).select(*columns)
 
+    regions = regions.select(*keys, "row", "col", value).transform(cut)  # read several times
     large = selection.large_groups(regions, keys, held)
     if large.isEmpty():
         out = sorted_(regions)
