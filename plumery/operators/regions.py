@@ -1,13 +1,16 @@
 """Connected regions of images: labels, statistics, size filters, merging, holes and borders.
 
-An image is a table of pixels (image_id, row, col, ...); tiles of it are labelled in arrays, and labels that touch across
-tile borders are merged as a graph.
+An image is a table of pixels (image_id, row, col, ...). Images of at most WHOLE pixels are labelled many at a time in the task that
+has them; larger ones tile by tile, and labels that touch across tile borders are merged as a graph.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,8 @@ from plumery.operators import selection
 from plumery.operators.graph import cut, min_labels
 
 TILE = 512
+#: Images of more pixels than this are labelled by tiles; rows of whole images that a task works on at once.
+WHOLE, AT_ONCE = 1 << 18, 1 << 17
 AROUND_8 = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 AROUND_4 = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 
@@ -47,13 +52,124 @@ def label_mask(mask: np.ndarray, eight: bool = True) -> np.ndarray:
         lab = new
 
 
-def connected_regions(pixels: DataFrame, eight: bool = True, tile: int = TILE) -> DataFrame:
+def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 1) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about AT_ONCE rows from batches sorted by their first ``key`` columns, and the number of each row's group: no group is cut."""
+    held, n = [], 0
+
+    def numbers(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        for c in table.columns[:key]:
+            at = pa.chunked_array(c.chunks, c.type).combine_chunks().dictionary_encode(null_encoding="encode")
+            at = (at.combine_chunks() if isinstance(at, pa.ChunkedArray) else at).indices.to_numpy(zero_copy_only=False)
+            new[1:] |= at[1:] != at[:-1]
+        return np.cumsum(new)
+
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n < AT_ONCE:
+            continue
+        table = pa.Table.from_batches(held)
+        code = numbers(table)
+        done = int(np.searchsorted(code, code[-1]))
+        if done:
+            yield table.slice(0, done), code[:done]
+        held, n = table.slice(done).to_batches(), n - done
+    if n:
+        table = pa.Table.from_batches(held)
+        yield table, numbers(table)
+
+
+def raster_keys(code: np.ndarray, rows: np.ndarray, cols: np.ndarray, margin: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each place, in the order of code, row and col, and the step to the next row; ``margin`` free places lie around each image.
+
+    Rows are in the order of code.
+    """
+    starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    rows, cols = rows.astype(np.int64), cols.astype(np.int64)
+    r0, c0 = np.minimum.reduceat(rows, starts), np.minimum.reduceat(cols, starts)
+    height = np.maximum.reduceat(rows, starts) - r0 + 1 + 2 * margin
+    width = np.maximum.reduceat(cols, starts) - c0 + 1 + 2 * margin
+    base = np.concatenate(([0], np.cumsum(height * width)[:-1]))
+    at = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(code)]))))
+    return base[at] + (rows - r0[at] + margin) * width[at] + cols - c0[at] + margin, width[at]
+
+
+def tied_numbers(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of 0 .. n - 1 is tied to by the pairs a, b. Larger roots are hung below smaller ones, so rounds are few."""
+    top = np.arange(n)
+    while True:
+        x, y = top[a], top[b]
+        apart = x != y
+        if not apart.any():
+            return top
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            jump = top[top]
+            if (jump == top).all():
+                break
+            top = jump
+
+
+def linked_rows(code: np.ndarray, rows: np.ndarray, cols: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """For rows sorted by code, row and col: the first row of each one's region, where places a step apart are neighbours."""
+    key, width = raster_keys(code, rows, cols, max(max(abs(a), abs(b)) for a, b in steps))
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    place = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+    key, width = key[first], width[first]
+    a, b = [], []
+    for dr, dc in steps:
+        if (dr, dc) <= (0, 0):
+            continue  # the step back of another one
+        want = key + dr * width + dc
+        at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        hit = np.flatnonzero(key[at] == want)
+        a.append(hit)
+        b.append(at[hit])
+    return first[tied_numbers(len(key), np.concatenate(a), np.concatenate(b))[place]]
+
+
+def _numbered_whole(pixels: DataFrame, steps: list[tuple[int, int]], name: str) -> DataFrame:
+    """pixels with the region's number (from 1, in raster order) of images that a task may have whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, code in whole_groups(batches):
+            lead = linked_rows(code, *(table.column(c).to_numpy() for c in ("row", "col")), steps)
+            upto = np.cumsum(lead == np.arange(len(lead)))
+            ahead = (upto - 1)[np.searchsorted(code, code)]  # regions of the images before
+            yield from table.append_column(name, pa.array(upto[lead] - ahead, pa.int64())).to_batches()
+
+    taken = [c for c in pixels.columns if c not in ("image_id", "row", "col")]
+    n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pixels.select("image_id", "row", "col", *taken).repartition(n, "image_id").sortWithinPartitions("image_id", "row", "col")
+    return dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField(name, T.LongType())]))
+
+
+def _by_size(pixels: DataFrame, whole: int, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``small`` makes of images of at most ``whole`` pixels, and ``large`` of the others."""
+    big = selection.large_groups(pixels, ["image_id"], whole)
+    if big.isEmpty():
+        return small(pixels)
+    few, many = (selection.in_groups(pixels, big, ["image_id"], inside) for inside in (False, True))
+    return small(few).unionByName(large(many))
+
+
+def connected_regions(pixels: DataFrame, eight: bool = True, tile: int = TILE, whole: int = WHOLE) -> DataFrame:
     """pixels (image_id, row, col: those of the mask) with region_id from 1 in raster order of each region's first pixel.
 
-    Any number of tiles gives the same labels as the whole image at once. Repeated pixels get the same label.
+    Images of more than ``whole`` pixels are labelled by tiles. Any number of tiles gives the same labels as the whole image at
+    once. Repeated pixels get the same label.
     """
     taken = [c for c in pixels.columns if c not in ("image_id", "row", "col")]
-    base = pixels.select("image_id", F.col("row").cast("int"), F.col("col").cast("int"), *taken)
+    base = pixels.where("image_id is not null").select("image_id", F.col("row").cast("int"), F.col("col").cast("int"), *taken).transform(cut)
+    around = AROUND_8 if eight else AROUND_4
+    return _by_size(base, whole, lambda few: _numbered_whole(few, around, "region_id"), lambda many: _by_tiles(many, eight, tile))
+
+
+def _by_tiles(base: DataFrame, eight: bool, tile: int) -> DataFrame:
+    """connected_regions() of large images."""
+    taken = [c for c in base.columns if c not in ("image_id", "row", "col")]
     t = base.withColumns({"_tr": F.floor(F.col("row") / tile), "_tc": F.floor(F.col("col") / tile)})
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -190,10 +306,21 @@ def opened(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     return dilate(erode(pixels, offsets), offsets)
 
 
-def merge_regions(regions: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+def _merged(pixels: DataFrame, distance: int, whole: int) -> DataFrame:
+    """pixels with merged_id: surroundings that touch are pixels at most 2 * distance + 1 apart, and come in the same order."""
+
+    def by_dilation(many: DataFrame) -> DataFrame:
+        wide = connected_regions(dilate(many, square(distance)), whole=whole).withColumnRenamed("region_id", "merged_id")
+        return many.join(wide, ["image_id", "row", "col"])
+
+    steps = [s for s in square(2 * distance + 1) if s != (0, 0)]
+    base = pixels.where("image_id is not null").transform(cut)
+    return _by_size(base, whole, lambda few: _numbered_whole(few, steps, "merged_id"), by_dilation)
+
+
+def merge_regions(regions: DataFrame, distance: int, whole: int = WHOLE) -> tuple[DataFrame, DataFrame]:
     """Regions whose surroundings, to a chessboard distance, touch become one: pixels with merged_id, and (image_id, merged_id, originals)."""
-    wide = connected_regions(dilate(regions, square(distance))).withColumnRenamed("region_id", "merged_id")
-    out = regions.join(wide, ["image_id", "row", "col"])
+    out = _merged(regions, distance, whole)
     return out, out.groupBy("image_id", "merged_id").agg(F.array_sort(F.collect_set("region_id")).alias("originals"))
 
 
@@ -332,9 +459,8 @@ def candidate_ime(pixels: DataFrame, candidates: DataFrame, low: float, high: fl
     at = at.select("*", F.explode(F.transform(step, lambda i: F.floor(F.col("c") / size) + i)).alias("_x"))
     near = good.join(at, ["image_id", "_y", "_x"]).where(F.pow(F.col("row") - F.col("r"), 2) + F.pow(F.col("col") - F.col("c"), 2) <= fetch * fetch)
     own = near.select(F.col("candidate_id").cast("string").alias("image_id"), "row", "col", "cmf")
-    merged, _ = merge_regions(connected_regions(own).transform(cut), merge)
-    big = without_small(merged.drop("region_id").withColumnRenamed("merged_id", "region_id"), least)
-    total = big.groupBy(F.col("image_id").alias("candidate_id")).agg(F.count(F.lit(1)).alias("n"), physics.ime_kg(F.sum("cmf"), F.lit(pixel_size)).alias("ime"))
+    group = _merged(own, merge, WHOLE).groupBy("image_id", "merged_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("cmf").alias("cmf")).where(F.col("_n") >= least)
+    total = group.groupBy(F.col("image_id").alias("candidate_id")).agg(F.sum("_n").alias("n"), physics.ime_kg(F.sum("cmf"), F.lit(pixel_size)).alias("ime"))
     return total.withColumn("ime_per_fetch", F.col("ime") / (fetch * pixel_size))
 
 

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -597,3 +598,35 @@ def test_fifty_thousand_unknowns(spark):
             cov = np.eye(len(own)) * 25 - np.outer(v, v) * (25 * 25 * w / (1 + 25 * w * v @ v))
             assert np.allclose(columns[own, 0], cov[0], atol=1e-7)
     assert len(mean) == n and columns.shape == (n, 2)
+
+
+def test_whole_images_are_labelled_as_tiles_are(spark):
+    """Images worked on at once give what tiles give: regions, merged regions and candidates' groups, whatever the batches."""
+    r = np.random.default_rng(12)
+    rows = [(f"i{n}", int(a) - 5, int(b) - 7, float(r.uniform(0, 4000))) for n in range(6) for a, b in zip(*np.nonzero(r.random((23, 19)) < 0.2 + 0.1 * n), strict=True)]
+    df = spark.createDataFrame([*rows, rows[0]], "image_id string, row int, col int, cmf double").repartition(3)
+    for eight in (True, False):
+        some, tiled = (sorted(map(tuple, regions.connected_regions(df, eight, 8, whole).collect())) for whole in (regions.WHOLE, 0))
+        assert some == tiled and len(some) == len(rows) + 1
+    found = regions.connected_regions(df.where("cmf > 3000").distinct())
+    for distance in (0, 1, 2):
+        some, tiled = (sorted((x.image_id, x.merged_id, tuple(x.originals)) for x in regions.merge_regions(found, distance, whole)[1].collect()) for whole in (regions.WHOLE, 0))
+        assert some == tiled
+
+
+def test_whole_groups_are_not_cut(monkeypatch):
+    monkeypatch.setattr(regions, "AT_ONCE", 5)
+    keys = [1, 1, 1, 2, 2, 3, 3, 3, 3, 3, 3, 3, 3, 4, None, None]
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(keys[at : at + 3], pa.int64())}) for at in range(0, len(keys), 3)]
+    parts = [(t.column(0).to_pylist(), code.tolist()) for t, code in regions.whole_groups(iter(batches))]
+    assert sum((p for p, _ in parts), []) == keys
+    assert all(not set(a) & set(b) for (a, _), (b, _) in zip(parts, parts[1:])) and all(len(set(p)) == len(set(c)) for p, c in parts)
+
+
+def test_candidates_are_many(spark):
+    """Twenty thousand candidates are grouped by few tasks' batches, not one by one."""
+    px = spark.range(400).selectExpr("cast(0 as long) AS image_id", "cast(id div 20 as int) AS row", "cast(id % 20 as int) AS col", "cast(1000 + id as double) AS cmf")
+    at = spark.range(20000).selectExpr("id AS candidate_id", "cast(0 as long) AS image_id", "cast(id % 20 as int) AS row", "cast(id div 20 % 20 as int) AS col")
+    found = regions.candidate_ime(px, at, 500.0, 4000.0, 2, 1, 3).agg(F.sum("n"), F.count(F.lit(1))).first()
+    want = sum(1 for r in range(20) for c in range(20) for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4 and 0 <= r + a < 20 and 0 <= c + b < 20)
+    assert tuple(found) == (want * 50, 20000)
