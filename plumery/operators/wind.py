@@ -15,6 +15,8 @@ ALTITUDES = {"HRRR": (10, 80), "RTMA": (10,)}
 KM_PER_DEGREE = geo.EQUATOR_KM * geo.RAD
 #: Cubes that hold the sphere's points have sides of 4 (all in one) and halves of it, this many times: down to 60 m.
 LEVELS = 19
+#: Levels that a place goes down at once: level 1 has at most 8 cubes, and a cube's surface some 64 three levels below.
+STEP = 3
 #: Chords and spherical distances are rounded by less than this (of the radius).
 SLACK = 1e-7
 
@@ -43,41 +45,39 @@ def _in_cubes(rows: DataFrame, axes: tuple[str, ...], level, reach) -> DataFrame
 def _nearest(places: DataFrame, points: DataFrame, k: int, key: str, sign: int) -> DataFrame:
     """(place_id, grid_id, distance_km, n): the k points nearest to each place, or (sign -1) to its antipode, so the farthest ones.
 
-    Points are in cubes around the sphere, of sides halved from level to level. The smallest cube of a place's own with k points
-    bounds the distance of the k-th one; the points of that cube give the bound itself; the cubes that it reaches have
-    the k nearest. So each place meets its points in two joins, at levels that suit the density around it.
+    Points are in cubes around the sphere, of sides halved from level to level, and of each place the k with the smallest ids stand
+    for all. A place, each once however many ids it has, goes down the levels with the cubes that may hold one of its k nearest: those whose box of points is
+    not farther than the k-th point of the others' farthest corners. So it meets few points however far away they are.
     """
     p, g = ("_px", "_py", "_pz"), ("_gx", "_gy", "_gz")
     chord = F.sqrt(sum((F.pow(F.col(a) - F.col(b), 2) for a, b in zip(p, g, strict=True)), F.lit(0.0)))
-    at = places.where("lat is not null and lon is not null").select("place_id", F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
-    at = at.distinct().withColumns({c: sign * v for c, v in zip(p, geo.unit_vector(F.col("p_lon"), F.col("p_lat")), strict=True)}).transform(cut)
+    named = places.where("lat is not null and lon is not null").select("place_id", F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat")).distinct().transform(cut)
+    at = named.select("p_lon", "p_lat").distinct().withColumn("_p", F.monotonically_increasing_id())
+    at = at.withColumns({c: sign * v for c, v in zip(p, geo.unit_vector(F.col("p_lon"), F.col("p_lat")), strict=True)}).transform(cut)
     grid = points.where("lat is not null and lon is not null").select(F.col(key).alias("grid_id"), "lon", "lat").distinct()
+    grid = grid.withColumn("_n", F.row_number().over(Window.partitionBy("lon", "lat").orderBy("grid_id"))).where(F.col("_n") <= k).drop("_n")
     grid = grid.withColumns(dict(zip(g, geo.unit_vector(F.col("lon"), F.col("lat")), strict=True))).transform(cut)
-    cube, levels = ["level", "cx", "cy", "cz"], F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
-
-    def leveled(rows: DataFrame, axes: tuple[str, ...]) -> DataFrame:
-        return rows.select("*", levels).withColumns(dict(zip(cube[1:], _cube(axes, F.col("level")), strict=True)))
-
-    enough = leveled(grid, g).groupBy(*cube).agg(F.count(F.lit(1)).alias("points")).where(F.col("points") >= k)
-    own = leveled(at.select("place_id", *p), p).join(enough, cube).groupBy("place_id").agg(F.max("level").alias("level"))
-    own = at.join(own, "place_id", "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    own = own.withColumns(dict(zip(cube[1:], _cube(p, F.col("level")), strict=True))).transform(cut)
-    used = [r.level for r in own.select("level").distinct().collect()]  # of LEVELS + 1 values
-    here = grid.select("*", F.explode(F.array(*map(F.lit, used))).alias("level")) if used else grid.withColumn("level", F.lit(0))
-    here = here.withColumns(dict(zip(cube[1:], _cube(g, F.col("level")), strict=True)))
-    by_chord = Window.partitionBy("place_id").orderBy("chord", "grid_id")
-    bound = own.join(here, cube).select("place_id", "grid_id", chord.alias("chord")).withColumn("n", F.row_number().over(by_chord)).where(F.col("n") <= k)
-    bound = bound.groupBy("place_id").agg(F.max("chord").alias("reach"))
-    # A level whose cubes are about as wide as the bound: a place reaches at most three along an axis.
-    level = F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.floor(-F.log2(F.col("reach") / 4)))).cast("int")
-    around = at.join(bound.withColumn("reach", F.col("reach") + SLACK), "place_id").withColumn("level", level).transform(cut)
-    used = [r.level for r in around.select("level").distinct().collect()]
-    here = grid.select("*", F.explode(F.array(*map(F.lit, used))).alias("level")) if used else grid.withColumn("level", F.lit(0))
-    here = here.withColumns(dict(zip(cube[1:], _cube(g, F.col("level")), strict=True)))
-    close = _in_cubes(around, p, F.col("level"), F.col("reach")).join(here, cube).where(chord <= F.col("reach"))
-    close = close.select("place_id", "grid_id", geo.distance(F.col("p_lon"), F.col("p_lat"), F.col("lon"), F.col("lat")).alias("distance_km"))
-    order = Window.partitionBy("place_id").orderBy(sign * F.round("distance_km", 6), "grid_id")
-    return close.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    cube = ["cx", "cy", "cz"]
+    ends = [f(c).alias(f"{n}{c}") for c in g for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    finest = grid.withColumns(dict(zip(cube, _cube(g, F.lit(LEVELS)), strict=True)))
+    boxes = {LEVELS: finest.groupBy(*cube).agg(F.count(F.lit(1)).alias("points"), *ends).transform(cut)}
+    for level in range(LEVELS - STEP, 0, -STEP):
+        up = boxes[level + STEP].withColumns({c: F.shiftright(c, STEP) for c in cube}).groupBy(*cube)
+        boxes[level] = up.agg(F.sum("points").alias("points"), *(f(f"{n}{c}").alias(f"{n}{c}") for c in g for f, n in ((F.min, "lo"), (F.max, "hi")))).transform(cut)
+    away = [(F.greatest(F.lit(0.0), F.col(f"lo{c}") - F.col(a), F.col(a) - F.col(f"hi{c}")), F.greatest(F.abs(F.col(a) - F.col(f"lo{c}")), F.abs(F.col(a) - F.col(f"hi{c}")))) for a, c in zip(p, g, strict=True)]
+    low, high = (F.sqrt(sum((F.pow(x[i], 2) for x in away), F.lit(0.0))) for i in (0, 1))
+    upto = F.sum("points").over(Window.partitionBy("_p").orderBy("high", *cube).rowsBetween(Window.unboundedPreceding, 0))
+    reach = F.min(F.when(F.col("upto") >= k, F.col("high"))).over(Window.partitionBy("_p"))
+    left = None
+    for level in range(LEVELS % STEP, LEVELS + 1, STEP):
+        box = boxes[level] if left is None else boxes[level].withColumns({f"u{c}": F.shiftright(c, STEP) for c in cube})
+        met = at.crossJoin(F.broadcast(box)) if left is None else left.withColumnsRenamed({c: f"u{c}" for c in cube}).join(box, [f"u{c}" for c in cube]).join(at, "_p")
+        met = met.select("_p", *cube, "points", low.alias("low"), high.alias("high")).withColumn("upto", upto).withColumn("reach", reach)
+        left = met.where(F.col("reach").isNull() | (F.col("low") <= F.col("reach") + SLACK)).select("_p", *cube).transform(cut)
+    close = left.join(finest, cube).join(at, "_p").select("_p", "grid_id", chord.alias("chord"), geo.distance(F.col("p_lon"), F.col("p_lat"), F.col("lon"), F.col("lat")).alias("distance_km"))
+    order = Window.partitionBy("_p").orderBy(sign * F.round("distance_km", 6), "grid_id")
+    found = close.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("_p", "grid_id", "distance_km", "n")
+    return named.join(at.select("_p", "p_lon", "p_lat"), ["p_lon", "p_lat"]).join(found, "_p").select("place_id", "grid_id", "distance_km", "n")
 
 
 def nearest_points(places: DataFrame, points: DataFrame, k: int = 10) -> DataFrame:

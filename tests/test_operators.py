@@ -630,3 +630,18 @@ def test_candidates_are_many(spark):
     found = regions.candidate_ime(px, at, 500.0, 4000.0, 2, 1, 3).agg(F.sum("n"), F.count(F.lit(1))).first()
     want = sum(1 for r in range(20) for c in range(20) for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4 and 0 <= r + a < 20 and 0 <= c + b < 20)
     assert tuple(found) == (want * 50, 20000)
+
+
+def test_nearest_and_farthest_of_points_on_the_other_side(spark):
+    """Points far from every place, many at one place and many places alike: as by brute force, ties by the smallest id."""
+    r = np.random.default_rng(21)
+    at = np.stack([r.uniform(33, 36, 150), r.uniform(-119, -100, 150)], 1)[r.integers(0, 150, 400)]
+    there = np.concatenate([np.stack([34 + r.integers(0, 10, 600) * 0.2, r.integers(0, 1800, 600) * 0.2 - 180], 1), np.repeat([[-35.0, 70.0]], 40, 0), np.repeat([[34.0, -110.0]], 40, 0)])
+    places = spark.createDataFrame([(f"p{n}", float(a), float(b)) for n, (a, b) in enumerate(at)], "place_id string, lat double, lon double")
+    points = spark.createDataFrame([(n, float(a), float(b)) for n, (a, b) in enumerate(there)], "grid_id long, lat double, lon double")
+    a, b = np.radians(at)[:, None], np.radians(there)[None]
+    d = 6378.137 * np.arccos(np.clip(np.sin(a[..., 0]) * np.sin(b[..., 0]) + np.cos(a[..., 0]) * np.cos(b[..., 0]) * np.cos(b[..., 1] - a[..., 1]), -1, 1))
+    for sign in (1, -1):
+        got = sorted((x.place_id, x.n, x.grid_id) for x in wind._nearest(places, points, 5, "grid_id", sign).collect())
+        want = sorted((f"p{n}", k + 1, int(g)) for n in range(len(at)) for k, g in enumerate(np.lexsort((np.arange(len(there)), sign * np.round(d[n], 6)))[:5]))
+        assert got == want
