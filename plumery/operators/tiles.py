@@ -3,42 +3,51 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumery.functions import geo
 from plumery.operators.graph import cut
+from plumery.operators.regions import whole_groups
 
 Kernel = Callable[[np.ndarray, int, int], np.ndarray]
 
 
-def map_tiles(pixels: DataFrame, shape: DataFrame, value: str, halo: int, fn: Kernel, tile: int = 256, edge: str = "zero", missing: float = 0.0) -> DataFrame:
-    """(image_id, row, col, value) of fn over tiles of pixels with ``halo`` more on each side.
+def map_tiles(pixels: DataFrame, shape: DataFrame, value: str, halo: int, fn: Kernel, tile: int = 256, edge: str = "zero", missing: float = 0.0, carry: list[str] | None = None) -> DataFrame:
+    """(image_id, row, col, value) of fn over tiles of pixels with ``halo`` more on each side, and the columns ``carry`` of pixels.
 
     shape has image_id, nrow and ncol. fn takes the padded array and its upper left place and returns an array of the inner
     tile. Pixels that aren't in the table, or null, are ``missing``; outside the image is 0, or the image mirrored at its
-    edge (edge="reflect"; the halo must not exceed a tile). Only pixels of the table come back; only those in reach of a border are copied.
+    edge (edge="reflect"; the halo must not exceed a tile). Only pixels of the table come back; only those in reach of a border are
+    copied. A task takes its tiles one after the other from sorted batches.
     """
     step = F.sequence(F.lit(-1), F.lit(1)) if halo else F.array(F.lit(0))
     if halo > tile:
         raise ValueError("the halo must not exceed the tile")
-    base = pixels.select("image_id", F.col("row").cast("int"), F.col("col").cast("int"), F.col(value).cast("double").alias("v"))
+    carry = carry or []
+    base = pixels.select("image_id", F.col("row").cast("int"), F.col("col").cast("int"), F.col(value).cast("double").alias("v"), *(F.col(c).alias(f"_k_{c}") for c in carry))
     spread = base.withColumns({"r": F.floor(F.col("row") / tile).cast("int"), "c": F.floor(F.col("col") / tile).cast("int")})
     spread = spread.select("*", F.explode(F.transform(step, lambda d: F.col("r") + d)).alias("tr")).select("*", F.explode(F.transform(step, lambda d: F.col("c") + d)).alias("tc"))
     spread = spread.where(F.col("row").between(F.col("tr") * tile - halo, F.col("tr") * tile + tile + halo - 1) & F.col("col").between(F.col("tc") * tile - halo, F.col("tc") * tile + tile + halo - 1))
     spread = spread.join(shape.select("image_id", "nrow", "ncol"), "image_id")
+    kept = [f"_k_{c}" for c in carry]
+    spread = spread.select("image_id", "tr", "tc", "row", "col", "v", "nrow", "ncol", *kept)
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        image, tr, tc = key
-        nrow, ncol = int(part["nrow"].iloc[0]), int(part["ncol"].iloc[0])
+    def one(tr: int, tc: int, nrow: int, ncol: int, r: np.ndarray, c: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """fn's values at the rows of a tile that are its own; NaN at the others."""
         r0, c0 = tr * tile - halo, tc * tile - halo
         size = tile + 2 * halo
         a = np.full((size, size), missing)
-        r, c, v = part["row"].to_numpy() - r0, part["col"].to_numpy() - c0, part["v"].to_numpy()
+        r, c = r - r0, c - c0
+        own = (r >= halo) & (r < halo + tile) & (c >= halo) & (c < halo + tile)
+        out = np.full(len(r), np.nan)
+        if not own.any():
+            return out
         a[r, c] = np.where(np.isnan(v), missing, v)
         rows, cols = np.arange(r0, r0 + size), np.arange(c0, c0 + size)
         if edge == "reflect":
@@ -48,12 +57,25 @@ def map_tiles(pixels: DataFrame, shape: DataFrame, value: str, halo: int, fn: Ke
         else:
             a[(rows < 0) | (rows >= nrow), :] = 0.0
             a[:, (cols < 0) | (cols >= ncol)] = 0.0
-        out = fn(a, r0, c0)
-        own = (r >= halo) & (r < halo + tile) & (c >= halo) & (c < halo + tile)
-        return pd.DataFrame({"image_id": image, "row": part["row"].to_numpy()[own], "col": part["col"].to_numpy()[own], "value": out[r[own] - halo, c[own] - halo]})
+        out[own] = fn(a, r0, c0)[r[own] - halo, c[own] - halo]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, code in whole_groups(batches, 3):
+            tr, tc, row, col, v, nrow, ncol = (table.column(k).to_numpy() for k in ("tr", "tc", "row", "col", "v", "nrow", "ncol"))
+            cuts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1], [True])))
+            out = np.concatenate([one(int(tr[x]), int(tc[x]), int(nrow[x]), int(ncol[x]), row[x:y], col[x:y], v[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
+            own = (row // tile == tr) & (col // tile == tc)
+            done = table.select(["image_id", "row", "col"]).append_column("value", pa.array(out))
+            for k in kept:
+                done = done.append_column(k, table.column(k))
+            yield from done.filter(pa.array(own)).to_batches()
 
-    kind = dict(pixels.dtypes)["image_id"]
-    return spread.groupBy("image_id", "tr", "tc").applyInPandas(run, f"image_id {kind}, row int, col int, value double")
+    n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = spread.repartition(n, "image_id", "tr", "tc").sortWithinPartitions("image_id", "tr", "tc")
+    kinds = {f.name: f.dataType for f in dealt.schema.fields}
+    schema = T.StructType([*(T.StructField(k, kinds[k]) for k in ("image_id", "row", "col")), T.StructField("value", T.DoubleType()), *(T.StructField(k, kinds[k]) for k in kept)])
+    return dealt.mapInArrow(run, schema).withColumnsRenamed({f"_k_{c}": c for c in carry})
 
 
 def _convolved(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
@@ -64,19 +86,20 @@ def _convolved(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return sum(k * x[:, i : m - 2 * h + i] for i, k in enumerate(kernel))
 
 
-def gaussian(pixels: DataFrame, shape: DataFrame, value: str, sigma: float, truncate: float = 1.0, tile: int = 256) -> DataFrame:
+def gaussian(pixels: DataFrame, shape: DataFrame, value: str, sigma: float, truncate: float = 1.0, tile: int = 256, carry: list[str] | None = None) -> DataFrame:
     """Gaussian mean with mirrored edges, cut at truncate * sigma."""
     h = int(truncate * sigma + 0.5)
     k = np.exp(-0.5 * (np.arange(-h, h + 1) / sigma) ** 2)
     k /= k.sum()
-    return map_tiles(pixels, shape, value, h, lambda a, r, c: _convolved(a, k), max(tile, h), "reflect")
+    return map_tiles(pixels, shape, value, h, lambda a, r, c: _convolved(a, k), max(tile, h), "reflect", carry=carry)
 
 
 def density_weighted(pixels: DataFrame, shape: DataFrame, sigma: float, low: float = 500.0, high: float = 1500.0, tile: int = 256) -> DataFrame:
     """pixels with ``weighted``: cmf times its image's Gaussian density scaled to 0 .. 1, then clipped between two thresholds."""
-    dense = gaussian(pixels, shape, "cmf", sigma, tile=tile).transform(cut)
+    others = [c for c in pixels.columns if c not in ("image_id", "row", "col")]
+    dense = gaussian(pixels, shape, "cmf", sigma, tile=tile, carry=others).transform(cut)
     ends = dense.groupBy("image_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    both = pixels.join(dense, ["image_id", "row", "col"]).join(ends, "image_id")
+    both = dense.join(ends, "image_id")
     w = F.col("cmf") * (F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     return both.withColumn("weighted", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (w - low) / (high - low)))).drop("value", "lo", "hi")
 
@@ -87,9 +110,9 @@ def downsample(pixels: DataFrame, shape: DataFrame, pixel_size: float, resolutio
     width = math.ceil(resolution * math.sqrt(2) * 2 / pixel_size) | 1
     k = np.exp(-0.5 * (np.arange(-(width // 2), width // 2 + 1) / sigma) ** 2)
     k /= k.sum()
-    blurred = map_tiles(pixels, shape, "cmf", width // 2, lambda a, r, c: _convolved(a, k), max(tile, width // 2))
+    blurred = map_tiles(pixels, shape, "cmf", width // 2, lambda a, r, c: _convolved(a, k), max(tile, width // 2), carry=["cmf"])
     step = resolution / pixel_size
-    kept = blurred.join(pixels.select("image_id", "row", "col", "cmf"), ["image_id", "row", "col"]).withColumns({"_r": F.floor(F.col("row") / step).cast("int"), "_c": F.floor(F.col("col") / step).cast("int")})
+    kept = blurred.withColumns({"_r": F.floor(F.col("row") / step).cast("int"), "_c": F.floor(F.col("col") / step).cast("int")})
     at = (F.col("row") == F.floor((F.col("_r") + 0.5) * step)) & (F.col("col") == F.floor((F.col("_c") + 0.5) * step))
     return kept.where(at).select("image_id", F.col("_r").alias("row"), F.col("_c").alias("col"), F.when(F.col("cmf").isNotNull(), F.col("value")).alias("cmf"))
 
@@ -114,15 +137,13 @@ def score_windows(pixels: DataFrame, shape: DataFrame, model: Callable[[np.ndarr
     def run(a: np.ndarray, r0: int, c0: int) -> np.ndarray:
         windows = np.lib.stride_tricks.sliding_window_view(a, (dim, dim))[: a.shape[0] - 2 * h, : a.shape[1] - 2 * h]
         out = np.empty(windows.shape[:2])
-        flat = [(i, j) for i in range(out.shape[0]) for j in range(out.shape[1])]
-        for at in range(0, len(flat), batch):
-            part = flat[at : at + batch]
-            i, j = (np.array(x) for x in zip(*part, strict=True))
+        for at in range(0, out.size, batch):
+            i, j = np.unravel_index(np.arange(at, min(at + batch, out.size)), out.shape)
             out[i, j] = model(windows[i, j])
         return out
 
-    scored = map_tiles(ready, shape, "_v", h, run, max(tile, h), missing=(0.0 - mean) / std)
-    return scored.join(pixels.select("image_id", "row", "col", "cmf"), ["image_id", "row", "col"]).select("image_id", "row", "col", F.when(F.col("cmf").isNotNull(), F.col("value")).alias("score"))
+    scored = map_tiles(ready, shape, "_v", h, run, max(tile, h), missing=(0.0 - mean) / std, carry=["cmf"])
+    return scored.select("image_id", "row", "col", F.when(F.col("cmf").isNotNull(), F.col("value")).alias("score"))
 
 
 def shift_and_stitch(pixels: DataFrame, shape: DataFrame, model: Callable[[np.ndarray], np.ndarray], scale: int, reach: int, tile: int = 256) -> DataFrame:
@@ -158,6 +179,7 @@ def local_maxima(pixels: DataFrame, shape: DataFrame, radius: int, value: str =
                 peak &= (own > other) | (((i, j) > (0, 0)) & (own == other)) | ((i, j) == (0, 0))
         return np.where(peak, own, np.nan)
 
+    pixels = pixels.select("image_id", "row", "col", value).transform(cut)  # read twice
     low = pixels.groupBy("image_id").agg(F.min(value).alias("_low"))
     found = map_tiles(pixels, shape, value, d, run, max(tile, d), missing=-np.inf).where(~F.isnan("value"))
     inside = found.join(shape, "image_id").where(F.col("row").between(d, F.col("nrow") - d - 1) & F.col("col").between(d, F.col("ncol") - d - 1))

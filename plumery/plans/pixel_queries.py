@@ -62,8 +62,7 @@ def region_borders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def thick_borders(spark: SparkSession, d: str) -> DataFrame:
-    shape = V.grid_pixels(spark, d).select("image_id", F.lit(64).alias("nrow"), F.lit(64).alias("ncol")).distinct()
-    return R.borders(_regions(spark, d), shape, "thick").select("image_id", "row", "col", "region_id")
+    return R.borders(_regions(spark, d), _shape(spark, d), "thick").select("image_id", "row", "col", "region_id")
 
 
 def value_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +101,7 @@ def filter_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shape(spark: SparkSession, d: str) -> DataFrame:
-    return V.grid_pixels(spark, d).select("image_id").distinct().withColumns({"nrow": F.lit(64), "ncol": F.lit(64)})
+    return V.grid_images(spark, d).withColumns({"nrow": F.lit(64), "ncol": F.lit(64)})
 
 
 def density_filter(spark: SparkSession, d: str) -> DataFrame:

@@ -115,6 +115,11 @@ def grid_pixels(spark: SparkSession, d: str) -> DataFrame:
     return at.groupBy("image_id", "row", "col").agg(F.max("v").alias("cmf"))
 
 
+def grid_images(spark: SparkSession, d: str) -> DataFrame:
+    """The images that grid_pixels() has pixels of."""
+    return _t(spark, d, "lineitem").selectExpr("l_orderkey div 1000 AS image_id").distinct()
+
+
 def candidate_image(spark: SparkSession, d: str) -> str:
     """An expression that deals candidates to the sparse images, however many there are."""
     n = _t(spark, d, "lineitem").agg(F.max(F.expr("l_orderkey div 1000"))).first()[0]
