@@ -96,9 +96,10 @@ def clip_to_rings(pixels: DataFrame, features: DataFrame) -> DataFrame:
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     boxed = features.withColumns({"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)})
     size = boxed.agg(F.max(F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")))).first()[0] or 1.0
+    size /= 8  # a pixel meets the rings whose boxes reach its cell, so small cells leave few that miss it
     span = lambda a, b: F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
     cells = boxed.select("feature_id", "ring", F.explode(span("_x0", "_x1")).alias("_cx"), "_y0", "_y1").select("feature_id", "ring", "_cx", F.explode(span("_y0", "_y1")).alias("_cy"))
     at = pixels.withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
-    inside = at.join(cells, ["_cx", "_cy"]).where(geo.in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("_cx", "_cy", "ring")
+    inside = at.join(cells, ["_cx", "_cy"]).where(geo.in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("_cx", "_cy", "ring").transform(cut)  # read twice
     corner = inside.groupBy("feature_id", "image_id").agg(F.min("row").alias("row0"), F.min("col").alias("col0"))
     return inside.join(corner, ["feature_id", "image_id"])

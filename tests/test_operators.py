@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumery.functions import geo, names, physics
-from plumery.operators import clustering, evaluation, inversion, matched_filter, overlap, qc, regions, tiles, triage, wind
+from plumery.operators import clustering, evaluation, inversion, matched_filter, overlap, pixels, qc, regions, tiles, triage, wind
 
 
 def one(spark, **columns):
@@ -645,3 +645,34 @@ def test_nearest_and_farthest_of_points_on_the_other_side(spark):
         got = sorted((x.place_id, x.n, x.grid_id) for x in wind._nearest(places, points, 5, "grid_id", sign).collect())
         want = sorted((f"p{n}", k + 1, int(g)) for n in range(len(at)) for k, g in enumerate(np.lexsort((np.arange(len(there)), sign * np.round(d[n], 6)))[:5]))
         assert got == want
+
+
+def test_holes_and_dilations_of_many_images_at_once(spark):
+    """Boxes worked on at once give what large images' ways give; labels in two pieces go region by region; dilations cross tiles once."""
+    r = np.random.default_rng(31)
+    masks = {f"i{n}": r.random((17, 13)) < 0.35 + 0.07 * n for n in range(6)}
+    rows = [(n, int(i) - 4, int(j) - 4) for n, m in masks.items() for i, j in zip(*np.nonzero(m), strict=True)]
+    df = spark.createDataFrame(rows, "image_id string, row int, col int").repartition(3)
+    found = regions.connected_regions(df).cache()
+    some, large = (sorted(map(tuple, regions.fill_holes(found, 8, whole).select("image_id", "row", "col", "region_id").collect())) for whole in (regions.WHOLE, 0))
+    assert some == large and len(some) > len(rows)
+    ring = [(a, b, 1) for a in range(5) for b in range(5) if a in (0, 4) or b in (0, 4)] + [(2, 2, 2), (9, 9, 2)]  # region 2 is in two pieces
+    odd = spark.createDataFrame([("i", *x) for x in ring], "image_id string, row int, col int, region_id long")
+    assert sorted((x.row, x["col"]) for x in regions.fill_holes(odd).where("region_id = 1").collect()) == [(a, b) for a in range(5) for b in range(5)]
+    for tile in (4, 512):
+        for steps in (regions.diamond(2), regions.square(1), [(0, 0), (3, -1)]):
+            got = sorted(map(tuple, regions.dilate(df, steps, tile).collect()))
+            assert got == sorted({(n, i + a, j + b) for n, i, j in rows for a, b in steps})
+
+
+def test_clips_of_rings_of_any_size(spark):
+    """Pixels in cells smaller than a ring meet it once."""
+    features = [("big", [(0, 0), (40, 3), (37, 41), (2, 38), (0, 0)]), ("small", [(3, 3), (4.1, 3), (4.1, 4.2), (3, 3)]), ("far", [(90, 90), (91, 90), (91, 91), (90, 90)])]
+    rings = spark.createDataFrame([(n, [{"x": float(x), "y": float(y)} for x, y in p]) for n, p in features], "feature_id string, ring array<struct<x: double, y: double>>")
+    px = spark.createDataFrame([("i", r, c, c + 0.5, r + 0.25) for r in range(45) for c in range(45)], "image_id string, row int, col int, x double, y double")
+    got = sorted((x.feature_id, x.row, x["col"]) for x in pixels.clip_to_rings(px, rings).collect())
+
+    def inside(x, y, p):
+        return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(p, p[1:])) % 2 == 1
+
+    assert got == sorted((n, r, c) for n, p in features for r in range(45) for c in range(45) if inside(c + 0.5, r + 0.25, p))
