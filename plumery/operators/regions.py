@@ -22,6 +22,8 @@ from plumery.operators.graph import cut, min_labels
 TILE = 512
 #: Images of more pixels than this are labelled by tiles; rows of whole images that a task works on at once.
 WHOLE, AT_ONCE = 1 << 18, 1 << 17
+#: Places of boxes that holes are looked for in at once, and those of one image at most beside them.
+CELLS = 1 << 20
 AROUND_8 = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 AROUND_4 = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 
@@ -273,11 +275,27 @@ def weak_labels(regions: DataFrame, candidates: DataFrame) -> DataFrame:
     return regions.join(hit, ["image_id", "region_id"])
 
 
-def dilate(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """Pixels within reach by any of the offsets, once each."""
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets))
-    spread = pixels.select("image_id", "row", "col", F.explode(steps).alias("s"))
-    return spread.select("image_id", (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col")).distinct()
+def dilate(pixels: DataFrame, offsets: list[tuple[int, int]], tile: int = TILE) -> DataFrame:
+    """Pixels within reach by any of the offsets, once each. Pixels go to the tiles that they reach, and are spread there."""
+    reach = max(max(abs(a), abs(b)) for a, b in offsets)
+    ends = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile).cast("int"), F.floor((F.col(c) + reach) / tile).cast("int"))
+    at = pixels.select("image_id", "row", "col").select("*", F.explode(ends("row")).alias("tr")).select("image_id", "tr", F.explode(ends("col")).alias("tc"), "row", "col")
+    dr, dc = (np.array(x) for x in zip(*offsets, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, code in whole_groups(batches, 3):
+            tr, tc, row, col = (table.column(c).to_numpy().astype(np.int64) for c in ("tr", "tc", "row", "col"))
+            key, width = raster_keys(code, row, col, reach)
+            first = np.unique((key + dr[:, None] * width + dc[:, None]).ravel(), return_index=True)[1]
+            step, of = np.divmod(first, len(key))
+            r, c = row[of] + dr[step], col[of] + dc[step]
+            own = (r // tile == tr[of]) & (c // tile == tc[of])
+            images = table.column("image_id").take(pa.array(of[own]))
+            yield from pa.table([images, pa.array(r[own]).cast(table.schema.field("row").type), pa.array(c[own]).cast(table.schema.field("col").type)], ["image_id", "row", "col"]).to_batches()
+
+    n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = at.where("row is not null and col is not null").repartition(n, "image_id", "tr", "tc").sortWithinPartitions("image_id", "tr", "tc")
+    return dealt.mapInArrow(run, T.StructType([dealt.schema[c] for c in ("image_id", "row", "col")]))
 
 
 def diamond(n: int) -> list[tuple[int, int]]:
@@ -411,17 +429,104 @@ def _holes_by_boxes(regions: DataFrame, tile: int) -> DataFrame:
     return tagged.join(open_, ["_key", "part"], "left_anti").select("image_id", "row", "col", "region_id")
 
 
-def fill_holes(regions: DataFrame, tile: int = TILE) -> DataFrame:
+def holes_of(code: np.ndarray, rows: np.ndarray, cols: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(image, row, col, label) of the holes in images whose labels are a tree, and the images whose aren't; code counts images from 0."""
+    starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    r0, c0 = np.minimum.reduceat(rows, starts) - 1, np.minimum.reduceat(cols, starts) - 1
+    height, width = np.maximum.reduceat(rows, starts) - r0 + 2, np.maximum.reduceat(cols, starts) - c0 + 2
+    base = np.concatenate(([0], np.cumsum(height * width)))
+    place = base[code] + (rows - r0[code]) * width[code] + cols - c0[code]
+    region = np.unique(np.stack([code, labels], 1), axis=0, return_inverse=True)[1].ravel()
+    label, image = (np.zeros(region.max() + 1, x.dtype) for x in (labels, code))
+    label[region], image[region] = labels, code
+    of = np.full(base[-1], -1)
+    of[place] = region
+    bad = [code[of[place] != region]]  # two labels at a place
+    for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        other = of[place + dr * width[code] + dc]
+        bad.append(code[(other >= 0) & (other != region)])
+    cell = np.repeat(np.arange(len(starts)), height * width)
+    p = np.flatnonzero(of < 0)
+    right, below = p[(p + 1 < base[cell[p] + 1])], p[p + width[cell[p]] < base[cell[p] + 1]]
+    right, below = right[of[right + 1] < 0], below[of[below + width[cell[below]]] < 0]
+    top = tied_numbers(int(base[-1]), np.concatenate((right, below)), np.concatenate((right + 1, below + width[cell[below]])))
+    near = np.concatenate([place + d for d in (1, -1, width[code], -width[code])])
+    own = np.tile(region, 4)[of[near] < 0]
+    pairs = np.unique(np.stack([own, top[near[of[near] < 0]]], 1), axis=0)
+    # A tree has a link less than nodes.
+    parts = np.unique(top[p])
+    surplus = np.bincount(image[pairs[:, 0]], minlength=len(starts)) + 1 - np.bincount(image, minlength=len(starts)) - np.bincount(cell[parts], minlength=len(starts))
+    bad = np.unique(np.concatenate((*bad, np.flatnonzero(surplus))))
+    left = pairs[~np.isin(image[pairs[:, 0]], bad)]
+    above, around, level = np.full(len(label), -1), np.full(base[-1], -1), np.unique(top[base[:-1]])
+    while len(left) and len(level):  # a level of nesting a round; around is of parts, above of regions
+        here = np.isin(left[:, 1], level)
+        found, left = left[here], left[~here]
+        above[found[:, 0]] = around[found[:, 1]]
+        inner = np.isin(left[:, 0], found[:, 0])
+        around[left[inner, 1]] = left[inner, 0]
+        level, left = np.unique(left[inner, 1]), left[~inner]
+    at, within = np.concatenate((p, place)), np.concatenate((around[top[p]], above[region]))
+    out = []
+    while (inside := within >= 0).any():
+        at, within = at[inside], within[inside]
+        out.append((at, within))
+        within = above[within]
+    at, within = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+    n = cell[at]
+    r, c = np.divmod(at - base[n], width[n])
+    return n, r + r0[n], c + c0[n], label[within], bad
+
+
+def _filled_whole(own: DataFrame) -> DataFrame:
+    """own(image_id, row, col, region_id) with ``kind``: 0 its pixels, 1 those of holes, 2 a row for each image that isn't a tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, code in whole_groups(batches):
+            yield from table.append_column("kind", pa.array(np.zeros(len(table), np.int32))).to_batches()
+            rows, cols, labels = (table.column(c).to_numpy().astype(np.int64) for c in ("row", "col", "region_id"))
+            starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            size = (np.maximum.reduceat(rows, starts) - np.minimum.reduceat(rows, starts) + 3) * (np.maximum.reduceat(cols, starts) - np.minimum.reduceat(cols, starts) + 3)
+            first = np.flatnonzero(np.diff(np.cumsum(size) // CELLS, prepend=-1))  # images whose boxes are worked on at once
+            for x, y in zip(starts[first], [*starts[first[1:]], len(code)], strict=True):
+                image, r, c, label, bad = holes_of(code[x:y] - code[x], rows[x:y], cols[x:y], labels[x:y])
+                image, kind = np.concatenate((image, bad)) + code[x], np.repeat(np.array([1, 2], np.int32), [len(image), len(bad)])
+                none = np.zeros(len(bad), np.int64)
+                names = table.column("image_id").take(pa.array(starts[image]))
+                arrays = [pa.array(np.concatenate((v, none))).cast(table.schema.field(n).type) for n, v in (("row", r), ("col", c), ("region_id", label))]
+                yield from pa.table([names, *arrays, pa.array(kind)], ["image_id", "row", "col", "region_id", "kind"]).to_batches()
+
+    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.select("image_id", "row", "col", "region_id").repartition(n, "image_id").sortWithinPartitions("image_id", "row", "col")
+    return dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField("kind", T.IntegerType())]))
+
+
+def fill_holes(regions: DataFrame, tile: int = TILE, whole: int = WHOLE) -> DataFrame:
     """regions and the pixels of their holes: what no 4-path that avoids the region leads out of, other regions included.
 
-    Regions that don't touch, as connected_regions() gives them with eight neighbours, are filled by containment(): work
-    goes with the pixels of the image's box. Images in which regions touch, where there is no such tree, are filled region by region.
+    Images whose boxes have at most ``whole`` places are filled many at a time by a task. In larger ones, regions that don't
+    touch, as connected_regions() gives them with eight neighbours, are filled by containment(): work goes with the
+    pixels of the image's box. Images in which regions touch, where there is no such tree, are filled region by region.
     """
     own = regions.select("image_id", "row", "col", "region_id").distinct().transform(cut)
+    box = own.groupBy("image_id").agg(((F.max("row") - F.min("row") + 3).cast("long") * (F.max("col") - F.min("col") + 3)).alias("n"))
+    large = box.where(F.col("n") > whole).select("image_id").transform(cut)
+    some_large = not large.isEmpty()
+    done = _filled_whole(own.join(large, "image_id", "left_anti") if some_large else own).transform(cut)
+    odd = done.where("kind = 2").select("image_id").distinct().transform(cut)
+    some_odd = not odd.isEmpty()
+    out = done.where("kind < 2").drop("kind")
+    if some_odd:
+        out = out.join(odd, "image_id", "left_anti").unionByName(own.join(odd, "image_id", "left_semi").transform(lambda r: r.unionByName(_holes_by_boxes(r, tile))))
+    return out.unionByName(_filled_large(own.join(large, "image_id", "left_semi"), tile)) if some_large else out
+
+
+def _filled_large(own: DataFrame, tile: int) -> DataFrame:
+    """fill_holes() of large images."""
     touching = _touching(own).transform(cut)
     apart = own.join(touching, "image_id", "left_anti")
     back, within = containment(apart, tile)
-    kind = regions.schema["region_id"].dataType
+    kind = own.schema["region_id"].dataType
     parts = back.join(within.where("part is not null").select("image_id", "part", "within"), ["image_id", "part"])
     nested = apart.join(within.where("region_id is not null").select("image_id", "region_id", "within"), ["image_id", "region_id"])
     holes = parts.unionByName(nested, allowMissingColumns=True).select("image_id", "row", "col", F.col("within").cast(kind).alias("region_id"))
