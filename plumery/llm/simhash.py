@@ -22,6 +22,11 @@ errors of two segments may be several each. What meets is compared in all 128 bi
 together are verified by their very sets of shingles; texts with equal fingerprints are no exception. There is a round for each
 fingerprint, first with the nearest codewords, then with all near ones. What a round has tied counts as tied in the next, so
 a large group is asked for few pairs more.
+
+Fingerprints of similar texts may be far apart by chance. So an exact round follows, which leaves out no link: of texts with a
+similarity of 0.8 each has at least 0.8 of its shingles in the other; so, if all sets are put into one order, the first fifth of
+each and one more have a shingle in common. Frequent shingles come last in that order. What meets at a shingle, isn't tied yet and
+may still have enough in common by its places in both orders is verified like the rest.
 """
 
 from __future__ import annotations
@@ -248,6 +253,11 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
 MAX_APART = 34
 #: Runs of a key above this are tied along sorted orders first; words of the table of distances that is held at once.
 SHORT_RUN, TABLE_WORDS = 512, 1 << 20
+#: Shingles of so many texts come last in the order of the exact round, the most frequent at its end; so many are put last. Others are
+#: in the order of their hashes. Any order gives the same links.
+FREQUENT, PUT_LAST = 8, 1 << 20
+#: Shingles that a task counts at once, and the parts by first bits that they are counted in.
+COUNTED, COUNT_BITS = 1 << 22, 10
 
 
 def sketch(text: str | None, width: int) -> tuple[int, int, np.ndarray]:
@@ -407,6 +417,121 @@ def candidate_edges(nodes: DataFrame, nearest: bool = False, prints: tuple[int,
     return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tied, "a long, b long").distinct()
 
 
+def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of sets(shingles) that at least FREQUENT rows have, ascending, and a rank from 1 by the number of rows: at most PUT_LAST."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def counted() -> pa.RecordBatch:
+            every = np.sort(np.concatenate(held))
+            ends = np.searchsorted(every >> np.uint32(32 - COUNT_BITS), np.arange(1 << COUNT_BITS), "right")
+            own = np.split(every, ends[:-1])
+            some = [k for k, x in enumerate(own) if len(x)]
+            planes = [own[k].view(np.uint8).reshape(-1, 4).T.tobytes() for k in some]  # byte by byte, for the shuffle's compression
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(planes, pa.binary())], names=["part", "planes"])
+
+        for batch in batches:
+            for row in batch.column(0):
+                held.append(np.frombuffer(row.as_py(), np.uint32))
+                n += len(held[-1])
+                if n >= COUNTED:
+                    yield counted()
+                    held, n = [], 0
+        if n:
+            yield counted()
+
+    def count(table: pa.Table) -> pa.Table:
+        every = np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel() for x in table.column("planes")])
+        found, n = np.unique(every, return_counts=True)
+        often = n >= FREQUENT
+        return pa.table({"shingle": found[often].astype(np.int64), "n": n[often].astype(np.int64)})
+
+    counts = sets.select("shingles").mapInArrow(parts, "part int, planes binary").groupBy("part").applyInArrow(count, "shingle long, n long")
+    found = counts.orderBy(F.desc("n"), "shingle").limit(PUT_LAST).toArrow()
+    shingles, n = found.column("shingle").to_numpy().astype(np.uint32), found.column("n").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], np.unique(n, return_inverse=True)[1].ravel()[order].astype(np.int32) + 1
+
+
+def first_shingles(every: list[np.ndarray], last: np.ndarray, ranks: np.ndarray, similarity: float) -> list[np.ndarray]:
+    """Of each ascending set of shingles those, in the common order, of which it shares one with each set of that similarity."""
+    sizes = np.fromiter(map(len, every), np.int64, len(every))
+    flat = np.concatenate(every) if every else np.zeros(0, np.uint32)
+    rank = np.zeros(len(flat), np.int64)
+    if len(last):
+        at = np.minimum(np.searchsorted(last, flat), len(last) - 1)
+        hit = last[at] == flat
+        rank[hit] = ranks[at[hit]]
+    flat = flat[np.argsort(np.repeat(np.arange(len(sizes)), sizes) << 32 | rank, kind="stable")]
+    starts = np.cumsum(sizes) - sizes
+    taken = np.minimum(sizes, sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1)
+    return [flat[a : a + n] for a, n in zip(starts.tolist(), taken.tolist(), strict=True)]
+
+
+def shared_pairs(run: np.ndarray, tree: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of the same run, sorted by it, and of different trees that may have enough in common.
+
+    Before its place a row has nothing in common with the other one, if that is the first that they share. In a long run all rows
+    outside of its largest tree are compared with all others, in tables of bounded size.
+    """
+
+    def enough(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        least = similarity / (1 + similarity) * (size[a] + size[b]) - 1e-6
+        return (tree[a] != tree[b]) & (size[a] - place[a] >= least) & (size[b] - place[b] >= least)
+
+    cuts = np.concatenate(([0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)]))
+    sizes = np.diff(cuts)
+    short = np.repeat(sizes <= 16, sizes)
+    for step in range(1, min(16, len(run))):
+        a = np.flatnonzero((run[step:] == run[:-step]) & short[step:])
+        a = a[enough(a, a + step)]
+        yield a, a + step
+    for k in np.flatnonzero(sizes > 16).tolist():
+        own = np.arange(cuts[k], cuts[k + 1])
+        of = np.unique(tree[own], return_inverse=True)[1].ravel()
+        outside = own[of != np.bincount(of).argmax()]
+        step = max(1, TABLE_WORDS // len(own))
+        for at in range(0, len(outside), step):
+            a, b = outside[at : at + step, None], own[None, :]
+            x, y = np.nonzero(enough(a, b))
+            yield a[x, 0], own[y]
+
+
+def sharing_edges(trees: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of trees(node, tree, doc_id, text_hash) among which is each one of that similarity that isn't of one tree.
+
+    sets(doc_id, text_hash, shingles) has the nodes' sets. Each node goes to the shingles by which it may meet others.
+    """
+    last, ranks = frequent_shingles(sets)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(2)]
+            taken = [x.tobytes() for x in first_shingles(every, last, ranks, similarity)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, every)), pa.int32()), pa.array(taken, pa.binary())], names=["doc_id", "text_hash", "size", "first"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(3)]
+            n = np.fromiter(map(len, every), np.int64, len(every))
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            keys = np.concatenate(every).view(np.int32) if every else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(k).take(at) for k in range(3)), pa.array(place.astype(np.int32))], names=["key", "node", "tree", "size", "place"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, node, tree, size, place in whole_runs(batches):
+            for x, y in shared_pairs(keys, tree, size, place, similarity):
+                pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    n = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    firsts = sets.select("doc_id", "text_hash", "shingles").mapInArrow(first, "doc_id long, text_hash long, size int, first binary")
+    keys = firsts.join(trees, ["doc_id", "text_hash"]).select("node", "tree", "size", "first").mapInArrow(keyed, "key int, node long, tree long, size int, place int")
+    return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(met, "a long, b long").distinct()
+
+
 def similar_edges(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The edges (a, b) whose sets(node, shingles) have a Jaccard similarity of at least that."""
 
@@ -427,7 +552,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     """(doc_id, text_hash, n_rows): the leading row of each group of docs' similar texts, and how many rows are like it in both.
 
     Texts are linked if their sets of shingles of ``width`` words (all words, where there are fewer) have at least that
-    similarity; texts without words are linked with each other. Nothing is linked by fingerprints alone. A group's leader has
+    similarity; texts without words are linked with each other. Nothing is linked by fingerprints alone, and no link is left out. A group's leader has
     the smallest doc_id, then text_hash. Rows without a doc_id play no part. A very long text is one row with its whole set of
     shingles, four bytes each.
     """
@@ -438,8 +563,12 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     where = nodes.select("node", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_hash").alias("text_hash"))
     trees, good, good_at = nodes.withColumn("tree", F.col("node")), None, None
-    for nearest, prints_of in ((True, 1), (True, 2), (False, 1), (False, 2)):
-        edges, edges_at = written(candidate_edges(trees.repartition(n_parts, "node"), nearest, (prints_of,)))
+    for nearest, prints_of in ((True, 1), (True, 2), (False, 1), (False, 2), (None, None)):
+        if prints_of:
+            edges = candidate_edges(trees.repartition(n_parts, "node"), nearest, (prints_of,))
+        else:
+            edges = sharing_edges(trees.select("node", "tree", "lead.doc_id", "lead.text_hash"), prints, similarity)
+        edges, edges_at = written(edges)
         # Sets, which are the larger part of all, are kept for those nodes alone that a pair of the round has.
         wanted = where.join(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "node")
         sets = prints.select("doc_id", "text_hash", "shingles").join(wanted, ["doc_id", "text_hash"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
