@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by columns in Parquet in the shared folder, which take a fraction of a checkpoint's room. Columns need names of their own."""
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    path = f"{(spark.sparkContext.getConf().get('spark.checkpoint.dir') or spark.sparkContext.getCheckpointDir()).rstrip('/')}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_dealt(df: DataFrame) -> DataFrame:
     """cut(), after which Spark still knows how rows are dealt out and sorted, so that later joins and groups don't deal them anew.
 

@@ -17,13 +17,15 @@ from pyspark.sql import types as T
 
 from plumery.functions import geo, physics
 from plumery.operators import selection
-from plumery.operators.graph import cut, min_labels
+from plumery.operators.graph import cut, min_labels, saved
 
 TILE = 512
 #: Images of more pixels than this are labelled by tiles; rows of whole images that a task works on at once.
 WHOLE, AT_ONCE = 1 << 18, 1 << 17
 #: Places of boxes that holes are looked for in at once, and those of one image at most beside them.
 CELLS = 1 << 20
+#: Neighbours are looked up in a table of all places where these are at most so many times the pixels, else by a search.
+DENSE = 16
 AROUND_8 = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 AROUND_4 = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 
@@ -116,36 +118,47 @@ def tied_numbers(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def linked_rows(code: np.ndarray, rows: np.ndarray, cols: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
     """For rows sorted by code, row and col: the first row of each one's region, where places a step apart are neighbours."""
-    key, width = raster_keys(code, rows, cols, max(max(abs(a), abs(b)) for a, b in steps))
+    margin = max(max(abs(a), abs(b)) for a, b in steps)
+    key, width = raster_keys(code, rows, cols, margin)
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     place = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
     key, width = key[first], width[first]
-    a, b = [], []
+    a, b, of = [], [], None
+    if (places := int(key[-1] + margin * (width[-1] + 1)) + 1) <= DENSE * len(key):
+        of = np.full(places, -1, np.int32)
+        of[key] = np.arange(len(key))
     for dr, dc in steps:
         if (dr, dc) <= (0, 0):
             continue  # the step back of another one
         want = key + dr * width + dc
-        at = np.minimum(np.searchsorted(key, want), len(key) - 1)
-        hit = np.flatnonzero(key[at] == want)
+        if of is None:
+            at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            hit = np.flatnonzero(key[at] == want)
+        else:
+            at = of[want]
+            hit = np.flatnonzero(at >= 0)
         a.append(hit)
         b.append(at[hit])
     return first[tied_numbers(len(key), np.concatenate(a), np.concatenate(b))[place]]
 
 
-def _numbered_whole(pixels: DataFrame, steps: list[tuple[int, int]], name: str) -> DataFrame:
-    """pixels with the region's number (from 1, in raster order) of images that a task may have whole."""
+def _numbered_whole(pixels: DataFrame, numbered: dict[str, list[tuple[int, int]]]) -> DataFrame:
+    """pixels with the region's number (from 1, in raster order) by each name's steps, of images that a task may have whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, code in whole_groups(batches):
-            lead = linked_rows(code, *(table.column(c).to_numpy() for c in ("row", "col")), steps)
-            upto = np.cumsum(lead == np.arange(len(lead)))
-            ahead = (upto - 1)[np.searchsorted(code, code)]  # regions of the images before
-            yield from table.append_column(name, pa.array(upto[lead] - ahead, pa.int64())).to_batches()
+            rows, cols = (table.column(c).to_numpy() for c in ("row", "col"))
+            for name, steps in numbered.items():
+                lead = linked_rows(code, rows, cols, steps)
+                upto = np.cumsum(lead == np.arange(len(lead)))
+                ahead = (upto - 1)[np.searchsorted(code, code)]  # regions of the images before
+                table = table.append_column(name, pa.array(upto[lead] - ahead, pa.int64()))
+            yield from table.to_batches()
 
     taken = [c for c in pixels.columns if c not in ("image_id", "row", "col")]
     n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pixels.select("image_id", "row", "col", *taken).repartition(n, "image_id").sortWithinPartitions("image_id", "row", "col")
-    return dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField(name, T.LongType())]))
+    return dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, *(T.StructField(name, T.LongType()) for name in numbered)]))
 
 
 def _by_size(pixels: DataFrame, whole: int, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -164,9 +177,9 @@ def connected_regions(pixels: DataFrame, eight: bool = True, tile: int = TILE, w
     once. Repeated pixels get the same label.
     """
     taken = [c for c in pixels.columns if c not in ("image_id", "row", "col")]
-    base = pixels.where("image_id is not null").select("image_id", F.col("row").cast("int"), F.col("col").cast("int"), *taken).transform(cut)
+    base = pixels.where("image_id is not null").select("image_id", F.col("row").cast("int"), F.col("col").cast("int"), *taken).transform(saved)
     around = AROUND_8 if eight else AROUND_4
-    return _by_size(base, whole, lambda few: _numbered_whole(few, around, "region_id"), lambda many: _by_tiles(many, eight, tile))
+    return _by_size(base, whole, lambda few: _numbered_whole(few, {"region_id": around}), lambda many: _by_tiles(many, eight, tile))
 
 
 def _by_tiles(base: DataFrame, eight: bool, tile: int) -> DataFrame:
@@ -212,12 +225,12 @@ def detections(pixels: DataFrame, low: float = 500.0, high: float = 1250.0, leas
     """Pixels of detected regions, with region_id: cmf at least ``low``, 4-connected regions of at least ``least`` pixels, and
     of the smaller ones those 8-connected groups with a pixel of at least ``high``; labelled anew with 8 neighbours."""
     over = pixels.where(F.col("cmf") >= low)
-    four = connected_regions(over, eight=False).transform(cut)
+    four = connected_regions(over, eight=False).transform(saved)
     large = without_small(four, least).drop("region_id")
     small = connected_regions(four.join(large.select("image_id", "row", "col"), ["image_id", "row", "col"], "left_anti").drop("region_id"))
     strong = small.groupBy("image_id", "region_id").agg(F.max("cmf").alias("_m")).where(F.col("_m") >= high)
     back = small.join(strong.select("image_id", "region_id"), ["image_id", "region_id"], "left_semi").drop("region_id")
-    return connected_regions(large.unionByName(back).transform(cut))
+    return connected_regions(large.unionByName(back))
 
 
 def region_statistics(regions: DataFrame, value: str = "cmf", pixel_size: float = 3.1, held: int = selection.HELD_ROWS) -> DataFrame:
@@ -238,7 +251,7 @@ def region_statistics(regions: DataFrame, value: str = "cmf", pixel_size: float
         more = both.groupBy(*keys).agg(F.median(F.abs(F.col("_v") - F.col("med"))).alias("mad"), place("row"), place("col"))
         return g.join(more, keys).select(*columns)
 
-    regions = regions.select(*keys, "row", "col", value).transform(cut)  # read several times
+    regions = regions.select(*keys, "row", "col", value).transform(saved)  # read several times
     large = selection.large_groups(regions, keys, held)
     if large.isEmpty():
         out = sorted_(regions)
@@ -332,14 +345,26 @@ def _merged(pixels: DataFrame, distance: int, whole: int) -> DataFrame:
         return many.join(wide, ["image_id", "row", "col"])
 
     steps = [s for s in square(2 * distance + 1) if s != (0, 0)]
-    base = pixels.where("image_id is not null").transform(cut)
-    return _by_size(base, whole, lambda few: _numbered_whole(few, steps, "merged_id"), by_dilation)
+    base = pixels.where("image_id is not null").transform(saved)
+    return _by_size(base, whole, lambda few: _numbered_whole(few, {"merged_id": steps}), by_dilation)
+
+
+def merged_regions(pixels: DataFrame, distance: int, tile: int = TILE, whole: int = WHOLE) -> tuple[DataFrame, DataFrame]:
+    """merge_regions() of the connected_regions() of pixels; images of at most ``whole`` pixels are labelled and merged in one pass."""
+    steps = [s for s in square(2 * distance + 1) if s != (0, 0)]
+    base = pixels.where("image_id is not null").withColumns({c: F.col(c).cast("int") for c in ("row", "col")}).transform(saved)
+    out = _by_size(base, whole, lambda few: _numbered_whole(few, {"region_id": AROUND_8, "merged_id": steps}), lambda many: _merged(_by_tiles(many, True, tile), distance, whole))
+    return out, _originals(out)
+
+
+def _originals(merged: DataFrame) -> DataFrame:
+    return merged.groupBy("image_id", "merged_id").agg(F.array_sort(F.collect_set("region_id")).alias("originals"))
 
 
 def merge_regions(regions: DataFrame, distance: int, whole: int = WHOLE) -> tuple[DataFrame, DataFrame]:
     """Regions whose surroundings, to a chessboard distance, touch become one: pixels with merged_id, and (image_id, merged_id, originals)."""
     out = _merged(regions, distance, whole)
-    return out, out.groupBy("image_id", "merged_id").agg(F.array_sort(F.collect_set("region_id")).alias("originals"))
+    return out, _originals(out)
 
 
 def distance_to(pixels: DataFrame, targets: DataFrame, reach: int) -> DataFrame:

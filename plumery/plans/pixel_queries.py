@@ -53,7 +53,7 @@ def region_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def region_merge(spark: SparkSession, d: str) -> DataFrame:
-    merged = R.merge_regions(_regions(spark, d), 1)[1]
+    merged = R.merged_regions(V.grid_pixels(spark, d).where("cmf > 1000").select("image_id", "row", "col"), 1, tile=32)[1]
     return merged.select("image_id", "merged_id", F.array_join(F.col("originals").cast("array<string>"), ",").alias("originals"))
 
 

@@ -676,3 +676,17 @@ def test_clips_of_rings_of_any_size(spark):
         return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(p, p[1:])) % 2 == 1
 
     assert got == sorted((n, r, c) for n, p in features for r in range(45) for c in range(45) if inside(c + 0.5, r + 0.25, p))
+
+
+def test_labelled_and_merged_in_one_pass(spark, monkeypatch):
+    """The same regions and merged ones as one after the other, of whole and of large images, with neighbours from a table or by a search."""
+    r = np.random.default_rng(23)
+    rows = [(f"i{k % 3}", int(a), int(b) - 9) for k, (a, b) in enumerate(r.integers(0, 40, (900, 2)))]
+    px = spark.createDataFrame(sorted(set(rows)), "image_id string, row int, col int")
+    want = sorted(map(tuple, regions.merge_regions(regions.connected_regions(px), 1)[0].select("image_id", "row", "col", "region_id", "merged_id").collect()))
+    assert len({x[-1] for x in want}) > 1
+    for whole, dense in ((regions.WHOLE, 16), (regions.WHOLE, 0), (0, 16)):
+        monkeypatch.setattr(regions, "DENSE", dense)
+        got, named = regions.merged_regions(px, 1, 16, whole)
+        assert sorted(map(tuple, got.select("image_id", "row", "col", "region_id", "merged_id").collect())) == want
+        assert sum(len(x.originals) for x in named.collect()) == len({(x[0], x[3]) for x in want})
