@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,12 +45,25 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query that is made and run leaves no shuffle files behind, which else stay until the driver's next garbage collection."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, partition_by: str | None = None) -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read back, and where it is: who has it may remove() it when all that was made of
     it is written."""
     path = shared_dir(df.sparkSession)
     writer = df.write
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -58,6 +72,20 @@ def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return written(df, partition_by)[0]
 
 
+def bucketed(df: DataFrame, n: int, *by: str) -> tuple[DataFrame, Callable[[], None]]:
+    """df written as a table in n buckets by those columns and read back, and what drops the table: joins on these columns, with n
+    partitions, leave its rows where they are."""
+    spark, name, path = df.sparkSession, f"buckets_{uuid.uuid4().hex}", shared_dir(df.sparkSession)
+    with shuffles_removed(spark):
+        df.repartition(n, *by).write.bucketBy(n, *by).option("path", path).format("parquet").saveAsTable(name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+    return spark.table(name), drop
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of an intermediate table that is no longer read."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumery.llm.common import LOWER, UPPER, join_skewed, materialise, remove, small_batches, table, written
+from plumery.llm.common import LOWER, UPPER, bucketed, join_skewed, materialise, remove, shuffles_removed, small_batches, table, written
 from plumery.llm.components import connected_components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -447,8 +447,9 @@ def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         often = n >= FREQUENT
         return pa.table({"shingle": found[often].astype(np.int64), "n": n[often].astype(np.int64)})
 
-    counts = sets.select("shingles").mapInArrow(parts, "part int, planes binary").groupBy("part").applyInArrow(count, "shingle long, n long")
-    found = counts.orderBy(F.desc("n"), "shingle").limit(PUT_LAST).toArrow()
+    with shuffles_removed(sets.sparkSession):
+        counts = sets.select("shingles").mapInArrow(parts, "part int, planes binary").groupBy("part").applyInArrow(count, "shingle long, n long")
+        found = counts.orderBy(F.desc("n"), "shingle").limit(PUT_LAST).toArrow()
     shingles, n = found.column("shingle").to_numpy().astype(np.uint32), found.column("n").to_numpy()
     order = np.argsort(shingles)
     return shingles[order], np.unique(n, return_inverse=True)[1].ravel()[order].astype(np.int32) + 1
@@ -505,20 +506,15 @@ def sharing_edges(trees: DataFrame, sets: DataFrame, similarity: float) -> DataF
     """
     last, ranks = frequent_shingles(sets)
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(2)]
-            taken = [x.tobytes() for x in first_shingles(every, last, ranks, similarity)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, every)), pa.int32()), pa.array(taken, pa.binary())], names=["doc_id", "text_hash", "size", "first"])
-
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(3)]
-            n = np.fromiter(map(len, every), np.int64, len(every))
+            every = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(2)]
+            taken = first_shingles(every, last, ranks, similarity)
+            sizes, n = pa.array(list(map(len, every)), pa.int32()), np.fromiter(map(len, taken), np.int64, len(taken))
             at = pa.array(np.repeat(np.arange(len(n)), n))
             place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            keys = np.concatenate(every).view(np.int32) if every else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(k).take(at) for k in range(3)), pa.array(place.astype(np.int32))], names=["key", "node", "tree", "size", "place"])
+            keys = np.concatenate(taken).view(np.int32) if taken else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(x.take(at) for x in (batch.column(0), batch.column(1), sizes)), pa.array(place.astype(np.int32))], names=["key", "node", "tree", "size", "place"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, node, tree, size, place in whole_runs(batches):
@@ -527,8 +523,8 @@ def sharing_edges(trees: DataFrame, sets: DataFrame, similarity: float) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     n = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    firsts = sets.select("doc_id", "text_hash", "shingles").mapInArrow(first, "doc_id long, text_hash long, size int, first binary")
-    keys = firsts.join(trees, ["doc_id", "text_hash"]).select("node", "tree", "size", "first").mapInArrow(keyed, "key int, node long, tree long, size int, place int")
+    whole = sets.select("doc_id", "text_hash", "shingles").join(trees, ["doc_id", "text_hash"]).select("node", "tree", "shingles")
+    keys = whole.mapInArrow(keyed, "key int, node long, tree long, size int, place int")
     return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(met, "a long, b long").distinct()
 
 
@@ -556,11 +552,12 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     the smallest doc_id, then text_hash. Rows without a doc_id play no part. A very long text is one row with its whole set of
     shingles, four bytes each.
     """
-    prints = materialise(sketches(docs.where(F.col("doc_id").isNotNull()), width).withColumn("of", F.xxhash64("shingles")))
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Each round asks for sets by doc_id and text_hash: they are dealt out once.
+    prints, drop_prints = bucketed(sketches(docs.where(F.col("doc_id").isNotNull()), width).withColumn("of", F.xxhash64("shingles")), n_parts, "doc_id", "text_hash")
     alike = prints.groupBy("one", "two", "of", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n_rows"))
     nodes = alike.groupBy("one", "two", "of").agg(F.min(F.struct("doc_id", "text_hash", "n_rows")).alias("lead"))
     nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "one", "two", "lead"))
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     where = nodes.select("node", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_hash").alias("text_hash"))
     trees, good, good_at = nodes.withColumn("tree", F.col("node")), None, None
     for nearest, prints_of in ((True, 1), (True, 2), (False, 1), (False, 2), (None, None)):
@@ -580,6 +577,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
             remove(docs.sparkSession, path)
         roots = connected_components(good)
         trees = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("tree"), "one", "two", "lead")
+    drop_prints()
     return trees.groupBy("tree").agg(F.min("lead").alias("lead")).select("lead.*")
 
 

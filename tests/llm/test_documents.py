@@ -3,7 +3,9 @@
 import hashlib
 import json
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from conftest import same
 from pyspark.sql import functions as F
 
 from plumery.llm import decontam, line_dedup, registry, sharding, simhash, token_store
-from plumery.llm.common import shared_dir
+from plumery.llm.common import bucketed, shared_dir, written
 
 LONG = "A line that is long enough to be compared with the others "
 SCHEMA = "doc_id long, text string, lang string, pos int, h1 string, fp string, n_lines string, spans string, size string"
@@ -231,6 +233,32 @@ def test_no_similar_text_is_left_out(spark, monkeypatch):
     assert kept == lead
 
 
+def test_no_shuffle_files_stay_behind(spark):
+    """What a written table's shuffles took of the disk is free again, and a second table from the same rows is whole."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f.name for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    rows = spark.range(20_000).selectExpr("id", "id % 997 AS k").repartition(3, "k").groupBy("k").count()
+    before = files()
+    first, second = written(rows)[0], bucketed(rows, 3, "k")[0]
+    assert sorted(first.collect()) == sorted(second.collect()) and len(first.collect()) == 997
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.05)
+    assert not files() - before
+
+
+def test_sets_are_dealt_out_once(spark):
+    """A round's look-up of sets moves what it asks for, not the sets."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets, drop = bucketed(spark.range(1000).selectExpr("id AS doc_id", "id * 3 AS text_hash", "cast(id AS string) AS shingles"), n, "doc_id", "text_hash")
+    wanted = spark.range(50).selectExpr("id AS node", "id * 2 AS doc_id", "id * 6 AS text_hash")
+    found = sets.join(wanted.hint("merge"), ["doc_id", "text_hash"])
+    assert found.count() == 50
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+    drop()
+
+
 def test_first_shingles_and_shared_pairs_leave_out_no_pair():
     r = np.random.default_rng(16)
     base = [np.unique(r.integers(0, 400, n).astype(np.uint32)) for n in r.integers(1, 60, 200)]
