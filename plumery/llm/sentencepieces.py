@@ -35,10 +35,10 @@ BLANK = "▁"
 MARK, SIGN = "\ud800", "\ud801"
 #: Longer words go through a heap instead of the side-by-side agendas.
 LONG_WORD = 256
-NO_MERGE = 1 << 30
+NO_MERGE, FREE = 1 << 30, np.iinfo(np.int64).min
 #: A word's runs are remembered from so many uses on, and if it hasn't more characters than that.
 OFTEN, REMEMBERED_LENGTH = 6, 24
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 1_000_000
 
 
 class Runs:
@@ -49,7 +49,7 @@ class Runs:
         self.word_of: list[str] = []
         self.skips: list[tuple[int, ...]] = []
         self.n, self.n_ids, self.n_ways = 0, 0, 0
-        self.at, self.size, self.count, self.ways_at = (np.zeros(1 << 12, np.int64) for _ in range(4))
+        self.at, self.size, self.count, self.ways_at, self.depth = (np.zeros(1 << 12, np.int64) for _ in range(5))
         self.ids, self.ways = np.zeros(1 << 14, np.uint16), np.zeros(1 << 14, np.int32)
         #: Of each word's number: how often it came, and its run without skips (-1: not remembered).
         self.uses, self.root = np.zeros(1 << 12, np.int64), np.full(1 << 12, -1)
@@ -66,7 +66,8 @@ class Runs:
     def add(self, words: list[str], skips: list[tuple[int, ...]], ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Numbers of the new runs, whose ids stand one after another."""
         n, m, i, w = self.n, self.n + len(sizes), self.n_ids + len(ids), self.n_ways + int(counts.sum())
-        self.at, self.size, self.count, self.ways_at = (_grown(x, m) for x in (self.at, self.size, self.count, self.ways_at))
+        self.at, self.size, self.count, self.ways_at, self.depth = (_grown(x, m) for x in (self.at, self.size, self.count, self.ways_at, self.depth))
+        self.depth[n:m] = np.fromiter(map(len, skips), np.int64, m - n)
         self.ids, self.ways = _grown(self.ids, i), _grown(self.ways, w)
         self.at[n:m], self.size[n:m], self.count[n:m], self.ways_at[n:m] = self.n_ids + np.cumsum(sizes) - sizes, sizes, counts, self.n_ways + np.cumsum(counts) - counts
         self.ids[self.n_ids : i], self.ways[self.n_ways : w] = ids, -1
@@ -93,6 +94,12 @@ def _gathered(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return flat[np.repeat(at - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
 
 
+def _packed(skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers one after another, and how many each one has."""
+    sizes = np.fromiter(map(len, skips), np.int64, len(skips))
+    return np.fromiter(chain.from_iterable(skips), np.int64, int(sizes.sum())), sizes
+
+
 def _mixed(z: np.ndarray) -> np.ndarray:
     """splitmix64's last steps."""
     with np.errstate(over="ignore"):
@@ -143,17 +150,19 @@ class Pieces:
         rank = {i: r for r, i in enumerate(order)}
         merges = sorted(((usable[p[:k]] << 16 | usable[p[k:]], rank[i], i) for p, i in usable.items() for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable))
         self.pairs = {key: (r, i) for key, r, i in merges}
-        size = 1 << (4 * len(merges)).bit_length()
-        self.size, self.slots, self.ranks, self.ids = size, np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int32)
-        keys, ranks, ids = (np.array(x, np.int64) for x in zip(*merges, strict=True))
+        self.id_of = np.array(order, np.int32)  # of each rank
+        bits = (4 * len(merges)).bit_length()
+        self.last, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.slots = np.full(1 << bits, FREE)  # pair and rank
+        keys, ranks, _ = (np.array(x, np.int64) for x in zip(*merges, strict=True))
         at = self._home(keys)
         while len(keys):  # open addressing
-            free = self.slots[at] < 0
+            free = self.slots[at] == FREE
             _, first = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
             first = first[free[first]]
-            self.slots[at[first]], self.ranks[at[first]], self.ids[at[first]] = keys[first], ranks[first], ids[first]
+            self.slots[at[first]] = keys[first] << 16 | ranks[first]
             left = np.setdiff1d(np.arange(len(keys)), first)
-            keys, ranks, ids, at = keys[left], ranks[left], ids[left], (at[left] + 1) % size
+            keys, ranks, at = keys[left], ranks[left], at[left] + 1 & self.last
         self.chars = {p: i for p, i in usable.items() if len(p) == 1}
         self.by_lines = not any("\n" in p for p in usable)
         self.char_ids = np.full(0x110000, -1, np.int32)
@@ -171,74 +180,79 @@ class Pieces:
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % self.size
+            return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
 
-    def merge_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (NO_MERGE: none) and id of the piece that two neighbours form."""
-        rank, ids = np.full(left.shape, NO_MERGE, np.int32), np.zeros(left.shape, np.int32)
-        todo = np.flatnonzero((left >= 0) & (right >= 0))
-        keys = left[todo].astype(np.int64) << 16 | right[todo]
+    def merge_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank (NO_MERGE: none) of the piece that two neighbours form; negative ones form none."""
+        keys = left.astype(np.int64) << 16 | right
         at = self._home(keys)
+        here = self.slots[at]
+        hit = here >> 16 == keys
+        rank = np.where(hit, here & 0xFFFF, NO_MERGE).astype(np.int32)
+        todo = np.flatnonzero(~hit & (here != FREE))
+        keys, at = keys[todo], at[todo]
         while len(todo):
+            at = at + 1 & self.last
             here = self.slots[at]
-            hit = here == keys
-            rank[todo[hit]], ids[todo[hit]] = self.ranks[at[hit]], self.ids[at[hit]]
-            on = ~hit & (here >= 0)
-            todo, keys, at = todo[on], keys[on], (at[on] + 1) % self.size
-        return rank, ids
+            hit = here >> 16 == keys
+            rank[todo[hit]] = here[hit] & 0xFFFF
+            on = ~hit & (here != FREE)
+            todo, keys, at = todo[on], keys[on], at[on]
+        return rank
 
     # --- agenda -------------------------------------------------------------------------------------------------------
 
-    def segment(self, words: list[str], skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def segment(self, words: list[str], skips: np.ndarray, n_skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The runs of words with the given candidates skipped: all their ids, and each one's number of ids and of candidates.
 
-        They go side by side, about equally long words together.
+        skips has the numbers of each word's skipped candidates, ascending, and n_skips how many they are. Words go side by side,
+        about equally long ones together.
         """
-        forms = list(map(self._form, words))
-        lengths = np.fromiter(map(len, forms), np.int64, len(forms))
+        chars, starts, lengths = self._forms(words)
+        skip_at = np.cumsum(n_skips) - n_skips
         order = np.argsort(lengths, kind="stable")
-        lengths, at, found = lengths[order], 0, []
+        ascending, at, found = lengths[order], 0, []
         while at < len(order):
-            width = int(lengths[at])
+            width = int(ascending[at])
             if width > LONG_WORD:
-                end = at + 1
-                found.append(self._segment_long(forms[order[at]], skips[order[at]]))
+                end, k = at + 1, order[at]
+                found.append(self._segment_long(_text(chars[starts[k] : starts[k] + width]), skips[skip_at[k] : skip_at[k] + n_skips[k]].tolist()))
             else:
-                end = min(int(np.searchsorted(lengths, min(width + width // 4, LONG_WORD), "right")), at + max(1, 200_000 // width))
-                part = order[at:end].tolist()
-                found.append(self._agenda([forms[n] for n in part], [skips[n] for n in part]))
+                end = min(int(np.searchsorted(ascending, min(width + width // 4, LONG_WORD), "right")), at + max(1, 200_000 // width))
+                part = order[at:end]
+                found.append(self._agenda(chars, starts[part], lengths[part], _gathered(skips, skip_at[part], n_skips[part]), n_skips[part]))
             at = end
         ids, sizes, counts = (np.concatenate(x) for x in zip(*found, strict=True))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         return _gathered(ids, (np.cumsum(sizes) - sizes)[place], sizes[place]), sizes[place], counts[place]
 
-    def _agenda(self, words: list[str], skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _agenda(self, chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray, skips: np.ndarray, n_skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, and the number of ids and of candidates of each word.
 
-        Symbols of a word are linked; a symbol's column is where it starts, and holds the rank of its merge with the next.
+        Symbols of a word are linked; a symbol's place, in its word's row, is where it starts, and holds the rank of its merge with
+        the next. A row has a place more than its word, at which nothing merges.
         """
-        n, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
-        width = int(lengths.max())
+        n, width = len(starts), int(lengths.max()) + 1
         inside = np.arange(width) < lengths[:, None]
-        ids = np.full((n, width), -2, np.int32)  # -2: nothing, -1: a character without a piece
-        ids[inside] = self.char_ids[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))  # where the next symbol starts, so where this one ends
+        ids = np.full(n * width, -2, np.int32)  # -2: nothing, -1: a character without a piece
+        ids[inside.ravel()] = self.char_ids[_gathered(chars, starts, lengths)]
+        after = np.arange(1, n * width + 1)  # where the next symbol starts, so where this one ends
         before = after - 2
-        rank, made = np.full((n, width), NO_MERGE, np.int32), np.zeros((n, width), np.int32)
+        before[::width] = -1
+        ranks = np.full((n, width), NO_MERGE, np.int32)
+        rank = ranks.ravel()
         seen = np.zeros(n, np.int64)
-        skipped = np.array([r * (3 * width) + k for r, own in enumerate(skips) for k in own], np.int64)
-        skipped = np.append(skipped, np.iinfo(np.int64).max)
-
-        def offer(r: np.ndarray, i: np.ndarray, many: bool = False) -> None:
-            """Rank the merges of the symbols at rows r (ascending; once each, unless many) and columns i with the next ones."""
-            j = after[r, i]
-            ok = j < lengths[r]
-            rank[r[~ok], i[~ok]] = NO_MERGE
-            r, i, j = r[ok], i[ok], j[ok]
-            new, piece = self.merge_of(ids[r, i], ids[r, j])
+        # A word has fewer than three candidates for each character.
+        most, skipped = 3 * width, np.zeros(3 * n * width, bool)
+        own = skips < most
+        skipped[np.repeat(np.arange(n), n_skips)[own] * most + skips[own]] = True
+
+        def offer(row: np.ndarray, at: np.ndarray, many: bool = False) -> None:
+            """Rank the merges of the symbols at these places of rows (ascending; once each, unless many) with the next ones."""
+            new = self.merge_of(ids[at], ids[after[at]])
             some = np.flatnonzero(new < NO_MERGE)
-            own = r[some]
+            own = row[some]
             number = seen[own]
             if many:
                 added = np.bincount(own, minlength=n)
@@ -246,33 +260,33 @@ class Pieces:
                 seen[:] += added
             else:
                 seen[own] += 1
-            code = own * (3 * width) + number
-            new[some[skipped[np.searchsorted(skipped, code)] == code]] = NO_MERGE
-            rank[r, i], made[r, i] = new, piece
+            new[some[skipped[own * most + number]]] = NO_MERGE
+            rank[at] = new
 
-        offer(*np.nonzero(inside), many=True)
+        offer(np.repeat(np.arange(n), lengths), np.flatnonzero(inside), many=True)
         rows = np.arange(n)
         while len(rows):
-            best = rank[rows].argmin(1)
-            go = rank[rows, best] < NO_MERGE
-            rows, i = rows[go], best[go]
-            j = after[rows, i]
-            ids[rows, i] = made[rows, i]
-            after[rows, i] = after[rows, j]
-            ids[rows, j], rank[rows, j] = -2, NO_MERGE
-            more = after[rows, i] < lengths[rows]
-            before[rows[more], after[rows, i][more]] = i[more]
-            offer(rows, i)
-            left = before[rows, i] >= 0
-            offer(rows[left], before[rows, i][left])
+            at = rows * width + ranks[rows].argmin(1)
+            best = rank[at]
+            go = best < NO_MERGE
+            rows, at = rows[go], at[go]
+            gone = after[at]
+            ids[at], ids[gone], rank[gone] = self.id_of[best[go]], -2, NO_MERGE
+            after[at] = end = after[gone]
+            before[end] = at
+            offer(rows, at)
+            left = before[at]
+            has = left >= 0
+            offer(rows[has], left[has])
+        ids = ids.reshape(n, width)
         alive = ids > -2
         bare = np.flatnonzero((ids == -1).any(1)).tolist()
         if not bare:
             return ids[alive].astype(np.uint16), alive.sum(1), seen
         own = [ids[r, alive[r]].astype(np.uint16) for r in range(n)]
         for r in bare:
-            starts = np.flatnonzero(alive[r])
-            own[r] = self._written(words[r], ids[r, starts].tolist(), starts.tolist())
+            places = np.flatnonzero(alive[r])
+            own[r] = self._written(_text(chars[starts[r] : starts[r] + lengths[r]]), ids[r, places].tolist(), places.tolist())
         return np.concatenate(own), np.fromiter(map(len, own), np.int64, n), seen
 
     def _written(self, word: str, ids: list[int], starts: list[int]) -> np.ndarray:
@@ -284,7 +298,7 @@ class Pieces:
             ids = whole
         return np.array(ids, np.uint16)
 
-    def _segment_long(self, word: str, skips: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _segment_long(self, word: str, skips: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same agenda as a heap over linked symbols, for one long word."""
         n = len(word)
         ids, end = self.char_ids[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)].tolist(), list(range(1, n + 1))
@@ -344,19 +358,20 @@ class Pieces:
         words = [(n, w) for n, w in zip(often.tolist(), map(flat.__getitem__, first.tolist()), strict=True) if n >= 0 and len(w) <= REMEMBERED_LENGTH]
         if words:
             names = [w for _, w in words]
-            runs.root[[n for n, _ in words]] = runs.add(names, [()] * len(names), *self.segment(names, [()] * len(names)))
+            skips = [()] * len(names)
+            runs.root[[n for n, _ in words]] = runs.add(names, skips, *self.segment(names, *_packed(skips)))
         run, own = runs.root[found], np.flatnonzero(runs.root[found] < 0)
         if rate > 0:
             own = np.concatenate([own, self._descend(runs, run, keys, rate)])
         at, ids_of_each = runs.at[run], runs.size[run]
         if len(own):  # an agenda for each of these occurrences
             words = list(map(flat.__getitem__, own.tolist()))
-            skips = self._skips(keys[own], words, rate) if rate > 0 else [()] * len(words)
-            own_ids, own_sizes, counts = self.segment(words, skips)
+            skips, n_skips = self._skips(keys[own], words, rate) if rate > 0 else _packed([()] * len(words))
+            own_ids, own_sizes, counts = self.segment(words, skips, n_skips)
             own_at = np.cumsum(own_sizes) - own_sizes
             at[own], ids_of_each[own] = runs.n_ids + own_at, own_sizes
             ids = _gathered(np.concatenate([runs.ids[: runs.n_ids], own_ids]), at, ids_of_each)
-            self._keep(runs, run[own].tolist(), words, skips, own_ids, own_at, own_sizes, counts)
+            self._keep(runs, run[own], words, skips, n_skips, own_ids, own_at, own_sizes, counts)
         else:
             ids = _gathered(runs.ids, at, ids_of_each)
         ends = np.concatenate(([0], np.cumsum(ids_of_each)))[np.cumsum(sizes)].tolist()
@@ -390,7 +405,7 @@ class Pieces:
             if len(new):
                 parents = run[todo[first]].tolist()
                 words, skips = [runs.word_of[n] for n in parents], [(*runs.skips[n], k) for n, k in zip(parents, at[first].tolist(), strict=True)]
-                numbers = runs.add(words, skips, *self.segment(words, skips))
+                numbers = runs.add(words, skips, *self.segment(words, *_packed(skips)))
                 runs.ways[new] = numbers
             on = runs.ways[way] >= 0
             alone.append(todo[~on])
@@ -400,27 +415,24 @@ class Pieces:
         return np.concatenate(alone)
 
     @staticmethod
-    def _keep(runs: Runs, parents: list[int], words: list[str], skips: list[tuple[int, ...]], ids: np.ndarray, at: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> None:
+    def _keep(runs: Runs, parents: np.ndarray, words: list[str], skips: np.ndarray, n_skips: np.ndarray, ids: np.ndarray, at: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> None:
         """Remember, of runs that occurrences made for themselves, those that are one skip away from a remembered one."""
-        kept, own_skips, ways = [], [], set()
-        for n, (parent, skip, count) in enumerate(zip(parents, skips, counts.tolist(), strict=True)):
-            if parent >= 0:
-                k = len(runs.skips[parent])
-                if len(skip) == k + 1 or skip[k + 1] >= count:
-                    way = int(runs.ways_at[parent]) + skip[k]
-                    if way not in ways:
-                        ways.add(way)
-                        kept.append((n, way))
-                        own_skips.append(skip[: k + 1])
-        if kept:
-            n, way = np.array(kept).T
-            runs.ways[way] = runs.add([words[k] for k in n.tolist()], own_skips, _gathered(ids, at[n], sizes[n]), sizes[n], counts[n])
+        n = np.flatnonzero(parents >= 0)
+        first, k = (np.cumsum(n_skips) - n_skips)[n], runs.depth[parents[n]]
+        end = k + 1 == n_skips[n]
+        one = end | (skips[np.where(end, 0, first + k + 1)] >= counts[n]) if len(n) else end
+        n, first, k = n[one], first[one], k[one]
+        way, kept = np.unique(runs.ways_at[parents[n]] + skips[first + k], return_index=True)
+        if len(way):
+            n, first, k = n[kept], first[kept], k[kept]
+            own_skips = [tuple(skips[a:b].tolist()) for a, b in zip(first.tolist(), (first + k + 1).tolist(), strict=True)]
+            runs.ways[way] = runs.add([words[x] for x in n.tolist()], own_skips, _gathered(ids, at[n], sizes[n]), sizes[n], counts[n])
 
     @staticmethod
-    def _skips(keys: np.ndarray, words: list[str], rate: float) -> list[tuple[int, ...]]:
-        """The numbers of each occurrence's skipped candidates; a word has fewer than three for each character."""
+    def _skips(keys: np.ndarray, words: list[str], rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of each occurrence's skipped candidates, one occurrence after another, and how many they are; a word has fewer
+        than three for each character."""
         bound = 3 * np.fromiter(map(len, words), np.int64, len(words)) + 3
-        out: list[tuple[int, ...]] = [()] * len(words)
         todo, at, draw, rows, skipped = np.arange(len(words)), np.full(len(words), -1), 0, [], []
         while len(todo):
             at = at + 1 + passed(keys[todo], draw, rate)
@@ -430,24 +442,26 @@ class Pieces:
             skipped.append(at)
             draw += 1
         rows, skipped = np.concatenate(rows), np.concatenate(skipped)
-        order = np.argsort(rows, kind="stable")
-        cuts = np.searchsorted(rows[order], np.arange(len(words) + 1)).tolist()
-        skipped = skipped[order].tolist()
-        for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if a < b:
-                out[n] = tuple(skipped[a:b])
-        return out
-
-    def _form(self, word: str) -> str:
-        """The characters to merge: BLANK is a blank, SIGN a blank sign of the text."""
-        if word.startswith(MARK):
-            return word.replace(MARK, BLANK)
-        return word if self.by_lines and word.startswith("\n") else BLANK + word
+        return skipped[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(words))
+
+    def _forms(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The characters to merge of all words, where each one's begin and how many they are: BLANK is a blank, SIGN a blank sign of the text."""
+        chars = np.frombuffer((BLANK + BLANK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        starts = np.cumsum(lengths) - lengths
+        first = chars[np.minimum(starts + 1, len(chars) - 1)]
+        whole = (lengths > 1) & ((first == ord(MARK)) | (self.by_lines & (first == ord("\n"))))  # they have the blanks before them, or none
+        chars[chars == ord(MARK)] = ord(BLANK)
+        return chars, starts + whole, lengths - whole
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.out.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
+def _text(chars: np.ndarray) -> str:
+    return chars.tobytes().decode("utf-32-le", "surrogatepass")
+
+
 @cache
 def pieces(path: str) -> Pieces:
     """One for each worker process."""
@@ -467,15 +481,13 @@ def encode_pieces(docs: DataFrame, model: str, seed: int = 1, rate: float = 0.1)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-                ids = [i for _, some in runs_of(texts, CHUNK_CHARS) for i in own.encode(some, seed, rate)]
-                fine = [own.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = pa.array(np.concatenate(ids).astype(np.int32)) if ids else pa.array([], pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), lists, pa.array(sizes), pa.array(fine)], names=[*(f.name for f in kept), "ids", "n_pieces", "lossless"])
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            ids = [i for _, some in runs_of(texts, CHUNK_CHARS) for i in own.encode(some, seed, rate)]
+            fine = [own.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = pa.array(np.concatenate(ids).astype(np.int32)) if ids else pa.array([], pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), lists, pa.array(sizes), pa.array(fine)], names=[*(f.name for f in kept), "ids", "n_pieces", "lossless"])
         own.memo = Runs()  # a worker lives on after its task, and so would all that it remembers
 
     return small_batches(docs).select(*(f.name for f in kept)).mapInArrow(run, T.StructType(kept + added))

@@ -197,6 +197,17 @@ def test_dropout_against_a_plain_agenda(monkeypatch):
         monkeypatch.setattr(sentencepieces, "LONG_WORD", 8 if n else 256)
 
 
+def test_ids_do_not_depend_on_the_texts_beside():
+    """A word that is as long as any beside it, with its own blanks: what it skips is its own affair."""
+    r = np.random.default_rng(21)
+    texts = ["\n".join("  ".join("".join(r.choice(list("aeinrst"), r.integers(1, 9))) for _ in range(6)) for _ in range(5)) for _ in range(60)]
+    own = sentencepieces.Pieces(sentencepieces.model_path())
+    together = [i.tolist() for i in own.encode(texts, 1, 0.9)]
+    for text, ids in zip(texts, together, strict=True):
+        own.memo = sentencepieces.Runs()
+        assert own.encode([text], 1, 0.9)[0].tolist() == ids
+
+
 def test_each_occurrence_is_drawn_by_itself():
     own = sentencepieces.pieces(sentencepieces.model_path())
     same = own.encode([" ".join(["internationalisation"] * 400)], 5, 0.3)[0].tolist()
