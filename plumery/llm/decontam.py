@@ -295,8 +295,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0]))
 
 
+def _without(text: str | None, spans: list[list[int]]) -> str | None:
+    """text without what lies from the first to the last word of each span."""
+    if not spans:
+        return text
+    at = [m.span() for m in WORD.finditer(text.translate(_LOWER))]  # as long as the text itself
+    kept, end = [], 0
+    for a, b in spans:
+        kept.append(text[end : at[a][0]])
+        end = at[b - 1][1]
+    return "".join([*kept, text[end:]])
+
+
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs whose texts have lost every stretch from the first to the last word of a merged span; clean texts don't change."""
+    """docs whose texts have lost every stretch from the first to the last word of a merged span; clean texts don't change.
+
+    A benchmark of one block is searched and cut out by one Python worker of a task: a second one would stay in the executor's
+    pool, which later stages take workers from in turn.
+    """
+    blocks = benchmark_blocks(benchmark)
+    items = next(blocks)
+    if next(blocks, None) is None:
+        return _search(docs, items, window, [docs.schema["text"]], lambda text, n, spans, ids: (_without(text, spans.tolist()),)).select(*docs.columns)
     own = {c: f"_dc_own_{c}" for c in ("n_words", "spans", "item_ids", "n_hit") if c in docs.columns}
     docs = docs.withColumnsRenamed(own)
     found = find_contamination(docs, benchmark, window)
@@ -304,17 +324,8 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("spans")), strict=True):
-                text, spans = text.as_py(), spans.as_py()
-                if spans:
-                    at = [m.span() for m in WORD.finditer(text.translate(_LOWER))]  # as long as the text itself
-                    kept, end = [], 0
-                    for a, b in spans:
-                        kept.append(text[end : at[a][0]])
-                        end = at[b - 1][1]
-                    text = "".join([*kept, text[end:]])
-                texts.append(text)
+            texts, spans = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "spans"))
+            texts = [_without(t.as_py(), s.as_py()) for t, s in zip(texts, spans, strict=True)]
             arrays = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(batch.schema.get_field_index(f.name)) for f in schema.fields]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 

@@ -38,7 +38,7 @@ LONG_WORD = 256
 NO_MERGE, FREE = 1 << 30, np.iinfo(np.int64).min
 #: A word's runs are remembered from so many uses on, and if it hasn't more characters than that.
 OFTEN, REMEMBERED_LENGTH = 6, 24
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 300_000
 
 
 class Runs:
@@ -63,6 +63,13 @@ class Runs:
         self.uses += np.bincount(found, minlength=len(self.uses))
         return found
 
+    def forget_rare(self) -> None:
+        """Words without remembered runs go; the others get new numbers."""
+        often = np.flatnonzero(self.root[: len(self.words)] >= 0)
+        all_words = list(self.words)
+        self.words = Words(zip(map(all_words.__getitem__, often.tolist()), range(len(often)), strict=True))
+        self.uses, self.root = self.uses[often], self.root[often]
+
     def add(self, words: list[str], skips: list[tuple[int, ...]], ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Numbers of the new runs, whose ids stand one after another."""
         n, m, i, w = self.n, self.n + len(sizes), self.n_ids + len(ids), self.n_ways + int(counts.sum())
@@ -128,8 +135,8 @@ def passed(keys: np.ndarray, draw: int | np.ndarray, rate: float) -> np.ndarray:
 class Pieces:
     """A BPE model's pieces, as tables."""
 
-    def __init__(self, path: str, remember: int = 150_000):
-        """remember: how many words a worker counts, and how many runs it keeps, before it begins anew."""
+    def __init__(self, path: str, remember: int = 60_000):
+        """remember: how many words a worker counts before the rare ones go. If more than half are left, or it has more runs than that, it begins anew."""
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -148,13 +155,12 @@ class Pieces:
             raise ValueError("the model must have byte pieces and no blank inside a piece")
         order = sorted(usable.values(), key=lambda i: (-model.get_score(i), i))
         rank = {i: r for r, i in enumerate(order)}
-        merges = sorted(((usable[p[:k]] << 16 | usable[p[k:]], rank[i], i) for p, i in usable.items() for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable))
-        self.pairs = {key: (r, i) for key, r, i in merges}
+        merges = sorted(((usable[p[:k]] << 16 | usable[p[k:]], rank[i]) for p, i in usable.items() for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable))
         self.id_of = np.array(order, np.int32)  # of each rank
         bits = (4 * len(merges)).bit_length()
         self.last, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
         self.slots = np.full(1 << bits, FREE)  # pair and rank
-        keys, ranks, _ = (np.array(x, np.int64) for x in zip(*merges, strict=True))
+        keys, ranks = (np.array(x, np.int64) for x in zip(*merges, strict=True))
         at = self._home(keys)
         while len(keys):  # open addressing
             free = self.slots[at] == FREE
@@ -304,23 +310,30 @@ class Pieces:
         ids, end = self.char_ids[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)].tolist(), list(range(1, n + 1))
         before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
         seen, skipped = 0, set(skips)
-        heap: list[tuple[int, int, int, int, int]] = []
+        heap: list[tuple[int, int, int, int]] = []
+        slots, shift = memoryview(self.slots), int(self.shift)
 
         def offer(a: int, b: int) -> None:
             nonlocal seen
-            if ids[a] < 0 or ids[b] < 0 or (found := self.pairs.get(ids[a] << 16 | ids[b])) is None:
+            if ids[a] < 0 or ids[b] < 0:
                 return
+            key = ids[a] << 16 | ids[b]
+            at = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> shift
+            while (here := slots[at]) >> 16 != key:
+                if here == FREE:
+                    return
+                at = at + 1 & self.last
             if seen not in skipped:
-                heapq.heappush(heap, (found[0], a, end[a], end[b], found[1]))
+                heapq.heappush(heap, (here & 0xFFFF, a, end[a], end[b]))
             seen += 1
 
         for a in range(n - 1):
             offer(a, a + 1)
         while heap:
-            _, a, mid, stop, piece = heapq.heappop(heap)
+            best, a, mid, stop = heapq.heappop(heap)
             if not alive[a] or end[a] != mid or mid >= n or not alive[mid] or end[mid] != stop:
                 continue
-            ids[a], end[a], alive[mid], after[a] = piece, stop, False, after[mid]
+            ids[a], end[a], alive[mid], after[a] = int(self.id_of[best]), stop, False, after[mid]
             if after[a] < n:
                 before[after[a]] = a
                 offer(a, after[a])
@@ -349,7 +362,10 @@ class Pieces:
         cut = [self.words(t) if t else [] for t in texts]
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         runs = self.memo
-        if max(len(runs.words), runs.n) > self.remember:
+        full = len(runs.words) > self.remember
+        if full:
+            runs.forget_rare()
+        if max(2 * len(runs.words) if full else 0, runs.n) > self.remember:
             runs = self.memo = Runs()
         flat = list(chain.from_iterable(cut))
         found = runs.met(flat, len(flat))
@@ -481,13 +497,14 @@ def encode_pieces(docs: DataFrame, model: str, seed: int = 1, rate: float = 0.1)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            ids = [i for _, some in runs_of(texts, CHUNK_CHARS) for i in own.encode(some, seed, rate)]
-            fine = [own.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = pa.array(np.concatenate(ids).astype(np.int32)) if ids else pa.array([], pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), lists, pa.array(sizes), pa.array(fine)], names=[*(f.name for f in kept), "ids", "n_pieces", "lossless"])
+            whole = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            for first, texts in runs_of(whole, CHUNK_CHARS):
+                ids = own.encode(texts, seed, rate)
+                fine = [own.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
+                rows = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(f.name)) for f in kept), lists, pa.array(sizes), pa.array(fine)], names=[*(f.name for f in kept), "ids", "n_pieces", "lossless"])
         own.memo = Runs()  # a worker lives on after its task, and so would all that it remembers
 
     return small_batches(docs).select(*(f.name for f in kept)).mapInArrow(run, T.StructType(kept + added))

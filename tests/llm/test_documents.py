@@ -426,6 +426,21 @@ def test_decontamination(spark, odd, block, monkeypatch):
     assert decontam.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_benchmark_text_is_cut_out_by_one_python_worker_of_a_task(spark, monkeypatch):
+    """One block is searched and cut out in one step; several blocks give the same texts. Columns of any name pass through."""
+    words = [f"w{n}" for n in range(60)]
+    bench = spark.createDataFrame([("a", " ".join(words[:12])), ("b", " ".join(words[20:31])), ("c", "w50")], "item_id string, text string")
+    rows = [(1, " ".join(words), 5, "x"), (2, None, None, None), (3, "", 1, "y"), (4, "É " + " ".join(words[18:33]) + ".", 2, "z"), (4, "none here", 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int, item_ids string")
+    found = decontam.remove_contamination(docs, bench)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and found.columns == docs.columns
+    monkeypatch.setattr(decontam, "benchmark_blocks", lambda b, f=decontam.benchmark_blocks: f(b, 40))
+    several = decontam.remove_contamination(docs, bench)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, several.collect()))
+    texts = {(r.doc_id, r.spans): r.text for r in found.collect()}
+    assert texts[4, 2] == "É w18 w19  w31 w32." and texts[4, 3] == "none here" and texts[2, None] is None and texts[3, 1] == ""
+
+
 def test_fm_index_finds_and_locates():
     r = np.random.default_rng(3)
     seq = r.integers(0, 4, 3000)

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from functools import cache
 
@@ -208,6 +209,41 @@ def test_ids_do_not_depend_on_the_texts_beside():
         assert own.encode([text], 1, 0.9)[0].tolist() == ids
 
 
+def test_rare_words_go_and_frequent_ones_stay():
+    """Beside ever new words a frequent one stays remembered, ids are those of a new worker, and few runs are left over."""
+    r = np.random.default_rng(22)
+    own = sentencepieces.Pieces(sentencepieces.model_path(), remember=500)
+    for _ in range(12):
+        texts = [" ".join(["station"] * 9 + ["".join(r.choice(list("aeinrst"), 9)) for _ in range(30)]) for _ in range(10)]
+        found = [i.tolist() for i in own.encode(texts, 1, 0.1)]
+        assert own.memo.uses[own.memo.words["station"]] >= 90 and len(own.memo.words) <= 500 + 301 and own.memo.n <= 1000
+        assert found == [i.tolist() for i in sentencepieces.Pieces(sentencepieces.model_path()).encode(texts, 1, 0.1)]
+    assert own.memo.uses[own.memo.words["station"]] == 12 * 90
+    names = {f"w{n}" for n in range(90)}
+    for _ in range(40):  # few words with ever new runs
+        own.encode([" ".join(r.choice(sorted(names), 600)) for _ in range(3)], int(r.integers(1 << 30)), 0.5)
+        assert own.memo.n <= 500 + 2000
+
+
+def test_a_worker_holds_little_beside_its_tables():
+    """Encoding 4 million characters of new and old words takes less than 40 MB at any time beside the model's tables."""
+    r = np.random.default_rng(23)
+    syllables = np.array(["an", "er", "to", "li", "os", "mé", "qu", "ta", "ren", "sch"])
+    texts = [" ".join(map("".join, r.choice(syllables, (500, 3)).tolist())) + " " + " ".join(map("".join, r.choice(syllables, (40, 7)).tolist())) for _ in range(1000)]
+    sentencepieces.pieces(sentencepieces.model_path()).encode(texts[:1], 1, 0.1)
+    tracemalloc.start()
+    try:
+        own = sentencepieces.Pieces(sentencepieces.model_path())
+        tables = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        for _, some in sentencepieces.runs_of(texts, sentencepieces.CHUNK_CHARS):
+            own.encode(some, 1, 0.1)
+        peak = tracemalloc.get_traced_memory()[1] - tables
+    finally:
+        tracemalloc.stop()
+    assert peak < 40e6, (tables, peak)
+
+
 def test_each_occurrence_is_drawn_by_itself():
     own = sentencepieces.pieces(sentencepieces.model_path())
     same = own.encode([" ".join(["internationalisation"] * 400)], 5, 0.3)[0].tolist()
