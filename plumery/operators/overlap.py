@@ -22,24 +22,34 @@ def any_flux_above(plumes: DataFrame, flux: list[str], least: float = 1.0) -> Da
     return plumes.where(F.exists(F.array(*flux), lambda x: x > least))
 
 
-def overlap_pairs(plumes: DataFrame, radius: float = RADIUS_M) -> DataFrame:
-    """(group_id, row_id, other_id, distance_m, overlap) of plumes of a group whose discs meet; both directions.
+def meeting_pairs(plumes: DataFrame, radius: float = RADIUS_M) -> DataFrame:
+    """(group_id, row_id, other_id, distance_m, overlap) of plumes of a group whose discs meet, each pair once.
 
-    plumes has group_id, row_id, lat and lon. Cells as wide as two radii keep far pairs apart, so a large group isn't paired whole.
+    plumes has group_id, row_id, lat and lon. Cells as wide as two radii keep far pairs apart, so a large group isn't paired whole;
+    of two cells that touch, one looks for the other, and in a cell the smaller row_id for the larger.
     """
     xy, size = geo.albers(F.col("lat"), F.col("lon")), 2 * radius
     at = plumes.where("lat is not null and lon is not null").select("group_id", "row_id", xy.alias("p")).select("group_id", "row_id", "p.x", "p.y")
-    left = at.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
-    step = F.sequence(F.lit(-1), F.lit(1))
-    right = at.select(
-        "group_id", F.col("row_id").alias("other_id"), F.col("x").alias("x2"), F.col("y").alias("y2"),
-        F.explode(F.transform(step, lambda d: F.floor(F.col("x") / size) + d)).alias("cx"),
-    ).select("*", F.explode(F.transform(step, lambda d: F.floor(F.col("y2") / size) + d)).alias("cy"))
+    cx, cy = F.floor(F.col("x") / size), F.floor(F.col("y") / size)
+    left = at.withColumns({"cx": cx, "cy": cy})
+    beside = F.array(*(F.struct((cx + i).alias("cx"), (cy + j).alias("cy"), F.lit(i == j == 0).alias("same")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
+    right = at.select("group_id", F.col("row_id").alias("other_id"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.inline(beside))
     d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-    pairs = left.join(right, ["group_id", "cx", "cy"]).where("row_id <> other_id").withColumn("distance_m", d).where(F.col("distance_m") <= size)
+    pairs = left.join(right, ["group_id", "cx", "cy"]).where("row_id < other_id or (not same and row_id <> other_id)").withColumn("distance_m", d).where(F.col("distance_m") <= size)
     return pairs.select("group_id", "row_id", "other_id", "distance_m", geo.lens_share(F.col("distance_m"), radius).alias("overlap"))
 
 
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Pairs, and each of them from its other row."""
+    ways = F.array(*(F.struct(F.col(a).alias("row_id"), F.col(b).alias("other_id")) for a, b in (("row_id", "other_id"), ("other_id", "row_id"))))
+    return pairs.select("group_id", F.inline(ways), "distance_m", "overlap")
+
+
+def overlap_pairs(plumes: DataFrame, radius: float = RADIUS_M) -> DataFrame:
+    """meeting_pairs in both directions."""
+    return both_ways(meeting_pairs(plumes, radius))
+
+
 def overlap_of(plumes: DataFrame, rule: str = "first") -> DataFrame:
     """plumes with ``overlap``: with the first other plume in row order that meets (the default), or the largest; 0 without one."""
     pick = F.min_by("overlap", "other_id") if rule == "first" else F.max("overlap")

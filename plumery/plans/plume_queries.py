@@ -57,8 +57,8 @@ def _grouped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs = overlap.overlap_pairs(_grouped(spark, d))
-    return pairs.select("group_id", "row_id", "other_id", F.round("distance_m", 5).alias("distance_m"), F.round("overlap", 6).alias("overlap"))
+    pairs = overlap.meeting_pairs(_grouped(spark, d))
+    return overlap.both_ways(pairs.withColumns({"distance_m": F.round("distance_m", 5), "overlap": F.round("overlap", 6)}))
 
 
 def overlap_filter(spark: SparkSession, d: str) -> DataFrame:
